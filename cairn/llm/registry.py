@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: The modules of the ten operators, each with QUERIES and ORACLES.
-MODULES = ("bpe", "language")
+MODULES = ("jaccard", "bpe", "language")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
