@@ -6,8 +6,8 @@ holds, trained on variations of the template sentences below and on sentences ab
 under the acceptance level counts as unknown. An accepted paragraph is confirmed when it holds enough of one template's words.
 
 The model is small (its features come from the templates) and reaches the texts as literals; scanning uses built-in
-functions only. Only paragraphs with one of the anchor words are scored: the positive weights of all other features together cannot lift a
-family to the acceptance level, so nothing is lost (see Model.anchors).
+functions only. Only paragraphs with one of the anchor words are scored: all other features together cannot lift a family to the
+acceptance level, so nothing is lost (see Model.anchors).
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ class Model(NamedTuple):
         gain = {f: np.maximum(np.array(w[:-1]) - w[unknown], 0) for f, w in self.weights.items()}
         base = np.array(self.bias[:-1]) - self.bias[unknown]
         taken: list[str] = []
-        words = sorted({w for f in gain for w in f.split()})
+        words = sorted({w for f in gain for w in f.split()} - COMMON)  # every feature holds one
         while True:
             free = {f: g for f, g in gain.items() if not set(f.split()) & set(taken)}
             total = base + sum(free.values(), np.zeros(unknown))
@@ -171,8 +171,8 @@ def _literal(values: list[float]) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with licenses: array of (paragraph, family, probability, confirmed) of the paragraphs that are not unknown.
 
-    paragraph counts lines from 0. Families are those of TEMPLATES. A null or empty text has none; repeated rows stay; an input column named licenses
-    is replaced.
+    paragraph counts lines from 0. Families are those of TEMPLATES. A null or empty text has none; repeated rows stay; an
+    input column named licenses is replaced.
     """
     model = trained()
     names = list(model.weights)

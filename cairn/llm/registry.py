@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: The modules of the ten operators, each with QUERIES and ORACLES.
-MODULES = ("jaccard", "bpe", "language", "private", "fingerprint", "toxicity", "mixing", "license", "embeddings")
+MODULES = ("jaccard", "bpe", "language", "private", "fingerprint", "toxicity", "mixing", "license", "quality", "embeddings")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
