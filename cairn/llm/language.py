@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,19 +74,22 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     sample = bounded(rows, "key", most).select("text", "lang").repartition(8)  # counts of few tasks reach the driver
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            for name, own in batch.groupby("lang"):
-                texts = own["text"].tolist()
+            by: dict[str, list[str]] = {}
+            for x, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by.setdefault(name, []).append(x)
+            for name, texts in by.items():
                 total = counts.setdefault(name, np.zeros(BUCKETS, np.int64))
                 docs[name] = docs.get(name, 0) + len(texts)
                 for a, b in _blocks(texts):
                     total += np.bincount(_grams(texts[a:b])[0].ravel(), minlength=BUCKETS)
-        yield pd.DataFrame({"lang": list(counts), "docs": [docs[x] for x in counts], "counts": [counts[x].tobytes() for x in counts]})
+        columns = [pa.array(list(counts), pa.string()), pa.array([docs[x] for x in counts], pa.int64()), pa.array([x.tobytes() for x in counts.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "docs", "counts"])
 
-    found = sample.mapInPandas(count, "lang string, docs long, counts binary").collect()
+    found = sample.mapInArrow(count, "lang string, docs long, counts binary").collect()
     languages = sorted({r["lang"] for r in found})
     counts, docs = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
     for r in found:
