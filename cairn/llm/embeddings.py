@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from cairn.llm.common import table, written
 from cairn.llm.components import connected_components
 
-#: Blocks that a vector is split into, vectors of a tile, and the rounding error that a budget allows for.
-BLOCKS, TILE, SLACK = 8, 2_000, 1e-9
+#: Blocks that a vector is split into, coordinates of a block that its grid uses, vectors of a tile, the rounding error
+#: that a budget allows for, and the one of the first, coarse distances.
+BLOCKS, GRID, TILE, SLACK, COARSE = 4, 3, 8_000, 1e-9, 1e-5
+#: Pairs whose distances are computed at once.
+PAIRS = 1_000_000
 #: Cells are joined with their sizes by broadcast up to so many of them.
 BROADCAST_CELLS = 200_000
 THRESHOLD = 0.95
@@ -45,12 +48,7 @@ def _units(packed: bytes, kind: str, dims: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def grid_dims(vectors: int, width: int) -> int:
-    """Coordinates that the grid of a block of this width uses: the more vectors, the more cells."""
-    return max(2, min(width, int(np.ceil(np.log(max(1, vectors / TILE)) / np.log(4)))))
-
-
-def _visits(vectors: DataFrame, dims: int, threshold: float, kind: str, grid: int) -> DataFrame:
+def _visits(vectors: DataFrame, dims: int, threshold: float, kind: str) -> DataFrame:
     """(block, cell, id, weight, home, packed): each vector in its own cell and in the later ones its budget reaches."""
 
     def run(batches):
@@ -62,7 +60,7 @@ def _visits(vectors: DataFrame, dims: int, threshold: float, kind: str, grid: in
             turned = _units(b"".join(raw), kind, dims) @ turn
             for block, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 reach = np.sqrt((2 - 2 * threshold) * (b - a) / dims + SLACK)
-                side, own = 2 * reach, turned[:, a : min(b, a + grid)]
+                side, own = 2 * reach, turned[:, a : min(b, a + GRID)]
                 home = np.floor(own / side).astype(np.int64)
                 wide = int(np.ceil(1 / side)) + 2  # coordinates lie between -1 and 1
                 for step in np.ndindex(*(3,) * own.shape[1]):
@@ -106,10 +104,9 @@ def _cell_links(dims: int, threshold: float, kind: str):
         parts = [turned[:, a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         norms = [(x**2).sum(axis=1) for x in parts]
         n, counts, root = len(ids), np.zeros(len(ids)), np.arange(len(ids))
-        first, others = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-
-        def distances(k: int, rows: np.ndarray) -> np.ndarray:
-            return norms[k][rows][:, None] + norms[k][others] - 2 * (parts[k][rows] @ parts[k][others].T)
+        flat = parts[block].astype(np.float32)
+        square = (flat**2).sum(axis=1)[:, None]
+        one, two = np.hstack([-2 * flat, square, np.ones_like(square)]), np.hstack([flat, np.ones_like(square), square])
 
         def within(k: int, x: np.ndarray, y: np.ndarray, near: np.ndarray) -> np.ndarray:
             """Whether pairs meet block k's budget; every cell decides it by the same sum where it is close."""
@@ -117,28 +114,42 @@ def _cell_links(dims: int, threshold: float, kind: str):
             near[close] = ((parts[k][x[close]] - parts[k][y[close]]) ** 2).sum(axis=1)
             return near <= budgets[k]
 
-        for at in range(0, len(first), 256):
-            rows = first[at : at + 256]
-            near = distances(block, rows)
-            # two residents once, a resident and a visitor once, two visitors never
-            both, mixed = home[rows][:, None] & home[others], home[rows][:, None] ^ home[others]
-            if i == j:
-                both, mixed = both & (rows[:, None] < others), mixed & home[rows][:, None]
-            r, c = np.nonzero((near <= budgets[block] + 1e-10) & (both | mixed))
+        def join(rows: np.ndarray, others: np.ndarray, ordered: bool) -> None:
+            """Links between rows and others; ordered: of two vectors that are in both, the earlier must be the row."""
+            nonlocal counts, root
+            r, c = np.nonzero(one[rows] @ two[others].T <= budgets[block] + COARSE)
             x, y = rows[r], others[c]
-            dense = len(r) > 0.02 * near.size
+            if ordered:
+                earlier = (x < y) | ~home[y]
+                r, c, x, y = r[earlier], c[earlier], x[earlier], y[earlier]
+            dense = 20 * len(r) > len(rows) * len(others)
             cosine = (unit[rows] @ unit[others].T)[r, c] if dense else np.einsum("ij,ij->i", unit[x], unit[y])
             hit = np.flatnonzero(cosine >= threshold)
             r, c, x, y = r[hit], c[hit], x[hit], y[hit]
             if not len(x):
-                continue
-            new = within(block, x, y, near[r, c])
-            for k in range(block):
-                new &= ~within(k, x, y, distances(k, rows)[r, c] if dense else ((parts[k][x] - parts[k][y]) ** 2).sum(axis=1))
+                return
+            new = np.ones(len(x), bool)
+            for k in range(block, -1, -1):
+                if dense:
+                    near = (norms[k][rows][:, None] + norms[k][others] - 2 * (parts[k][rows] @ parts[k][others].T))[r, c]
+                else:
+                    near = ((parts[k][x] - parts[k][y]) ** 2).sum(axis=1)
+                new &= within(k, x, y, near) if k == block else ~within(k, x, y, near)
             counts += np.bincount(x[new], weight[y[new]], n) + np.bincount(y[new], weight[x[new]], n)
             apart = root[x] != root[y]
             if apart.any():
                 root = _roots(n, np.concatenate([np.arange(n), x[apart]]), np.concatenate([root, y[apart]]))
+
+        # two residents meet once, a resident and a visitor once, two visitors never
+        here, there = [np.flatnonzero((tile == t) & home) for t in (i, j)], [np.flatnonzero((tile == t) & ~home) for t in (i, j)]
+        if i == j:
+            work = [(here[0], np.concatenate([here[0], there[0]]), True)]
+        else:
+            work = [(here[0], np.concatenate([here[1], there[1]]), False), (there[0], here[1], False)]
+        for rows, others, ordered in work:
+            size = max(1, PAIRS // max(1, len(others)))
+            for at in range(0, len(rows) if len(others) else 0, size):
+                join(rows[at : at + size], others[at:] if ordered else others, ordered)
         smallest = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(smallest, root, ids)
         kept = (counts > 0) | (smallest[root] != ids)
@@ -173,7 +184,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.tobytes() for x in raw], pa.binary())], ["h", "g", "id", "weight", "packed"])
 
     classes = written(groups.mapInArrow(packed, "h long, g long, id long, weight long, packed binary"), "vectors")
-    visits = _visits(classes.select("id", "weight", "packed"), dims, threshold, kind, grid_dims(classes.count(), dims // min(BLOCKS, dims)))
+    visits = _visits(classes.select("id", "weight", "packed"), dims, threshold, kind)
     sizes = visits.groupBy("block", "cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 AND any")
     sizes = written(sizes.select("block", "cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "cells")
     dealt = visits.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes, ["block", "cell"])
