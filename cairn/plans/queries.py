@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import boxes, evaluate, gates, graph, ground, images, points, trajectory
 from cairn.plans import bindings as B
+from cairn.streaming import monitor
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -569,3 +570,14 @@ def image_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MSE}, v AS (SELECT CASE WHEN mse > 0 THEN 10 * log10(1 / mse) END AS psnr FROM m) SELECT count(*) AS images, count(psnr) AS finite, round(avg(psnr), 6) AS mean, round(median(psnr), 6) AS median, round(min(psnr), 6) AS least, round(max(psnr), 6) AS most FROM v")
 def image_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(images.finite_summary(_psnr(spark, sf_dir)))
+
+
+# streams
+
+
+@query("WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, value FROM events) SELECT event_type, start, count(value) AS n, round(avg(value), 6) AS mean FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
+def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = B.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}/").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = monitor.drained(monitor.windowed(stream, "ts", "value", ["event_type"], "1 day", "1 hour"))
+    return rounded(out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean"))
