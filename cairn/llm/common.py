@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.plans.storage import shared_dir, written
+
+__all__ = ["arrow_rows", "bounded", "remainder", "shared_dir", "table", "written"]
+
 #: The words of a text: runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD_SPACE = "\\x20\\x09-\\x0D"
 
@@ -16,26 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests) a local one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def text_of(col) -> F.Column:
-    """A text without nulls."""
-    return F.coalesce(col, F.lit(""))
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within, batches for Python hold so many rows at most: for jobs whose rows are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def remainder(col, n: int) -> F.Column:

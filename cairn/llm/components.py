@@ -1,39 +1,5 @@
-"""Connected components as Spark jobs: alternating large-star and small-star steps until the edges are stars."""
+"""Connected components of links between documents or vectors."""
 
-from __future__ import annotations
+from cairn.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from cairn.llm.common import written
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Links each node's larger neighbours to the smallest of the node and its neighbours. edges: (u, v), u > v."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Links each node and its smaller neighbours to the smallest of those. edges: (u, v), u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node with a link; component is the smallest node reachable.
-
-    Rows with a null end and links of a node to itself count for nothing; without links the result is empty. Steps write
-    their edges to the shared folder, so that a lost executor costs one step at most, and nothing reaches the driver but
-    a sum of hashes that tells when the edges no longer change.
-    """
-    edges = links.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, before = written(edges, "edges"), None
-    while True:
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = state
-        edges = written(_small_star(_large_star(edges)), "edges")
+__all__ = ["connected_components"]
