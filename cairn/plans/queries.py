@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import boxes, evaluate, gates, graph, ground, images, points, trajectory
+from cairn.operators import align, boxes, evaluate, gates, graph, ground, images, points, structure, trajectory
 from cairn.plans import bindings as B
 from cairn.streaming import monitor
 
@@ -572,6 +572,41 @@ def image_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(images.finite_summary(_psnr(spark, sf_dir)))
 
 
+# alignment and structure
+
+
+@query()
+def rigid_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = trajectory.interpolated_join(*B.trajectories(spark, sf_dir), DAY, USER)
+    return rounded(align.rmse(align.aligned(matched, USER), USER), 5)
+
+
+@query()
+def voxel_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = B.dense_cloud(spark, sf_dir)
+    w = structure.voxel_distances(dense.filter("ref_ground"), dense.filter("NOT ref_ground"), 10.0, 20)
+    return rounded(structure.consistency(w), 4)
+
+
+@query()
+def surface_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(structure.normals(B.cloud_pair(spark, sf_dir)[0], 10), 3)
+
+
+@query()
+def plane_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(structure.plane_patches(B.dense_cloud(spark, sf_dir), 4.0, 12, 0.1).select("vx", "vy", "vz", "n", "planarity"), 4)
+
+
+@query(f"WITH {B.BOXES} SELECT frame, label, ref_idx, est_idx, round(iou, 6) AS iou FROM cand WHERE frame % 10 = 0")
+def oriented_box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes turned by nothing, so that SQL can tell their overlap; turned ones are in the tests."""
+    r, e = (df.filter("frame % 10 = 0") for df in B.boxes(spark, sf_dir))
+    part = lambda df, s, i: df.select("frame", "label", F.col("idx").alias(i), *[F.col(p).alias(s + p) for p in boxes.PARTS], F.lit(0.0).alias(f"{s}yaw"))
+    pairs = part(r, "a", "ref_idx").join(part(e, "b", "est_idx"), ["frame", "label"])
+    return rounded(structure.oriented_iou(pairs).select("frame", "label", "ref_idx", "est_idx", "iou"))
+
+
 # streams
 
 
