@@ -29,15 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table, written
+from cairn.llm.common import arrow_rows, table, written
 from cairn.llm.components import connected_components
 
 WORDS = 5
-#: Coordinates of a point; sets under SMALL emit hashes, from BAND on they emit groups (both between them).
-GROUPS, SMALL, BAND = 64, 20, 16
+#: Coordinates of a point, and of its coarse form in the tree; sets under SMALL emit hashes, from BAND on they emit fine
+#: groups (both between them).
+GROUPS, COARSE, SMALL, BAND = 512, 64, 20, 16
+#: Beyond so many shingles counts may not fit a byte, and sizes alone decide what is verified.
+LARGE = 60_000
 #: Words that a worker remembers, keys that a task packs at once, sets of one key that are compared in one tile, sets
-#: that are verified against one, and the most rows of a table of ids that is broadcast.
-MEMO_WORDS, PACK_KEYS, TILE, FAN, BROADCAST_ROWS = 400_000, 1_000_000, 2_000, 64, 500_000
+#: that are verified against one, keys of the same sets that are worked at once, the most rows of a table of ids that is
+#: broadcast, and rows of a batch of texts.
+MEMO_WORDS, PACK_KEYS, TILE, FAN, ALIKE, BROADCAST_ROWS, BATCH_ROWS = 200_000, 500_000, 2_000, 64, 16, 500_000, 500
 _U = np.uint64
 _STEP, _MIX_A, _MIX_B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -81,7 +85,9 @@ def signature(hashes: np.ndarray) -> int:
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Group counts as bytes. A set with a count beyond a byte gets the largest point, which bounds nothing but its size."""
+    counts = np.bincount((hashes & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max() < 256 else np.full(GROUPS, 255)).astype(np.uint8)
 
 
 def _fine_groups(upper: int) -> int:
@@ -152,12 +158,13 @@ def _analysed(docs: DataFrame, parts: int) -> DataFrame:
                     size += len(found[-1])
                     if size >= PACK_KEYS:
                         yield pack()
-            packed = [x.astype(np.uint32).tobytes() for x in points]
+            packed = [x.tobytes() for x in points]
             part = (np.arange(dealt, dealt + len(n)) % parts).astype(np.int32)  # documents ride along, evenly
             dealt += len(n)
             yield _rows(batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(packed, pa.binary()), part, None, len(n))
         if size:
             yield pack()
+        _words.clear()  # an idle worker shares its executor's memory with others
 
     return docs.mapInArrow(run, "doc_id long, n long, sig long, point binary, part int, packed binary")
 
@@ -186,42 +193,80 @@ def _members(group: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.table(keys), docs.select(["doc_id", "n", "sig", "point"])], promote_options="default").select(["doc_id", "n", "sig", "point", "key", "pivot"])
 
 
-def overlap_bound(points: np.ndarray, other: np.ndarray) -> np.ndarray:
+def overlap_bound(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """The most shingles that sets with these group counts can share: summed coordinate minima."""
-    return np.minimum(points, other).sum(axis=-1)
-
-
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np.ndarray, leaf: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of positions) with different labels that the bound lets through, one end in `left` and one outside it,
-    or any two where `left` holds all. Packed R-tree: points in order of label, size and leading counts, leaves of 32."""
-    inner, outer = np.flatnonzero(~left) if not left.all() else np.arange(len(left)), np.flatnonzero(left)
-    order = inner[np.lexsort((points[inner, 1], points[inner, 0], sizes[inner], labels[inner]))]
-    starts = np.arange(0, len(order), leaf)
-    if not len(order) or not len(outer):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    top = np.maximum.reduceat(points[order], starts, axis=0)
-    least = np.minimum.reduceat(sizes[order], starts)
-    most = np.maximum.reduceat(sizes[order], starts)
-    low, high = np.minimum.reduceat(labels[order], starts), np.maximum.reduceat(labels[order], starts)
-    a, b = [], []
-    for q in outer.tolist():
-        size = sizes[q]
-        nodes = np.flatnonzero((5 * size >= 4 * least) & (5 * most >= 4 * size) & ~((low == high) & (low == labels[q])))
-        nodes = nodes[9 * overlap_bound(top[nodes], points[q]) >= 4 * (size + least[nodes])]
-        if len(nodes):
-            at = order[(starts[nodes][:, None] + np.arange(leaf)).ravel()[_filled(starts[nodes], leaf, len(order))]]
-            at = at[labels[at] != labels[q]]
-            at = at[9 * overlap_bound(points[at], points[q]) >= 4 * (size + sizes[at])]
-            if left.all():
-                at = at[at > q]
-            a.append(np.full(len(at), q))
-            b.append(at)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def _filled(starts: np.ndarray, leaf: int, n: int) -> np.ndarray:
-    """Which slots of these leaves hold a point; the last leaf may be short."""
-    return ((starts[:, None] + np.arange(leaf)) < n).ravel()
+    return np.minimum(one, two).sum(axis=-1, dtype=np.int64)
+
+
+def _points(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS)
+
+
+def _bounded(points: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of positions the bound lets through, a bounded number at a time."""
+    parts = []
+    for k in range(0, len(a), 4096):
+        x, y = a[k : k + 4096], b[k : k + 4096]
+        parts.append((9 * overlap_bound(points[x], points[y]) >= 4 * (sizes[x] + sizes[y])) | (sizes[x] > LARGE))
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+class _Tree:
+    """A packed R-tree of one level over coarse points, in order of label, size and leading counts."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rows: np.ndarray, leaf: int = 32):
+        self.rows = rows[np.lexsort((points[rows, 1], points[rows, 0], sizes[rows], labels[rows]))]
+        self.starts = np.arange(0, len(rows), leaf)
+        self.ends = np.minimum(self.starts + leaf, len(rows))
+        self.top = np.maximum.reduceat(points[self.rows], self.starts, axis=0)
+        (self.least, self.low), (self.most, self.high) = ([f.reduceat(x[self.rows], self.starts) for x in (sizes, labels)] for f in (np.minimum, np.maximum))
+
+
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of positions) with different labels that the bound lets through, one end in `left` and one outside it, or
+    any two where `left` holds all."""
+    whole = bool(left.all())
+    coarse = points.reshape(len(points), COARSE, -1).sum(axis=2, dtype=np.int16)
+    mine = np.flatnonzero(left)
+    others = mine if whole else np.flatnonzero(~left)
+    none = np.empty(0, np.int64)
+    if not len(mine) or not len(others):
+        return none, none
+    query = _Tree(coarse, sizes, labels, mine)
+    index = query if whole else _Tree(coarse, sizes, labels, others)
+    a, b = [none], [none]
+    for q, (start, end) in enumerate(zip(query.starts, query.ends, strict=True)):
+        near = (5 * query.most[q] >= 4 * index.least) & (5 * index.most >= 4 * query.least[q])
+        near &= ~((index.low == index.high) & (query.low[q] == query.high[q]) & (index.low == query.low[q]))
+        if whole:
+            near[:q] = False
+        nodes = np.flatnonzero(near)
+        nodes = nodes[(9 * overlap_bound(index.top[nodes], query.top[q]) >= 4 * (query.least[q] + index.least[nodes])) | (index.most[nodes] > LARGE)]
+        if not len(nodes):
+            continue
+        x = query.rows[start:end]
+        y = index.rows[np.concatenate([np.arange(index.starts[k], index.ends[k]) for k in nodes])]
+        ok = (5 * sizes[x][:, None] >= 4 * sizes[y]) & (5 * sizes[y] >= 4 * sizes[x][:, None]) & (labels[x][:, None] != labels[y])
+        if whole and nodes[0] == q:
+            ok[:, : end - start] &= np.tri(end - start, k=-1, dtype=bool).T
+        r, c = np.nonzero(ok)
+        keep = _bounded(coarse, sizes, x[r], y[c])
+        a.append(x[r[keep]]), b.append(y[c[keep]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    keep = _bounded(points, sizes, a, b)
+    return a[keep], b[keep]
+
+
+def few_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same within each of many short runs of positions, all runs at once."""
+    first = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    rest = np.repeat(starts + lengths, lengths) - first - 1
+    a = np.repeat(first, rest)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(rest) - rest, rest)
+    ok = (labels[a] != labels[b]) & (5 * sizes[a] >= 4 * sizes[b]) & (5 * sizes[b] >= 4 * sizes[a])
+    a, b = a[ok], b[ok]
+    keep = _bounded(points, sizes, a, b)
+    return a[keep], b[keep]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -237,6 +282,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             hashes = pa.array([shingles(x).tobytes() for x in batch.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashes], ["a", "fan", "need", "hashes"])
+        _words.clear()
 
     def compare(group: pa.Table) -> pa.Table:
         a, need = group.column("a")[0].as_py(), group.column("need").to_pylist()
@@ -251,6 +297,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "a long, fan long, need long, hashes binary").groupBy("a", "fan").applyInArrow(compare, "a long, b long, linked boolean")
 
 
+def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return written(_verified(written(pairs, "pairs"), docs), "links")
+
+
 def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of signatures as pairs of their first documents, without those that sizes or the overlap bound rule out."""
     x = classes.select(F.col("sig").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
@@ -260,26 +311,41 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, GROUPS) for k in (4, 5))
-            yield batch.select([0, 1]).filter(pa.array(9 * overlap_bound(one, two).astype(np.int64) >= 4 * (na + nb)))
+            one, two = (_points(batch.column(k).to_pylist()) for k in (4, 5))
+            yield batch.select([0, 1]).filter(pa.array((9 * overlap_bound(one, two) >= 4 * (na + nb)) | (na > LARGE)))
 
     return joined.mapInArrow(bound, "a long, b long")
 
 
 def _tiled_pairs(held: DataFrame) -> DataFrame:
     """Of keys' sets (key, doc, label, n, point), the pairs of different labels that the R-tree's bound lets through."""
-    sizes = held.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    sizes = held.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("doc").alias("low"))
+    # keys of the same documents are worked together, a few at a time, so that a pair comes out few times
+    alike = sizes.groupBy("low", "tiles").agg(F.ceil(F.count("*") / ALIKE).cast("int").alias("parts"))
+    sizes = sizes.join(alike, ["low", "tiles"]).select("key", "tiles", F.xxhash64("low", "tiles", F.pmod("key", "parts")).alias("near"))
     dealt = held.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
-    tiled = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "doc", "label", "n", "point")
+    tiled = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select("key", "near", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "doc", "label", "n", "point")
+    slots = 8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiled = tiled.withColumn("slot", F.pmod(F.xxhash64("near", "i", "j"), F.lit(slots)))
 
     def join(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        doc, label, n, t = (group.column(c).to_numpy() for c in ("doc", "label", "n", "t"))
-        points = np.frombuffer(b"".join(group.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
-        a, b = tree_pairs(points, n, label, t == i if i != j else np.ones(len(n), bool))
-        return pa.table({"a": np.minimum(doc[a], doc[b]), "b": np.maximum(doc[a], doc[b])})
-
-    return tiled.groupBy("key", "i", "j").applyInArrow(join, "a long, b long").distinct()
+        key, i, j, t, doc, label, n = (group.column(c).to_numpy() for c in ("key", "i", "j", "t", "doc", "label", "n"))
+        order = np.lexsort((j, i, key))
+        key, i, j, t, doc, label, n = (x[order] for x in (key, i, j, t, doc, label, n))
+        points = _points(group.column("point").to_pylist())[order]
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        lengths = np.diff(np.append(starts, len(key)))
+        few = (lengths <= 32) & (i[starts] == j[starts])
+        found = [few_pairs(points, n, label, starts[few], lengths[few])]
+        for s, e in zip(starts[~few].tolist(), (starts + lengths)[~few].tolist(), strict=True):
+            a, b = tree_pairs(points[s:e], n[s:e], label[s:e], t[s:e] == i[s] if i[s] != j[s] else np.ones(e - s, bool))
+            found.append((a + s, b + s))
+        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        pairs = np.unique(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])]), axis=1) if len(a) else np.empty((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return tiled.groupBy("slot").applyInArrow(join, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,12 +359,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one table of both kinds, so that the texts are read and cut into words once
-    analysed = written(_analysed(source, parts).groupBy("part").applyInArrow(_members, "doc_id long, n long, sig long, point binary, key long, pivot long"), "keys")
+    with arrow_rows(spark, 4 * BATCH_ROWS):
+        analysed = written(_analysed(source, parts).groupBy("part").applyInArrow(_members, "doc_id long, n long, sig long, point binary, key long, pivot long"), "keys")
     sets, members = analysed.filter("key IS NULL").select("doc_id", "n", "sig", "point"), analysed.filter("key IS NOT NULL").select("key", "pivot", "sig")
     classes = written(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "classes")
 
     pairs = members.select(F.col("pivot").alias("x"), F.col("sig").alias("y")).distinct()
-    first = written(_verified(written(_bounded_pairs(pairs, classes), "pairs"), source), "links")
+    near = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "sig")
+    first = _checked(_bounded_pairs(pairs, classes.join(near, "sig", "left_semi")), source)
     links = first.filter("linked").select("a", "b")
     found = written(connected_components(links), "components")
 
@@ -315,7 +383,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         held = held.join(lists.groupBy("h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
         known = first.select("a", "b").union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = _tiled_pairs(held.join(labels, "sig").select("key", F.col("rep").alias("doc"), "label", "n", "point"))
-        again = written(_verified(written(more.join(known, ["a", "b"], "left_anti"), "pairs"), source), "links")
+        again = _checked(more.join(known, ["a", "b"], "left_anti"), source)
         if again.filter("linked").limit(1).count():
             found = connected_components(links.union(again.filter("linked").select("a", "b")))
     named = classes.join(found, classes["rep"] == found["node"], "left").select("sig", "n", F.coalesce("component", "rep").alias("component_id"))
