@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import align, boxes, evaluate, gates, graph, ground, images, points, structure, trajectory
+from cairn.operators import align, boxes, evaluate, gates, graph, ground, images, points, progressive, structure, trajectory
 from cairn.plans import bindings as B
 from cairn.streaming import monitor
 
@@ -607,6 +607,29 @@ def oriented_box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(structure.oriented_iou(pairs).select("frame", "label", "ref_idx", "est_idx", "iou"))
 
 
+# order of display
+
+
+@query(
+    f"""WITH {B.CLOUD}, b AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS w FROM cloud),
+c AS (SELECT pid, least(floor((x - x0) / w * 6), 5)::BIGINT AS i, least(floor((y - y0) / w * 6), 5)::BIGINT AS j, least(floor((z - z0) / w * 6), 5)::BIGINT AS k FROM cloud, b),
+r AS (SELECT pid, row_number() OVER (ORDER BY ((i * 6 + j) * 6 + k) * 2654435761 % 4294967296, pid) - 1 AS rank FROM c)
+SELECT pid, rank, CASE WHEN rank < 200 THEN 0 ELSE 1 + (rank - 200) // 100 END AS chunk FROM r"""
+)
+def spatial_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive.spatial_shuffle(B.events_cloud(spark, sf_dir), 200, 100)
+
+
+@query()
+def distance_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive.distance_shells(B.events_cloud(spark, sf_dir), 200, 100)
+
+
+@query()
+def voxel_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(progressive.reduced(B.events_cloud(spark, sf_dir), 400, 0.5), 4)
+
+
 # streams
 
 
