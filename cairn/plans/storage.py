@@ -7,14 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir; a local one only where it names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder, session = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not folder and session not in _OWN:
+        _OWN[session] = tempfile.mkdtemp(prefix="cairn-")
+    return folder or _OWN[session]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
