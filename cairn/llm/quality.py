@@ -6,8 +6,8 @@ a host's share is shrunk toward the global one and a path's toward its host's, e
 of the shares beyond chance gives (method of moments). A text's score moves its own log-odds by how far its site's
 posterior odds, without the text itself, lie from the global odds.
 
-Everything but the fit of a dozen coefficients is built-in functions: sums by (host, path, salt), then path, then host, so that a host
-with a third of all rows is summed in many tasks, and joins of the small site tables back.
+Everything but the fit of a dozen coefficients is built-in functions: sums by (host, path, salt), then path, then host,
+so that a host with a third of all rows is summed in many tasks, and joins of the small site tables back.
 """
 
 from __future__ import annotations
@@ -63,13 +63,15 @@ class QualityModel(NamedTuple):
         return total
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", most: int = TRAIN_ROWS) -> QualityModel:
-    """A classifier from at most about `most` rows with a label of 0 or 1 (Newton's method with a small ridge).
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", most: int = TRAIN_ROWS) -> QualityModel:
+    """A classifier from at most about `most` labels (key and 0 or 1) and their texts in docs (Newton's method with a small
+    ridge). The sample is drawn from the labels, so that few rows, broadcast, are sought among the texts.
 
     Without labels of both kinds it holds all texts equally likely good.
     """
     found = shape_features(F.col(text))
-    rows = bounded(labelled.filter(F.col(label).isin(0, 1)), key, most).select(F.col(key).alias("key"), *[c.alias(k) for k, c in found.items()], F.col(label).cast("double").alias("y"))
+    drawn = bounded(labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).dropDuplicates(["key"]), "key", most)
+    rows = docs.select(F.col(key).alias("key"), F.col(text)).join(F.broadcast(drawn), "key").select("key", *[c.alias(k) for k, c in found.items()], "y")
     data = rows.orderBy("key").toPandas()
     names, y = list(found), data["y"].to_numpy(float)
     x = data[names].to_numpy(float)
@@ -89,7 +91,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     return QualityModel(names, mean.tolist(), scale.tolist(), w[:-1].tolist(), float(w[-1]))
 
 
-def _strength(sites: DataFrame, level: str, above: Column) -> float:
+def _strength(sites: DataFrame, above: Column) -> float:
     """Documents that a prior is worth: what the sites' shares vary by beyond chance, from two grouped sums."""
     own = sites.withColumn("m", above)
     part = F.col("good") / F.col("n")
@@ -115,10 +117,10 @@ def site_quality(docs: DataFrame, model: QualityModel, host: str = "host", path:
     hosts = written(paths.groupBy("h").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "hosts")
     whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     top = whole["good"] / whole["n"] if whole["n"] else 0.5
-    host_worth = _strength(hosts, "h", F.lit(top))
+    host_worth = _strength(hosts, F.lit(top))
     shrunk = hosts.select(F.col("h").alias("hh"), ((F.col("good") + host_worth * top) / (F.col("n") + host_worth)).alias("prior"))
     nested = paths.join(shrunk, F.col("h").eqNullSafe(F.col("hh"))).drop("hh")
-    path_worth = _strength(nested, "p", F.col("prior"))
+    path_worth = _strength(nested, F.col("prior"))
     sites = nested.select(F.col("h").alias("__h"), F.col("p").alias("__p"), F.col("good").alias("__good"), F.col("n").alias("__n"), F.col("prior").alias("__prior"))
     joined = scored.join(sites, F.col(f"`{host}`").eqNullSafe(F.col("__h")) & F.col(f"`{path}`").eqNullSafe(F.col("__p")))
     without = (F.col("__good") - F.col("evidence") + path_worth * F.col("__prior")) / (F.col("__n") - 1 + path_worth)
@@ -135,8 +137,7 @@ def site_quality(docs: DataFrame, model: QualityModel, host: str = "host", path:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; hosts are the sources, paths their language sections."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = labels.select("doc_id", "quality").dropDuplicates(["doc_id"])
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = fit(docs, labels)
     sited = docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
     out = site_quality(sited, model)
     return out.select("doc_id", "evidence", "site", F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))

@@ -202,7 +202,7 @@ def test_personal_data_equals_plain_search(spark):
 def test_site_quality_shrinks_small_sites(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
     labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality")
-    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.fit(docs, labels)
     out = quality.site_quality(docs, model)
     assert out.count() == docs.count() and out.filter("quality BETWEEN 0 AND 1 AND site BETWEEN 0 AND 1").count() == docs.count()
     right = out.select("doc_id", F.col("quality").alias("q")).join(labels, "doc_id").filter((F.col("q") >= 0.5) == (F.col("quality") == 1)).count()
@@ -212,7 +212,7 @@ def test_site_quality_shrinks_small_sites(spark, small):
     got = {r["doc_id"]: r for r in quality.site_quality(spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), model).collect()}
     assert got[80]["site"] < got[81]["site"] < got[41]["site"]
     assert quality.site_quality(docs.limit(0), model).count() == 0
-    assert quality.fit(docs.limit(0).withColumn("quality", F.lit(1))).bias == 0.0
+    assert quality.fit(docs, labels.limit(0)).bias == 0.0
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}])
@@ -262,13 +262,13 @@ def test_next_rows_wrap_around(spark):
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.fit(docs.join(labels.filter("doc_id % 5 <> 0"), "doc_id"))
+    model = toxicity.fit(docs, labels.filter("doc_id % 5 <> 0"))
     held = toxicity.predict(docs.join(labels.filter("doc_id % 5 = 0"), "doc_id"), model).toPandas()
     assert held.loc[held.toxic == 0, "predicted"].mean() < 0.05
     assert held.loc[held.toxic == 1, "score"].mean() > held.loc[held.toxic == 0, "score"].mean()
     odd = toxicity.predict(docs_of(spark, [None, "", "😀" * 1000, "you " * 100_000]), model).collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in odd)
-    none = toxicity.fit(docs.join(labels, "doc_id").limit(0))
+    none = toxicity.fit(docs, labels.limit(0))
     assert toxicity.predict(docs.limit(3), none).count() == 3
 
 
