@@ -22,14 +22,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import release, table
 
 #: White space as Unicode's White_Space property has it, for character classes.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs without white space, with one space before; the pattern's matches never cross their borders.
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: What a Python worker remembers at most: chunks and as many pieces, the longest of them, and pairs of neighbours.
-MEMO_ENTRIES, MEMO_CHARS, MEMO_PAIRS = 350_000, 64, 500_000
+#: Chunks and as many pieces that a task remembers at most (and half as many more pairs of neighbours), and the longest.
+REMEMBER, MEMO_CHARS = 350_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,8 +40,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PrefixEncoder:
     """Encodes byte pieces by ranks; whole pieces that are tokens stay whole."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pairs: int = 3 * REMEMBER // 2):
+        self.ranks, self.pairs = ranks, pairs
         self.bytes_of = dict(zip(ranks.values(), ranks, strict=True))
         self.longest = max(map(len, ranks))
         self.halves, self.merges = {}, {}
@@ -91,7 +91,7 @@ class PrefixEncoder:
         """The last token of each prefix (index: its length); `known` is such a table of a prefix of this piece."""
         last = list(known or [-1])
         made, fits, longest, lengths, holds = self.made, self._fits, self.longest, self.lengths, self.border_holds
-        if len(fits) > MEMO_PAIRS:
+        if len(fits) > self.pairs:
             fits.clear()
         base, done = max(0, len(last) - 1 - longest), len(last) - 1
         for at, token in made.iter(piece[base:].decode("latin-1")):  # those that end at the same byte: longest first
@@ -140,16 +140,19 @@ class PrefixEncoder:
 
 
 class Memo(dict):
-    """A function's results (bytes) for short strings, forgotten all at once at a bound."""
+    """A function's results (bytes) for short strings. At a bound the older half goes, but for what is asked for again."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.most // 2:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -158,12 +161,12 @@ class Memo(dict):
 class TextEncoder:
     """Encodes texts; remembers the ids (packed, four bytes each) of chunks and pieces seen before."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = REMEMBER):
         spelled = pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\S", f"[^{_SPACE}]").replace("\\s", f"[{_SPACE}]")
-        self.pieces_encoder = PrefixEncoder(ranks)
+        self.pieces_encoder = PrefixEncoder(ranks, 3 * remember // 2)
         find, encode = regex.compile(spelled).findall, self.pieces_encoder.encode
-        self.pieces = Memo(lambda piece: array("i", encode(piece.encode())).tobytes())
-        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, find(chunk))))
+        self.pieces = Memo(lambda piece: array("i", encode(piece.encode())).tobytes(), remember)
+        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, find(chunk))), remember)
 
     def encode(self, text: str) -> array:
         return array("i", b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text))))
@@ -173,16 +176,17 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(packed: bytes, pattern: str) -> TextEncoder:
-    """One encoder for a Python worker; its memo lasts over the tasks that the worker runs."""
-    return TextEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, packed.splitlines())}, pattern)
+def _encoder(packed: bytes, pattern: str, remember: int) -> TextEncoder:
+    """One encoder for a task."""
+    return TextEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, packed.splitlines())}, pattern, remember)
 
 
-def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, remember: int = REMEMBER) -> DataFrame:
     """Each row's kept columns with token_ids (array of int) and decoded (binary, made from those ids).
 
     A null text counts as empty: no ids, no bytes. Repeated rows give repeated rows. Input columns named token_ids or
-    decoded are replaced. The rank file is read on the driver and broadcast; a vocabulary bounds its size.
+    decoded are replaced. The rank file is read on the driver and broadcast; a vocabulary bounds its size. remember trades a
+    worker's memory for time.
     """
     spark, kept = docs.sparkSession, [c for c in (keep or docs.columns) if c not in ("token_ids", "decoded")]
     with open(ranks_path, "rb") as file:
@@ -191,7 +195,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     schema = source.select(*kept, F.lit(None).cast("array<int>").alias("token_ids"), F.lit(None).cast("binary").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks.value, pattern)
+        encoder = _encoder(ranks.value, pattern, remember)
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
@@ -201,6 +205,9 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 listed = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), len(packed) // 4, [None, packed]))
                 decoded = pa.array(map(encoder.decode, ids), pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], listed, decoded], [*kept, "token_ids", "decoded"])
+        del encoder
+        _encoder.cache_clear()
+        release()
 
     return source.mapInArrow(run, schema)
 

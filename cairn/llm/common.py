@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.plans.storage import shared_dir, written
 
-__all__ = ["arrow_rows", "bounded", "remainder", "shared_dir", "table", "written"]
+__all__ = ["arrow_rows", "bounded", "release", "remainder", "shared_dir", "table", "written"]
 
 #: The words of a text: runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD_SPACE = "\\x20\\x09-\\x0D"
@@ -31,6 +33,12 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def release() -> None:
+    """At a task's end: gives back what the worker no longer uses, as an idle worker shares its executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def remainder(col, n: int) -> F.Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8")) % n

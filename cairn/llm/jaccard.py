@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_rows, table, written
+from cairn.llm.common import arrow_rows, release, table, written
 from cairn.llm.components import connected_components
 
 WORDS = 5
@@ -164,7 +164,8 @@ def _analysed(docs: DataFrame, parts: int) -> DataFrame:
             yield _rows(batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(packed, pa.binary()), part, None, len(n))
         if size:
             yield pack()
-        _words.clear()  # an idle worker shares its executor's memory with others
+        _words.clear()
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n long, sig long, point binary, part int, packed binary")
 
@@ -283,6 +284,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             hashes = pa.array([shingles(x).tobytes() for x in batch.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashes], ["a", "fan", "need", "hashes"])
         _words.clear()
+        release()
 
     def compare(group: pa.Table) -> pa.Table:
         a, need = group.column("a")[0].as_py(), group.column("need").to_pylist()

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded, remainder, table
+from cairn.llm.common import bounded, release, remainder, table
 
 #: Hash buckets, a power of two; labelled rows that a model is fitted on at most; characters that are scored at once.
-BUCKETS, TRAIN_ROWS, BLOCK_CHARS = 1 << 16, 20_000, 500_000
+BUCKETS, TRAIN_ROWS, BLOCK_CHARS = 1 << 16, 20_000, 200_000
 UNDETERMINED = "und"
 
 
@@ -137,6 +137,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
         for batch in batches:
             names, scores = score(shared.value, batch.column(len(kept)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+        release()
 
     return source.mapInArrow(run, schema)
 
