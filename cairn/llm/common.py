@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from contextlib import contextmanager
 
@@ -37,6 +38,9 @@ def release() -> None:
     """At a task's end: gives back what the worker no longer uses, as an idle worker shares its executor's memory."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def remainder(col, n: int) -> F.Column:
