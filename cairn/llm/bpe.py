@@ -177,7 +177,7 @@ class TextEncoder:
 
 @lru_cache(maxsize=1)
 def _encoder(packed: bytes, pattern: str, remember: int) -> TextEncoder:
-    """One encoder for a task."""
+    """One encoder for a Python worker."""
     return TextEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, packed.splitlines())}, pattern, remember)
 
 
@@ -205,9 +205,10 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 listed = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), len(packed) // 4, [None, packed]))
                 decoded = pa.array(map(encoder.decode, ids), pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], listed, decoded], [*kept, "token_ids", "decoded"])
-        del encoder
-        _encoder.cache_clear()
-        release()
+        if remember < REMEMBER:  # memory is short: nothing stays for the worker's next task
+            del encoder
+            _encoder.cache_clear()
+            release()
 
     return source.mapInArrow(run, schema)
 
