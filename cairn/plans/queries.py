@@ -530,10 +530,17 @@ _GRAPH = "edges AS (SELECT l_partkey % 5000 AS a, l_suppkey AS b FROM lineitem W
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The part of the graph that the SQL of graph_summary and graph_components is about; _whole_graph has all of it."""
     e = B.table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0").select((F.col("l_partkey") % 5000).alias("a"), F.col("l_suppkey").alias("b"))
     return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), e
 
 
+def _whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An edge for each order line, between its part and its supplier."""
+    e = B.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), e
+
+
 @query(
     f"""WITH {_GRAPH}, p AS (SELECT least(a, b) AS u, greatest(a, b) AS v, count(*) AS n FROM edges GROUP BY 1, 2)
 SELECT (SELECT count(DISTINCT id) FROM vertices) AS vertices, (SELECT count(DISTINCT id) FROM vertices WHERE id NOT IN (SELECT u FROM p WHERE u <> v UNION SELECT v FROM p WHERE u <> v)) AS isolated, sum(n)::BIGINT AS edges, coalesce(sum(n) FILTER (WHERE u = v), 0)::BIGINT AS self_loops, coalesce(sum(n - 1) FILTER (WHERE u <> v), 0)::BIGINT AS duplicates,
@@ -551,6 +558,16 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components_with_isolated(*_graph(spark, sf_dir))
 
 
+@query()
+def graph_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.summary(*_whole_graph(spark, sf_dir))
+
+
+@query()
+def graph_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components_with_isolated(*_whole_graph(spark, sf_dir))
+
+
 _PIXELS = "p AS (SELECT a.vec_id, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 _MSE = f"{_PIXELS}, m AS (SELECT vec_id, count(*) AS pixels, avg((x / 2 - y / 2) ** 2) AS mse FROM p GROUP BY 1)"
 
