@@ -367,6 +367,11 @@ def uncertainty_nees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {B.BOXES} SELECT frame, label, ref_idx, est_idx, round(iou, 6) AS iou FROM cand WHERE iou >= 0.1")
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(boxes.candidates(*B.sql_boxes(spark, sf_dir), 0.1).select("frame", "label", "ref_idx", "est_idx", "iou"))
+
+
+@query()
+def box_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boxes.candidates(*B.boxes(spark, sf_dir), 0.1).select("frame", "label", "ref_idx", "est_idx", "iou"))
 
 
@@ -387,6 +392,11 @@ def tracking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {B.BOXES} SELECT count(DISTINCT frame) AS frames, count(*) AS boxes, count(DISTINCT track) AS tracks FROM base")
 def sequence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.counts(B.sql_boxes(spark, sf_dir)[0])
+
+
+@query()
+def sequence_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.counts(B.boxes(spark, sf_dir)[0])
 
 
@@ -615,15 +625,23 @@ def plane_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(structure.plane_patches(B.dense_cloud(spark, sf_dir), 4.0, 12, 0.1).select("vx", "vy", "vz", "n", "planarity"), 4)
 
 
-@query(f"WITH {B.BOXES} SELECT frame, label, ref_idx, est_idx, round(iou, 6) AS iou FROM cand WHERE frame % 10 = 0")
-def oriented_box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes turned by nothing, so that SQL can tell their overlap; turned ones are in the tests."""
-    r, e = (df.filter("frame % 10 = 0") for df in B.boxes(spark, sf_dir))
+def _oriented(r: DataFrame, e: DataFrame) -> DataFrame:
     part = lambda df, s, i: df.select("frame", "label", F.col("idx").alias(i), *[F.col(p).alias(s + p) for p in boxes.PARTS], F.lit(0.0).alias(f"{s}yaw"))
     pairs = part(r, "a", "ref_idx").join(part(e, "b", "est_idx"), ["frame", "label"])
     return rounded(structure.oriented_iou(pairs).select("frame", "label", "ref_idx", "est_idx", "iou"))
 
 
+@query(f"WITH {B.BOXES} SELECT frame, label, ref_idx, est_idx, round(iou, 6) AS iou FROM cand WHERE frame % 10 = 0")
+def oriented_box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes turned by nothing, so that SQL can tell their overlap; turned ones are in the tests."""
+    return _oriented(*(df.filter("frame % 10 = 0") for df in B.sql_boxes(spark, sf_dir)))
+
+
+@query()
+def oriented_box_iou_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _oriented(*B.boxes(spark, sf_dir))
+
+
 # order of display
 
 

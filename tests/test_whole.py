@@ -30,3 +30,26 @@ def test_the_whole_graph_is_read(spark, small, tables):
     loops = sum(a == b for a, b in edges)
     want = {"vertices": len(ids), "isolated": len(ids - set().union(*proper)), "edges": len(edges), "self_loops": loops, "duplicates": len(edges) - loops - len(proper), "missing": len(set().union(*edges) - ids)}
     assert QUERIES["graph_summary_whole"](spark, small).first().asDict() == want
+
+
+def test_every_order_line_is_a_box(spark, small, tables):
+    cols = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag"
+    frames, pairs = {}, {}
+    for line in sorted(tables(cols, "lineitem")):
+        frames.setdefault(line[0], []).append(line)
+    for frame, lines in frames.items():
+        for i, r in enumerate(lines, 1):
+            for j, e in enumerate(lines, 1):
+                if r[8] == e[8]:
+                    gaps = abs(r[4] - e[4] - 40 * e[7]), 5 * abs(r[1] - e[1]), 100 * abs(r[6] - e[6])
+                    both = max(4 - gaps[0], 0) * max(4 - gaps[1], 0) * max(4 - gaps[2], 0)
+                    pairs[frame, r[8], i, j] = both / (128 - both)
+    got = {tuple(r)[:4]: r["iou"] for r in QUERIES["oriented_box_iou_whole"](spark, small).collect()}
+    assert got.keys() == pairs.keys() and all(abs(got[k] - v) < 2e-6 for k, v in pairs.items())
+    near = {tuple(r)[:4] for r in QUERIES["box_pairs_whole"](spark, small).collect()}
+    assert near >= {k for k, v in pairs.items() if v > 0.1 + 1e-9} and near <= {k for k, v in pairs.items() if v > 0.1 - 1e-9}
+    lines = sum(frames.values(), [])
+    assert tuple(QUERIES["sequence_counts_whole"](spark, small).first()) == (len(frames), len(lines), len({x[3] for x in lines}))
+    assert sum(r["n_ref"] for r in QUERIES["average_precision"](spark, small).collect()) == len(lines)
+    assert sum(r["n_ref"] for r in QUERIES["detection_scores"](spark, small).collect()) == len(lines)
+    assert QUERIES["tracking_scores"](spark, small).first()["n_ref"] == len(lines)
