@@ -6,16 +6,23 @@ max_ and a metric's name.
 
 from __future__ import annotations
 
+import bisect
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.geometry import ratio
+from cairn.plans.ranking import ranked
 from cairn.plans.storage import written
 
 #: Gains that move a baseline: mean over the history's best, and worst single margin.
 MEAN_GAIN, WORST_GAIN = 0.03, -0.01
 
+#: Items that one task puts on fronts.
+FRONT_BLOCK = 200_000
+
 
 def gate_rows(spark: SparkSession, gate: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(k, k[4:], k[:3], float(v)) for k, v in sorted(gate.items())], "key string, metric string, side string, threshold double")
@@ -105,16 +112,37 @@ def recommended(items: DataFrame, less: str, more: str, gate: dict[str, float],
     return wide_gate(pareto(items, less, more), gate).filter("passed").orderBy(less, F.desc(more), *ties).limit(1)
 
 
-def pareto_fronts(items: DataFrame, less: str, more: str, most: int = 1_000) -> DataFrame:
-    """Items with the number of their front: the first is the Pareto front, the second that of the rest, and so on."""
-    left, out = written(items, "fronts"), None
-    for k in range(1, most + 1):
-        front = written(pareto(left, less, more).withColumn("front", F.lit(k)), "front")
-        if not front.limit(1).count():
-            break
-        out = front if out is None else out.union(front)
-        left = written(left.join(front.select(less, more).distinct(), [less, more], "left_anti"), "fronts")
-    return out if out is not None else items.withColumn("front", F.lit(0)).limit(0)
+def pareto_fronts(items: DataFrame, less: str, more: str, block: int = FRONT_BLOCK) -> DataFrame:
+    """Items with the number of their front: the first is the Pareto front, the second that of the rest, and so on.
+
+    An item's front is the length of the longest chain of items that beat one another down to it. Items are taken by `less`
+    in blocks; each front's largest `more` so far, a row a front, is all that goes from one block to the next. Items with nulls don't
+    take part.
+    """
+    spark = items.sparkSession
+    items = written(items.filter(F.col(less).isNotNull() & F.col(more).isNotNull()), "fronts")
+    pairs = items.select(F.col(less).alias("l"), F.col(more).alias("m")).distinct().withColumn("down", -F.col("m").cast("double"))
+    pairs = written(ranked(pairs, "l", ["down"], name="place").withColumn("block", F.floor(F.col("place") / block)), "fronts")
+    m = pairs.schema["m"].dataType.simpleString()
+    tops, out = spark.createDataFrame([], f"front long, m {m}"), None
+
+    def place(key, rows, known):
+        # largest first: an item goes to the first front whose largest it exceeds; NaN exceeds all else, as in Spark
+        keys = [(0, 0.0) if math.isnan(v) else (1, -float(v)) for v in known.sort_values("front")["m"]]
+        rows, fronts = rows.sort_values("place"), []
+        for v in rows["m"]:
+            k = (0, 0.0) if math.isnan(v) else (1, -float(v))
+            i = bisect.bisect_right(keys, k)
+            keys[i : i + 1] = [k]
+            fronts.append(i + 1)
+        return rows.assign(front=fronts)[["l", "m", "front"]]
+
+    for b in range((pairs.agg(F.max("block")).first()[0] or 0) + 1):
+        found = pairs.filter(F.col("block") == b).select("l", "m", "place", F.lit(0).alias("one")).groupBy("one").cogroup(tops.withColumn("one", F.lit(0)).groupBy("one"))
+        found = written(found.applyInPandas(place, f"l {pairs.schema['l'].dataType.simpleString()}, m {m}, front long"), "front")
+        tops = written(tops.union(found.select("front", "m")).groupBy("front").agg(F.max("m").alias("m")), "tops")
+        out = found if out is None else out.union(found)
+    return items.join(out.withColumn("front", F.col("front").cast("int")), (F.col(less) == F.col("l")) & (F.col(more) == F.col("m"))).drop("l", "m")
 
 
 def window_decision(stats: DataFrame, series: str, at: str, look: int = 3) -> DataFrame:

@@ -530,7 +530,7 @@ def slam_frame_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pareto_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = gates.margin_stats(_margins(spark, sf_dir), ["run"]).filter("run % 10 = 0 AND worst_margin < 0")
+    items = gates.margin_stats(_margins(spark, sf_dir), ["run"]).filter("worst_margin < 0")
     return gates.pareto_fronts(items, "worst_margin", "mean_margin").select("run", "front")
 
 

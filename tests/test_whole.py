@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 
+from cairn.operators import gates
 from cairn.plans.queries import QUERIES
 
 
@@ -53,3 +56,30 @@ def test_every_order_line_is_a_box(spark, small, tables):
     assert sum(r["n_ref"] for r in QUERIES["average_precision"](spark, small).collect()) == len(lines)
     assert sum(r["n_ref"] for r in QUERIES["detection_scores"](spark, small).collect()) == len(lines)
     assert QUERIES["tracking_scores"](spark, small).first()["n_ref"] == len(lines)
+
+
+def test_fronts_have_no_end(spark):
+    chain = spark.createDataFrame([(i, float(i), float(-i)) for i in range(1_200)], "name long, size double, auc double")
+    assert sorted((r["name"], r["front"]) for r in gates.pareto_fronts(chain, "size", "auc", block=500).collect()) == [(i, i + 1) for i in range(1_200)]
+
+
+def test_fronts_equal_peeling(spark):
+    rng = random.Random(7)
+    rows = [(i, float(rng.randint(0, 15)), float(rng.randint(0, 15))) for i in range(300)] + [(300, None, 1.0), (301, 1.0, None), (302, 3.0, float("-inf"))]
+    want, left, k = {}, [r for r in rows if None not in r], 0
+    while left:
+        k += 1
+        front = [a for a in left if not any((b[1] < a[1] and b[2] >= a[2]) or (b[1] <= a[1] and b[2] > a[2]) for b in left)]
+        want |= {a[0]: k for a in front}
+        left = [a for a in left if a not in front]
+    items = spark.createDataFrame(rows, "name long, size double, auc double")
+    for block in (40, 1_000):
+        out = gates.pareto_fronts(items, "size", "auc", block=block)
+        assert out.columns == ["name", "size", "auc", "front"]
+        assert {r["name"]: r["front"] for r in out.collect()} == want
+    assert gates.pareto_fronts(items.limit(0), "size", "auc").count() == 0
+
+
+def test_every_failing_run_has_a_front(spark, small):
+    runs = QUERIES["triage"](spark, small).select("run")
+    assert {r["run"] for r in QUERIES["pareto_fronts"](spark, small).collect()} == {r["run"] for r in runs.collect()}
