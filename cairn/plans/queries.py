@@ -67,6 +67,15 @@ def crop_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.crop_around(target, source.filter("pid % 50 = 0"), 0.5).select("pid", "x", "y", "z")
 
 
+@query(
+    f"""WITH {B.CLOUD}, b AS (SELECT min(x) - 0.5 AS x0, max(x) + 0.5 AS x1, min(y) - 0.5 AS y0, max(y) + 0.5 AS y1, min(z) - 0.5 AS z0, max(z) + 0.5 AS z1 FROM src)
+SELECT pid, x, y, z FROM dst, b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1"""
+)
+def crop_around_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = B.cloud_pair(spark, sf_dir)
+    return points.crop_around(target, source, 0.5).select("pid", "x", "y", "z")
+
+
 @query(f"WITH {B.CLOUD} SELECT pid, round(-y + 1, 9) AS x, round(x + 2, 9) AS y, round(z * 0.5 - 3, 9) AS z FROM cloud")
 def transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = points.transform(B.events_cloud(spark, sf_dir), [[0, -1, 0, 1], [1, 0, 0, 2], [0, 0, 0.5, -3], [0, 0, 0, 1]])
@@ -130,6 +139,12 @@ def nearest_neighbours_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.nearest(source, source, k=4, apart=True).select("pid", "rank", "d"), 9)
 
 
+@query()
+def nearest_neighbours_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cloud = B.events_cloud(spark, sf_dir)
+    return rounded(points.nearest(cloud, cloud, k=4, apart=True).select("pid", "rank", "d"), 9)
+
+
 @query(f"WITH {B.CLOUD} SELECT s.pid, count(*) AS n FROM src s JOIN dst t ON (s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2 <= 1.0 GROUP BY 1")
 def radius_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.within(*B.cloud_pair(spark, sf_dir), 1.0).groupBy("pid").agg(F.count("*").alias("n"))
@@ -188,6 +203,11 @@ def cloud_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.spacing(B.cloud_pair(spark, sf_dir)[0]))
 
 
+@query()
+def cloud_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(points.spacing(B.events_cloud(spark, sf_dir)))
+
+
 @query(
     f"""WITH {B.CLOUD}, {_SELF}, m AS (SELECT pid, sum(d) / 10 AS mean_d FROM knn WHERE rank <= 9 GROUP BY 1), l AS (SELECT avg(mean_d) + 1.5 * stddev_samp(mean_d) AS limit_d FROM m)
 SELECT pid, round(mean_d, 6) AS mean_d, mean_d <= limit_d AS inlier FROM m, l"""
@@ -196,6 +216,11 @@ def outlier_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.outliers(B.cloud_pair(spark, sf_dir)[0], 10, 1.5))
 
 
+@query()
+def outlier_removal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(points.outliers(B.events_cloud(spark, sf_dir), 10, 1.5))
+
+
 @query(
     f"""WITH {B.CLOUD}, {_SELF}, c AS (SELECT pid, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy, covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM knn WHERE rank <= 10 GROUP BY 1)
 SELECT count(*) AS n, round(avg(0.5 * ln(abs(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)) + 1e-10)), 4) AS entropy FROM c"""
@@ -204,6 +229,11 @@ def mean_map_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.mean_map_entropy(B.cloud_pair(spark, sf_dir)[0], 10), 4)
 
 
+@query()
+def mean_map_entropy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(points.mean_map_entropy(B.events_cloud(spark, sf_dir), 10), 4)
+
+
 @query(
     f"""WITH {B.CLOUD}, k AS (SELECT DISTINCT floor(x / 2)::BIGINT AS x, floor(y / 2)::BIGINT AS y, floor(z / 2)::BIGINT AS z FROM cloud), p AS (
   SELECT a.x, a.y, a.z, count(b.x) / 26.0 AS p FROM k a LEFT JOIN k b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 AND (a.x, a.y, a.z) <> (b.x, b.y, b.z) GROUP BY 1, 2, 3
@@ -617,7 +647,7 @@ def voxel_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def surface_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(structure.normals(B.cloud_pair(spark, sf_dir)[0], 10), 3)
+    return rounded(structure.normals(B.events_cloud(spark, sf_dir), 10), 3)
 
 
 @query()

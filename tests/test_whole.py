@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from cairn.operators import gates
-from cairn.plans.queries import QUERIES
+from cairn.plans.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,29 @@ def test_fronts_equal_peeling(spark):
 def test_every_failing_run_has_a_front(spark, small):
     runs = QUERIES["triage"](spark, small).select("run")
     assert {r["run"] for r in QUERIES["pareto_fronts"](spark, small).collect()} == {r["run"] for r in runs.collect()}
+
+
+def test_bounds_come_from_the_whole_source(spark, small):
+    kept = {r["pid"] for r in QUERIES["crop_around_whole"](spark, small).collect()}
+    assert kept > {r["pid"] for r in QUERIES["crop_around"](spark, small).collect()}
+
+
+@pytest.mark.parametrize("name", ["nearest_neighbours_k", "cloud_stats", "outlier_removal", "mean_map_entropy"])
+def test_single_clouds_are_whole(spark, small, name):
+    """Brute force: the self join of the part's SQL over all events."""
+    part = "src AS (SELECT * FROM cloud WHERE cloud_id = 'click')"
+    assert part in ORACLES[name]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
+    want = c.sql(ORACLES[name].replace(part, "src AS (SELECT * FROM cloud)")).df()
+    got = QUERIES[f"{name}_whole"](spark, small).toPandas()[list(want.columns)]
+    keys = [k for k in ("pid", "rank") if k in want]
+    if keys:
+        got, want = got.sort_values(keys), want.sort_values(keys)
+    assert len(got) == len(want)
+    for column in want:
+        assert got[column].tolist() == pytest.approx(want[column].tolist(), abs=1.1e-4 if name == "mean_map_entropy" else 2e-6)
+
+
+def test_every_event_has_a_normal(spark, small, tables):
+    assert {r["pid"] for r in QUERIES["surface_normals"](spark, small).select("pid").collect()} == {r[0] for r in tables("event_id", "events")}
