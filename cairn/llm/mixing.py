@@ -6,27 +6,29 @@ after any number of slots a source is less than one block from its share. Weight
 schedule repeats, and one period of it (a bounded table) places every block of any length of input: a block's slot
 follows from its number alone. Sources that run out leave their slots empty and the others keep their proportions.
 
-Only built-in functions: the period is folded by one aggregate over its slots, block numbers come from counts of small hash
-buckets and places within them, so that no source is ever in one task.
+Only built-in functions over rows: with equal weights a slot follows from the place of the source's name; given weights (the
+caller's, on the driver) make one period there. Block numbers come from counts of small hash buckets and places within
+them, so that no source is ever in one task. There may be any number of sources.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import heapq
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.llm.common import table, written
 
-#: Stands for a null source; slots of a period; characters of a block; rows of a bucket about; sources at most; seed of the order within a source.
-NO_SOURCE = "\0"
-PERIOD, BLOCK_CHARS, BUCKET_ROWS, MOST_SOURCES, SEED = 1_000, 65_536, 4_096, 1_000, "mix"
+#: Slots of a period, and for each source at least; characters of a block; rows of a bucket about; rows that are broadcast at most; seed of the order within a source.
+PERIOD, SLOTS, BLOCK_CHARS, BUCKET_ROWS, BROADCAST_ROWS, SEED = 1_000, 10, 65_536, 4_096, 100_000, "mix"
 
 
 def whole_parts(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
     """Parts of a period, at least one each, that sum to it: largest remainders get what rounding leaves."""
-    if not weights or len(weights) > min(period, MOST_SOURCES) or min(weights.values()) <= 0:
-        raise ValueError(f"weights must be positive, for 1 to {min(period, MOST_SOURCES)} sources")
+    if not weights or len(weights) > period or min(weights.values()) <= 0:
+        raise ValueError(f"weights must be positive, for 1 to {period} sources")
     total, spare = sum(weights.values()), period - len(weights)
     exact = {s: spare * w / total for s, w in weights.items()}
     parts = {s: 1 + int(x) for s, x in exact.items()}
@@ -40,21 +42,28 @@ def schedule(spark: SparkSession, parts: dict[str | None, int]) -> DataFrame:
 
     Of equal deadlines the source that comes first by name goes first. part is the source's blocks a period.
     """
-    names, period = sorted(parts, key=lambda s: (s is None, s)), sum(parts.values())
-    q = F.array(*[F.lit(parts[s]) for s in names])
-
-    def due(k: Column, w: Column) -> Column:
-        return F.floor(((k + 1) * period + w - 1) / w).cast("int")
-
-    def step(state: Column, t: Column) -> Column:
-        ready = F.transform(q, lambda w, i: F.when((F.get(state["done"], i) < w) & (F.floor(F.get(state["done"], i) * period / w) <= t), F.struct(due(F.get(state["done"], i), w).alias("d"), i.alias("i"))))
-        best = F.array_min(F.filter(ready, lambda x: x.isNotNull()))["i"]
-        return F.struct(F.transform(state["done"], lambda n, i: n + F.when(i == best, 1).otherwise(0)).alias("done"), F.concat(state["out"], F.array(F.struct(t.alias("slot"), best.alias("i"), F.get(state["done"], best).alias("k")))).alias("out"))
-
-    start = F.struct(F.transform(q, lambda w: F.lit(0)).alias("done"), F.array().cast("array<struct<slot:int,i:int,k:int>>").alias("out"))
-    table_ = spark.range(1).select(F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step)["out"]).alias("x")).select("x.*")
-    named = table_.withColumn("source", F.get(F.array(*[F.lit(s).cast("string") for s in names]), F.col("i"))).withColumn("part", F.get(q, F.col("i")))
-    return named.select("source", "part", "k", F.floor(F.col("k") * period / F.col("part")).alias("release"), due(F.col("k"), F.col("part")).cast("long").alias("deadline"), F.col("slot").cast("long").alias("slot"))
+    names, period = sorted(parts, key=lambda s: (s is None, s or "")), sum(parts.values())
+    waiting, ready, out = [(0, i, 0) for i in range(len(names))], [], []
+    for slot in range(period):  # parts sum to the period, so some block is always ready
+        while waiting and waiting[0][0] <= slot:
+            release, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * period // parts[names[i]]), i, k, release))
+        deadline, i, k, release = heapq.heappop(ready)
+        part = parts[names[i]]
+        out.append((names[i], part, k, release, deadline, slot))
+        if k + 1 < part:
+            heapq.heappush(waiting, ((k + 1) * period // part, i, k + 1))
+    return spark.createDataFrame(out, "source string, part int, k int, release long, deadline long, slot long")
+
+
+def places(sources: DataFrame) -> DataFrame:
+    """(__of, __i) of distinct sources (__source): place by name from 0, null last; by ranges of names."""
+    order = [F.col("__source").isNull(), F.col("__source")]
+    ranged = written(sources.select("__source").repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "sources")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    starts = ranged.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return ranged.withColumn("__own", own).join(F.broadcast(starts), "__p").select(F.col("__source").alias("__of"), (F.col("__start") + F.col("__own")).alias("__i"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -69,29 +78,36 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id:
     # hash order: unrelated to how the table was written, the same on every run and engine
     spread = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).cast("binary"))
     rows = docs.withColumn("mix_order", spread).withColumn("__chars", F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("long")).withColumn("__source", F.col(f"`{source}`").cast("string"))
-    count = rows.groupBy("__source").count()
-    known = [r["__source"] for r in count.select("__source").limit(MOST_SOURCES + 1).collect()]
+    sources = written(rows.groupBy("__source").count(), "sources")
+    n, known = sources.agg(F.sum("count"), F.count("*")).first()
     if not known:
         return rows.select(*docs.columns, "mix_order", *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot")])
-    parts = whole_parts(weights or {s: 1.0 for s in known}, PERIOD if weights else len(known))
-    if missing := [s for s in known if s not in parts]:
-        raise ValueError(f"sources without a weight: {missing[:10]}")
-    period = sum(parts.values())
-    n = count.agg(F.sum("count")).first()[0]
+    if weights:
+        parts = whole_parts(weights, max(PERIOD, SLOTS * len(weights)))
+        period = sum(parts.values())
+        turn = spark.createDataFrame(list(parts.items()), "__of string, __turn int")
+        if missing := [r[0] for r in sources.join(turn, F.col("__source").eqNullSafe(F.col("__of")), "left_anti").select("__source").limit(10).collect()]:
+            raise ValueError(f"sources without a weight: {missing}")
+    else:
+        period = known
+        turn = places(sources).withColumnRenamed("__i", "__turn")
     digits = max(1, min(8, len(f"{max(1, n // BUCKET_ROWS):x}")))  # a bucket: rows whose hash starts alike
     rows = rows.withColumn("__bucket", F.substring("mix_order", 1, digits))
     sizes = written(rows.groupBy("__source", "__bucket").agg(F.sum("__chars").alias("chars")), "mix")
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__source", "__bucket", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("__before"))
+    # __turn: the source's place with equal weights, its part of the period with others
+    starts = starts.join(F.broadcast(turn) if max(known, len(weights or ())) <= BROADCAST_ROWS else turn, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
     within = Window.partitionBy("__source", "__bucket").orderBy("mix_order", F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__within", F.coalesce(F.sum("__chars").over(within), F.lit(0)))
     placed = placed.join(starts.withColumnsRenamed({"__source": "__s", "__bucket": "__b"}), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     placed = placed.withColumn("mix_block", F.floor((F.col("__before") + F.col("__within")) / block_chars).cast("long"))
+    if not weights:
+        release = F.col("mix_block") * period
+        return placed.select(*docs.columns, "mix_order", "mix_block", release.alias("mix_release"), (release + period).alias("mix_deadline"), (release + F.col("__turn")).alias("mix_slot"))
     one = schedule(spark, parts).withColumnsRenamed({"source": "__of", "k": "__k"})
-    part = F.element_at(F.map_from_arrays(F.array(*[F.lit(NO_SOURCE if s is None else s) for s in parts]), F.array(*[F.lit(x) for x in parts.values()])), F.coalesce("__source", F.lit(NO_SOURCE)))
-    placed = placed.withColumn("__part", part)
-    timed = placed.join(F.broadcast(one), F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__k") == F.pmod("mix_block", "__part")))
-    rounds = F.floor(F.col("mix_block") / F.col("__part")) * period
+    timed = placed.join(F.broadcast(one) if period <= BROADCAST_ROWS else one, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__k") == F.pmod("mix_block", "__turn")))
+    rounds = F.floor(F.col("mix_block") / F.col("__turn")) * period
     return timed.select(*docs.columns, "mix_order", "mix_block", (rounds + F.col("release")).alias("mix_release"), (rounds + F.col("deadline")).alias("mix_deadline"), (rounds + F.col("slot")).alias("mix_slot"))
 
 
@@ -101,6 +117,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_release").alias("release"), F.col("mix_deadline").alias("deadline"), F.col("mix_slot").alias("slot"))
 
 
+def op6_mixing_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block, release, deadline and slot of every document by unequal weights: of the sources by name, 1, 2, 3, 4, 1 ..."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    names = sorted((r[0] for r in docs.select("source").distinct().collect()), key=lambda s: (s is None, s or ""))  # the caller's list of weights
+    mixed = mix(docs, {s: 1.0 + i % 4 for i, s in enumerate(names)})
+    return mixed.select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_release").alias("release"), F.col("mix_deadline").alias("deadline"), F.col("mix_slot").alias("slot"))
+
+
 #: DuckDB: with equal weights the schedule is a round of the sources by name; block numbers from running lengths.
 ORACLE = """
 WITH s AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)
@@ -111,5 +135,5 @@ SELECT doc_id, d.source, block::BIGINT AS block, (block * n)::BIGINT AS release,
 FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 """
 
-QUERIES = {"op6_mixing": op6_mixing}
+QUERIES = {"op6_mixing": op6_mixing, "op6_mixing_weighted": op6_mixing_weighted}
 ORACLES = {"op6_mixing": ORACLE}

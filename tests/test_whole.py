@@ -7,6 +7,7 @@ import random
 import duckdb
 import pytest
 
+from cairn.llm import mixing
 from cairn.operators import gates
 from cairn.plans.queries import ORACLES, QUERIES
 
@@ -109,3 +110,23 @@ def test_single_clouds_are_whole(spark, small, name):
 
 def test_every_event_has_a_normal(spark, small, tables):
     assert {r["pid"] for r in QUERIES["surface_normals"](spark, small).select("pid").collect()} == {r[0] for r in tables("event_id", "events")}
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    """Host-like sources: more than a thousand, one of them null."""
+    names = [f"h{i:04d}" for i in range(1_200)] + [None]
+    docs = spark.createDataFrame([(2 * i + j, s, "x" * 60) for i, s in enumerate(names) for j in range(2)], "doc_id long, source string, text string")
+    even = mixing.mix(docs, block_chars=50).collect()
+    assert sorted(r["mix_slot"] for r in even) == list(range(2 * len(names)))
+    assert all(r["mix_slot"] % len(names) == names.index(r["source"]) for r in even)
+    weights = {s: 1.0 + i % 4 for i, s in enumerate(names)}
+    parts = mixing.whole_parts(weights, mixing.SLOTS * len(names))
+    assert len(set(parts.values())) >= 4
+    slots = {(r["source"], r["k"]): r for r in mixing.schedule(spark, parts).collect()}
+    assert len(slots) == sum(parts.values())
+    mixed = mixing.mix(docs, weights, block_chars=50).collect()
+    assert len(mixed) == 2 * len(names)
+    for r in mixed:
+        want = slots[r["source"], r["mix_block"]]
+        assert (r["mix_release"], r["mix_deadline"], r["mix_slot"]) == (want["release"], want["deadline"], want["slot"])
+        assert r["mix_release"] <= r["mix_slot"] < r["mix_deadline"]
