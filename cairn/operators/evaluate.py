@@ -8,13 +8,21 @@ from pyspark.sql.window import Window
 
 from cairn.functions.geometry import ratio
 from cairn.operators.points import nearest, voxel_downsample
+from cairn.plans.ranking import quantiles
 
 THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 1.0)
 
 
 def summary(distances: DataFrame, d: str = "d", by: list[str] | None = None) -> DataFrame:
     """Mean, median, largest, smallest and population standard deviation."""
-    return distances.groupBy(*(by or [])).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.median(d).alias("median"), F.max(d).alias("most"), F.min(d).alias("least"), F.stddev_pop(d).alias("std"))
+    by = by or []
+    out = distances.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.max(d).alias("most"), F.min(d).alias("least"), F.stddev_pop(d).alias("std"))
+    median = quantiles(distances, d, [0.5], by).select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("p")[0].alias("median"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    out = out.join(median, same, "left") if by else out.crossJoin(median)  # one row each
+    return out.select(*by, "n", "mean", "median", "most", "least", "std")
 
 
 def exceedance(distances: DataFrame, threshold: float, d: str = "d") -> DataFrame:

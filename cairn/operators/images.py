@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.ranking import quantiles
+
 
 def psnr(pairs: DataFrame, by: list[str], most: float = 1.0) -> DataFrame:
     """Peak signal-to-noise ratio of paired values a and b; infinite for equal images."""
@@ -15,4 +17,6 @@ def psnr(pairs: DataFrame, by: list[str], most: float = 1.0) -> DataFrame:
 def finite_summary(scores: DataFrame, value: str = "psnr") -> DataFrame:
     """Mean, median and bounds of the finite values, nulls if there are none."""
     v = F.when(F.abs(F.col(value)) < float("inf"), F.col(value))
-    return scores.agg(F.count("*").alias("images"), F.count(v).alias("finite"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"))
+    out = scores.agg(F.count("*").alias("images"), F.count(v).alias("finite"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+    median = quantiles(scores.select(v.alias("v")), "v", [0.5]).select(F.col("p")[0].alias("median"))
+    return out.crossJoin(median).select("images", "finite", "mean", "median", "least", "most")  # one row each

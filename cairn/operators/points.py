@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.geometry import AXES, affine, cell, determinant, distance, norm, sigmoid
+from cairn.plans.ranking import quantiles
 from cairn.plans.storage import written
 
 #: Cells of a coordinate around a point that hold its nearest neighbour if it is no farther than one cell.
@@ -68,8 +69,7 @@ def info(cloud: DataFrame, by: list[str] | None = None) -> DataFrame:
 def axis_summary(cloud: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Of each axis: bounds, extent, low, middle and high percentile, robust extent; points outside the robust box."""
     long = cloud.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in AXES])).alias("a")).select("a.*")
-    cut = F.percentile("v", F.array(F.lit(low), F.lit(0.5), F.lit(high)))
-    out = long.groupBy("axis").agg(F.min("v").alias("least"), F.max("v").alias("most"), cut.alias("p"))
+    out = long.groupBy("axis").agg(F.min("v").alias("least"), F.max("v").alias("most")).join(quantiles(long, "v", [low, 0.5, high], ["axis"]), "axis", "left")
     out = out.select("axis", "least", "most", (F.col("most") - F.col("least")).alias("extent"), *[F.col("p")[k].alias(n) for k, n in enumerate(("p_low", "p_mid", "p_high"))])
     out = out.withColumn("robust_extent", F.col("p_high") - F.col("p_low"))
     wide = out.groupBy().agg(*[F.max(F.when(F.col("axis") == c, F.col(p))).alias(f"{c}_{p}") for c in AXES for p in ("p_low", "p_high")])
@@ -185,7 +185,9 @@ def within(source: DataFrame, target: DataFrame, radius: float, most: int | None
 
 def spacing(cloud: DataFrame) -> DataFrame:
     """Volume, density, and how far points lie from their nearest neighbour."""
-    d = nearest(cloud, cloud, apart=True).agg(F.avg("d").alias("mean_d"), F.median("d").alias("median_d"), F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.stddev_pop("d").alias("std_d"))
+    near = nearest(cloud, cloud, apart=True)
+    d = near.agg(F.avg("d").alias("mean_d"), F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.stddev_pop("d").alias("std_d"))
+    d = d.crossJoin(quantiles(near, "d", [0.5]).select(F.col("p")[0].alias("median_d"))).select("mean_d", "median_d", "min_d", "max_d", "std_d")  # one row each
     sides = [F.max(c) - F.min(c) for c in AXES]
     volume = F.when((sides[0] > 0) & (sides[1] > 0) & (sides[2] > 0), sides[0] * sides[1] * sides[2]).otherwise(0.0)
     size = cloud.agg(F.count("*").alias("n"), volume.alias("volume"))

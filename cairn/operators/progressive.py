@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.geometry import AXES, norm
 from cairn.operators.points import voxel_downsample
-from cairn.plans.ranking import ranked
+from cairn.plans.ranking import quantiles, ranked
 
 #: Fixed value: the multiplier that scatters cell numbers.
 SCATTER = 2_654_435_761
@@ -44,8 +44,8 @@ def distance_shells(cloud: DataFrame, first: int, size: int) -> DataFrame:
     first, shells in turn), then the rest shell by shell."""
     center = cloud.agg(*[F.avg(c).alias(f"m{c}") for c in AXES])
     far = cloud.crossJoin(F.broadcast(center)).select("pid", norm(*[F.col(c) - F.col(f"m{c}") for c in AXES]).alias("r"))  # one row
-    cuts = far.agg(F.percentile("r", [k / SHELLS for k in range(1, SHELLS)]).alias("c")).first()["c"] or []
-    shell = sum((F.when(F.col("r") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    cuts = quantiles(far, "r", [k / SHELLS for k in range(1, SHELLS)]).first()["p"]
+    shell = sum((F.when(F.col("r") >= c, 1).otherwise(0) for c in cuts if c is not None), F.lit(0))
     own = ranked(far.withColumn("shell", shell), "r", ["pid"], ["shell"], "own")
     n = {r["shell"]: r["count"] for r in own.groupBy("shell").count().collect()}
     quota, left = dict.fromkeys(n, 0), min(first, sum(n.values()))

@@ -8,17 +8,45 @@ from pyspark.sql.window import Window
 
 from cairn.plans.storage import written
 
-RANGES = 256
+
+def ranges(df: DataFrame, *order: str) -> DataFrame:
+    """df as a table with the number __r of each row's range by all of `order` together: many equal keys are cut too."""
+    return written(df.repartitionByRange(*order).withColumn("__r", F.spark_partition_id()), "ranges")
 
 
 def ranked(df: DataFrame, order: str, ties: list[str], by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """df with the place (from 0) of each row by `order` (a number), then `ties`, within `by` groups of any size."""
     by = by or []
-    df = written(df, "ranked")  # cuts, counts and ranks must see the same rows
-    cuts = df.select(F.percentile_approx(F.col(order).cast("double"), [k / RANGES for k in range(1, RANGES)], 10_000).alias("c")).first()["c"] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    ranged = df.withColumn("__r", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(order).cast("double"))), F.lit(0)))
+    ranged = ranges(df, order, *ties)
     before = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy(*by, "__r").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = Window.partitionBy(*by, "__r").orderBy(order, *ties)
     return ranged.withColumn("__w", F.row_number().over(within) - 1).join(F.broadcast(sizes), [*by, "__r"]).withColumn(name, F.col("__before") + F.col("__w")).select(*df.columns, name)
+
+
+def quantiles(df: DataFrame, value: str, at: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by ..., p): exact quantiles of the values that are not null, interpolated as F.percentile does; without `by` one row.
+
+    Distinct values are counted, and only the counts of their ranges and the wanted places go on: no task holds all values.
+    """
+    by = by or []
+    counts = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count("*").alias("__n"))
+    ranged = ranges(counts, "__v")
+    group = Window.partitionBy(*by)
+    sizes = ranged.groupBy(*by, "__r").agg(F.sum("__n").alias("__size"))
+    sizes = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__r").alias("__s"), F.sum("__size").over(group).alias("__total"), (F.sum("__size").over(group.orderBy("__r")) - F.col("__size")).alias("__before"))
+    same = F.col("__r") == F.col("__s")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    within = F.sum("__n").over(Window.partitionBy(*by, "__r").orderBy("__v"))
+    placed = ranged.withColumn("__end", within).join(sizes, same).withColumn("__end", F.col("__end") + F.col("__before"))
+
+    def held(place):
+        return F.max(F.when((F.col("__end") - F.col("__n") <= place) & (place < F.col("__end")), F.col("__v")))
+
+    parts = []
+    for q in at:
+        place = F.lit(float(q)) * (F.col("__total") - 1)
+        low, high, part = held(F.floor(place)), held(F.ceil(place)), F.max(place - F.floor(place))
+        parts.append(F.when(low == high, low).otherwise(low * (1 - part) + high * part))
+    return placed.groupBy(*by).agg(F.array(*parts).alias("p"))

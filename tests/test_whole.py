@@ -6,9 +6,11 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import mixing
 from cairn.operators import gates
+from cairn.plans import ranking
 from cairn.plans.queries import ORACLES, QUERIES
 
 
@@ -130,3 +132,25 @@ def test_mixing_takes_any_number_of_sources(spark):
         want = slots[r["source"], r["mix_block"]]
         assert (r["mix_release"], r["mix_deadline"], r["mix_slot"]) == (want["release"], want["deadline"], want["slot"])
         assert r["mix_release"] <= r["mix_slot"] < r["mix_deadline"]
+
+
+def test_a_hot_key_is_cut_into_ranges(spark):
+    hot = spark.range(40_000).select(F.lit(7).alias("key"), F.col("id").alias("pid"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in ranking.ranges(hot, "key", "pid").groupBy("__r").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 20_000
+    assert ranking.ranked(hot, "key", ["pid"]).filter("rank <> pid").count() == 0
+
+
+def test_quantiles_equal_percentile(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([float(rng.randint(0, 5)), rng.gauss(0, 3), None])) for g in ("a", "b", None) for _ in range(rng.randint(90, 120))]
+    df, at = spark.createDataFrame(rows, "g string, v double"), [0.0, 0.01, 1 / 3, 0.5, 0.99, 1.0]
+    for by in (["g"], []):
+        got = {tuple(r)[:-1]: r["p"] for r in ranking.quantiles(df, "v", at, by).collect()}
+        want = {tuple(r)[:-1]: r["p"] for r in df.groupBy(*by).agg(F.percentile("v", at).alias("p")).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert ranking.quantiles(df.limit(0), "v", at).first()["p"] == [None] * len(at)
