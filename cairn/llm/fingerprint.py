@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import WORD_SPACE, table
+from cairn.llm.common import WORD_SPACE, table, written
 
-#: Words of a shingle; bins, a power of two; bits that are kept of a bin; the most ranges that neighbours are sought in.
-WORDS, BINS, BITS, RANGES = 5, 128, 4, 1_000
+#: Words of a shingle; bins, a power of two; bits that are kept of a bin; ids of a range in which neighbours are sought.
+WORDS, BINS, BITS, RANGE_ROWS = 5, 128, 4, 1_000_000
 _CHOICE = random.Random(29)
 #: Bin i's walk: step t leads to bin (FACTOR[i] * t + OFFSET[i]) mod BINS; with an odd factor it meets every bin once.
 FACTOR = [_CHOICE.randrange(1, BINS, 2) for _ in range(BINS)]
@@ -32,10 +32,11 @@ def _constants(values: list[int]) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with column `out`: BINS hexadecimal digits, or nothing for a text without words (or null).
 
-    Equal texts have equal fingerprints; letter case and white space don't matter. Repeated rows stay.
+    Equal texts have equal fingerprints; letter case and white space don't matter. Repeated rows stay; an input column named
+    out is replaced, and so are columns named __h, __s, __f and __b.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
-    names = [c for c in df.columns if c != out]
+    names = [c for c in df.columns if c not in (out, "__h", "__s", "__f", "__b")]
+    kept = names_of(names)
     words = F.filter(F.split(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), f"[{WORD_SPACE}]+"), lambda w: w != "")
     hashed = df.select(*kept, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
     h, n = F.col("__h"), F.size("__h")
@@ -71,35 +72,61 @@ def likeness(one: str, two: str) -> Column:
     return F.when((F.col(one) == "") | (F.col(two) == ""), (F.col(one) == F.col(two)).cast("double")).otherwise(near)
 
 
-def with_next(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """df with fields (column to new name) of the next row by descending key; after the last comes the first.
+def _following(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(__key, __content, next_key, next_content) of distinct rows: the row after each by descending key, then content; after
+    the last comes the first, null keys come last.
 
-    Ranges of about equal size are ordered apart; each is lent the first row of the range below. Rows with a null key come
-    last; rows of equal key follow in some order.
+    Only these two longs move. They are cut into ranges sized from their number, and each range is lent the first row of
+    the range after it.
     """
-    ranges = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.select(F.percentile_approx(key, [k / ranges for k in range(1, ranges)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
-    bounds = _constants(sorted(set(cuts))) if cuts else F.array().cast("array<bigint>")
-    ranged = df.withColumn("__range", F.coalesce(F.size(F.filter(bounds, lambda x: x <= F.col(key))), F.lit(0)))
-    heads = ranged.groupBy("__range").agg(F.max(key).alias("__head"))
-    above = Window.orderBy(F.desc("__range"))  # as many rows as ranges
-    lent = heads.select(F.col("__head"), F.coalesce(F.lag("__range").over(above), F.min("__range").over(Window.partitionBy())).alias("__to"))
-    first = df.join(F.broadcast(lent), df[key] == F.col("__head")).groupBy("__to").agg(*[F.first(c).alias(c) for c in df.columns])
-    both = ranged.withColumn("__lent", F.lit(0)).unionByName(first.withColumnRenamed("__to", "__range").withColumn("__lent", F.lit(1)))
-    order = Window.partitionBy("__range").orderBy("__lent", F.desc_nulls_last(key))
-    return both.select("*", *[F.lead(c).over(order).alias(new) for c, new in fields.items()]).filter("__lent = 0").drop("__range", "__lent")
+    spark = rows.sparkSession
+    falling = F.struct(F.col("__key").isNull().alias("none"), F.bitwise_not("__key").alias("key"), F.col("__content").alias("content"))  # ~key falls as key rises, without overflow
+    slim = written(rows.select(F.col(key).alias("__key"), F.col(content).alias("__content")).distinct().select("__key", "__content", falling.alias("__order")), "order")
+    n = slim.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    ranged = written(slim.repartitionByRange(parts, "__order").withColumn("__range", F.spark_partition_id()), "ranges")
+    heads = ranged.groupBy("__range").agg(F.min("__order").alias("head"))
+    above = Window.orderBy("__range")  # as many rows as ranges
+    lent = heads.select(F.col("__range").alias("__of"), F.coalesce(F.lead("head").over(above), F.min("head").over(Window.partitionBy())).alias("__lent"))
+    own = F.lead("__order").over(Window.partitionBy("__range").orderBy("__order"))
+    after = ranged.withColumn("__own", own).join(lent, F.col("__range") == F.col("__of")).withColumn("__next", F.coalesce("__own", "__lent"))
+    return after.select("__key", "__content", F.when(~F.col("__next.none"), F.bitwise_not("__next.key")).alias("next_key"), F.col("__next.content").alias("next_content"))
+
+
+def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row of docs.
+
+    The edited text has the last third of the code points (rounded down) replaced by the first as many of the next document
+    by descending doc_id (after the last: the first). Null texts count as empty. Rows with a null id come last. Of rows with
+    the same id those of different texts follow each other in a fixed order, and repeated rows, which come back repeated,
+    are one document in it. A document alone is its own next. doc_id must be a long; other columns are not read.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    rows = rows.withColumn("__hash", F.xxhash64("__text"))
+    # each text is hashed once; what goes on is small and carries no text
+    light = written(with_fingerprint(rows.withColumn("__chars", F.length("__text").cast("long")), "__text", "fingerprint").drop("__text"), "fingerprints")
+    links = _following(light, "__id", "__hash")
+    ends = light.select("__id", "__hash", "__chars", "fingerprint")
+    one = ends.dropDuplicates(["__id", "__hash"])
+    links = links.join(one, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__content") == F.col("__hash"))).drop("__id", "__hash")
+    next_one = one.select(F.col("__id").alias("__nid"), F.col("__hash").alias("__nhash"), F.col("fingerprint").alias("next_fingerprint"))
+    links = links.join(next_one, F.col("next_key").eqNullSafe(F.col("__nid")) & (F.col("next_content") == F.col("__nhash"))).drop("__nid", "__nhash")
+    links = written(links.withColumn("__moved", F.floor(F.col("__chars") / 3).cast("int")), "links")
+    # the beginnings of the next texts, as long as they are needed, then the texts themselves
+    beginnings = rows if light.count() == links.count() else rows.dropDuplicates(["__id", "__hash"])
+    lent = links.join(beginnings, F.col("next_key").eqNullSafe(F.col("__id")) & (F.col("next_content") == F.col("__hash")))
+    lent = lent.select("__key", "__content", "__chars", "__moved", "fingerprint", "next_fingerprint", F.substring("__text", F.lit(1), F.col("__moved")).alias("__lent"))
+    both = rows.join(lent, F.col("__id").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__content")))
+    kept = F.substring("__text", F.lit(1), (F.col("__chars") - F.col("__moved")).cast("int"))
+    edited = both.select(F.col("__id").alias("doc_id"), F.col("__chars").alias("n_chars"), "fingerprint", "next_fingerprint", F.concat(kept, "__lent").alias("__edited"))
+    edited = edited.withColumn("edited_sha256", F.sha2(F.encode("__edited", "UTF-8"), 256))
+    done = with_fingerprint(edited, "__edited", "edited_fingerprint")
+    return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and how near they are to it and to the next text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(with_fingerprint(docs, "text", "fingerprint"), "doc_id", {"text": "next_text", "fingerprint": "next_fingerprint"})
-    n = F.length("text").cast("long")
-    moved = F.floor(F.length("text") / 3).cast("int")
-    edited = pairs.select("doc_id", n.alias("n_chars"), "fingerprint", "next_fingerprint", F.concat(F.substring("text", F.lit(1), F.length("text") - moved), F.substring("next_text", F.lit(1), moved)).alias("edited"))
-    edited = edited.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", "edited")
-    done = with_fingerprint(edited, "edited", "edited_fingerprint")
-    return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    return edited_likeness(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op7_fingerprint": op7_fingerprint}

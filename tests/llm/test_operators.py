@@ -252,11 +252,65 @@ def test_fingerprints_are_steady_and_near_the_truth(spark):
     assert near[0] == 1 and abs(near[1] - 196 / 596) < 0.15 and near[2] < 0.15 and near[3:] == [1, 0]
 
 
-def test_next_rows_wrap_around(spark):
-    for n in (1, 2, 50):
-        rows = spark.createDataFrame([(k * k * 7, f"t{k}") for k in range(n)], "k long, v string")
-        got = {r["k"]: r["w"] for r in fingerprint.with_next(rows, "k", {"v": "w"}).collect()}
-        assert got == {k * k * 7: f"t{(k - 1) % n}" for k in range(n)}
+def test_edited_texts_equal_brute_force(spark):
+    """Ends are replaced by the next document's beginning, with null ids, null and empty texts, repeats and one id twice."""
+    rng = random.Random(12)
+    words = [f"w{k}é" for k in range(300)]
+    rows = [(k * k * 7 - 90, " ".join(rng.choices(words, k=rng.randrange(0, 90)))) for k in range(40)]
+    rows += [(5_000, None), (5_001, ""), (None, "a row without id 😀😀😀"), (70_000, "q w e r t y " * 20_000), (80_000, "short")]
+    got = {r["doc_id"]: r for r in fingerprint.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit(1))).collect()}
+    assert len(got) == len(rows)
+    order = sorted((r for r in rows if r[0] is not None), reverse=True) + [r for r in rows if r[0] is None]
+    prints = {}
+    edits = []
+    for k, (i, t) in enumerate(order):
+        text, after = t or "", order[(k + 1) % len(order)][1] or ""
+        moved = len(text) // 3
+        edits.append((i, text[: len(text) - moved] + after[:moved], after))
+        prints[i] = text
+    plain = spark.createDataFrame([(i, prints[i], e, a) for i, e, a in edits], "doc_id long, text string, edited string, after string")
+    for c in ("text", "edited", "after"):
+        plain = fingerprint.with_fingerprint(plain, c, f"fp_{c}")
+    plain = plain.select("*", fingerprint.likeness("fp_text", "fp_edited").alias("near_edited"), fingerprint.likeness("fp_text", "fp_after").alias("near_next"))
+    for r in plain.collect():
+        g = got[r["doc_id"]]
+        assert g["n_chars"] == len(r["text"]) and g["edited_sha256"] == hashlib.sha256(r["edited"].encode()).hexdigest()
+        assert (g["fingerprint"], g["edited_fingerprint"], g["near_edited"], g["near_next"]) == (r["fp_text"], r["fp_edited"], r["near_edited"], r["near_next"])
+    again = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (None, None), (None, None)], "doc_id long, text string")
+    out = [tuple(r) for r in fingerprint.edited_likeness(again).collect()]
+    assert len(out) == 5 and len(set(out)) == 3
+    assert fingerprint.edited_likeness(again.limit(0)).count() == 0
+    alone = fingerprint.edited_likeness(spark.createDataFrame([(3, "a b c")], "doc_id long, text string")).first()
+    assert alone["near_next"] == 1 and alone["edited_sha256"] == hashlib.sha256(b"a b a").hexdigest()
+
+
+def test_fingerprints_of_one_permutation_by_hand(spark):
+    """Bins, borrowing and digits as plain loops over the shingle hashes."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(50)], k=n)) for n in (1, 4, 5, 6, 20, 300)]
+    rows = fingerprint.with_fingerprint(docs_of(spark, texts), "text", "fp").orderBy("doc_id").collect()
+    for text, row in zip(texts, rows, strict=True):
+        words = text.split()
+        frame = spark.createDataFrame([tuple(words[k : k + 5]) for k in range(len(words) - 4)] or [tuple(words)], [f"c{k}" for k in range(min(5, len(words)))])
+        if len(words) >= 5:
+            hashes = [r[0] & (2**63 - 1) for r in frame.select(F.xxhash64(*[F.xxhash64(c) for c in frame.columns])).collect()]
+        else:
+            seed = F.lit(7).cast("long")
+            for c in frame.columns:
+                seed = F.xxhash64(seed, F.xxhash64(c))
+            hashes = [frame.select(seed).first()[0] & (2**63 - 1)]
+        bins = {}
+        for h in hashes:
+            b = h >> (63 - 7)
+            bins[b] = min(bins.get(b, h), h)
+        digits = ""
+        for i in range(fingerprint.BINS):
+            at, step = i, 0
+            while at not in bins:
+                at = (fingerprint.FACTOR[i] * step + fingerprint.OFFSET[i]) % fingerprint.BINS
+                step += 1
+            digits += f"{bins[at] & 15:x}"
+        assert row["fp"] == digits
 
 
 def test_toxicity_on_held_out_rows(spark):
