@@ -23,6 +23,8 @@ from cairn.llm.common import table, written
 
 #: Slots of a period, and for each source at least; characters of a block; rows of a bucket about; rows that are broadcast at most; seed of the order within a source.
 PERIOD, SLOTS, BLOCK_CHARS, BUCKET_ROWS, BROADCAST_ROWS, SEED = 1_000, 10, 65_536, 4_096, 100_000, "mix"
+#: The columns that mixing adds.
+ADDED = ("mix_order", "mix_block", "mix_release", "mix_deadline", "mix_slot")
 
 
 def whole_parts(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -72,16 +74,22 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id:
     weights: of each source, relative; None: all alike. Weights are of characters; a row belongs to the block in which it
     begins. Within a source rows follow in the order mix_order (a hash of the id, then the id), so runs agree. Every row is kept: sources without a
     weight raise an error, a null source is a source of its own, null texts count as empty, repeated rows get places of
-    their own, and rows with a null id come first in their bucket.
+    their own, and rows with a null id come first in their bucket. Input columns with the names of the new ones are replaced;
+    all others come back as they are, whatever their names.
     """
     spark = docs.sparkSession
+    names = [c for c in docs.columns if c not in ADDED]
+    plain = {c: f"c{k}" for k, c in enumerate(names)}  # so that no input column's name is one of those below
+    docs = docs.select(*[F.col(f"`{c}`").alias(plain[c]) for c in names])
+    doc_id, source, text = plain[doc_id], plain[source], plain[text]
+    back = [F.col(plain[c]).alias(c) for c in names]
     # hash order: unrelated to how the table was written, the same on every run and engine
     spread = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).cast("binary"))
     rows = docs.withColumn("mix_order", spread).withColumn("__chars", F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("long")).withColumn("__source", F.col(f"`{source}`").cast("string"))
     sources = written(rows.groupBy("__source").count(), "sources")
     n, known = sources.agg(F.sum("count"), F.count("*")).first()
     if not known:
-        return rows.select(*docs.columns, "mix_order", *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot")])
+        return rows.select(*back, "mix_order", *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot")])
     if weights:
         parts = whole_parts(weights, max(PERIOD, SLOTS * len(weights)))
         period = sum(parts.values())
@@ -104,36 +112,66 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, doc_id:
     placed = placed.withColumn("mix_block", F.floor((F.col("__before") + F.col("__within")) / block_chars).cast("long"))
     if not weights:
         release = F.col("mix_block") * period
-        return placed.select(*docs.columns, "mix_order", "mix_block", release.alias("mix_release"), (release + period).alias("mix_deadline"), (release + F.col("__turn")).alias("mix_slot"))
+        return placed.select(*back, "mix_order", "mix_block", release.alias("mix_release"), (release + period).alias("mix_deadline"), (release + F.col("__turn")).alias("mix_slot"))
     one = schedule(spark, parts).withColumnsRenamed({"source": "__of", "k": "__k"})
     timed = placed.join(F.broadcast(one) if period <= BROADCAST_ROWS else one, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__k") == F.pmod("mix_block", "__turn")))
     rounds = F.floor(F.col("mix_block") / F.col("__turn")) * period
-    return timed.select(*docs.columns, "mix_order", "mix_block", (rounds + F.col("release")).alias("mix_release"), (rounds + F.col("deadline")).alias("mix_deadline"), (rounds + F.col("slot")).alias("mix_slot"))
+    return timed.select(*back, "mix_order", "mix_block", (rounds + F.col("release")).alias("mix_release"), (rounds + F.col("deadline")).alias("mix_deadline"), (rounds + F.col("slot")).alias("mix_slot"))
+
+
+def stated_weights(docs: DataFrame, source: str = "source") -> dict[str | None, float]:
+    """The weights of the query and of the pipeline: of the sources by name (null last), 1, 2, 3, 4, 1 ...; a caller's own otherwise."""
+    names = sorted((r[0] for r in docs.select(F.col(source).cast("string")).distinct().collect()), key=lambda s: (s is None, s or ""))
+    return {s: 1.0 + i % 4 for i, s in enumerate(names)}
+
+
+def _digest(mixed: DataFrame) -> DataFrame:
+    return mixed.select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_release").alias("release"), F.col("mix_deadline").alias("deadline"), F.col("mix_slot").alias("slot"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block, release, deadline and slot of every document, all sources alike."""
+    """Block, release, deadline and slot of every document by the stated, unequal weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_release").alias("release"), F.col("mix_deadline").alias("deadline"), F.col("mix_slot").alias("slot"))
+    return _digest(mix(docs, stated_weights(docs)))
 
 
-def op6_mixing_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block, release, deadline and slot of every document by unequal weights: of the sources by name, 1, 2, 3, 4, 1 ..."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    names = sorted((r[0] for r in docs.select("source").distinct().collect()), key=lambda s: (s is None, s or ""))  # the caller's list of weights
-    mixed = mix(docs, {s: 1.0 + i % 4 for i, s in enumerate(names)})
-    return mixed.select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_release").alias("release"), F.col("mix_deadline").alias("deadline"), F.col("mix_slot").alias("slot"))
+def op6_mixing_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block, release, deadline and slot of every document, all sources alike: a round by name."""
+    return _digest(mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
-#: DuckDB: with equal weights the schedule is a round of the sources by name; block numbers from running lengths.
-ORACLE = """
-WITH s AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)
+_PLACED = """s AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)
 ), d AS (
-  SELECT doc_id, source, coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY source ORDER BY md5('mix' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536 AS block FROM documents
+  SELECT doc_id, source, coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY source ORDER BY md5('mix' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 65536 AS block FROM documents
+)"""
+
+#: DuckDB: parts of the period by largest remainders; earliest deadline first, slot by slot, by recursion (k has the blocks
+#: that each source has sent; of equal deadlines the first by name goes, as deadline * n + i is least); then each block's round.
+ORACLE = f"""
+WITH RECURSIVE {_PLACED}, e AS (
+  SELECT *, greatest(1000, 10 * n) AS period, (greatest(1000, 10 * n) - n) * (1 + i % 4)::DOUBLE / sum((1 + i % 4)::DOUBLE) OVER () AS exact FROM s
+), p AS (
+  SELECT source, i, n, period, 1 + floor(exact)::BIGINT + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, coalesce(source, 'None')) <= period - sum(1 + floor(exact)::BIGINT) OVER () THEN 1 ELSE 0 END AS part FROM e
+), c AS (SELECT list(part ORDER BY i) AS parts, max(n) AS n, max(period) AS period FROM p
+), r AS (
+  SELECT -1::BIGINT AS slot, list_transform(parts, lambda x: 0::BIGINT) AS k, NULL::BIGINT AS best FROM c
+  UNION ALL
+  SELECT slot + 1, list_transform(k, lambda x, j: CASE WHEN best IS NOT NULL AND j = best % n + 1 THEN x + 1 ELSE x END), best FROM (
+    SELECT slot, k, n, list_min(list_transform(range(1, n + 1), lambda j: CASE WHEN k[j] < parts[j] AND k[j] * period // parts[j] <= slot + 1 THEN ((k[j] + 1) * period + parts[j] - 1) // parts[j] * n + j - 1 END)) AS best
+    FROM r, c WHERE slot + 1 < period)
+), t AS (
+  SELECT slot, best % c.n AS i, k[best % c.n + 1] - 1 AS k, best // c.n AS deadline FROM r, c WHERE best IS NOT NULL
 )
+SELECT doc_id, d.source, block::BIGINT AS block, (block // part * period + k * period // part)::BIGINT AS release, (block // part * period + deadline)::BIGINT AS deadline, (block // part * period + slot)::BIGINT AS slot
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN t ON t.i = p.i AND t.k = block % part
+"""
+
+#: DuckDB: with equal weights the schedule is a round of the sources by name.
+ORACLE_EQUAL = f"""
+WITH {_PLACED}
 SELECT doc_id, d.source, block::BIGINT AS block, (block * n)::BIGINT AS release, ((block + 1) * n)::BIGINT AS deadline, (block * n + i)::BIGINT AS slot
 FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 """
 
-QUERIES = {"op6_mixing": op6_mixing, "op6_mixing_weighted": op6_mixing_weighted}
-ORACLES = {"op6_mixing": ORACLE}
+QUERIES = {"op6_mixing": op6_mixing, "op6_mixing_equal": op6_mixing_equal}
+ORACLES = {"op6_mixing": ORACLE, "op6_mixing_equal": ORACLE_EQUAL}

@@ -219,8 +219,10 @@ def test_site_quality_shrinks_small_sites(spark, small):
 def test_mixing_keeps_every_source_within_a_block(spark, weights):
     rng = random.Random(9)
     rows = [(i, rng.choice("ab" "c") if i % 11 else None, "x" * rng.randint(0, 90), "clash") for i in range(900)] + [(5, "a", "x" * 10, "clash")] * 2
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot string").drop("mix_slot")
-    out = mixing.mix(docs, weights, block_chars=100).toPandas()
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot string").withColumns({c: F.lit(c) for c in ("slot", "k", "release", "part", "source.name", "__source", "__of", "__bucket")})
+    out = mixing.mix(docs, weights, block_chars=100)
+    assert sorted(out.columns) == sorted({*docs.columns, *mixing.ADDED}) and out.filter("slot = 'slot' AND k = 'k' AND __of = '__of'").count() == len(rows)
+    out = out.toPandas()
     assert len(out) == len(rows) and sorted(out["doc_id"]) == sorted(r[0] for r in rows)
     given = weights or {"a": 1, "b": 1, "c": 1, None: 1}
     parts = mixing.whole_parts(given, mixing.PERIOD if weights else 4)
@@ -239,6 +241,24 @@ def test_mixing_keeps_every_source_within_a_block(spark, weights):
         mixing.mix(docs, {"a": 1.0})
 
 
+def test_mixing_query_keeps_the_stated_weights(spark, small):
+    """While all sources last, each has had its share of the slots but for less than one block."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "text")
+    weights = mixing.stated_weights(docs)
+    assert len(set(weights.values())) == 4
+    parts = mixing.whole_parts(weights, max(mixing.PERIOD, mixing.SLOTS * len(weights)))
+    out = mixing.mix(docs, weights, block_chars=400).toPandas()
+    first = out.drop_duplicates(["source", "mix_block"])
+    assert (first["mix_slot"].is_unique) and ((out["mix_release"] <= out["mix_slot"]) & (out["mix_slot"] < out["mix_deadline"])).all()
+    period = sum(parts.values())
+    for source, own in first.groupby("source"):
+        blocks = own.sort_values("mix_block")
+        for block, slot in zip(blocks["mix_block"], blocks["mix_slot"], strict=True):
+            before, after = block - slot * parts[source] / period, block + 1 - (slot + 1) * parts[source] / period
+            assert -1 < before < 1 and -1 < after < 1
+    assert mixing.op6_mixing(spark, small).select("slot").distinct().count() > 1
+
+
 def test_fingerprints_are_steady_and_near_the_truth(spark):
     rng = random.Random(7)
     base = [f"w{k}" for k in range(400)]

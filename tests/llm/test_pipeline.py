@@ -57,7 +57,8 @@ def test_pipeline_equals_plain_rules(spark, small):
     assert all(r["text"] == survivors[i] for i, r in private.items() if not re.search(r"@|\+[0-9]|[0-9]\.[0-9]|[0-9][ -]?[0-9]", survivors[i]))
 
     assert sorted(map(tuple, steps["mixing"])) == sorted(map(tuple, steps["pii"]))
-    slots = {r["doc_id"]: (r["mix_slot"], r["mix_order"]) for r in mixing.mix(spark.createDataFrame(steps["pii"], docs.schema)).collect()}
+    before = spark.createDataFrame(steps["pii"], docs.schema)
+    slots = {r["doc_id"]: (r["mix_slot"], r["mix_order"]) for r in mixing.mix(before, mixing.stated_weights(before)).collect()}
     files = sorted(corpus_order(spark, small, steps["pii"], docs.schema))
     assert [slots[i] for _, i in files] == sorted(slots.values())
 
@@ -71,3 +72,13 @@ def corpus_order(spark, small, rows, schema):
     """(place in the mixed output, doc_id)."""
     out = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, schema), small)
     return [(r["at"], r["doc_id"]) for r in out.select(F.monotonically_increasing_id().alias("at"), "doc_id").collect()]
+
+
+def test_run_gives_what_its_stages_give(spark, small):
+    """The registered query itself, on the smallest tables."""
+    docs = common.table(spark, small, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, small), name)
+    out = corpus_pipeline.run(spark, small)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["n_tokens"], r["text"]) for r in out.collect()) == sorted((r["doc_id"], r["n_tokens"], r["text"]) for r in docs.collect())
