@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import bounded, release, remainder, table
 
-#: Hash buckets, a power of two; labelled rows that a model is fitted on at most; characters that are scored at once.
-BUCKETS, TRAIN_ROWS, BLOCK_CHARS = 1 << 16, 20_000, 200_000
+#: Hash buckets, a power of two; labelled rows that a model is fitted on at most; languages that a model holds at most;
+#: characters that are scored at once; n-grams of a text beyond which more of them say less.
+BUCKETS, TRAIN_ROWS, LANGUAGES, BLOCK_CHARS, EVIDENCE = 1 << 16, 20_000, 1_000, 200_000, 200.0
 UNDETERMINED = "und"
 
 
@@ -36,40 +37,59 @@ def _plain_letters() -> np.ndarray:
 _LETTERS: list[np.ndarray] = []
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the 1-, 2- and 3-grams that start at each character (rows: orders), the texts' starts, whether each has letters."""
+def _buckets(padded: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the 1-, 2- and 3-grams that start at each character (rows: orders), and which characters are letters."""
     if not _LETTERS:
         _LETTERS.append(_plain_letters())
-    codes = np.frombuffer("".join(f" {x}  " for x in texts).encode("utf-32-le", "replace"), np.uint32)
-    starts = np.cumsum([0, *(len(x) + 3 for x in texts)])[:-1]
+    codes = np.frombuffer(padded.encode("utf-32-le", "replace"), np.uint32)
     far = np.flatnonzero(codes > 65535)
-    plain = _LETTERS[0][np.minimum(codes, 65535)]
-    plain[far] = [ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in codes[far].tolist()]
-    has_letters = np.add.reduceat(plain != 32, starts) > 0 if len(texts) else np.zeros(0, bool)
-    first, second, third = plain, np.append(plain[1:], 32), np.append(plain[2:], [32, 32])[: len(plain)]
+    first = _LETTERS[0][np.minimum(codes, 65535)]
+    first[far] = [ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in codes[far].tolist()]
+    second, third = np.append(first[1:], 32), np.append(first[2:], [32, 32])[: len(first)]
     one = first * np.uint32(0x9E3779B1)
     two = (one ^ (second + np.uint32(0x7F4A7C15))) * np.uint32(0x85EBCA77)
     three = (two ^ (third + np.uint32(0x165667B1))) * np.uint32(0xC2B2AE3D)
     mixed = [(x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) for x in (one, two, three)]
-    return np.stack([(x >> np.uint32(16)) & np.uint32(BUCKETS - 1) for x in mixed]), starts, has_letters
+    return np.stack([(x >> np.uint32(16)) & np.uint32(BUCKETS - 1) for x in mixed]), first != 32
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about BLOCK_CHARS characters; a longer text is a block of its own."""
-    at, chars = 0, 0
-    for i, x in enumerate(texts):
-        if chars and chars + len(x) > BLOCK_CHARS:
-            yield at, i
-            at, chars = i, 0
-        chars += len(x)
-    if texts:
-        yield at, len(texts)
+#: What stands around a text: n-grams of its last letters end in spaces, and none reaches the next text.
+_BEFORE, _AFTER = " ", "   "
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts, about BLOCK_CHARS characters at a time: buckets (orders, places), the places where texts start, the
+    positions of those texts, and which of these pieces hold letters. A longer text comes in several pieces, whose n-grams
+    together are the text's."""
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > BLOCK_CHARS:
+            padded = f"{_BEFORE}{texts[at]}{_AFTER[:2]}"
+            for k in range(0, len(padded) - 2, BLOCK_CHARS):
+                buckets, letters = _buckets(padded[k : k + BLOCK_CHARS + 2])
+                yield buckets[:, :-2], np.zeros(1, np.int64), np.array([at]), np.array([letters[:-2].any()])
+            at += 1
+            continue
+        end, chars = at, 0
+        while end < len(texts) and len(texts[end]) <= BLOCK_CHARS and (end == at or chars + len(texts[end]) <= BLOCK_CHARS):
+            chars += len(texts[end])
+            end += 1
+        sizes = np.array([len(x) + 2 for x in texts[at:end]])
+        buckets, letters = _buckets("".join(f"{_BEFORE}{x}{_AFTER}" for x in texts[at:end]))
+        # the last two places of each text are there for the n-grams before them only
+        ends = np.cumsum(sizes + 2)
+        inside = np.ones(buckets.shape[1], bool)
+        inside[np.concatenate([ends - 1, ends - 2, ends - 3])] = False
+        starts = np.cumsum(sizes - 1) - (sizes - 1)
+        yield buckets[:, inside], starts, np.arange(at, end), np.logical_or.reduceat(letters[inside], starts)
+        at = end
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = TRAIN_ROWS) -> LanguageModel:
     """A model of the languages in `lang`, from at most about `most` rows; rows without text or language count for nothing.
 
-    Without a usable row the model has no language and every text is undetermined.
+    Without a usable row the model has no language and every text is undetermined. Repeated rows count each. Tasks count,
+    one group a language adds up, and the driver gets one row of counts a language: LANGUAGES of them at most, else an error.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     sample = bounded(rows, "key", most).select("text", "lang").repartition(8)  # counts of few tasks reach the driver
@@ -84,12 +104,22 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             for name, texts in by.items():
                 total = counts.setdefault(name, np.zeros(BUCKETS, np.int64))
                 docs[name] = docs.get(name, 0) + len(texts)
-                for a, b in _blocks(texts):
-                    total += np.bincount(_grams(texts[a:b])[0].ravel(), minlength=BUCKETS)
+                for buckets, *_ in _pieces(texts):
+                    total += np.bincount(buckets.ravel(), minlength=BUCKETS)
         columns = [pa.array(list(counts), pa.string()), pa.array([docs[x] for x in counts], pa.int64()), pa.array([x.tobytes() for x in counts.values()], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["lang", "docs", "counts"])
 
-    found = sample.mapInArrow(count, "lang string, docs long, counts binary").collect()
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS, np.int64)
+        for x in group.column("counts").to_pylist():
+            total += np.frombuffer(x, np.int64)
+        docs = sum(group.column("docs").to_pylist())
+        return pa.table({"lang": group.column("lang").slice(0, 1), "docs": pa.array([docs], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kinds = "lang string, docs long, counts binary"
+    found = sample.mapInArrow(count, kinds).groupBy("lang").applyInArrow(add, kinds).limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: the matrix of the model is made for so many")
     languages = sorted({r["lang"] for r in found})
     counts, docs = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
     for r in found:
@@ -101,26 +131,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 
 def score(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Language and probability of each text. The evidence of a long text counts as that of 200 n-grams."""
-    names, scores = [], []
-    for a, b in _blocks(texts):
-        buckets, starts, has_letters = _grams(texts[a:b])
-        if not model.languages:
-            names += [UNDETERMINED] * (b - a)
-            scores.append(np.zeros(b - a))
-            continue
-        sums = np.zeros((b - a, len(model.languages)))
+    """Language and probability of each text, from all its n-grams.
+
+    N-grams of one text depend on each other, so its log-odds are divided by 1 + n / EVIDENCE (n n-grams): that smooths the
+    probability and leaves the order of the languages as it is.
+    """
+    if not model.languages:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    sums, n, has_letters = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    for buckets, starts, rows, letters in _pieces(texts):
         for order in buckets:
-            sums += np.add.reduceat(model.log_prob[order], starts, axis=0)
-        n = 3.0 * np.diff(np.append(starts, buckets.shape[1]))
-        logits = sums * np.minimum(1, 200 / n)[:, None] + model.log_prior
-        logits -= logits.max(axis=1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=1, keepdims=True)
-        best = prob.argmax(axis=1)
-        names += [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best, has_letters, strict=True)]
-        scores.append(np.where(has_letters, prob.max(axis=1), 0.0))
-    return names, np.concatenate(scores) if scores else np.zeros(0)
+            sums[rows] += np.add.reduceat(model.log_prob[order], starts, axis=0, dtype=np.float64)
+        n[rows] += 3.0 * np.diff(np.append(starts, buckets.shape[1]))
+        has_letters[rows] |= letters
+    logits = (sums + model.log_prior) / (1 + n / EVIDENCE)[:, None]
+    logits -= logits.max(axis=1, keepdims=True) if len(texts) else 0
+    prob = np.exp(logits)
+    prob /= prob.sum(axis=1, keepdims=True)
+    names = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(prob.argmax(axis=1), has_letters, strict=True)]
+    return names, np.where(has_letters, prob.max(axis=1), 0.0)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

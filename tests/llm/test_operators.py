@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -164,8 +165,60 @@ def test_language_on_held_out_rows_and_odd_texts(spark, small):
     assert all(0 <= r["score"] <= 1 for r in odd)
     none = language.fit(docs.limit(0))
     assert language.predict(docs.limit(2), none).select("lang_pred").distinct().collect() == [T.Row(lang_pred="und")]
-    batch = ["the thing was there", "der die das und nicht"]
-    assert language.score(model, batch)[0] == [language.score(model, [x])[0][0] for x in batch]
+    batch = ["the thing was there", "der die das und nicht", "", "a", "ab", "x. "]
+    names, scores = language.score(model, batch)
+    for x, name, value in zip(batch, names, scores, strict=True):
+        assert language.score(model, [x])[0] == [name] and abs(language.score(model, [x])[1][0] - value) < 1e-12
+
+
+def plain_grams(text):
+    """Counts of the 1-, 2- and 3-grams of a text, each character in turn; letters in lower case, all else a space."""
+    plain = [c.lower()[0] if c.isalpha() else " " for c in f" {text}"] + [" ", " "]
+    return [("".join(plain[i : i + n])) for i in range(len(plain) - 2) for n in (1, 2, 3)]
+
+
+def test_language_scores_equal_plain_naive_bayes(spark, monkeypatch):
+    """Fit and scores by hand: repeated rows, nulls, texts cut into pieces; one language twice as common."""
+    monkeypatch.setattr(language, "BLOCK_CHARS", 50)
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(["the", "of", "and", "öl", "ß", "x1", "😀"], k=rng.choice([2, 9, 60]))), "en") for k in range(20)]
+    rows += [(k, " ".join(rng.choices(["der", "und", "öl", "ist", "-"], k=rng.choice([2, 9, 60]))), "de") for k in range(20, 30)]
+    rows += [rows[0], rows[0], (40, None, "en"), (41, "of no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    bucket = {}
+
+    def of(gram):
+        if gram not in bucket:  # the hash is the operator's own; everything else is done anew
+            bucket[gram] = int(language._buckets(gram + "  ")[0][len(gram) - 1][0])
+        return bucket[gram]
+
+    counts = {"en": np.zeros(language.BUCKETS), "de": np.zeros(language.BUCKETS)}
+    number = {"en": 0, "de": 0}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            number[lang] += 1
+            for g in plain_grams(text):
+                counts[lang][of(g)] += 1
+    assert model.languages == ["de", "en"]
+    log = {x: np.log((counts[x] + 0.5) / (counts[x] + 0.5).sum()) for x in counts}
+    got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    for i, text, _ in rows:
+        grams = plain_grams(text or "")
+        odds = {x: (sum(log[x][of(g)] for g in grams) + np.log(number[x] / sum(number.values()))) / (1 + len(grams) / language.EVIDENCE) for x in log}
+        best = max(odds, key=odds.get)
+        if any(c.isalpha() for c in text or ""):
+            assert got[i]["lang_pred"] == best and abs(got[i]["score"] - 1 / (1 + np.exp(min(odds.values()) - odds[best]))) < 1e-4
+        else:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+
+
+def test_language_query_holds_out_and_repeats(spark, small):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    out = language.op3_language(spark, small).collect()
+    assert len(out) == len(docs) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
+    held = [r for r in out if r["held_out"] and r["lang_pred"] != "und" and docs[r["doc_id"]]["lang"]]
+    assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) / len(held) > 0.95
 
 
 def base_spans(text):
