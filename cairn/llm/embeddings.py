@@ -8,11 +8,14 @@ verified by their cosine in double precision.
 
 No pair leaves a cell. A linked pair counts in the first block whose budget it meets, in one cell there, so that link
 counts are sums; what a cell returns is, for each of its vectors, a number of links and one link that keeps its component
-together. Large cells are worked as pairs of tiles. Equal vectors are one weighted vector all along.
+together. Large cells are worked as pairs of tiles. Equal vectors are one weighted vector all along. Vectors of each length are
+joined among themselves, all in the same jobs.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,7 @@ BROADCAST_CELLS = 200_000
 THRESHOLD = 0.95
 
 
+@lru_cache(maxsize=8)
 def rotation(dims: int, seed: int = 11) -> np.ndarray:
     """A fixed random rotation, so that no block holds more of the distances than its share, whatever the input's axes."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
@@ -48,34 +52,37 @@ def _units(packed: bytes, kind: str, dims: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _visits(vectors: DataFrame, dims: int, threshold: float, kind: str) -> DataFrame:
-    """(block, cell, id, weight, home, packed): each vector in its own cell and in the later ones its budget reaches."""
+def _visits(vectors: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(dims, block, cell, id, weight, home, packed): each vector in its own cell and in the later ones its budget reaches."""
+    names = ["dims", "block", "cell", "id", "weight", "home", "packed"]
+
+    def of_length(batch: pa.RecordBatch, dims: int):
+        bounds = _bounds(dims)
+        turned = _units(b"".join(batch.column(3).to_pylist()), kind, dims) @ rotation(dims)
+        for block, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            reach = np.sqrt((2 - 2 * threshold) * (b - a) / dims + SLACK)
+            side, own = 2 * reach, turned[:, a : min(b, a + GRID)]
+            home = np.floor(own / side).astype(np.int64)
+            wide = int(np.ceil(1 / side)) + 2  # coordinates lie between -1 and 1
+            for step in np.ndindex(*(3,) * own.shape[1]):
+                shift = np.array(step) - 1
+                if tuple(shift) < (0,) * len(shift):
+                    continue  # the other vector visits this one's cell
+                # distance of the vector from the shifted cell, along each coordinate
+                away = np.where(shift > 0, (home + 1) * side - own, np.where(shift < 0, own - home * side, 0.0))
+                near = np.flatnonzero((away**2).sum(axis=1) <= reach**2)
+                cells = (home[near] + shift + wide) @ ((2 * wide + 1) ** np.arange(own.shape[1]))
+                at = pa.array(near)
+                columns = [np.full(len(near), dims, np.int32), np.full(len(near), block, np.int32), cells, batch.column(1).take(at), batch.column(2).take(at), np.full(len(near), not shift.any()), batch.column(3).take(at)]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
     def run(batches):
-        turn, bounds = rotation(dims), _bounds(dims)
         for batch in batches:
-            if not len(batch):
-                continue
-            raw = batch.column(2).to_pylist()
-            turned = _units(b"".join(raw), kind, dims) @ turn
-            for block, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                reach = np.sqrt((2 - 2 * threshold) * (b - a) / dims + SLACK)
-                side, own = 2 * reach, turned[:, a : min(b, a + GRID)]
-                home = np.floor(own / side).astype(np.int64)
-                wide = int(np.ceil(1 / side)) + 2  # coordinates lie between -1 and 1
-                for step in np.ndindex(*(3,) * own.shape[1]):
-                    shift = np.array(step) - 1
-                    if tuple(shift) < (0,) * len(shift):
-                        continue  # the other vector visits this one's cell
-                    # distance of the vector from the shifted cell, along each coordinate
-                    away = np.where(shift > 0, (home + 1) * side - own, np.where(shift < 0, own - home * side, 0.0))
-                    near = np.flatnonzero((away**2).sum(axis=1) <= reach**2)
-                    cells = (home[near] + shift + wide) @ ((2 * wide + 1) ** np.arange(own.shape[1]))
-                    at = pa.array(near)
-                    columns = [np.full(len(near), block, np.int32), cells, batch.column(0).take(at), batch.column(1).take(at), np.full(len(near), not shift.any()), batch.column(2).take(at)]
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["block", "cell", "id", "weight", "home", "packed"])
-
-    return vectors.mapInArrow(run, "block int, cell long, id long, weight long, home boolean, packed binary")
+            lengths = batch.column(0).to_numpy()
+            for dims in np.unique(lengths).tolist():
+                yield from of_length(batch.filter(pa.array(lengths == dims)), dims)
+
+    return vectors.mapInArrow(run, "dims int, block int, cell long, id long, weight long, home boolean, packed binary")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,13 +98,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = least
 
 
-def _cell_links(dims: int, threshold: float, kind: str):
-    bounds, turn = _bounds(dims), rotation(dims)
-    budgets = [(2 - 2 * threshold) * (b - a) / dims + SLACK for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
+def _cell_links(threshold: float, kind: str):
     def links(group: pa.Table) -> pa.Table:
         """Links of a tile: for each vector its weight of links, and one link to its component's smallest id."""
-        block, i, j = (group.column(c)[0].as_py() for c in ("block", "i", "j"))
+        dims, block, i, j = (group.column(c)[0].as_py() for c in ("dims", "block", "i", "j"))
+        bounds, turn = _bounds(dims), rotation(dims)
+        budgets = [(2 - 2 * threshold) * (b - a) / dims + SLACK for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         ids, weight, home, tile = (group.column(c).to_numpy() for c in ("id", "weight", "home", "t"))
         unit = _units(b"".join(group.column("packed").to_pylist()), kind, dims)
         turned = unit @ turn
@@ -162,40 +168,40 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """(vec_id, n_links, component_id, kept) of each row: links are pairs of rows with cosine >= threshold.
 
     A vector that is null, empty, zero or holds null or non-finite components links with nothing and is its own
-    component, as is one whose length differs from the most usual one's. Equal vectors link with each other. Repeated
-    rows count as further vectors; they share the id, so n_links counts them. Other columns are not read.
+    component. Vectors link only with those of their own length. Equal vectors link with each other. Repeated
+    rows count as further vectors; they share the id, so n_links counts them. A row with a null id links with nothing. Other
+    columns are not read.
     """
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
     fit = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("ok", F.coalesce(fit, F.lit(False)))
-    usual = rows.filter("ok").groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if usual is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = usual["dims"]
-    sound = rows.filter(F.col("ok") & (F.size("v") == dims) & F.col("vec_id").isNotNull())
-    keyed = sound.select("vec_id", F.xxhash64("v").alias("h"), F.xxhash64("v", F.lit(1)).alias("g"), "v")
+    rows = rows.withColumn("ok", F.coalesce(fit, F.lit(False)) & F.col("vec_id").isNotNull())
+    # -0.0 and 0.0 are equal, as hashes see it too
+    keyed = rows.filter("ok").select("vec_id", F.xxhash64("v").alias("h"), F.xxhash64("v", F.lit(1)).alias("g"), "v")
     # equal vectors, told by 128 bits of hash, go on as one
     kind = "<f4" if dict(vectors.dtypes)[embedding] == "array<float>" else "<f8"
     groups = keyed.groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v"))
 
     def packed(batches):
         for batch in batches:
-            raw = batch.column(4).flatten().to_numpy().astype(kind).reshape(-1, dims)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.tobytes() for x in raw], pa.binary())], ["h", "g", "id", "weight", "packed"])
-
-    classes = written(groups.mapInArrow(packed, "h long, g long, id long, weight long, packed binary"), "vectors")
-    visits = _visits(classes.select("id", "weight", "packed"), dims, threshold, kind)
-    sizes = visits.groupBy("block", "cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 AND any")
-    sizes = written(sizes.select("block", "cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "cells")
-    dealt = visits.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes, ["block", "cell"])
+            lists = batch.column(4)
+            ends = lists.offsets.to_numpy()
+            raw = lists.values.to_numpy().astype(kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.diff(ends), pa.int32()), pa.array([raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["h", "g", "id", "weight", "dims", "packed"])
+
+    classes = written(groups.mapInArrow(packed, "h long, g long, id long, weight long, dims int, packed binary"), "vectors")
+    visits = _visits(classes.select("dims", "id", "weight", "packed"), threshold, kind)
+    cell = ["dims", "block", "cell"]
+    sizes = visits.groupBy(*cell).agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 AND any")
+    sizes = written(sizes.select(*cell, F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "cells")
+    dealt = visits.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes, cell)
     dealt = dealt.withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = dealt.select("block", "cell", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "weight", "home", "packed")
-    found = written(tiled.groupBy("block", "cell", "i", "j").applyInArrow(_cell_links(dims, threshold, kind), "id long, links long, least long"), "links")
+    tiled = dealt.select(*cell, F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "weight", "home", "packed")
+    found = written(tiled.groupBy(*cell, "i", "j").applyInArrow(_cell_links(threshold, kind), "id long, links long, least long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
     named = classes.select("h", "g", "id", "weight").join(counts, "id", "left").join(components, F.col("id") == F.col("node"), "left")
     named = named.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    one = rows.select("vec_id", F.when(F.col("ok") & (F.size("v") == dims), F.xxhash64("v")).alias("h"), F.when(F.col("ok") & (F.size("v") == dims), F.xxhash64("v", F.lit(1))).alias("g"))
+    one = rows.select("vec_id", F.when(F.col("ok"), F.xxhash64("v")).alias("h"), F.when(F.col("ok"), F.xxhash64("v", F.lit(1))).alias("g"))
     out = one.join(named, ["h", "g"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

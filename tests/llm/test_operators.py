@@ -460,6 +460,25 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, tile):
     assert all(r["kept"] == (k == r["component_id"]) for k, r in got.items())
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Each length is joined within itself; an id twice, a null id and a hot length beside rare ones."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for dims, n in ((2, 40), (3, 25), (5, 25), (1, 4)):
+        base = rng.standard_normal((max(1, n // 5), dims))
+        rows += [(base[rng.integers(len(base))] + rng.standard_normal(dims) * 0.1).tolist() for _ in range(n)]
+    rows += [rows[0], [x * 3 for x in rows[1]], rows[45]]
+    unit = [np.array(r) / np.linalg.norm(r) for r in rows]
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if len(rows[a]) == len(rows[b]) and float(unit[a] @ unit[b]) >= 0.95]
+    degree = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    df = spark.createDataFrame([*enumerate(rows), (None, rows[0])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    assert [got[k]["n_links"] for k in range(len(rows))] == degree.tolist() and got[None]["n_links"] == 0
+    assert [got[k]["component_id"] for k in range(len(rows))] == components_of(len(rows), links)
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, [1.0, 1.0, 0.0]), (5, [1.0, 1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(few).collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
 def test_embeddings_take_empty_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(df).count() == 0
