@@ -9,9 +9,11 @@ symmetric difference is (a + b) / 9 at most.
    not empty. So they agree, shingle by shingle, in one of these at least, and the group's signature is the key that
    brings them together. A set within 4/5 of its band's upper end emits to the next band too. Sets under 20 shingles, and the
    few with too many empty groups, emit their a // 5 + 1 smallest hashes instead (no set of the other kind needs those).
-   Keys travel packed, a few large binary rows for each task, and a task emits the keys of equal sets once.
-2. First links. All sets of a key are compared with its smallest one only: the coordinate bound drops pairs, the rest are
-   verified on whole sets. Connected sets need nothing more.
+   Keys travel packed, a few large binary rows for each task, and a task emits the keys of equal sets once. A key that a
+   task meets in more than STAR sets is settled there: its sets hang on the smallest of them, and only that one goes on, so
+   that no key of many sets ever meets in one task.
+2. First links. All sets of a key are compared with its smallest one only (or with their task's, which is compared with
+   that): the coordinate bound drops pairs, the rest are verified on whole sets. Connected sets need nothing more.
 3. The rest. Keys that still hold sets of several components go to a packed R-tree over the group counts (large keys
    in pairs of tiles): nodes bound the overlap by summed minima with their largest counts and are skipped where all of
    theirs are connected already. Surviving pairs are verified, and components formed again.
@@ -38,10 +40,13 @@ WORDS = 5
 GROUPS, COARSE, SMALL, BAND = 512, 64, 20, 16
 #: Beyond so many shingles counts may not fit a byte, and sizes alone decide what is verified.
 LARGE = 60_000
-#: Words that a worker remembers, keys that a task packs at once, sets of one key that are compared in one tile, sets
-#: that are verified against one, keys of the same sets that are worked at once, the most rows of a table of ids that is
-#: broadcast, and rows of a batch of texts.
-MEMO_WORDS, PACK_KEYS, TILE, FAN, ALIKE, BROADCAST_ROWS, BATCH_ROWS = 200_000, 500_000, 2_000, 64, 16, 500_000, 500
+#: Words that a worker remembers, keys that a task packs at once, sets of a key in one pack from which it is settled there,
+#: sets of one key that are compared in one tile, sets that are verified against one, keys of the same sets that are worked
+#: at once (and as many rows as a tile at most), the most rows of a table of ids that is broadcast, and rows of a batch of texts.
+MEMO_WORDS, PACK_KEYS, STAR, TILE, FAN, ALIKE, BROADCAST_ROWS, BATCH_ROWS = 200_000, 500_000, 8, 2_000, 64, 16, 500_000, 500
+#: Characters whose keys and documents meet in one part, and rows of tiles that meet in one slot: the numbers of parts and
+#: slots follow from the input.
+PART_CHARS, SLOT_ROWS = 32_000_000, 20_000
 _U = np.uint64
 _STEP, _MIX_A, _MIX_B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -123,8 +128,20 @@ def keys(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
+def _by_key(key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, sig) in order; of each its key's smallest sig, and how many that key has."""
+    order = np.lexsort((sig, key))
+    key, sig = key[order], sig[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+    key, sig = key[fresh], sig[fresh]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    sizes = np.diff(np.append(starts, len(key)))
+    return key, sig, np.repeat(sig[starts], sizes), np.repeat(sizes, sizes)
+
+
 def _analysed(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows of documents (doc_id, n, sig, point) and of packed keys, each with a part, in one pass over the texts."""
+    """Rows of documents (doc_id, n, sig, point), of packed keys and of packed stars, each with a part, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -132,17 +149,24 @@ def _analysed(docs: DataFrame, parts: int) -> DataFrame:
         owners: list[np.ndarray] = []
         size = dealt = 0
 
-        def pack() -> pa.RecordBatch:
-            nonlocal size
-            all_keys, all_owners = np.concatenate(found), np.concatenate(owners)
-            part = ((all_keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = np.cumsum(np.bincount(part, minlength=parts))
-            both = np.stack([all_keys[order], all_owners[order]])
-            rows = [(k, both[:, a:b].tobytes()) for k, (a, b) in enumerate(zip(np.append(0, ends), ends, strict=False)) if b > a]
+        def pack() -> Iterator[pa.RecordBatch]:
+            nonlocal size, dealt
+            key, sig, pivot, number = _by_key(np.concatenate(found), np.concatenate(owners))
             found.clear(), owners.clear()
             size = 0
-            return _rows(None, None, None, None, [k for k, _ in rows], [x for _, x in rows], len(rows))
+            here = (number > STAR) & (sig != pivot)  # of these the pivot alone goes on
+            stars = np.stack([key[here], pivot[here], sig[here]])
+            cut = [stars[:, k : k + PACK_KEYS // 50] for k in range(0, stars.shape[1], PACK_KEYS // 50)]
+            if cut:
+                part = [(dealt + k) % parts for k in range(len(cut))]
+                dealt += len(cut)
+                yield _rows(None, None, None, None, part, None, [x.tobytes() for x in cut], len(cut))
+            key, sig = key[~here], sig[~here]
+            part = ((key >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)  # in order, as keys are
+            ends = np.cumsum(np.bincount(part, minlength=parts))
+            both = np.stack([key, sig])
+            rows = [(k, both[:, a:b].tobytes()) for k, (a, b) in enumerate(zip(np.append(0, ends), ends, strict=False)) if b > a]
+            yield _rows(None, None, None, None, [k for k, _ in rows], [x for _, x in rows], None, len(rows))
 
         for batch in batches:
             n, sig, points = [], [], []
@@ -157,40 +181,38 @@ def _analysed(docs: DataFrame, parts: int) -> DataFrame:
                     owners.append(np.full(len(found[-1]), sig[-1], np.uint64))
                     size += len(found[-1])
                     if size >= PACK_KEYS:
-                        yield pack()
+                        yield from pack()
             packed = [x.tobytes() for x in points]
             part = (np.arange(dealt, dealt + len(n)) % parts).astype(np.int32)  # documents ride along, evenly
             dealt += len(n)
-            yield _rows(batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(packed, pa.binary()), part, None, len(n))
+            yield _rows(batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(packed, pa.binary()), part, None, None, len(n))
         if size:
-            yield pack()
+            yield from pack()
         _words.clear()
         release()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, point binary, part int, packed binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sig long, point binary, part int, packed binary, stars binary")
 
 
-def _rows(doc_id, n, sig, points, part, packed, count: int) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-    names = ("doc_id", "n", "sig", "point", "part", "packed")
-    columns = [pa.nulls(count, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((doc_id, n, sig, points, part, packed), types, strict=True)]
+def _rows(doc_id, n, sig, points, part, packed, stars, count: int) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+    names = ("doc_id", "n", "sig", "point", "part", "packed", "stars")
+    columns = [pa.nulls(count, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((doc_id, n, sig, points, part, packed, stars), types, strict=True)]
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+def _unpacked(column: pa.ChunkedArray, rows: int) -> list[np.ndarray]:
+    chunks = [np.frombuffer(x, np.uint64).reshape(rows, -1) for x in column.to_pylist() if x is not None]
+    return [np.concatenate([np.empty(0, np.uint64), *(x[k] for x in chunks)]) for k in range(rows)]
+
+
 def _members(group: pa.Table) -> pa.Table:
-    """A part's documents as they are and, of its keys, those of several sets: the key, its smallest set, each other one."""
-    docs = group.filter(group.column("packed").is_null())
-    chunks = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in group.column("packed").to_pylist() if x is not None]
-    key, sig = (np.concatenate([np.empty(0, np.uint64), *(x[k] for x in chunks)]) for k in (0, 1))
-    order = np.lexsort((sig, key))
-    key, sig = key[order], sig[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-    key, sig = key[fresh], sig[fresh]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    pivot = np.repeat(sig[starts], np.diff(np.append(starts, len(key))))
+    """A part's documents as they are and, of its keys, those of several sets: the key, its smallest set, each other one; stars too."""
+    docs = group.filter(group.column("n").is_valid())
+    key, sig, pivot, _ = _by_key(*_unpacked(group.column("packed"), 2))
     several = sig != pivot
-    keys = {"key": key[several].view(np.int64), "pivot": pivot[several].view(np.int64), "sig": sig[several].view(np.int64)}
+    made = [np.concatenate([x, y[several]]) for x, y in zip(_unpacked(group.column("stars"), 3), (key, pivot, sig), strict=True)]
+    keys = {c: x.view(np.int64) for c, x in zip(("key", "pivot", "sig"), made, strict=True)}
     return pa.concat_tables([pa.table(keys), docs.select(["doc_id", "n", "sig", "point"])], promote_options="default").select(["doc_id", "n", "sig", "point", "key", "pivot"])
 
 
@@ -270,19 +292,23 @@ def few_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, starts:
     return a[keep], b[keep]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b of doc_ids) with `linked`: whether their whole sets are 0.8 alike. Sets come from the texts again, for
-    documents in pairs only, and meet in groups of one set and at most FAN others."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b of signatures) with `linked`: whether their whole sets are 0.8 alike. Sets come from the texts again,
+    from one document of each in a pair (an id may have other texts: the signature tells them), and meet in groups of one
+    set and at most FAN others."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans"))
     fans = pairs.join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("fans")).alias("fan"))
-    needs = written(fans.select("a", "fan", F.col("b").alias("need")).union(fans.select("a", "fan", F.col("a").alias("need")).distinct()), "needs")
+    needs = fans.select("a", "fan", F.col("b").alias("need")).union(fans.select("a", "fan", F.col("a").alias("need")).distinct())
+    needs = written(needs.join(classes.select(F.col("sig").alias("need"), "rep"), "need"), "needs")
     small = needs.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(needs) if small else needs, docs["doc_id"] == needs["need"]).select("a", "fan", "need", "text")
+    texts = docs.join(F.broadcast(needs) if small else needs, docs["doc_id"] == needs["rep"]).select("a", "fan", "need", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = pa.array([shingles(x).tobytes() for x in batch.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashes], ["a", "fan", "need", "hashes"])
+            hashes = [shingles(x) for x in batch.column(3).to_pylist()]
+            own = np.array([signature(x) if len(x) else 0 for x in hashes], np.uint64).view(np.int64)
+            rows = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in hashes], pa.binary())], ["a", "fan", "need", "hashes"])
+            yield rows.filter(pa.array(own == batch.column(2).to_numpy()))
         _words.clear()
         release()
 
@@ -299,16 +325,16 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "a long, fan long, need long, hashes binary").groupBy("a", "fan").applyInArrow(compare, "a long, b long, linked boolean")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        return written(_verified(written(pairs, "pairs"), docs), "links")
+        return written(_verified(written(pairs, "pairs"), classes, docs), "links")
 
 
 def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of signatures as pairs of their first documents, without those that sizes or the overlap bound rule out."""
-    x = classes.select(F.col("sig").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    y = classes.select(F.col("sig").alias("y"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    joined = pairs.join(x, "x").join(y, "y").filter("5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b", "na", "nb", "pa", "pb")
+    """Pairs of signatures without those that sizes or the overlap bound rule out."""
+    x = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
+    y = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    joined = pairs.join(x, "a").join(y, "b").filter("5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b", "na", "nb", "pa", "pb")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,14 +347,15 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _tiled_pairs(held: DataFrame) -> DataFrame:
     """Of keys' sets (key, doc, label, n, point), the pairs of different labels that the R-tree's bound lets through."""
-    sizes = held.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("doc").alias("low"))
+    sizes = held.groupBy("key").agg(F.count("*").alias("sets"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("doc").alias("low"))
     # keys of the same documents are worked together, a few at a time, so that a pair comes out few times
-    alike = sizes.groupBy("low", "tiles").agg(F.ceil(F.count("*") / ALIKE).cast("int").alias("parts"))
-    sizes = sizes.join(alike, ["low", "tiles"]).select("key", "tiles", F.xxhash64("low", "tiles", F.pmod("key", "parts")).alias("near"))
+    alike = sizes.groupBy("low", "tiles").agg(F.greatest(F.ceil(F.count("*") / ALIKE), F.ceil(F.sum(F.col("sets") / F.col("tiles")) / TILE)).cast("int").alias("parts"))
+    sizes = written(sizes.join(alike, ["low", "tiles"]).select("key", "sets", "tiles", F.xxhash64("low", "tiles", F.pmod("key", "parts")).alias("near")), "sizes")
+    rows = sizes.agg(F.coalesce(F.sum(F.col("sets") * F.col("tiles")), F.lit(0))).first()[0]
     dealt = held.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     tiled = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("key", "near", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "doc", "label", "n", "point")
-    slots = 8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLOT_ROWS))
     tiled = tiled.withColumn("slot", F.pmod(F.xxhash64("near", "i", "j"), F.lit(slots)))
 
     def join(group: pa.Table) -> pa.Table:
@@ -355,40 +382,44 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     A null or wordless text is empty: 0 shingles, linked with nothing, its own component. Copies share a component; rows
     repeated come back repeated. doc_id must be a long; where it is null, the row keeps its size and component_id is null
-    or that of its copies. Other columns of docs are not read.
+    or that of its copies. An id with several texts is a document for each of them: links of one text are not those of the
+    other. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = source.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
     # one table of both kinds, so that the texts are read and cut into words once
     with arrow_rows(spark, 4 * BATCH_ROWS):
         analysed = written(_analysed(source, parts).groupBy("part").applyInArrow(_members, "doc_id long, n long, sig long, point binary, key long, pivot long"), "keys")
     sets, members = analysed.filter("key IS NULL").select("doc_id", "n", "sig", "point"), analysed.filter("key IS NOT NULL").select("key", "pivot", "sig")
     classes = written(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "classes")
 
-    pairs = members.select(F.col("pivot").alias("x"), F.col("sig").alias("y")).distinct()
-    near = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "sig")
-    first = _checked(_bounded_pairs(pairs, classes.join(near, "sig", "left_semi")), source)
+    pairs = members.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
+    near = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sig")
+    first = _checked(_bounded_pairs(pairs, classes.join(near, "sig", "left_semi")), classes, source)
     links = first.filter("linked").select("a", "b")
     found = written(connected_components(links), "components")
 
     # keys that hold several components
-    labels = classes.join(found, classes["rep"] == found["node"], "left").select("sig", "n", "rep", F.coalesce("component", "rep").alias("label"), "point")
+    labels = classes.join(found, classes["sig"] == found["node"], "left").select("sig", "n", F.coalesce("component", "sig").alias("label"), "point")
     short = labels.select("sig", "label")
     apart = members.join(short.select(F.col("sig").alias("pivot"), F.col("label").alias("of")), "pivot").join(short, "sig").filter("label <> of")
     apart = written(apart.select("key").distinct(), "apart")
     if apart.limit(1).count():
         held = members.join(apart, "key", "left_semi")
-        held = held.select("key", "sig").union(held.select("key", F.col("pivot").alias("sig")).distinct())
+        held = held.select("key", "sig").union(held.select("key", F.col("pivot").alias("sig"))).distinct()
         # of keys with the same sets one is enough
         lists = held.groupBy("key").agg(F.sum(F.shiftright(F.xxhash64("sig"), 12)).alias("h"), F.sum(F.shiftright(F.xxhash64("sig", F.lit(1)), 12)).alias("g"))
         held = held.join(lists.groupBy("h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
         known = first.select("a", "b").union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = _tiled_pairs(held.join(labels, "sig").select("key", F.col("rep").alias("doc"), "label", "n", "point"))
-        again = _checked(more.join(known, ["a", "b"], "left_anti"), source)
+        more = _tiled_pairs(held.join(labels, "sig").select("key", F.col("sig").alias("doc"), "label", "n", "point"))
+        again = _checked(more.join(known, ["a", "b"], "left_anti"), classes, source)
         if again.filter("linked").limit(1).count():
             found = connected_components(links.union(again.filter("linked").select("a", "b")))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("sig", "n", F.coalesce("component", "rep").alias("component_id"))
+    named = written(classes.join(found, classes["sig"] == found["node"], "left").select("sig", "n", "rep", F.coalesce("component", "sig").alias("label")), "named")
+    first_of = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.join(first_of, "label").select("sig", "n", "component_id")
     return sets.join(named, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -96,7 +96,10 @@ def test_tree_finds_what_the_bound_lets_through():
 def test_hot_keys_are_tiled(spark, monkeypatch):
     """A passage that many documents share, and copies of copies, with tiles of a few sets."""
     monkeypatch.setattr(jaccard, "TILE", 5)
+    monkeypatch.setattr(jaccard, "STAR", 2)
     monkeypatch.setattr(jaccard, "FAN", 3)
+    monkeypatch.setattr(jaccard, "PART_CHARS", 2_000)
+    monkeypatch.setattr(jaccard, "SLOT_ROWS", 20)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 10)
     rng = random.Random(4)
     passage = [f"p{k}" for k in range(60)]
@@ -117,6 +120,15 @@ def test_jaccard_takes_empty_tables_repeats_and_other_columns(spark):
     assert sorted(map(tuple, jaccard.jaccard_components(twice).collect())) == [(0, 2, 0), (0, 2, 0), (1, 2, 0)]
 
 
+def test_jaccard_of_one_id_with_two_texts(spark):
+    """Each text of an id is a document of its own: its links are neither lost nor mixed with the other's."""
+    one, two = ([f"{c}{k}" for k in range(60)] for c in "ab")
+    near = lambda words: " ".join([*words[:-1], "z"])
+    rows = [(1, " ".join(one)), (2, near(one)), (2, " ".join(two)), (3, near(two)), (None, near(two)), (None, "alone here")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 56, 1), (2, 56, 1), (2, 56, 2), (3, 56, 2), (None, 56, 2), (None, 1, None)], key=str)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)]
