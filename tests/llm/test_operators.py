@@ -258,10 +258,40 @@ def test_personal_data_equals_plain_search(spark):
     for text, row in zip(texts, rows, strict=True):
         found = [f"{s['kind']}:{s['start']}:{s['end']}" for s in row["pii"]]
         assert [x for x in found if x.split(":")[0] in private.BASE] == base_spans(text or ""), text
-    iban = private.find_private(docs_of(spark, ["my iban GB82 WEST 1234 5698 7654 32.", "GB83 WEST 1234 5698 7654 32", "ssn 123-45-6789", "part 123-45-6789"])).orderBy("doc_id").collect()
-    assert [[s["kind"] for s in r["pii"]] for r in iban] == [["iban"], [], ["ssn"], []]
-    redacted = private.redact(docs_of(spark, ["mail a@b.com or 1.2.3.4!", None, "plain"])).orderBy("doc_id").collect()
-    assert [r["text"] for r in redacted] == ["mail [email] or [ip]!", None, "plain"]
+    iban = private.find_private(docs_of(spark, ["my iban GB82 WEST 1234 5698 7654 32.", "GB83 WEST 1234 5698 7654 32", "ssn 123-45-6789", "part 123-45-6789", 'token = "04dbebab91ab85687d33eeaaf9ac"', "04dbebab91ab85687d33eeaaf9ac"])).orderBy("doc_id").collect()
+    assert [[s["kind"] for s in r["pii"]] for r in iban] == [["iban"], [], ["ssn"], [], ["secret"], []]
+    redacted = private.redact(docs_of(spark, ["mail a@b.com or 1.2.3.4!", None, "plain", "version 1.2.3.4 é", "é😀 call +1 (555) 010-9999 1.2.3.4 and a@b.com."])).orderBy("doc_id").collect()
+    assert [r["text"] for r in redacted] == ["mail [email] or [ip]!", None, "plain", "version 1.2.3.4 é", "é😀 call [phone] and [email]."]
+
+
+def test_scores_follow_words_on_either_side(spark):
+    texts = ["at 1.2.3.4 x", "server 1.2.3.4", "1.2.3.4 is a host", "version 1.2.3.4", "1.2.3.4 (release)", "host " + "x" * 50 + " 1.2.3.4", "server 1.2.3.4 5.6.7.8", "4111 1111 1111 1111", "visa 4111 1111 1111 1111", "serial 4111 1111 1111 1111"]
+    rows = private.find_private(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [[s["score"] for s in r["pii"]] for r in rows] == [[0.6], [0.9], [0.9], [0.3], [0.3], [0.6], [0.9, 0.9], [0.6], [0.9], [0.3]]
+
+
+def test_very_many_spans(spark):
+    """Places and replacements over several blocks of spans; the work is linear, so this ends soon."""
+    n = 20_000
+    texts = ["é a@b.com " * n, "1.2.3.4 " * (2 * private.BLOCK), "a@b.com " * private.BLOCK + "1.2.3.4", "a@b.com"]
+    rows = private.find_private(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [(s["start"], s["end"]) for s in rows[0]["pii"]] == [(10 * k + 2, 10 * k + 9) for k in range(n)]
+    assert [(s["start"], s["end"]) for s in rows[1]["pii"]] == [(8 * k, 8 * k + 7) for k in range(2 * private.BLOCK)]
+    out = [r["text"] for r in private.redact(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert out == ["é [email] " * n, "[ip] " * (2 * private.BLOCK), "[email] " * private.BLOCK + "[ip]", "[email]"]
+
+
+def test_personal_data_query_digests(spark, small):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = private.op4_personal_data(spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = base_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in private.BASE] == [sum(x.startswith(k + ":") for x in found) for k in private.BASE]
+        spans = [x for x in r["spans"].split(",") if x]
+        assert [x for x in spans if x.split(":")[0] in private.BASE] == found and len(spans) == len([x for x in r["scores"].split(",") if x])
+    assert private.find_private(docs_of(spark, ["x"]).limit(0)).count() == 0 and private.redact(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
 def test_site_quality_shrinks_small_sites(spark, small):
