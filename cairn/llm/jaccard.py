@@ -347,7 +347,8 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _tiled_pairs(held: DataFrame) -> DataFrame:
     """Of keys' sets (key, doc, label, n, point), the pairs of different labels that the R-tree's bound lets through."""
-    sizes = held.groupBy("key").agg(F.count("*").alias("sets"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("doc").alias("low"))
+    held = written(held, "held")
+    sizes = written(held.groupBy("key").agg(F.count("*").alias("sets"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("doc").alias("low")), "sets")
     # keys of the same documents are worked together, a few at a time, so that a pair comes out few times
     alike = sizes.groupBy("low", "tiles").agg(F.greatest(F.ceil(F.count("*") / ALIKE), F.ceil(F.sum(F.col("sets") / F.col("tiles")) / TILE)).cast("int").alias("parts"))
     sizes = written(sizes.join(alike, ["low", "tiles"]).select("key", "sets", "tiles", F.xxhash64("low", "tiles", F.pmod("key", "parts")).alias("near")), "sizes")
