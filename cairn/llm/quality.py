@@ -6,7 +6,7 @@ a host's share is shrunk toward the global one and a path's toward its host's, e
 of the shares beyond chance gives (method of moments). A text's score moves its own log-odds by how far its site's
 posterior odds, without the text itself, lie from the global odds.
 
-Everything but the fit of a dozen coefficients is built-in functions: sums by (host, path, salt), then path, then host,
+Texts are read once: their evidence goes on as a table without them. Everything but the fit of a dozen coefficients is built-in functions: sums by (host, path, salt), then path, then host,
 so that a host with a third of all rows is summed in many tasks, and joins of the small site tables back.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded, table, written
+from cairn.llm.common import bounded, remainder, table, written
 
 #: Labelled rows that the classifier is fitted on at most; salts of a site; weight of a site's log-odds beside the
 #: document's own; bounds of a prior's strength in documents.
@@ -103,16 +103,19 @@ def _strength(sites: DataFrame, above: Column) -> float:
     return float(min(STRENGTH[1], max(STRENGTH[0], chance / beyond - 1))) if beyond > 0 else STRENGTH[1]
 
 
-def site_quality(docs: DataFrame, model: QualityModel, host: str = "host", path: str = "path", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with evidence (the text's own probability), site (its path's posterior without it) and quality (both combined).
+def site_quality(docs: DataFrame, model: QualityModel, host: str = "host", path: str = "path", text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """The columns in `keep` (all of docs) with evidence (the text's own probability), site (its path's posterior without it)
+    and quality (both combined).
 
-    A null host or path is a site of its own; a null text counts as empty; repeated rows each count. Probabilities lie
-    between 0 and 1. Input columns of these names are replaced.
+    A null host or path is a site of its own; a null or empty text counts as empty; repeated rows each count. Probabilities
+    lie between 0 and 1. Input columns named evidence, site or quality are replaced, all others come back as they are.
     """
-    kept = [c for c in docs.columns if c not in ("evidence", "site", "quality")]
-    scored = docs.select(*[F.col(f"`{c}`") for c in kept], (1 / (1 + F.exp(-F.greatest(F.least(model.log_odds(F.col(f"`{text}`")), F.lit(12.0)), F.lit(-12.0))))).alias("evidence"))
-    light = scored.select(F.col(f"`{host}`").alias("h"), F.col(f"`{path}`").alias("p"), F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(SALTS)).alias("salt"), "evidence")
-    salted = light.groupBy("h", "p", "salt").agg(F.sum("evidence").alias("good"), F.count("*").alias("n"))
+    kept = [c for c in (keep or docs.columns) if c not in ("evidence", "site", "quality")]
+    own = {c: f"c{k}" for k, c in enumerate(kept)}  # so that no input column's name is one of those below
+    evidence = 1 / (1 + F.exp(-F.greatest(F.least(model.log_odds(F.col(f"`{text}`")), F.lit(12.0)), F.lit(-12.0))))
+    columns = [F.col(f"`{c}`").alias(own[c]) for c in kept]
+    scored = written(docs.select(*columns, F.col(f"`{host}`").alias("h"), F.col(f"`{path}`").alias("p"), F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(SALTS)).alias("salt"), evidence.alias("evidence")), "evidence")
+    salted = scored.groupBy("h", "p", "salt").agg(F.sum("evidence").alias("good"), F.count("*").alias("n"))
     paths = written(salted.groupBy("h", "p").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "paths")
     hosts = written(paths.groupBy("h").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "hosts")
     whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
@@ -121,9 +124,9 @@ def site_quality(docs: DataFrame, model: QualityModel, host: str = "host", path:
     shrunk = hosts.select(F.col("h").alias("hh"), ((F.col("good") + host_worth * top) / (F.col("n") + host_worth)).alias("prior"))
     nested = paths.join(shrunk, F.col("h").eqNullSafe(F.col("hh"))).drop("hh")
     path_worth = _strength(nested, F.col("prior"))
-    sites = nested.select(F.col("h").alias("__h"), F.col("p").alias("__p"), F.col("good").alias("__good"), F.col("n").alias("__n"), F.col("prior").alias("__prior"))
-    joined = scored.join(sites, F.col(f"`{host}`").eqNullSafe(F.col("__h")) & F.col(f"`{path}`").eqNullSafe(F.col("__p")))
-    without = (F.col("__good") - F.col("evidence") + path_worth * F.col("__prior")) / (F.col("__n") - 1 + path_worth)
+    sites = nested.select(F.col("h").alias("sh"), F.col("p").alias("sp"), "good", "n", "prior")
+    joined = scored.join(sites, F.col("h").eqNullSafe(F.col("sh")) & F.col("p").eqNullSafe(F.col("sp")))
+    without = (F.col("good") - F.col("evidence") + path_worth * F.col("prior")) / (F.col("n") - 1 + path_worth)
     site = F.greatest(F.least(without, F.lit(1 - 1e-6)), F.lit(1e-6))
 
     def odds(p: Column) -> Column:
@@ -131,16 +134,18 @@ def site_quality(docs: DataFrame, model: QualityModel, host: str = "host", path:
 
     limit = min(max(top, 1e-6), 1 - 1e-6)
     total = odds(F.greatest(F.least(F.col("evidence"), F.lit(1 - 1e-9)), F.lit(1e-9))) + SITE_WEIGHT * (odds(site) - odds(F.lit(limit)))
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "evidence", site.alias("site"), (1 / (1 + F.exp(-total))).alias("quality"))
+    return joined.select(*[F.col(own[c]).alias(c) for c in kept], "evidence", site.alias("site"), (1 / (1 + F.exp(-total))).alias("quality"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document; hosts are the sources, paths their language sections."""
+    """Quality of every document; hosts are the sources, paths their language sections. The classifier learns from labels
+    whose crc32(doc_id) mod 5 is not 0; the others are held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit(docs, labels)
+    model = fit(docs, labels.filter(F.coalesce(remainder(F.col("doc_id"), 5), F.lit(1)) != 0))
     sited = docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
-    out = site_quality(sited, model)
-    return out.select("doc_id", "evidence", "site", F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
+    out = site_quality(sited, model, keep=["doc_id"])
+    held = (F.coalesce(remainder(F.col("doc_id"), 5), F.lit(1)) == 0).alias("held_out")
+    return out.select("doc_id", held, "evidence", "site", F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
 
 
 QUERIES = {"op5_quality": op5_quality}

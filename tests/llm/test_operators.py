@@ -310,6 +310,51 @@ def test_site_quality_shrinks_small_sites(spark, small):
     assert quality.fit(docs, labels.limit(0)).bias == 0.0
 
 
+def test_site_posteriors_equal_plain_sums(spark, small):
+    """Shrinkage of hosts and paths by hand, over many sparse sites, a hot one, nulls, repeats, clashing names, a long text."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()]
+    rng = random.Random(21)
+    rows = [(k, rng.choice(texts), f"h{rng.randrange(12)}" if k % 3 else "hot", rng.choice(["p", "q", None])) for k in range(150)]
+    rows += [rows[0], rows[0], (900, None, None, None), (901, "", None, "p"), (902, "word, " * 100_000, "alone", "p")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, host string, path string").withColumns({c: F.lit("clash") for c in ("h", "p", "n", "good", "prior", "salt", "evidence", "site", "c0", "hh")})
+    out = quality.site_quality(frame, model)
+    assert sorted(out.columns) == sorted({*frame.columns, "quality"}) and out.filter("h = 'clash' AND c0 = 'clash' AND n = 'clash'").count() == len(rows)
+    got = out.select("doc_id", "host", "path", "evidence", F.col("site").alias("s"), F.col("quality").alias("q")).collect()
+    paths, hosts = {}, {}
+    for r in got:
+        for table, key in ((paths, (r["host"], r["path"])), (hosts, r["host"])):
+            good, n = table.get(key, (0.0, 0))
+            table[key] = (good + r["evidence"], n + 1)
+    top = sum(r["evidence"] for r in got) / len(got)
+
+    def worth(sites, prior):
+        many = [(g, n, prior(k)) for k, (g, n) in sites.items() if n > 1]
+        spread, chance = sum((g / n - m) ** 2 * n for g, n, m in many), sum(m * (1 - m) for _, _, m in many)
+        beyond = max(spread - chance, 0) / sum(n for _, n, _ in many)
+        return min(quality.STRENGTH[1], max(quality.STRENGTH[0], chance / len(many) / beyond - 1)) if beyond else quality.STRENGTH[1]
+
+    host_worth = worth(hosts, lambda _: top)
+    prior = {h: (g + host_worth * top) / (n + host_worth) for h, (g, n) in hosts.items()}
+    path_worth = worth(paths, lambda key: prior[key[0]])
+    odds = lambda x: np.log(x / (1 - x))
+    for r in got:
+        good, n = paths[r["host"], r["path"]]
+        site = (good - r["evidence"] + path_worth * prior[r["host"]]) / (n - 1 + path_worth)
+        total = odds(min(max(r["evidence"], 1e-9), 1 - 1e-9)) + quality.SITE_WEIGHT * (odds(min(max(site, 1e-6), 1 - 1e-6)) - odds(top))
+        assert abs(r["s"] - min(max(site, 1e-6), 1 - 1e-6)) < 1e-9 and abs(r["q"] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_quality_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"  # of smaller tables only a handful of bad texts is held out
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r["score"], labels[r["doc_id"]]) for r in quality.op5_quality(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    good, bad = ([s for s, y in held if y == k] for k in (1, 0))
+    assert len(held) == sum(zlib.crc32(str(k).encode()) % 5 == 0 for k in labels)
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) > 0.95
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}])
 def test_mixing_keeps_every_source_within_a_block(spark, weights):
     rng = random.Random(9)
