@@ -484,6 +484,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in odd)
     none = toxicity.fit(docs, labels.limit(0))
     assert toxicity.predict(docs.limit(3), none).count() == 3
+    assert toxicity.predict(docs.limit(0), model).count() == 0
+    # repeated rows, clashing names
+    few = docs.limit(3).withColumn("score", F.lit("clash")).withColumn("__text", F.lit("kept"))
+    twice = toxicity.predict(few.union(few), model, keep=["doc_id", "score"]).collect()
+    assert len(twice) == 6 and len({tuple(r) for r in twice}) == 3 and twice[0].asDict().keys() == {"doc_id", "score", "predicted"}
+
+
+def test_toxicity_query_recalls_held_out_rows(spark):
+    """The query itself on the largest of the small tables: labels of its held-out rows, which it has not seen."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = toxicity.op8_toxicity(spark, sf).filter("held_out").collect()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows)
+    toxic, clean = ([r["predicted"] for r in rows if labels.get(r["doc_id"]) == k] for k in (1, 0))
+    assert sum(toxic) / len(toxic) > 0.75 and sum(clean) / len(clean) < 0.01
 
 
 def test_toxicity_learns_phrases():
@@ -497,6 +512,44 @@ def test_toxicity_learns_phrases():
     assert ((values > np.median(values)) == toxic[400:]).mean() > 0.95
 
 
+def test_toxicity_needs_its_wide_filters(monkeypatch):
+    """Two words that mean nothing apart: only filters over several words tell their order."""
+    rng = np.random.default_rng(2)
+    texts, toxic = [], np.arange(1200) % 2
+    for y in toxic:
+        x = rng.integers(0, 300, 30).astype(np.int64)
+        at = rng.integers(0, 28)
+        x[at : at + 2] = (900, 901) if y else (901, 900)
+        texts.append(x)
+
+    def right():
+        model = toxicity.train(texts[:900], toxic[:900])
+        values = toxicity.logits(model, [toxicity._known_rows(model.known, x) for x in texts[900:]])
+        return ((values > 0) == toxic[900:]).mean()
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 60)
+    assert right() > 0.9
+    monkeypatch.setattr(toxicity, "WIDTHS", (1,))
+    assert right() < 0.65
+
+
+def test_convolution_equals_plain_loops():
+    """Logits by hand: every filter at every place, the largest value, one layer."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50, n).astype(np.int64) for n in (0, 1, 2, 7, 40)] + [rng.integers(0, 50, 30).astype(np.int64) for _ in range(40)]
+    model = toxicity.train(texts, np.arange(len(texts)) % 2)
+    rows = [toxicity._known_rows(model.known, x) for x in texts]
+    for r, value in zip(rows, toxicity.logits(model, rows), strict=True):
+        padded = np.concatenate([model.embedding[r], np.zeros((max(toxicity.WIDTHS), toxicity.DIMS))])
+        total, at = model.bias, 0
+        for f in model.filters:
+            for k in range(f.shape[2]):
+                places = [(padded[i : i + len(f)] * f[: len(padded) - i, :, k]).sum() for i in range(len(r) + 1)]
+                total += max(0.0, max(places) + model.filter_bias[at]) * model.weights[at]
+                at += 1
+        assert abs(total - value) < 1e-3
+
+
 def test_licenses_named_and_others_left(spark):
     lines = {
         "apache": "Licensed under the Apache License, Version 2.0.",
