@@ -345,15 +345,14 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(bound, "a long, b long")
 
 
-def _tiled_pairs(held: DataFrame) -> DataFrame:
-    """Of keys' sets (key, doc, label, n, point), the pairs of different labels that the R-tree's bound lets through."""
-    held = written(held, "held")
+def _tiled_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of keys' sets (key, doc; labels has a doc's label, n and point), the pairs of different labels that the R-tree's bound lets through."""
     sizes = written(held.groupBy("key").agg(F.count("*").alias("sets"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("doc").alias("low")), "sets")
     # keys of the same documents are worked together, a few at a time, so that a pair comes out few times
     alike = sizes.groupBy("low", "tiles").agg(F.greatest(F.ceil(F.count("*") / ALIKE), F.ceil(F.sum(F.col("sets") / F.col("tiles")) / TILE)).cast("int").alias("parts"))
     sizes = written(sizes.join(alike, ["low", "tiles"]).select("key", "sets", "tiles", F.xxhash64("low", "tiles", F.pmod("key", "parts")).alias("near")), "sizes")
     rows = sizes.agg(F.coalesce(F.sum(F.col("sets") * F.col("tiles")), F.lit(0))).first()[0]
-    dealt = held.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
+    dealt = held.join(sizes, "key").join(labels, "doc").withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     tiled = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("key", "near", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "doc", "label", "n", "point")
     slots = max(8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLOT_ROWS))
@@ -412,9 +411,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         held = held.select("key", "sig").union(held.select("key", F.col("pivot").alias("sig"))).distinct()
         # of keys with the same sets one is enough
         lists = held.groupBy("key").agg(F.sum(F.shiftright(F.xxhash64("sig"), 12)).alias("h"), F.sum(F.shiftright(F.xxhash64("sig", F.lit(1)), 12)).alias("g"))
-        held = held.join(lists.groupBy("h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+        held = written(held.join(lists.groupBy("h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").withColumnRenamed("sig", "doc"), "held")
         known = first.select("a", "b").union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = _tiled_pairs(held.join(labels, "sig").select("key", F.col("sig").alias("doc"), "label", "n", "point"))
+        more = _tiled_pairs(held, labels.withColumnRenamed("sig", "doc"))
         again = _checked(more.join(known, ["a", "b"], "left_anti"), classes, source)
         if again.filter("linked").limit(1).count():
             found = connected_components(links.union(again.filter("linked").select("a", "b")))
