@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.plans.storage import shared_dir, written
 
-__all__ = ["arrow_rows", "bounded", "release", "remainder", "shared_dir", "table", "written"]
+__all__ = ["arrow_rows", "bounded", "let", "release", "remainder", "shared_dir", "table", "written"]
 
 #: The words of a text: runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD_SPACE = "\\x20\\x09-\\x0D"
@@ -54,3 +55,8 @@ def bounded(df: DataFrame, key: str, most: int, seed: int = 17) -> DataFrame:
     if n <= most:
         return df
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

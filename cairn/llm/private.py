@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import let, table
 
 
 class Kind(NamedTuple):
@@ -49,11 +49,6 @@ BASE = ("email", "ip", "card", "phone")
 CHECKED, NEARBY, REACH, LEAST, BLOCK = 0.3, 0.3, 40, 0.5, 256
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _blocks(items: Column) -> Column:
     """Consecutive pieces of an array that is not empty."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))

@@ -563,6 +563,55 @@ def test_licenses_named_and_others_left(spark):
     assert [[(s["paragraph"], s["family"], s["confirmed"]) for s in r["licenses"]] for r in rows] == [[(1, k, True)] for k in lines] + [[]] * 4
 
 
+def test_licenses_in_wordings_not_trained_on(spark):
+    """Notices as projects write them; wrapped lines; near misses that grant nothing."""
+    named = {
+        "GNU Lesser General Public License Version 2.1": "lgpl",
+        "Licensed under the EUPL, Version 1.2 or later": "eupl",
+        "This file is part of Foo. Foo is distributed under the Eclipse Public License - v 2.0": "epl",
+        "// SPDX-License-Identifier: ISC": "isc",
+        "All content is CC-BY-SA 4.0 unless otherwise noted": "cc",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "bsd",
+        "You should have received a copy of the GNU General Public License along with this program.": "gpl",
+        'Licensed under the Apache License, Version 2.0 (the "License");': "apache",
+        "(c) 2019 Foo Inc. All rights reserved.": "proprietary",
+    }
+    rows = license.scan(docs_of(spark, list(named))).orderBy("doc_id").collect()
+    assert [[s["family"] for s in r["licenses"]] for r in rows] == [[x] for x in named.values()]
+    wrapped = "First line here.\nThis is distributed under the GNU Lesser\nGeneral Public License, version 2.1.\n\nThe last line."
+    none = ["he got a license to drive", "the general public was there", "see the terms of the contract", "words\n\nmore of the words"]
+    texts = [wrapped, *none]
+    rows = license.scan(docs_of(spark, texts).union(docs_of(spark, texts))).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        assert bool(r["licenses"]) == (r["text"] == wrapped)
+    assert license.scan(docs_of(spark, ["x"]).limit(0)).count() == 0
+    number, right, gap = license.trained().held_out
+    assert number > 500 and right > 0.85 and gap < 0.05
+
+
+def test_license_query_equals_plain_scoring(spark, small):
+    """Families of every line as the model gives them, line by line outside Spark."""
+    model = license.trained()
+
+    def plain(line):
+        z = np.array(model.bias) + sum((np.array(model.weights[f]) for f in license.features_of(license.words_of(line)) if f in model.weights), np.zeros(len(model.bias)))
+        p = np.exp((z - z.max()) / model.temperature)
+        best = model.families[p.argmax()]
+        return best if best != "unknown" and p.max() / p.sum() >= license.ACCEPT else None
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in license.op9_license_scan(spark, small).collect():
+        lines = texts[r["doc_id"]].split("\n")
+        alone = [plain(x) for x in lines]
+        want = []
+        for k, x in enumerate(lines):
+            after = lines[k + 1] if k + 1 < len(lines) else ""
+            family = alone[k] or (plain(f"{x} {after}") if x.strip(" ") and after.strip(" ") and not alone[k + 1] else None)
+            want += [f"{k}:{family}"] if family else []
+        assert r["paragraphs"] == ",".join(want) and r["n_license"] == len(want)
+
+
 def test_license_anchors_lose_nothing():
     model, rng = license.trained(), random.Random(1)
     hint = re.compile(r"(?<![a-z0-9])(?:" + "|".join(model.anchors()) + r")(?![a-z0-9])")
