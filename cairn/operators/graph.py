@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.plans.storage import written
+from cairn.plans.storage import discard, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
 
 
 def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
