@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.geometry import AXES, affine, cell, determinant, distance, norm, sigmoid
+from cairn.operators.neighbours import finite, nearest
 from cairn.plans.ranking import quantiles
-from cairn.plans.storage import written
 
 #: Cells of a coordinate around a point that hold its nearest neighbour if it is no farther than one cell.
 NEAR = (-1, 0, 1)
@@ -125,52 +125,6 @@ def jet(v: F.Column) -> dict[str, F.Column]:
     return {c: clip(1.5 - F.abs(4 * v - m)) for c, m in (("r", 3), ("g", 2), ("b", 1))}
 
 
-def _start_cell(target: DataFrame) -> float:
-    """A cell that holds a few points if they were spread evenly."""
-    r = target.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in AXES]).first()
-    if not r["n"]:
-        return 0.0
-    sides = [r[c] for c in AXES if r[c]]
-    return max((math.prod(sides) * 4 / r["n"]) ** (1 / len(sides)), max(sides) / 1e6) if sides else 1.0
-
-
-def nearest(source: DataFrame, target: DataFrame, k: int = 1, size: float | None = None, apart: bool = False) -> DataFrame:
-    """(pid, other, rank, d): each source point's k nearest target points, exact; ties by the smaller id.
-
-    A grid join over the 27 cells around a point settles all points whose k-th neighbour is within one cell; the rest go on
-    with cells twice as wide. apart: a point is not its own neighbour (ids equal). Fewer than k targets give fewer rows.
-    """
-    size = size or _start_cell(target)
-    have = target.count()
-    want = min(k, have - 1 if apart else have)
-    left, done = source.select("pid", *AXES), []
-    empty = source.limit(0).select("pid", F.lit(0).cast("long").alias("other"), F.lit(0).alias("rank"), F.lit(0.0).alias("d"))
-    if want < 1 or not have:
-        return empty
-    there = target.select(F.col("pid").alias("other"), *[F.col(c).alias(f"t{c}") for c in AXES])
-    best = Window.partitionBy("pid").orderBy("d", "other")
-    while True:
-        cells = there.select("*", *[cell(F.col(f"t{c}"), size).alias(f"k{c}") for c in AXES])
-        probes = left.select("pid", *[F.col(c).alias(f"s{c}") for c in AXES], *[F.explode(F.array(*[cell(F.col(c), size) + s for s in NEAR])).alias("kx") for c in AXES[:1]], *[cell(F.col(c), size).alias(f"k{c}") for c in AXES[1:]])
-        for c in AXES[1:]:
-            probes = probes.withColumn(f"k{c}", F.explode(F.array(*[F.col(f"k{c}") + s for s in NEAR])))
-        near = probes.join(cells, [f"k{c}" for c in AXES])
-        if apart:
-            near = near.filter("pid <> other")
-        near = near.select("pid", "other", distance("s", "t").alias("d"))
-        near = near.groupBy("pid").agg(F.min(F.struct("d", "other")).alias("m")).select("pid", "m.other", F.lit(1).alias("rank"), "m.d") if want == 1 else near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= want).select("pid", "other", "rank", "d")
-        found = written(near, "nearest")
-        settled = found.groupBy("pid").agg(F.count("*").alias("n"), F.max("d").alias("far")).filter((F.col("n") == want) & (F.col("far") <= size)).select("pid")
-        done.append(found.join(settled, "pid", "left_semi"))
-        left = written(left.join(settled, "pid", "left_anti"), "unsettled")
-        if not left.limit(1).count():
-            out = done[0]
-            for df in done[1:]:
-                out = out.union(df)
-            return out
-        size *= 2
-
-
 def within(source: DataFrame, target: DataFrame, radius: float, most: int | None = None) -> DataFrame:
     """(pid, other, d): target points no farther than radius, of each source point the nearest `most`."""
     cells = target.select(F.col("pid").alias("other"), *[F.col(c).alias(f"t{c}") for c in AXES], *[cell(F.col(c), radius).alias(f"k{c}") for c in AXES])
