@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.geometry import ratio
-from cairn.plans.ranking import ranked
+from cairn.plans.ranking import ranked, ranges
 from cairn.plans.storage import written
 
 #: Gains that move a baseline: mean over the history's best, and worst single margin.
@@ -85,11 +85,10 @@ def triage(m: DataFrame, by: list[str], weights: dict[str, float] | None = None)
 
 def round_robin(failed: DataFrame, by: list[str]) -> DataFrame:
     """Failed items with their place when clusters of one signature take turns, worst clusters and items first."""
-    own = Window.partitionBy("signature").orderBy(F.desc("gap"), *by)
-    ranked = failed.withColumn("turn", F.row_number().over(own))
+    turns = ranked(failed.withColumn("__low", -F.col("gap")), "__low", by, ["signature"], "turn").withColumn("turn", (F.col("turn") + 1).cast("int")).drop("__low")
     clusters = failed.groupBy("signature").agg(F.max("gap").alias("__top"), F.count("*").alias("__size"))
     order = Window.orderBy(F.desc("__top"), F.desc("__size"), "signature")  # as many rows as signatures
-    return ranked.join(clusters.withColumn("cluster", F.row_number().over(order)).select("signature", "cluster"), "signature")
+    return turns.join(clusters.withColumn("cluster", F.row_number().over(order)).select("signature", "cluster"), "signature")
 
 
 def pareto(items: DataFrame, less: str, more: str) -> DataFrame:
@@ -97,13 +96,11 @@ def pareto(items: DataFrame, less: str, more: str) -> DataFrame:
     over distinct `less` values; items with nulls don't take part."""
     best = items.filter(F.col(less).isNotNull() & F.col(more).isNotNull()).groupBy(less).agg(F.max(more).alias("__best"))
     # the maximum so far, by ranges of `less` and then within each: no range holds more than its share
-    cuts = best.select(F.percentile_approx(less, [k / 64 for k in range(1, 64)], 1000).alias("c")).first()["c"] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    ranged = best.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= F.col(less))))
+    ranged = ranges(best, less).withColumnRenamed("__r", "__range")
     tops = ranged.groupBy("__range").agg(F.max("__best").alias("__top"))
-    before = tops.select("__range", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))  # up to 64 rows
+    before = tops.select("__range", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))  # as many rows as ranges
     within = F.max("__best").over(Window.partitionBy("__range").orderBy(less).rowsBetween(Window.unboundedPreceding, -1))
-    front = ranged.withColumn("__within", within).join(F.broadcast(before), "__range").filter(F.col("__best") > F.coalesce(F.greatest("__before", "__within"), F.lit(float("-inf"))))
+    front = ranged.withColumn("__within", within).join(before, "__range").filter(F.col("__best") > F.coalesce(F.greatest("__before", "__within"), F.lit(float("-inf"))))
     return items.join(front.select(F.col(less).alias("__l"), F.col("__best").alias("__b")), (F.col(less) == F.col("__l")) & (F.col(more) == F.col("__b"))).drop("__l", "__b")
 
 

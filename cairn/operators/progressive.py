@@ -65,7 +65,9 @@ def distance_shells(cloud: DataFrame, first: int, size: int) -> DataFrame:
 
 
 def reduced(cloud: DataFrame, most: int, size: float = 0.01, growth: float = 1.35) -> DataFrame:
-    """Voxel centroids, the voxels grown until there are at most `most`."""
+    """Voxel centroids, the voxels grown until there are at most `most` (1 at least)."""
+    if most < 1 or size <= 0 or growth <= 1:
+        raise ValueError("a budget of 1 at least, a positive size and a growth beyond 1")
     before = None
     while True:
         out = voxel_downsample(cloud, size)

@@ -19,7 +19,8 @@ def _brackets(reference: DataFrame, estimated: DataFrame, by: list[str]) -> Data
     # at equal times the reference comes first, so that an estimate of that time is on its right
     order = Window.partitionBy(*by).orderBy("t", "side")
     left = F.last("est", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first("est", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("side"))  # a frame that only grows, on this side too
+    right = F.last("est", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     return both.select(*by, "ref", left.alias("p"), right.alias("q")).filter(F.col("ref").isNotNull())
 
 

@@ -70,23 +70,18 @@ MATCHED = (
 _BOX = {"x": "l_quantity", "y": "l_linenumber * 5", "z": "l_discount * 100"}
 
 
-def boxes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """A box of side 4 for each order line (all, or those given), and the same shifted by its tax as the estimate."""
-    lines = table(spark, sf_dir, "lineitem") if lines is None else lines
+def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A box of side 4 for each order line, and the same shifted by its tax as the estimate."""
+    lines = table(spark, sf_dir, "lineitem")
     idx = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)").cast("long")
     base = lines.select(F.col("l_orderkey").alias("frame"), idx.alias("idx"), F.col("l_returnflag").alias("label"), *[F.expr(f"CAST({v} AS DOUBLE)").alias(f"c{c}") for c, v in _BOX.items()], *[F.lit(4.0).alias(f"s{c}") for c in "xyz"], (1 - F.col("l_discount")).cast("double").alias("score"), F.col("l_suppkey").alias("track"), F.col("l_tax").cast("double").alias("tax"))
     return base.drop("tax"), base.withColumn("cx", F.col("cx") + 40 * F.col("tax")).drop("tax")
 
 
-def sql_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The boxes that BOXES is about."""
-    return boxes(spark, sf_dir, table(spark, sf_dir, "lineitem").filter("l_suppkey % 3 <> 0"))
-
-
 BOXES = """base AS (
   SELECT l_orderkey AS frame, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS idx, l_returnflag AS label,
     l_quantity::DOUBLE AS cx, (l_linenumber * 5)::DOUBLE AS cy, (l_discount * 100)::DOUBLE AS cz, (1 - l_discount)::DOUBLE AS score, l_suppkey AS track, l_tax::DOUBLE AS tax
-  FROM lineitem WHERE l_suppkey % 3 <> 0
+  FROM lineitem
 ), pair AS (
   SELECT r.frame, r.label, r.idx AS ref_idx, e.idx AS est_idx, r.track AS ref_track, e.track AS est_track, e.score,
     greatest(4 - abs(r.cx - (e.cx + 40 * e.tax)), 0) * greatest(4 - abs(r.cy - e.cy), 0) * greatest(4 - abs(r.cz - e.cz), 0) AS both

@@ -58,20 +58,11 @@ def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.crop(B.events_cloud(spark, sf_dir), (1, 6, 3), (8, 18, 20)).select("pid", "cloud_id", "x", "y", "z")
 
 
-@query(
-    f"""WITH {B.CLOUD}, b AS (SELECT min(x) - 0.5 AS x0, max(x) + 0.5 AS x1, min(y) - 0.5 AS y0, max(y) + 0.5 AS y1, min(z) - 0.5 AS z0, max(z) + 0.5 AS z1 FROM src WHERE pid % 50 = 0)
-SELECT pid, x, y, z FROM dst, b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1"""
-)
-def crop_around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target = B.cloud_pair(spark, sf_dir)
-    return points.crop_around(target, source.filter("pid % 50 = 0"), 0.5).select("pid", "x", "y", "z")
-
-
 @query(
     f"""WITH {B.CLOUD}, b AS (SELECT min(x) - 0.5 AS x0, max(x) + 0.5 AS x1, min(y) - 0.5 AS y0, max(y) + 0.5 AS y1, min(z) - 0.5 AS z0, max(z) + 0.5 AS z1 FROM src)
 SELECT pid, x, y, z FROM dst, b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1"""
 )
-def crop_around_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def crop_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = B.cloud_pair(spark, sf_dir)
     return points.crop_around(target, source, 0.5).select("pid", "x", "y", "z")
 
@@ -130,17 +121,14 @@ def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.nearest(*B.cloud_pair(spark, sf_dir)).select("pid", "d"), 9)
 
 
-@query(
-    f"""WITH {B.CLOUD}, p AS (SELECT s.pid, t.pid AS other, sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2) AS d FROM src s JOIN src t ON s.pid <> t.pid)
-SELECT pid, rank, round(d, 9) AS d FROM (SELECT pid, d, row_number() OVER (PARTITION BY pid ORDER BY d, other)::INT AS rank FROM p) WHERE rank <= 4"""
-)
-def nearest_neighbours_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, _ = B.cloud_pair(spark, sf_dir)
-    return rounded(points.nearest(source, source, k=4, apart=True).select("pid", "rank", "d"), 9)
+def _knn(k: int) -> str:
+    """The k nearest other points of each point of the whole cloud, as the k smallest of (distance, id)."""
+    return f"""knn AS (SELECT pid, unnest(list_transform(k, lambda e, i: {{'rank': i, 'd': e.d, 'other': e.other}}), recursive := true) FROM (
+  SELECT s.pid, min({{'d': sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2), 'other': t.pid}}, {k}) AS k FROM cloud s JOIN cloud t ON s.pid <> t.pid GROUP BY 1))"""
 
 
-@query()
-def nearest_neighbours_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {B.CLOUD}, {_knn(4)} SELECT pid, rank::INT AS rank, round(d, 9) AS d FROM knn")
+def nearest_neighbours_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = B.events_cloud(spark, sf_dir)
     return rounded(points.nearest(cloud, cloud, k=4, apart=True).select("pid", "rank", "d"), 9)
 
@@ -192,45 +180,27 @@ def evaluate_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.evaluate_map(*B.cloud_pair(spark, sf_dir)))
 
 
-_SELF = "self AS (SELECT s.pid, t.pid AS other, t.x, t.y, t.z, sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2) AS d FROM src s JOIN src t ON s.pid <> t.pid), knn AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, other) AS rank FROM self)"
-
-
 @query(
-    f"""WITH {B.CLOUD}, {_SELF}, b AS (SELECT count(*) AS n, (max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)) AS volume FROM src), m AS (SELECT d FROM knn WHERE rank = 1)
-SELECT n, round(volume, 6) AS volume, round(n / volume, 6) AS density, (SELECT round(avg(d), 6) FROM m) AS mean_d, (SELECT round(median(d), 6) FROM m) AS median_d, (SELECT round(min(d), 6) FROM m) AS min_d, (SELECT round(max(d), 6) FROM m) AS max_d, (SELECT round(stddev_pop(d), 6) FROM m) AS std_d FROM b"""
+    f"""WITH {B.CLOUD}, {_knn(1)}, b AS (SELECT count(*) AS n, (max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)) AS volume FROM cloud)
+SELECT n, round(volume, 6) AS volume, round(n / volume, 6) AS density, (SELECT round(avg(d), 6) FROM knn) AS mean_d, (SELECT round(median(d), 6) FROM knn) AS median_d, (SELECT round(min(d), 6) FROM knn) AS min_d, (SELECT round(max(d), 6) FROM knn) AS max_d, (SELECT round(stddev_pop(d), 6) FROM knn) AS std_d FROM b"""
 )
 def cloud_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(points.spacing(B.cloud_pair(spark, sf_dir)[0]))
-
-
-@query()
-def cloud_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.spacing(B.events_cloud(spark, sf_dir)))
 
 
 @query(
-    f"""WITH {B.CLOUD}, {_SELF}, m AS (SELECT pid, sum(d) / 10 AS mean_d FROM knn WHERE rank <= 9 GROUP BY 1), l AS (SELECT avg(mean_d) + 1.5 * stddev_samp(mean_d) AS limit_d FROM m)
+    f"""WITH {B.CLOUD}, {_knn(9)}, m AS (SELECT pid, sum(d) / 10 AS mean_d FROM knn GROUP BY 1), l AS (SELECT avg(mean_d) + 1.5 * stddev_samp(mean_d) AS limit_d FROM m)
 SELECT pid, round(mean_d, 6) AS mean_d, mean_d <= limit_d AS inlier FROM m, l"""
 )
 def outlier_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(points.outliers(B.cloud_pair(spark, sf_dir)[0], 10, 1.5))
-
-
-@query()
-def outlier_removal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.outliers(B.events_cloud(spark, sf_dir), 10, 1.5))
 
 
 @query(
-    f"""WITH {B.CLOUD}, {_SELF}, c AS (SELECT pid, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy, covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM knn WHERE rank <= 10 GROUP BY 1)
+    f"""WITH {B.CLOUD}, {_knn(10)}, c AS (SELECT k.pid, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy, covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM knn k JOIN cloud c ON c.pid = k.other GROUP BY 1)
 SELECT count(*) AS n, round(avg(0.5 * ln(abs(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)) + 1e-10)), 4) AS entropy FROM c"""
 )
 def mean_map_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(points.mean_map_entropy(B.cloud_pair(spark, sf_dir)[0], 10), 4)
-
-
-@query()
-def mean_map_entropy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.mean_map_entropy(B.events_cloud(spark, sf_dir), 10), 4)
 
 
@@ -397,11 +367,6 @@ def uncertainty_nees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {B.BOXES} SELECT frame, label, ref_idx, est_idx, round(iou, 6) AS iou FROM cand WHERE iou >= 0.1")
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(boxes.candidates(*B.sql_boxes(spark, sf_dir), 0.1).select("frame", "label", "ref_idx", "est_idx", "iou"))
-
-
-@query()
-def box_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boxes.candidates(*B.boxes(spark, sf_dir), 0.1).select("frame", "label", "ref_idx", "est_idx", "iou"))
 
 
@@ -422,11 +387,6 @@ def tracking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {B.BOXES} SELECT count(DISTINCT frame) AS frames, count(*) AS boxes, count(DISTINCT track) AS tracks FROM base")
 def sequence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.counts(B.sql_boxes(spark, sf_dir)[0])
-
-
-@query()
-def sequence_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.counts(B.boxes(spark, sf_dir)[0])
 
 
@@ -566,16 +526,10 @@ def pareto_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # graphs and images
 
-_GRAPH = "edges AS (SELECT l_partkey % 5000 AS a, l_suppkey AS b FROM lineitem WHERE l_orderkey % 40 = 0), vertices AS (SELECT p_partkey AS id FROM part)"
+_GRAPH = "edges AS (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem), vertices AS (SELECT p_partkey AS id FROM part)"
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The part of the graph that the SQL of graph_summary and graph_components is about; _whole_graph has all of it."""
-    e = B.table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0").select((F.col("l_partkey") % 5000).alias("a"), F.col("l_suppkey").alias("b"))
-    return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), e
-
-
-def _whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """An edge for each order line, between its part and its supplier."""
     e = B.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), e
@@ -598,16 +552,6 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components_with_isolated(*_graph(spark, sf_dir))
 
 
-@query()
-def graph_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.summary(*_whole_graph(spark, sf_dir))
-
-
-@query()
-def graph_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components_with_isolated(*_whole_graph(spark, sf_dir))
-
-
 _PIXELS = "p AS (SELECT a.vec_id, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 _MSE = f"{_PIXELS}, m AS (SELECT vec_id, count(*) AS pixels, avg((x / 2 - y / 2) ** 2) AS mse FROM p GROUP BY 1)"
 
@@ -661,14 +605,9 @@ def _oriented(r: DataFrame, e: DataFrame) -> DataFrame:
     return rounded(structure.oriented_iou(pairs).select("frame", "label", "ref_idx", "est_idx", "iou"))
 
 
-@query(f"WITH {B.BOXES} SELECT frame, label, ref_idx, est_idx, round(iou, 6) AS iou FROM cand WHERE frame % 10 = 0")
+@query(f"WITH {B.BOXES} SELECT frame, label, ref_idx, est_idx, round(iou, 6) AS iou FROM cand")
 def oriented_box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes turned by nothing, so that SQL can tell their overlap; turned ones are in the tests."""
-    return _oriented(*(df.filter("frame % 10 = 0") for df in B.sql_boxes(spark, sf_dir)))
-
-
-@query()
-def oriented_box_iou_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oriented(*B.boxes(spark, sf_dir))
 
 

@@ -21,7 +21,7 @@ def ranked(df: DataFrame, order: str, ties: list[str], by: list[str] | None = No
     before = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy(*by, "__r").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = Window.partitionBy(*by, "__r").orderBy(order, *ties)
-    return ranged.withColumn("__w", F.row_number().over(within) - 1).join(F.broadcast(sizes), [*by, "__r"]).withColumn(name, F.col("__before") + F.col("__w")).select(*df.columns, name)
+    return ranged.withColumn("__w", F.row_number().over(within) - 1).join(sizes, [*by, "__r"]).withColumn(name, F.col("__before") + F.col("__w")).select(*df.columns, name)
 
 
 def quantiles(df: DataFrame, value: str, at: list[float], by: list[str] | None = None) -> DataFrame:

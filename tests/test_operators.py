@@ -17,11 +17,11 @@ def box(frame, idx, cx, label="car", score=1.0, track=None, size=2.0):
 
 
 def test_iou_of_shifted_boxes(spark):
-    r, e = spark.createDataFrame([box(0, 0, 0)], BOX), spark.createDataFrame([box(0, 0, 1)], BOX)
-    assert abs(boxes.candidates(r, e, 0.0).first()["iou"] - 1 / 3) < 1e-12
+    r, e = spark.createDataFrame([box(0, 0, 0)], BOX), spark.createDataFrame([box(0, 0, 0.5)], BOX)
+    assert abs(boxes.candidates(r, e, 0.0).first()["iou"] - 6 / 10) < 1e-12
 
 
-def test_greedy_equals_a_plain_loop(spark):
+def test_greedy_equals_a_plain_loop(spark, monkeypatch):
     rng = random.Random(3)
     ref = [box(f, i, rng.uniform(0, 6), rng.choice("ab")) for f in range(12) for i in range(5)]
     est = [box(f, i, rng.uniform(0, 6), rng.choice("ab"), rng.random()) for f in range(12) for i in range(5)]
@@ -38,6 +38,9 @@ def test_greedy_equals_a_plain_loop(spark):
     assert {(r["frame"], r["ref_idx"], r["est_idx"]) for r in boxes.greedy(pairs).collect()} == expected
     assert {(r["frame"], r["ref_idx"], r["est_idx"]) for r in boxes.best_reference(pairs).collect()} == ap
     assert boxes.greedy(pairs.limit(0)).count() == 0
+    for few in (0, 10):  # all frames by rounds; some of them
+        monkeypatch.setattr(boxes, "FOLD", few)
+        assert {(r["frame"], r["ref_idx"], r["est_idx"]) for r in boxes.greedy(pairs).collect()} == expected
 
 
 def test_average_precision_credits_unreached_recall(spark):
@@ -47,6 +50,33 @@ def test_average_precision_credits_unreached_recall(spark):
     assert boxes.average_precision(r, wrong_first, 0.5).first()["ap"] == 0.5
 
 
+def test_average_precision_steps_one_prediction_at_a_time(spark):
+    """Many equal scores over several ranges, against running lists."""
+    rng = random.Random(8)
+    ref = [box(f, 0, 0, label=rng.choice("ab")) for f in range(150)]
+    est = [box(f, i, rng.choice([0, 0, 50]), label=ref[f][2], score=rng.choice([0.2, 0.5, 0.9])) for f in range(150) for i in range(rng.randint(0, 3))]
+    got = {r["label"]: r["ap"] for r in boxes.average_precision(spark.createDataFrame(ref, BOX), spark.createDataFrame(est, BOX), 0.5).collect()}
+    for label in "ab":
+        n, used, hits, precision, recall = sum(r[2] == label for r in ref), set(), 0, [], []
+        for k, e in enumerate(sorted((e for e in est if e[2] == label), key=lambda e: (-e[9], e[0], e[1])), 1):
+            if e[3] == 0 and e[0] not in used and not any(o[0] == e[0] and o[3] == 0 and (-o[9], o[1]) < (-e[9], e[1]) for o in est):
+                used.add(e[0])
+                hits += 1
+            precision.append(hits / k)
+            recall.append(hits / n)
+        envelope = [max(precision[k:]) for k in range(len(precision))]
+        steps, heights = [0.0, *recall, 1.0], [envelope[0], *envelope]
+        assert abs(got[label] - sum((b - a) * h for a, b, h in zip(steps, steps[1:], heights, strict=False))) < 1e-9
+
+
+def test_long_trajectories_take_linear_time(spark):
+    """40,000 poses of one trajectory on either side."""
+    ref = spark.range(40_000).selectExpr("1L AS user_id", "id / 10.0D AS t", "id / 1.0D AS x", "0D AS y", "0D AS z")
+    est = spark.range(40_000).selectExpr("1L AS user_id", "id / 10.0D + 0.05D AS t", "id / 1.0D + 0.5D AS x", "0D AS y", "0D AS z")
+    out = trajectory.interpolated_join(ref, est, 0.2, ["user_id"])
+    assert out.count() == 40_000 and out.filter("abs(ex - rx) > 1e-6").count() == 1  # the first pose is before all estimates
+
+
 def test_tracking_counts_switches_over_gaps(spark):
     ref = spark.createDataFrame([box(f, 0, 0, track=1) for f in range(5)], BOX)
     est = spark.createDataFrame([box(0, 0, 0, track=7), box(1, 0, 0, track=7), box(2, 0, 90, track=7), box(3, 0, 0, track=8), box(4, 0, 0, track=8)], BOX)
@@ -112,9 +142,9 @@ def test_label_transfer_of_itself(spark):
 
 
 def test_pareto_and_recommendation(spark):
-    items = spark.createDataFrame([("a", 0.2, 0.99), ("b", 0.5, 0.80), ("c", 0.15, 0.97), ("d", 0.4, 1.0)], "name string, size double, auc double")
-    assert sorted(r["name"] for r in gates.pareto(items, "size", "auc").collect()) == ["a", "c", "d"]
-    assert gates.recommended(items, "size", "auc", {"min_auc": 0.98}, ["name"]).first()["name"] == "a"
+    items = spark.createDataFrame([("p", 3.0, 0.62), ("q", 7.5, 0.41), ("r", 1.25, 0.58), ("s", 6.0, 0.71), ("t", 6.0, 0.70)], "name string, size double, auc double")
+    assert sorted(r["name"] for r in gates.pareto(items, "size", "auc").collect()) == ["p", "r", "s"]
+    assert gates.recommended(items, "size", "auc", {"min_auc": 0.6}, ["name"]).first()["name"] == "p"
     assert gates.recommended(items, "size", "auc", {"min_auc": 2.0}, ["name"]).count() == 0
     rng = random.Random(2)
     many = [(str(k), round(rng.random(), 2), round(rng.random(), 2)) for k in range(300)]

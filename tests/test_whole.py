@@ -8,10 +8,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import mixing
 from cairn.operators import gates
 from cairn.plans import ranking
-from cairn.plans.queries import ORACLES, QUERIES
+from cairn.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -31,11 +30,11 @@ def test_the_whole_graph_is_read(spark, small, tables):
     for a, b in edges:
         u, v = sorted((find(a), find(b)))
         root[v] = u
-    assert {(r["id"], r["component"]) for r in QUERIES["graph_components_whole"](spark, small).collect()} == {(n, find(n)) for n in ids}
+    assert {(r["id"], r["component"]) for r in QUERIES["graph_components"](spark, small).collect()} == {(n, find(n)) for n in ids}
     proper = {tuple(sorted(e)) for e in edges if e[0] != e[1]}
     loops = sum(a == b for a, b in edges)
     want = {"vertices": len(ids), "isolated": len(ids - set().union(*proper)), "edges": len(edges), "self_loops": loops, "duplicates": len(edges) - loops - len(proper), "missing": len(set().union(*edges) - ids)}
-    assert QUERIES["graph_summary_whole"](spark, small).first().asDict() == want
+    assert QUERIES["graph_summary"](spark, small).first().asDict() == want
 
 
 def test_every_order_line_is_a_box(spark, small, tables):
@@ -50,12 +49,12 @@ def test_every_order_line_is_a_box(spark, small, tables):
                     gaps = abs(r[4] - e[4] - 40 * e[7]), 5 * abs(r[1] - e[1]), 100 * abs(r[6] - e[6])
                     both = max(4 - gaps[0], 0) * max(4 - gaps[1], 0) * max(4 - gaps[2], 0)
                     pairs[frame, r[8], i, j] = both / (128 - both)
-    got = {tuple(r)[:4]: r["iou"] for r in QUERIES["oriented_box_iou_whole"](spark, small).collect()}
+    got = {tuple(r)[:4]: r["iou"] for r in QUERIES["oriented_box_iou"](spark, small).collect()}
     assert got.keys() == pairs.keys() and all(abs(got[k] - v) < 2e-6 for k, v in pairs.items())
-    near = {tuple(r)[:4] for r in QUERIES["box_pairs_whole"](spark, small).collect()}
+    near = {tuple(r)[:4] for r in QUERIES["box_pairs"](spark, small).collect()}
     assert near >= {k for k, v in pairs.items() if v > 0.1 + 1e-9} and near <= {k for k, v in pairs.items() if v > 0.1 - 1e-9}
     lines = sum(frames.values(), [])
-    assert tuple(QUERIES["sequence_counts_whole"](spark, small).first()) == (len(frames), len(lines), len({x[3] for x in lines}))
+    assert tuple(QUERIES["sequence_counts"](spark, small).first()) == (len(frames), len(lines), len({x[3] for x in lines}))
     assert sum(r["n_ref"] for r in QUERIES["average_precision"](spark, small).collect()) == len(lines)
     assert sum(r["n_ref"] for r in QUERIES["detection_scores"](spark, small).collect()) == len(lines)
     assert QUERIES["tracking_scores"](spark, small).first()["n_ref"] == len(lines)
@@ -88,52 +87,10 @@ def test_every_failing_run_has_a_front(spark, small):
     assert {r["run"] for r in QUERIES["pareto_fronts"](spark, small).collect()} == {r["run"] for r in runs.collect()}
 
 
-def test_bounds_come_from_the_whole_source(spark, small):
-    kept = {r["pid"] for r in QUERIES["crop_around_whole"](spark, small).collect()}
-    assert kept > {r["pid"] for r in QUERIES["crop_around"](spark, small).collect()}
-
-
-@pytest.mark.parametrize("name", ["nearest_neighbours_k", "cloud_stats", "outlier_removal", "mean_map_entropy"])
-def test_single_clouds_are_whole(spark, small, name):
-    """Brute force: the self join of the part's SQL over all events."""
-    part = "src AS (SELECT * FROM cloud WHERE cloud_id = 'click')"
-    assert part in ORACLES[name]
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
-    want = c.sql(ORACLES[name].replace(part, "src AS (SELECT * FROM cloud)")).df()
-    got = QUERIES[f"{name}_whole"](spark, small).toPandas()[list(want.columns)]
-    keys = [k for k in ("pid", "rank") if k in want]
-    if keys:
-        got, want = got.sort_values(keys), want.sort_values(keys)
-    assert len(got) == len(want)
-    for column in want:
-        assert got[column].tolist() == pytest.approx(want[column].tolist(), abs=1.1e-4 if name == "mean_map_entropy" else 2e-6)
-
-
 def test_every_event_has_a_normal(spark, small, tables):
     assert {r["pid"] for r in QUERIES["surface_normals"](spark, small).select("pid").collect()} == {r[0] for r in tables("event_id", "events")}
 
 
-def test_mixing_takes_any_number_of_sources(spark):
-    """Host-like sources: more than a thousand, one of them null."""
-    names = [f"h{i:04d}" for i in range(1_200)] + [None]
-    docs = spark.createDataFrame([(2 * i + j, s, "x" * 60) for i, s in enumerate(names) for j in range(2)], "doc_id long, source string, text string")
-    even = mixing.mix(docs, block_chars=50).collect()
-    assert sorted(r["mix_slot"] for r in even) == list(range(2 * len(names)))
-    assert all(r["mix_slot"] % len(names) == names.index(r["source"]) for r in even)
-    weights = {s: 1.0 + i % 4 for i, s in enumerate(names)}
-    parts = mixing.whole_parts(weights, mixing.SLOTS * len(names))
-    assert len(set(parts.values())) >= 4
-    slots = {(r["source"], r["k"]): r for r in mixing.schedule(spark, parts).collect()}
-    assert len(slots) == sum(parts.values())
-    mixed = mixing.mix(docs, weights, block_chars=50).collect()
-    assert len(mixed) == 2 * len(names)
-    for r in mixed:
-        want = slots[r["source"], r["mix_block"]]
-        assert (r["mix_release"], r["mix_deadline"], r["mix_slot"]) == (want["release"], want["deadline"], want["slot"])
-        assert r["mix_release"] <= r["mix_slot"] < r["mix_deadline"]
-
-
 def test_a_hot_key_is_cut_into_ranges(spark):
     hot = spark.range(40_000).select(F.lit(7).alias("key"), F.col("id").alias("pid"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
