@@ -42,8 +42,8 @@ GROUPS, COARSE, SMALL, BAND = 512, 64, 20, 16
 LARGE = 60_000
 #: Words that a worker remembers, keys that a task packs at once, sets of a key in one pack from which it is settled there,
 #: sets of one key that are compared in one tile, sets that are verified against one, keys of the same sets that are worked
-#: at once (and as many rows as a tile at most), the most rows of a table of ids that is broadcast, and rows of a batch of texts.
-MEMO_WORDS, PACK_KEYS, STAR, TILE, FAN, ALIKE, BROADCAST_ROWS, BATCH_ROWS = 200_000, 500_000, 8, 2_000, 64, 16, 500_000, 500
+#: at once (keys of the same sets find the same pairs, which come out once then; ALIKE_ROWS bounds their rows), the most rows of a table of ids that is broadcast, and rows of a batch of texts.
+MEMO_WORDS, PACK_KEYS, STAR, TILE, FAN, ALIKE, ALIKE_ROWS, BROADCAST_ROWS, BATCH_ROWS = 200_000, 500_000, 8, 2_000, 64, 16, 12_000, 500_000, 500
 #: Characters whose keys and documents meet in one part, and rows of tiles that meet in one slot: the numbers of parts and
 #: slots follow from the input.
 PART_CHARS, SLOT_ROWS = 32_000_000, 20_000
@@ -349,7 +349,7 @@ def _tiled_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
     """Of keys' sets (key, doc; labels has a doc's label, n and point), the pairs of different labels that the R-tree's bound lets through."""
     sizes = written(held.groupBy("key").agg(F.count("*").alias("sets"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("doc").alias("low")), "sets")
     # keys of the same documents are worked together, a few at a time, so that a pair comes out few times
-    alike = sizes.groupBy("low", "tiles").agg(F.greatest(F.ceil(F.count("*") / ALIKE), F.ceil(F.sum(F.col("sets") / F.col("tiles")) / TILE)).cast("int").alias("parts"))
+    alike = sizes.groupBy("low", "tiles").agg(F.greatest(F.ceil(F.count("*") / ALIKE), F.ceil(F.sum(F.col("sets") / F.col("tiles")) / ALIKE_ROWS)).cast("int").alias("parts"))
     sizes = written(sizes.join(alike, ["low", "tiles"]).select("key", "sets", "tiles", F.xxhash64("low", "tiles", F.pmod("key", "parts")).alias("near")), "sizes")
     rows = sizes.agg(F.coalesce(F.sum(F.col("sets") * F.col("tiles")), F.lit(0))).first()[0]
     dealt = held.join(sizes, "key").join(labels, "doc").withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
