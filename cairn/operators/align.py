@@ -73,6 +73,16 @@ def icp(source: DataFrame, target: DataFrame, most: float, steps: int = 30, tole
     return total.tolist(), *before
 
 
+def merged(clouds: list[DataFrame], most: float, steps: int = 30) -> tuple[DataFrame, list[list[list[float]]]]:
+    """All clouds (pid, x, y, z) in the frame of the first, each brought onto what is there before it, and their matrices."""
+    whole, moves = written(clouds[0].select("pid", *AXES), "merged"), [np.eye(4).tolist()]
+    for cloud in clouds[1:]:
+        move = icp(cloud, whole, most, steps)[0]
+        moves.append(move)
+        whole = written(whole.union(transform(cloud.select("pid", *AXES), move)), "merged")
+    return whole, moves
+
+
 def _matrix(solved: DataFrame) -> np.ndarray:
     row = solved.first()
     return np.array([[row[f"m{i}{j}"] for j in range(4)] for i in range(3)])

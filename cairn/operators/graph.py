@@ -45,3 +45,27 @@ def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def components_with_isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     found = connected_components(edges)
     return vertices.select("id").distinct().join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def session(summary_row: DataFrame, poses: DataFrame | None = None, key_frames: int | None = None) -> DataFrame:
+    """(level, problem) of a pose graph's session, from its summary, its poses (t, x, y, z) and how many key frames lie there.
+
+    Errors: no vertices, edges to missing vertices, more than one component, poses out of time. Warnings: isolated vertices,
+    repeated edges, fewer key frames than vertices. Without problems there is no row.
+    """
+    s = summary_row
+    rules = [
+        ("error", "no vertices", F.col("vertices") == 0),
+        ("error", "edges name missing vertices", F.col("missing") > 0),
+        ("error", "several components", F.col("components") > 1),
+        ("warning", "isolated vertices", F.col("isolated") > 0),
+        ("warning", "repeated edges", F.col("duplicates") > 0),
+    ]
+    if key_frames is not None:
+        rules.append(("warning", "fewer key frames than vertices", F.lit(key_frames) < F.col("vertices")))
+    found = F.array(*[F.when(bad, F.struct(F.lit(level).alias("level"), F.lit(text).alias("problem"))) for level, text, bad in rules])
+    out = s.select(F.explode(F.filter(found, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    if poses is not None:
+        order = poses.agg(F.count("*").alias("n"), F.countDistinct("t").alias("times"))
+        out = out.union(order.filter("n > times").select(F.lit("error").alias("level"), F.lit("poses share a time").alias("problem")))
+    return out

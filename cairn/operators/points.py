@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from cairn.functions.geometry import AXES, affine, cell, determinant, distance, norm, sigmoid
 from cairn.operators.neighbours import finite, nearest
-from cairn.plans.ranking import quantiles
+from cairn.plans.ranking import quantiles, ranked
 
 #: Cells of a coordinate around a point that hold its nearest neighbour if it is no farther than one cell.
 NEAR = (-1, 0, 1)
@@ -125,6 +125,101 @@ def jet(v: F.Column) -> dict[str, F.Column]:
     return {c: clip(1.5 - F.abs(4 * v - m)) for c, m in (("r", 3), ("g", 2), ("b", 1))}
 
 
+def scene_bounds(*clouds: DataFrame) -> DataFrame:
+    """Centre and largest extent (1 where that is 0) of the box around all clouds."""
+    every = clouds[0].select(*AXES)
+    for df in clouds[1:]:
+        every = every.union(df.select(*AXES))
+    size = F.greatest(*[F.max(c) - F.min(c) for c in AXES])
+    return every.agg(*[((F.min(c) + F.max(c)) / 2).alias(f"center_{c}") for c in AXES], F.when(size > 0, size).otherwise(1.0).alias("extent"))
+
+
+def in_range(scans: DataFrame, most: float) -> DataFrame:
+    """Points no farther than `most` from their scan's sensor (the origin)."""
+    return scans.filter(norm(*[F.col(c) for c in AXES]) <= most)
+
+
+def evenly_spaced(cloud: DataFrame, most: int, key: str = "pid") -> DataFrame:
+    """At most `most` points, evenly spaced in the order of key, the first and the last among them (half-even rounding)."""
+    n = cloud.count()
+    if n <= most:
+        return cloud
+    step = (n - 1) / max(most - 1, 1)
+    placed = ranked(cloud, key, [], name="__i")
+    k = F.bround(F.col("__i") / step)
+    hit = F.exists(F.array(k - 1, k, k + 1), lambda j: (j <= most - 1) & (F.bround(j * step) == F.col("__i")))
+    return placed.filter(hit).drop("__i")
+
+
+def budgeted(cloud: DataFrame, most: int, seed: int = 7, key: str = "pid") -> DataFrame:
+    """The cloud if it has no more than `most` points, else `most` of them by hash, in the order of key."""
+    return cloud if cloud.limit(most + 1).count() <= most else sample(cloud, most, seed, key).orderBy(key)
+
+
+def representation(files: DataFrame) -> DataFrame:
+    """files (path, and the names of a PLY's properties in `fields`) with kind: mesh, gaussian-points or point-cloud.
+
+    A mesh by suffix or by faces; splats are points with an opacity.
+    """
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    has = lambda name: F.coalesce(F.array_contains("fields", name), F.lit(False))
+    kind = F.when(suffix.isin("obj", "stl", "glb", "gltf"), "mesh").when((suffix == "ply") & has("opacity"), "gaussian-points").when((suffix == "ply") & has("face"), "mesh").otherwise("point-cloud")
+    return files.withColumn("kind", kind)
+
+
+def adapted(cloud: DataFrame, kind: str, size: float = 0.0, samples: int = 8, least: float = 0.0) -> DataFrame:
+    """Points (pid, x, y, z) of any representation: splats give surface points of those opaque enough, meshes samples of
+    their triangles; with a positive size, voxel centroids of these. A column `filters` names what was applied."""
+    done = []
+    if kind == "gaussian-points":
+        if least > 0:
+            cloud = opacity_filter(cloud, least)
+            done.append(f"opacity>={least}")
+        cloud = ellipsoid_samples(cloud, samples)
+        done.append(f"ellipsoids:{samples}")
+    elif kind == "mesh":
+        cloud = mesh_samples(cloud, samples)
+        done.append(f"triangles:{samples}")
+    if size > 0:
+        cloud = voxel_downsample(cloud, size).withColumn("pid", F.xxhash64("vx", "vy", "vz"))
+        done.append(f"voxels:{size}")
+    return cloud.select("pid", *AXES, F.lit(",".join(done)).alias("filters"))
+
+
+def mesh_samples(triangles: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """About n points spread evenly by area over triangles (pid, ax .. cz): each gets its share of n, the rest by a hash of its
+    id; where in the triangle a point lies follows from hashes too, so that runs agree. Triangles without area get none."""
+    p = {k: [F.col(f"{k}{c}") for c in AXES] for k in "abc"}
+    u, v = ([y - x for x, y in zip(p["a"], p[k], strict=True)] for k in "bc")
+    area = norm(u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]) / 2
+
+    def unit(tag: str) -> F.Column:
+        text = F.concat_ws(":", F.lit(f"{seed}{tag}"), F.col("pid").cast("string"), F.col("__k").cast("string"))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+
+    sized = triangles.withColumn("__area", area).withColumn("__k", F.lit(-1))
+    total = sized.agg(F.sum("__area").alias("__total"))
+    share = F.col("__area") / F.col("__total") * n
+    dealt = sized.crossJoin(F.broadcast(total)).withColumn("__n", (F.floor(share) + (unit("n") < share - F.floor(share)).cast("long")).cast("int")).filter("__n > 0")  # one row
+    spread = dealt.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumns({"__r": F.sqrt(unit("r")), "__t": unit("t")})
+    weights = (1 - F.col("__r"), F.col("__r") * (1 - F.col("__t")), F.col("__r") * F.col("__t"))
+    return spread.select("pid", *[sum((w * F.col(f"{k}{c}") for w, k in zip(weights[1:], "bc", strict=True)), weights[0] * F.col(f"a{c}")).alias(c) for c in AXES])
+
+
+def placed_scans(scans: DataFrame, poses: DataFrame, size: float = 0.0) -> DataFrame:
+    """Points of all scans (scan_id, x, y, z) in the world, by their poses (scan_id, tx .. tz, qx .. qw); with a positive size
+    the voxel centroids of these. Scans without a pose are left out."""
+    x, y, z = (F.col(c) for c in AXES)
+    a, b, c, w = (F.col(f"q{k}") for k in "xyzw")
+    turned = (
+        (1 - 2 * (b * b + c * c)) * x + 2 * (a * b - c * w) * y + 2 * (a * c + b * w) * z,
+        2 * (a * b + c * w) * x + (1 - 2 * (a * a + c * c)) * y + 2 * (b * c - a * w) * z,
+        2 * (a * c - b * w) * x + 2 * (b * c + a * w) * y + (1 - 2 * (a * a + b * b)) * z,
+    )
+    world = scans.join(poses, "scan_id").select("scan_id", *[(v + F.col(f"t{k}")).alias(k) for v, k in zip(turned, AXES, strict=True)])
+    return voxel_downsample(world, size) if size > 0 else world
+
+
 def within(source: DataFrame, target: DataFrame, radius: float, most: int | None = None) -> DataFrame:
     """(pid, other, d): target points no farther than radius, of each source point the nearest `most`."""
     cells = target.select(F.col("pid").alias("other"), *[F.col(c).alias(f"t{c}") for c in AXES], *[cell(F.col(c), radius).alias(f"k{c}") for c in AXES])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import AXES, norm
-from cairn.operators.points import voxel_downsample
+from cairn.operators.points import evenly_spaced, nearest, voxel_downsample
 from cairn.plans.ranking import quantiles, ranked
 
 #: Fixed value: the multiplier that scatters cell numbers.
@@ -76,3 +76,38 @@ def reduced(cloud: DataFrame, most: int, size: float = 0.01, growth: float = 1.3
             return out
         size *= growth * 1.25 if before is not None and n >= before else growth
         before = n
+
+
+def grid_tiles(cloud: DataFrame, first: int, size: int) -> DataFrame:
+    """(pid, rank, chunk): the first point of each tile, tiles in hashed order, then the second of each, and so on.
+
+    Tiles are those of the unit cube with ceil(cbrt(first)) on a side (the cloud's points, if they are fewer).
+    """
+    n = cloud.count()
+    side = max(1, math.ceil(round(max(1, min(first, n)) ** (1 / 3), 9)))
+    tile = sum((F.least(F.floor(F.col(c) * side), F.lit(side - 1)).cast("long") * side**k for c, k in zip(AXES, (2, 1, 0), strict=True)), F.lit(0).cast("long"))
+    tiled = unit_cube(cloud).select("pid", tile.alias("tile"))
+    levels = ranked(tiled, "pid", [], ["tile"], "level").withColumn("key", F.col("tile") * SCATTER % 2**32)
+    return chunked(ranked(levels, "level", ["key", "tile"]), first, size).select("pid", "rank", "chunk")
+
+
+def hybrid(cloud: DataFrame, most: int) -> DataFrame:
+    """Voxel centroids, with voxels a little smaller than would give `most` of them if points filled the box, and of these at
+    most `most`, evenly spaced in the order of their voxels."""
+    r = cloud.agg(*[(F.max(c) - F.min(c)) for c in AXES]).first()
+    extent = [max(v or 0.0, 1e-6) for v in r]
+    thin = voxel_downsample(cloud, 0.85 * (math.prod(extent) / max(most, 1)) ** (1 / 3))
+    order = ranked(thin, "vx", ["vy", "vz"], name="pid")
+    return evenly_spaced(order, most)
+
+
+def coverage(cloud: DataFrame, kept: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """Mean, this quantile and the largest of the distances from each point to the nearest kept one."""
+    d = nearest(cloud, kept)
+    return d.agg(F.avg("d").alias("mean"), F.max("d").alias("most")).crossJoin(quantiles(d, "d", [quantile]).select(F.col("p")[0].alias("quantile")))  # one row each
+
+
+def chunk_spread(chunks: DataFrame) -> DataFrame:
+    """Number of chunks and population deviation of their sizes, without the first set."""
+    sizes = chunks.filter("chunk > 0").groupBy("chunk").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("chunks"), F.coalesce(F.stddev_pop("n"), F.lit(0.0)).alias("spread"))

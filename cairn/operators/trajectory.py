@@ -150,3 +150,89 @@ def nees(states: DataFrame, by: list[str], quantile: float = 7.814727903251179)
     x, y, z = (F.col(c) for c in AXES)
     square = (cof["xx"] * x * x + cof["yy"] * y * y + cof["zz"] * z * z + 2 * (cof["xy"] * x * y + cof["xz"] * x * z + cof["yz"] * y * z)) / determinant(m)
     return states.withColumn("nees", square).groupBy(*by).agg(F.count("*").alias("n"), F.avg("nees").alias("mean_nees"), (F.avg("nees") / 3).alias("normalized"), F.avg((F.col("nees") <= quantile).cast("double")).alias("coverage"))
+
+
+def _filled(poses: DataFrame, budget: int, by: list[str]) -> DataFrame:
+    """poses with `keep`: those marked, and between them others, evenly, until there are `budget`; gaps share by their length,
+    by largest remainders (the later gap first on a tie). __i is the place and __n the number of poses."""
+    own = Window.partitionBy(*by).orderBy("__i")
+    gaps = poses.filter("keep").select(*by, "__i", F.lead("__i").over(own).alias("__to"), F.count("*").over(Window.partitionBy(*by)).alias("__kept"), "__n").filter("__to IS NOT NULL")
+    gaps = gaps.withColumn("__free", F.col("__to") - F.col("__i") - 1).withColumns({"__all": F.sum("__free").over(Window.partitionBy(*by)), "__extra": F.least(F.lit(budget), F.col("__n")) - F.col("__kept")})
+    exact = F.when((F.col("__all") > 0) & (F.col("__extra") > 0), F.col("__extra") * (F.col("__free") / F.col("__all"))).otherwise(0.0)
+    gaps = gaps.withColumn("__exact", exact).withColumn("__quota", F.floor("__exact"))
+    left = F.greatest(F.col("__extra"), F.lit(0)) - F.sum("__quota").over(Window.partitionBy(*by))
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("__exact") - F.col("__quota")), F.desc("__i")))
+    more = ((turn <= left) & (F.col("__quota") < F.col("__free"))).cast("long")
+    gaps = gaps.withColumn("__left", left).withColumn("__quota", F.col("__quota") + more).filter("__quota > 0")
+    step = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__quota")))
+    added = gaps.select(*by, "__i", "__to", "__quota", step.alias("__j")).select(*by, F.floor(F.col("__i") + F.col("__j") * ((F.col("__to") - F.col("__i")) / (F.col("__quota") + 1))).alias("__i"), F.lit(True).alias("__add"))
+    return poses.join(added, [*by, "__i"], "left").withColumn("keep", F.col("keep") | F.coalesce("__add", F.lit(False))).drop("__add")
+
+
+def _placed(poses: DataFrame, by: list[str]) -> DataFrame:
+    return poses.withColumns({"__i": F.row_number().over(Window.partitionBy(*by).orderBy("t")).cast("long") - 1, "__n": F.count("*").over(Window.partitionBy(*by))})
+
+
+def turn_aware(poses: DataFrame, budget: int, by: list[str], share: float = 0.45, anchor: str | None = None) -> DataFrame:
+    """At most `budget` poses of each trajectory: its ends and anchors (a boolean column), the sharpest turns for a share of the
+    rest, and others evenly between these. Trajectories of no more poses stay whole."""
+    placed = _placed(poses, by).join(turn_scores(poses, by), [*by, "t"])
+    fixed = (F.col("__i") == 0) | (F.col("__i") == F.col("__n") - 1) | (F.coalesce(F.col(anchor), F.lit(False)) if anchor else F.lit(False))
+    placed = placed.withColumn("__fixed", fixed)
+    number = F.sum(F.col("__fixed").cast("int")).over(Window.partitionBy(*by))
+    sharp = F.row_number().over(Window.partitionBy(*by).orderBy("__fixed", F.desc("score"), F.desc("__i")))
+    turns = F.ceil(F.greatest(F.lit(budget) - number, F.lit(0)) * F.lit(share))
+    marked = placed.withColumns({"__turn": sharp, "__turns": turns}).withColumn("keep", F.col("__fixed") | ((F.col("__turn") <= F.col("__turns")) & (F.col("score") > 0)))
+    kept = _filled(marked.withColumn("keep", F.col("keep") | (F.col("__n") <= budget)), budget, by)
+    return kept.filter("keep").select(*poses.columns)
+
+
+def by_distance(poses: DataFrame, budget: int, by: list[str]) -> DataFrame:
+    """At most `budget` poses of each trajectory, one after each `budget`-th part of its length, counted anew from each pose
+    that is kept; the ends stay. The one pass that carries the distance runs over a trajectory's step lengths alone."""
+    order = Window.partitionBy(*by).orderBy("t")
+    steps = _placed(poses, by).withColumn("__step", F.coalesce(norm(*[F.col(c) - F.lag(c).over(order) for c in AXES]), F.lit(0.0)))
+    steps = steps.withColumn("__part", F.sum("__step").over(Window.partitionBy(*by)) / max(budget - 1, 1))
+
+    def pass_(rows):
+        rows = rows.sort_values("__i")
+        n, part, far, keep = len(rows), rows["__part"].iloc[0], 0.0, []
+        for i, step in zip(rows["__i"], rows["__step"], strict=True):
+            far += step
+            hit = i in (0, n - 1) or n <= budget or far >= part
+            keep.append(bool(hit))
+            far = 0.0 if hit else far
+        return rows[[*by, "__i"]].assign(keep=keep)
+
+    kept = steps.select(*by, "__i", "__step", "__part").groupBy(*by).applyInPandas(pass_, steps.select(*by, "__i", F.lit(True).alias("keep")).schema).filter("keep").select(*by, "__i")
+    own = Window.partitionBy(*by).orderBy("__i")
+    chosen = steps.join(kept, [*by, "__i"]).withColumns({"__i": F.row_number().over(own).cast("long") - 1, "__n": F.count("*").over(Window.partitionBy(*by))})
+    # one too many can be left: then those evenly spaced among them
+    ends = (F.col("__i") == 0) | (F.col("__i") == F.col("__n") - 1)
+    return _filled(chosen.withColumn("keep", ends | (F.col("__n") <= budget)), budget, by).filter("keep").select(*poses.columns)
+
+
+def index_error(reference: DataFrame, estimated: DataFrame, by: list[str], at: str = "idx") -> DataFrame:
+    """(by, n, rmse): distance of poses of the same index, over those that both have."""
+    e = estimated.select(*by, at, *[F.col(c).alias(f"e{c}") for c in AXES])
+    d = norm(*[F.col(f"e{c}") - F.col(c) for c in AXES])
+    return reference.select(*by, at, *AXES).join(e, [*by, at]).groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"))
+
+
+def from_rows(lines: DataFrame, rate: float, by: list[str]) -> DataFrame:
+    """Poses (by, t, x, y, z, qx .. qw) from lines (by, idx, v: twelve numbers, a 3 x 4 matrix row by row), idx / rate seconds.
+
+    The quaternion has a positive first non-zero part, w first; lines of other lengths are left out.
+    """
+    m = lambda i, j: F.get("v", F.lit(4 * i + j))
+    trace = m(0, 0) + m(1, 1) + m(2, 2)
+    zero = F.lit(0.0)
+    size = {"w": 1 + trace, "x": 1 + m(0, 0) - m(1, 1) - m(2, 2), "y": 1 - m(0, 0) + m(1, 1) - m(2, 2), "z": 1 - m(0, 0) - m(1, 1) + m(2, 2)}
+    q = {k: F.sqrt(F.greatest(v, zero)) / 2 for k, v in size.items()}
+    pairs = {"xy": m(0, 1) + m(1, 0), "xz": m(0, 2) + m(2, 0), "yz": m(1, 2) + m(2, 1), "wx": m(2, 1) - m(1, 2), "wy": m(0, 2) - m(2, 0), "wz": m(1, 0) - m(0, 1)}
+    other = lambda a, b: pairs.get(a + b, pairs.get(b + a)) / (4 * q[a])
+    most = F.greatest(*size.values())
+    # from the largest part, which loses no digits
+    parts = {k: F.coalesce(*[F.when(size[a] == most, q[a] if a == k else other(a, k)) for a in "wxyz"]) for k in "wxyz"}
+    sign = F.coalesce(*[F.when(F.abs(parts[k]) > 1e-12, F.signum(parts[k])) for k in "wxyz"])
+    return lines.filter(F.size("v") == 12).select(*by, (F.col("idx") / rate).alias("t"), *[m(i, 3).alias(c) for i, c in enumerate(AXES)], *[(parts[k] * sign).alias(f"q{k}") for k in "xyzw"])

@@ -84,7 +84,7 @@ BOXES = """base AS (
   FROM lineitem
 ), pair AS (
   SELECT r.frame, r.label, r.idx AS ref_idx, e.idx AS est_idx, r.track AS ref_track, e.track AS est_track, e.score,
-    greatest(4 - abs(r.cx - (e.cx + 40 * e.tax)), 0) * greatest(4 - abs(r.cy - e.cy), 0) * greatest(4 - abs(r.cz - e.cz), 0) AS both
+    greatest(least(r.cx + 2, e.cx + 40 * e.tax + 2) - greatest(r.cx - 2, e.cx + 40 * e.tax - 2), 0) * greatest(least(r.cy + 2, e.cy + 2) - greatest(r.cy - 2, e.cy - 2), 0) * greatest(least(r.cz + 2, e.cz + 2) - greatest(r.cz - 2, e.cz - 2), 0) AS both
   FROM base r JOIN base e ON r.frame = e.frame AND r.label = e.label
 ), cand AS (SELECT frame, label, ref_idx, est_idx, ref_track, est_track, score, CASE WHEN "both" > 0 THEN "both" / (128 - "both") ELSE 0 END AS iou FROM pair)"""
 

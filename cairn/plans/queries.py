@@ -7,30 +7,12 @@ from pyspark.sql import functions as F
 
 from cairn.operators import align, boxes, evaluate, gates, graph, ground, images, points, progressive, structure, trajectory
 from cairn.plans import bindings as B
+from cairn.plans.registry import ORACLES, QUERIES, query, rounded
 from cairn.streaming import monitor
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 DAY, USER = 86_400.0, ["user_id"]
 
 
-def query(sql: str | None = None):
-    """Registers a function as a query under its name, with its SQL."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded: sums come in another order on another engine."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 # clouds
 
 
@@ -229,12 +211,6 @@ def opacity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.opacity_filter(B.events_cloud(spark, sf_dir).withColumn("opacity", F.col("x") - 5), 0.6).select("pid", "x")
 
 
-@query()
-def ellipsoid_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    splats = B.events_cloud(spark, sf_dir).withColumns({f"scale_{k}": F.log(F.lit(0.1) * (k + 1)) for k in range(3)} | {f"rot_{k}": F.col("x") + k for k in range(4)})
-    return rounded(points.ellipsoid_samples(splats, 8).select("pid", "x", "y", "z"), 4)
-
-
 # ground
 
 
@@ -255,12 +231,6 @@ def ground_height_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ground.band_confusion(B.dense_cloud(spark, sf_dir), 2.0))
 
 
-@query()
-def ground_label_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target = (df.withColumn("ground", F.col("y") < 12) for df in B.cloud_pair(spark, sf_dir))
-    return rounded(ground.transfer_confusion(source, target))
-
-
 # trajectories
 
 
@@ -370,21 +340,6 @@ def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boxes.candidates(*B.boxes(spark, sf_dir), 0.1).select("frame", "label", "ref_idx", "est_idx", "iou"))
 
 
-@query()
-def detection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(boxes.detection(*B.boxes(spark, sf_dir), 0.25))
-
-
-@query()
-def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(boxes.average_precision(*B.boxes(spark, sf_dir), 0.25))
-
-
-@query()
-def tracking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(boxes.tracking(*B.boxes(spark, sf_dir), 0.25))
-
-
 @query(f"WITH {B.BOXES} SELECT count(DISTINCT frame) AS frames, count(*) AS boxes, count(DISTINCT track) AS tracks FROM base")
 def sequence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.counts(B.boxes(spark, sf_dir)[0])
@@ -643,3 +598,8 @@ def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}/").withColumn("ts", F.col("ts").cast("timestamp"))
     out = monitor.drained(monitor.windowed(stream, "ts", "value", ["event_type"], "1 day", "1 hour"))
     return rounded(out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean"))
+
+
+from cairn.plans import more  # noqa: E402, F401  registers its queries too
+
+__all__ = ["ORACLES", "QUERIES"]
