@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.functions.geometry import ratio
-from cairn.operators.points import nearest, voxel_downsample
+from cairn.functions.geometry import AXES, ratio
+from cairn.operators.points import crop_around, error_color, nearest, transform, voxel_downsample
 from cairn.plans.ranking import quantiles
 
 THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 1.0)
@@ -58,6 +58,28 @@ def evaluate(source: DataFrame, target: DataFrame, thresholds: tuple[float, ...]
     return one.crossJoin(area_under(scores)).crossJoin(best)
 
 
+def compared(source: DataFrame, target: DataFrame, threshold: float, most: float | None = None) -> DataFrame:
+    """Each source point with its distance to the target, whether it is beyond the threshold, and its colour from green to red
+    at the threshold; with `most` the source is first brought onto the target (registration)."""
+    if most is not None:
+        from cairn.operators.align import icp
+
+        source = transform(source.select("pid", *AXES), icp(source, target, most)[0])
+    near = nearest(source, target).select("pid", "d", (F.col("d") > threshold).alias("beyond"))
+    return near.select("*", *[v.alias(k) for k, v in error_color("d", threshold).items()])
+
+
+def match_debug(scan: DataFrame, world: DataFrame, initial: list[list[float]], move: list[list[float]], size: float, margin: float) -> DataFrame:
+    """How a scan's match improves its fit: mean distance to the map cut around it, before (initial pose) and after it
+    (move times initial), and by how much; scan and map as voxel centroids."""
+    thin = lambda df: voxel_downsample(df, size).withColumn("pid", F.xxhash64("vx", "vy", "vz")).select("pid", *AXES)
+    before = transform(thin(scan), initial)
+    after = transform(before, move)
+    near = lambda df: nearest(df, thin(crop_around(world, df, margin))).agg(F.avg("d").alias("d"))
+    out = near(before).withColumnRenamed("d", "before").crossJoin(near(after).withColumnRenamed("d", "after"))  # one row each
+    return out.withColumn("improvement", F.col("before") - F.col("after"))
+
+
 def evaluate_map(estimated: DataFrame, reference: DataFrame, size: float = 0.0, thresholds: tuple[float, ...] = (0.1, 0.2, 0.5)) -> DataFrame:
     """After voxel centroids: chamfer (sum of means), accuracy and completeness at each threshold, F-score at the first."""
 

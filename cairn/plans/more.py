@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import align, boxes, gates, graph, ground, images, points, progressive, structure, suite, trajectory
+from cairn.operators import align, boxes, evaluate, gates, graph, ground, images, points, progressive, structure, suite, trajectory
 from cairn.plans import bindings as B
 from cairn.plans.registry import query, rounded
 
@@ -491,3 +491,37 @@ def cloud_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = points.transform(target, [[1, 0, 0, 0.05], [0, 1, 0, -0.03], [0, 0, 1, 0.02], [0, 0, 0, 1]])
     matrix, share, rmse = align.icp(moved, target, 1.0, steps=8)
     return spark.createDataFrame([(round(share, 3), round(rmse, 3), *[round(matrix[k][3], 2) + 0.0 for k in range(3)])], "share double, rmse double, tx double, ty double, tz double")
+
+
+_NEAR = "near AS (SELECT s.pid, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM src s, dst t GROUP BY 1)"
+
+
+@query(f"WITH {B.CLOUD}, {_NEAR} SELECT pid, round(d, 6) AS d, d > 0.4 AS beyond, round(least(d / 0.4, 1), 6) AS r, round(1 - least(d / 0.4, 1), 6) AS g, 0.0::DOUBLE AS b FROM near")
+def compare_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.compared(*B.cloud_pair(spark, sf_dir), 0.4))
+
+
+_THIN = "SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {} GROUP BY floor(x / 1)::BIGINT, floor(y / 1)::BIGINT, floor(z / 1)::BIGINT"
+
+
+@query(
+    f"""WITH {B.CLOUD}, a AS ({_THIN.format("(SELECT * FROM src WHERE sqrt(x * x + y * y + z * z) <= 25)")}), b AS ({_THIN.format("(SELECT * FROM dst WHERE sqrt(x * x + y * y + z * z) <= 25)")}),
+p AS (SELECT min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d FROM a, b GROUP BY a.x, a.y, a.z), q AS (SELECT min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS d FROM a, b GROUP BY b.x, b.y, b.z)
+SELECT round((SELECT avg(d) FROM p) + (SELECT avg(d) FROM q), 6) AS chamfer, round((SELECT avg((d <= 0.5)::INT) FROM p), 6) AS accuracy_0, round((SELECT avg((d <= 0.5)::INT) FROM q), 6) AS completeness_0"""
+)
+def filter_downsample_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = (points.in_range(df, 25.0) for df in B.cloud_pair(spark, sf_dir))
+    return rounded(evaluate.evaluate_map(source, target, 1.0, (0.5,)).select("chamfer", "accuracy_0", "completeness_0"))
+
+
+@query(
+    f"""WITH {B.CLOUD}, s AS ({_THIN.format("src")}), f AS (SELECT x + 0.5 AS x, y, z, x + 0.5 - 0.25 AS ax FROM s),
+nb AS (SELECT min(x) - 2 AS x0, max(x) + 2 AS x1, min(ax) - 2 AS a0, max(ax) + 2 AS a1, min(y) - 2 AS y0, max(y) + 2 AS y1, min(z) - 2 AS z0, max(z) + 2 AS z1 FROM f),
+w1 AS ({_THIN.format("(SELECT dst.* FROM dst, nb WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1)")}), w2 AS ({_THIN.format("(SELECT dst.* FROM dst, nb WHERE x BETWEEN a0 AND a1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1)")}),
+p AS (SELECT min(sqrt((f.x - w.x) ** 2 + (f.y - w.y) ** 2 + (f.z - w.z) ** 2)) AS d FROM f, w1 w GROUP BY f.x, f.y, f.z), q AS (SELECT min(sqrt((f.ax - w.x) ** 2 + (f.y - w.y) ** 2 + (f.z - w.z) ** 2)) AS d FROM f, w2 w GROUP BY f.x, f.y, f.z)
+SELECT round(avg(d), 6) AS before, round((SELECT avg(d) FROM q), 6) AS after, round(avg(d) - (SELECT avg(d) FROM q), 6) AS improvement FROM p"""
+)
+def scan_match_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan, world = B.cloud_pair(spark, sf_dir)
+    shift = lambda v: [[1.0, 0, 0, v], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1.0]]
+    return rounded(evaluate.match_debug(scan, world, shift(0.5), shift(-0.25), 1.0, 2.0))

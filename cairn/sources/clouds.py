@@ -1,8 +1,8 @@
 """Files of points, boxes, poses and graphs as data frames, and back.
 
-Text formats go through Spark's own readers; PLY and PCD files, which Spark has no reader for, are read by a data source
-(format "cairn_points") with one partition for each file and columns as the header names them. Paths are read by Spark's
-binary file source, so that any store that Spark reaches will do.
+Text formats go through Spark's own readers. PLY, PCD and BIN files, which Spark has no reader for, come from its binary file
+source, so that any store that Spark reaches will do; each is parsed whole in one task and may have 2 GB at most (the
+source's own limit). Larger clouds are kept as tables or as CSV, which Spark splits.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def read_csv_points(spark: SparkSession, path: str) -> DataFrame:
     heads = lines.filter((F.size("f") >= 3) & ~numbers)
     place = lambda c: F.coalesce(F.nullif(F.array_position(F.transform("f", lambda v: F.lower(v)), c), F.lit(0)), F.nullif(F.array_position(F.transform("f", lambda v: F.lower(v)), f"{c}_m"), F.lit(0))).cast("int")
     named = heads.groupBy("path").agg(*[F.first(place(c)).alias(f"i{c}") for c in XYZ])
-    rows = lines.filter((F.size("f") >= 3) & numbers).join(F.broadcast(named), "path", "left")  # a row for each file
+    rows = lines.filter((F.size("f") >= 3) & numbers).join(named, "path", "left")
     value = [F.get("f", F.coalesce(F.col(f"i{c}"), F.lit(k + 1)) - 1).try_cast("double").alias(c) for k, c in enumerate(XYZ)]
     out = rows.select("path", *value)
     for c in XYZ:
@@ -140,7 +140,7 @@ def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     first = lambda names: F.coalesce(*[F.nullif(F.array_position(F.transform("f", lambda v: F.lower(v)), n), F.lit(0)) for n in names]).cast("int")
     wanted = {"t": ("timestamp", "timestamp_sec", "time", "t"), "x": ("x", "x_m"), "y": ("y", "y_m"), "z": ("z", "z_m")}
     named = head.groupBy("path").agg(*[F.first(first(n)).alias(f"i{c}") for c, n in wanted.items()])
-    rows = parts.filter(~F.col("line").rlike("^[A-Za-z]")).join(F.broadcast(named), "path", "left")
+    rows = parts.filter(~F.col("line").rlike("^[A-Za-z]")).join(named, "path", "left")
     return rows.select("path", *[F.get("f", F.coalesce(F.col(f"i{c}"), F.lit(k + 1)) - 1).try_cast("double").alias(c) for k, c in enumerate(wanted)]).dropna()
 
 
