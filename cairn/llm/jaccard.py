@@ -16,7 +16,8 @@ symmetric difference is (a + b) / 9 at most.
    that): the coordinate bound drops pairs, the rest are verified on whole sets. Connected sets need nothing more.
 3. The rest. Keys that still hold sets of several components go to a packed R-tree over the group counts (large keys
    in pairs of tiles): nodes bound the overlap by summed minima with their largest counts and are skipped where all of
-   theirs are connected already. Surviving pairs are verified, and components formed again.
+   theirs are connected already. What survives, sets of up to FINE shingles, is bounded once more by counts of FINE_GROUPS
+   groups, of which a set lists those it fills. Surviving pairs are verified, and components formed again.
 
 Every pair that can link is compared or already connected, so the components are exact.
 """
@@ -38,6 +39,8 @@ WORDS = 5
 #: Coordinates of a point, and of its coarse form in the tree; sets under SMALL emit hashes, from BAND on they emit fine
 #: groups (both between them).
 GROUPS, COARSE, SMALL, BAND = 512, 64, 20, 16
+#: Groups of the last bound, and the most shingles of a set that lists its own of them.
+FINE_GROUPS, FINE = 1 << 16, 2_048
 #: Beyond so many shingles counts may not fit a byte, and sizes alone decide what is verified.
 LARGE = 60_000
 #: Words that a worker remembers, keys that a task packs at once, sets of a key in one pack from which it is settled there,
@@ -292,6 +295,52 @@ def few_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, starts:
     return a[keep], b[keep]
 
 
+def fine_groups(hashes: np.ndarray) -> np.ndarray:
+    """The groups that a set's shingles fall into, one for each shingle; none for a set of more than FINE."""
+    return ((hashes >> _U(16)) & _U(FINE_GROUPS - 1)).astype(np.uint16) if len(hashes) <= FINE else np.empty(0, np.uint16)
+
+
+def sharper(fine: list[np.ndarray], sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of positions can share enough: at most as many shingles as b has in groups that a fills too."""
+    ok = np.ones(len(a), bool)
+    if not len(a):
+        return ok
+    order = np.argsort(a, kind="stable")
+    mark = np.zeros(FINE_GROUPS, bool)
+    starts = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1]))
+    for s, e in zip(starts, np.append(starts[1:], len(a)), strict=True):
+        own = fine[a[order[s]]]
+        rows = order[s:e][sizes[b[order[s:e]]] <= FINE]
+        if not len(own) or not len(rows):
+            continue
+        mark[own] = True
+        lists = [fine[k] for k in b[rows]]
+        hits = np.add.reduceat(mark[np.concatenate(lists)], np.cumsum([0, *map(len, lists)])[:-1], dtype=np.int64)
+        mark[own] = False
+        ok[rows] = 9 * hits >= 4 * (sizes[a[rows]] + sizes[b[rows]])
+    return ok
+
+
+def _with_fine(held: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """labels of the sets in held, with their fine groups; the sets come from the texts again."""
+    needs = written(held.select("doc").distinct().join(classes.select(F.col("sig").alias("doc"), "rep"), "doc"), "held")
+    small = needs.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(needs) if small else needs, docs["doc_id"] == needs["rep"]).select("doc", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingles(x) for x in batch.column(1).to_pylist()]
+            own = np.array([signature(x) if len(x) else 0 for x in hashes], np.uint64).view(np.int64)
+            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array([fine_groups(x).tobytes() for x in hashes], pa.binary())], ["doc", "fine"])
+            yield rows.filter(pa.array(own == batch.column(0).to_numpy()))
+        _words.clear()
+        release()
+
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        fine = written(texts.mapInArrow(run, "doc long, fine binary").groupBy("doc").agg(F.first("fine").alias("fine")), "fine")
+    return labels.join(fine, "doc")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b of signatures) with `linked`: whether their whole sets are 0.8 alike. Sets come from the texts again,
     from one document of each in a pair (an id may have other texts: the signature tells them), and meet in groups of one
@@ -346,7 +395,7 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _tiled_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of keys' sets (key, doc; labels has a doc's label, n and point), the pairs of different labels that the R-tree's bound lets through."""
+    """Of keys' sets (key, doc; labels has a doc's label, n, point and fine), the pairs of different labels that the bounds let through."""
     sizes = written(held.groupBy("key").agg(F.count("*").alias("sets"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("doc").alias("low")), "sets")
     # keys of the same documents are worked together, a few at a time, so that a pair comes out few times
     alike = sizes.groupBy("low", "tiles").agg(F.greatest(F.ceil(F.count("*") / ALIKE), F.ceil(F.sum(F.col("sets") / F.col("tiles")) / ALIKE_ROWS)).cast("int").alias("parts"))
@@ -354,7 +403,7 @@ def _tiled_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
     rows = sizes.agg(F.coalesce(F.sum(F.col("sets") * F.col("tiles")), F.lit(0))).first()[0]
     dealt = held.join(sizes, "key").join(labels, "doc").withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     tiled = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("key", "near", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "doc", "label", "n", "point")
+    tiled = tiled.select("key", "near", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "doc", "label", "n", "point", "fine")
     slots = max(8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLOT_ROWS))
     tiled = tiled.withColumn("slot", F.pmod(F.xxhash64("near", "i", "j"), F.lit(slots)))
 
@@ -363,6 +412,7 @@ def _tiled_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
         order = np.lexsort((j, i, key))
         key, i, j, t, doc, label, n = (x[order] for x in (key, i, j, t, doc, label, n))
         points = _points(group.column("point").to_pylist())[order]
+        fine = [np.frombuffer(x, np.uint16) for x in group.column("fine").take(pa.array(order)).to_pylist()]
         starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         lengths = np.diff(np.append(starts, len(key)))
         few = (lengths <= 32) & (i[starts] == j[starts])
@@ -371,6 +421,8 @@ def _tiled_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
             a, b = tree_pairs(points[s:e], n[s:e], label[s:e], t[s:e] == i[s] if i[s] != j[s] else np.ones(e - s, bool))
             found.append((a + s, b + s))
         a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        near = sharper(fine, n, a, b)
+        a, b = a[near], b[near]
         pairs = np.unique(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])]), axis=1) if len(a) else np.empty((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
@@ -413,7 +465,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         lists = held.groupBy("key").agg(F.sum(F.shiftright(F.xxhash64("sig"), 12)).alias("h"), F.sum(F.shiftright(F.xxhash64("sig", F.lit(1)), 12)).alias("g"))
         held = written(held.join(lists.groupBy("h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").withColumnRenamed("sig", "doc"), "held")
         known = first.select("a", "b").union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = _tiled_pairs(held, labels.withColumnRenamed("sig", "doc"))
+        more = _tiled_pairs(held, _with_fine(held, labels.withColumnRenamed("sig", "doc"), classes, source))
         again = _checked(more.join(known, ["a", "b"], "left_anti"), classes, source)
         if again.filter("linked").limit(1).count():
             found = connected_components(links.union(again.filter("linked").select("a", "b")))

@@ -93,6 +93,21 @@ def test_tree_finds_what_the_bound_lets_through():
     assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset(p) for p in runs if ok(*p)}
 
 
+def test_the_last_bound_drops_no_link():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = [base] + [np.unique(np.concatenate([base[rng.random(len(base)) < share], rng.integers(0, 2**63, 60).astype(np.uint64)])) for share in np.linspace(0.5, 1, 60)]
+    sets.append(np.unique(rng.integers(0, 2**63, jaccard.FINE + 5).astype(np.uint64)))
+    sizes = np.array([len(x) for x in sets])
+    a, b = (np.array(x) for x in zip(*combinations(range(len(sets)), 2), strict=True))
+    ok = jaccard.sharper([jaccard.fine_groups(x) for x in sets], sizes, a, b)
+    for i, j, let in zip(a.tolist(), b.tolist(), ok.tolist(), strict=True):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        assert let or 100 * both < 80 * (sizes[i] + sizes[j] - both)
+        assert let == (9 * both >= 4 * (sizes[i] + sizes[j])) or max(sizes[i], sizes[j]) > jaccard.FINE or abs(9 * both - 4 * (sizes[i] + sizes[j])) < 60
+    assert len(jaccard.sharper([], sizes, a[:0], b[:0])) == 0
+
+
 def test_hot_keys_are_tiled(spark, monkeypatch):
     """A passage that many documents share, and copies of copies, with tiles of a few sets."""
     monkeypatch.setattr(jaccard, "TILE", 5)
@@ -100,6 +115,7 @@ def test_hot_keys_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FAN", 3)
     monkeypatch.setattr(jaccard, "PART_CHARS", 2_000)
     monkeypatch.setattr(jaccard, "SLOT_ROWS", 20)
+    monkeypatch.setattr(jaccard, "FINE", 70)  # some sets list their groups, some do not
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 10)
     rng = random.Random(4)
     passage = [f"p{k}" for k in range(60)]
