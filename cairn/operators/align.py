@@ -73,6 +73,54 @@ def icp(source: DataFrame, target: DataFrame, most: float, steps: int = 30, tole
     return total.tolist(), *before
 
 
+def gicp(source: DataFrame, target: DataFrame, most: float, k: int = 10, steps: int = 20, flat: float = 1e-3, tolerance: float = 1e-6) -> tuple[list[list[float]], float, float]:
+    """As icp, by generalized ICP: each point stands for a small disc along the surface (its normal from k neighbours), and
+    pairs count by how far they are apart across both discs.
+
+    A step is one Gauss-Newton step; each batch of pairs adds to a 6 x 6 system, and the driver solves the sum.
+    """
+    from cairn.operators.structure import normals
+
+    own = written(source.select("pid", *AXES).join(normals(source, k), "pid"), "gicp")
+    there = written(target.select("pid", *AXES).join(normals(target, k), "pid").select(F.col("pid").alias("other"), *[F.col(c).alias(f"r{c}") for c in AXES], *[F.col(f"n{c}").alias(f"q{c}") for c in AXES]), "gicp")
+    total, before, n = np.eye(4), (0.0, 0.0), source.count()
+    names = [f"e{c}" for c in AXES] + [f"n{c}" for c in AXES] + [f"r{c}" for c in AXES] + [f"q{c}" for c in AXES]
+
+    def system(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, m, r, q = (np.stack([batch.column(3 * g + i).to_numpy() for i in range(3)], axis=1) for g in range(4))
+            disc = lambda v: np.eye(3) - (1 - flat) * v[:, :, None] * v[:, None, :]
+            weight = np.linalg.inv(disc(m) + disc(q)) if len(e) else np.zeros((0, 3, 3))
+            jac = np.zeros((len(e), 3, 6))
+            for i, (a, b) in enumerate(((1, 2), (2, 0), (0, 1))):  # turning moves a point by the cross product
+                jac[:, a, i], jac[:, b, i] = -e[:, b], e[:, a]
+                jac[:, i, 3 + i] = 1
+            h = np.einsum("nia,nij,njb->ab", jac, weight, jac)
+            g = np.einsum("nia,nij,nj->a", jac, weight, r - e)
+            yield pa.RecordBatch.from_arrays([pa.array([list(map(float, [*h.ravel(), *g]))], pa.list_(pa.float64()))], ["v"])
+
+    for _ in range(steps):
+        now = transform(own, total.tolist()).select("pid", *AXES)
+        turned = own.select("pid", *[sum((F.col(f"n{c}") * float(total[i][j]) for j, c in enumerate(AXES)), F.lit(0.0)).alias(f"n{a}") for i, a in enumerate(AXES)])
+        near = nearest(now, target).filter(F.col("d") <= most)
+        pairs = written(near.join(now.select("pid", *[F.col(c).alias(f"e{c}") for c in AXES]), "pid").join(turned, "pid").join(there, "other").select("d", *names), "gicp")
+        r = pairs.agg(F.count("*").alias("k"), F.sqrt(F.avg(F.col("d") ** 2)).alias("rmse")).first()
+        score = (r["k"] / n if n else 0.0, r["rmse"] or 0.0)
+        if not r["k"] or max(abs(a - b) for a, b in zip(score, before, strict=True)) < tolerance:
+            return total.tolist(), *score
+        sums = pairs.select(*names).mapInArrow(system, "v array<double>").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(42)]).first()
+        h, g = np.array(sums[:36]).reshape(6, 6), np.array(sums[36:])
+        step = np.linalg.lstsq(h, g, rcond=None)[0]
+        angle = np.linalg.norm(step[:3])
+        a, b, c = step[:3] / angle if angle > 0 else (0.0, 0.0, 0.0)
+        cross = np.array([[0, -c, b], [c, 0, -a], [-b, a, 0]])
+        move = np.eye(4)
+        move[:3, :3] += np.sin(angle) * cross + (1 - np.cos(angle)) * cross @ cross
+        move[:3, 3] = step[3:]
+        total, before = move @ total, score
+    return total.tolist(), *before
+
+
 def merged(clouds: list[DataFrame], most: float, steps: int = 30) -> tuple[DataFrame, list[list[list[float]]]]:
     """All clouds (pid, x, y, z) in the frame of the first, each brought onto what is there before it, and their matrices."""
     whole, moves = written(clouds[0].select("pid", *AXES), "merged"), [np.eye(4).tolist()]

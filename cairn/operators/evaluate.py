@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from cairn.functions.geometry import AXES, ratio
 from cairn.operators.points import crop_around, error_color, nearest, transform, voxel_downsample
 from cairn.plans.ranking import quantiles
+from cairn.plans.storage import written
 
 THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 1.0)
 
@@ -58,6 +59,21 @@ def evaluate(source: DataFrame, target: DataFrame, thresholds: tuple[float, ...]
     return one.crossJoin(area_under(scores)).crossJoin(best)
 
 
+def batch(clouds: dict[str, DataFrame], reference: DataFrame, gate: dict[str, float] | None = None) -> DataFrame:
+    """A row for each named cloud with its scores against the one reference, its number of points, whether it passes the gate
+    and whether none of the others has both fewer points and a larger area (one of them strictly). Each cloud is a job of its
+    own; the names are the caller's list of files."""
+    from cairn.operators.gates import pareto, wide_gate
+
+    rows = None
+    for name, cloud in clouds.items():
+        row = evaluate(cloud, reference).crossJoin(cloud.agg(F.count("*").alias("points"))).withColumn("name", F.lit(name))  # one row each
+        rows = row if rows is None else rows.union(row)
+    gated = wide_gate(written(rows, "batch"), gate or {})
+    best = pareto(gated, "points", "auc").select("name", F.lit(True).alias("best"))
+    return gated.join(best, "name", "left").na.fill(False, ["best"])
+
+
 def compared(source: DataFrame, target: DataFrame, threshold: float, most: float | None = None) -> DataFrame:
     """Each source point with its distance to the target, whether it is beyond the threshold, and its colour from green to red
     at the threshold; with `most` the source is first brought onto the target (registration)."""

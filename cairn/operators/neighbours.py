@@ -61,15 +61,18 @@ class _Grid:
         return F.array(*[F.shiftright(F.col("code"), 3 * k) for k in range(self.depth, -1, -1)])
 
 
-def _nodes(target: DataFrame, grid: _Grid) -> DataFrame:
-    """(id, leaf, n, low and high of each axis) of the tree's cells; those under a leaf are not in it."""
+def _nodes(target: DataFrame, grid: _Grid) -> tuple[DataFrame, int, int]:
+    """(id, leaf, n, low and high of each axis) of the tree's cells, those under a leaf are not in it; how many there are at most,
+    and on how many levels below the root."""
     fine = target.groupBy("code").agg(F.count("*").alias("n"), *[f(c).alias(f"{s}{c}") for c in AXES for s, f in (("lo_", F.min), ("hi_", F.max))])
     sums = [F.sum("n").alias("n"), *[f(s + c).alias(s + c) for c in AXES for s, f in (("lo_", F.min), ("hi_", F.max))]]
     every = fine.withColumn("id", F.explode(grid.cells())).groupBy("id").agg(*sums)
     inner = (F.col("n") > LEAF) & (F.col("id") < (1 << (3 * grid.depth)))
     every = written(every.withColumn("leaf", ~inner), "cells")
     above = every.filter("NOT leaf").select(F.col("id").alias("above"))
-    return every.join(above, F.shiftright("id", 3) == F.col("above"), "left").filter("above IS NOT NULL OR id = 1").drop("above")
+    cells, deepest = every.agg(F.count("*"), F.max(F.when(~F.col("leaf"), F.col("id")))).first()
+    tree = every.join(above, F.shiftright("id", 3) == F.col("above"), "left").filter("above IS NOT NULL OR id = 1").drop("above")
+    return tree, cells, 0 if deepest is None else (deepest.bit_length() - 1) // 3 + 1
 
 
 def _best(d2: np.ndarray, need: int) -> np.ndarray:
@@ -125,8 +128,9 @@ def _meet(low: list[float], side: float, need: int, home: bool):
 
 def _met(source: DataFrame, target: DataFrame, grid: _Grid, need: int, home: bool) -> DataFrame:
     """Source and target points (leaf, pid, x, y, z) of the same leaf, a leaf with many source points in parts."""
-    hot = written(source.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).filter("parts > 1"), "hot")
-    if hot.limit(1).count():
+    hot = source.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).filter("parts > 1")
+    if source.limit(CHUNK + 1).count() > CHUNK and hot.limit(1).count():
+        hot = written(hot, "hot")
         source = source.join(hot, "leaf", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("pid"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
         target = target.join(hot, "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     else:
@@ -181,8 +185,7 @@ def nearest(source: DataFrame, target: DataFrame, k: int = 1, size: float | None
     same = Window.partitionBy(*AXES).orderBy("pid")
     distinct = target.groupBy(*AXES).agg(F.min("pid").alias("pid")) if need == 1 else target.withColumn("__r", F.row_number().over(same)).filter(F.col("__r") <= need).drop("__r")
     coded = written(distinct.withColumn("code", grid.code()), "target")
-    tree = _nodes(coded, grid)
-    cells, deepest = tree.agg(F.count("*"), F.max("id")).first()
+    tree, cells, levels = _nodes(coded, grid)
     small = cells <= BROADCAST_CELLS
     leaves = tree.filter("leaf").select(F.col("id").alias("leaf"))
     leaves = F.broadcast(leaves) if small else leaves
@@ -202,7 +205,7 @@ def nearest(source: DataFrame, target: DataFrame, k: int = 1, size: float | None
     open_points = written(unsettled.union(away), "open")
     every = found.select("pid", "other", "d")
     if open_points.limit(1).count():
-        visits = written(_visits(open_points, tree, small, (deepest.bit_length() - 1) // 3, need), "visits")
+        visits = written(_visits(open_points, tree, small, levels, need), "visits")
         every = every.union(_met(visits, there, grid, need, False).select("pid", "other", "d"))
     if apart:
         every = every.filter("pid <> other")

@@ -525,3 +525,14 @@ def scan_match_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan, world = B.cloud_pair(spark, sf_dir)
     shift = lambda v: [[1.0, 0, 0, v], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1.0]]
     return rounded(evaluate.match_debug(scan, world, shift(0.5), shift(-0.25), 1.0, 2.0))
+
+
+@query(
+    f"""WITH {B.CLOUD}, near AS (SELECT s.cloud_id, s.pid, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM cloud s, dst t WHERE s.cloud_id IN ('click', 'error') GROUP BY 1, 2), back AS (SELECT s.cloud_id, t.pid, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM cloud s, dst t WHERE s.cloud_id IN ('click', 'error') GROUP BY 1, 2),
+a AS (SELECT cloud_id, avg(d) AS m, max(d) AS x, count(*) AS n FROM near GROUP BY 1), b AS (SELECT cloud_id, avg(d) AS m, max(d) AS x FROM back GROUP BY 1)
+SELECT cloud_id AS name, round((a.m + b.m) / 2, 6) AS chamfer, round(greatest(a.x, b.x), 6) AS hausdorff, a.n AS points, (a.m + b.m) / 2 <= 0.5 AS passed FROM a JOIN b USING (cloud_id)"""
+)
+def batch_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cloud = B.events_cloud(spark, sf_dir)
+    clouds = {name: cloud.filter(F.col("cloud_id") == name) for name in ("click", "error")}
+    return rounded(evaluate.batch(clouds, B.cloud_pair(spark, sf_dir)[1], {"max_chamfer": 0.5}).select("name", "chamfer", "hausdorff", "points", "passed"))

@@ -170,3 +170,19 @@ def test_registration_in_stages(spark):
     scans = [spark.createDataFrame([(100 * k + i, *map(float, p - np.array([0.05 * k, 0, 0]))) for i, p in enumerate(room)], POINT) for k in range(3)]
     whole, moves = align.merged(scans, 1.0, steps=6)
     assert whole.count() == 270 and [round(m[0][3], 3) for m in moves] == [0.0, 0.05, 0.1]
+
+
+def test_generalized_icp_slides_along_surfaces(spark):
+    """Two samplings of the same three walls, a little apart: points have no exact partners, surfaces have."""
+    rng = np.random.default_rng(11)
+
+    def walls(n):
+        u, v = rng.uniform(0, 4, (2, n))
+        zero = np.zeros(n)
+        return np.concatenate([np.stack([u, v, zero], axis=1), np.stack([u, zero, v], axis=1), np.stack([zero, u, v], axis=1)])
+
+    a, b, shift = walls(250), walls(250), np.array([0.08, -0.05, 0.06])
+    source = spark.createDataFrame([(k, *map(float, p - shift)) for k, p in enumerate(a)], POINT)
+    target = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(b)], POINT)
+    matrix, share, _ = align.gicp(source, target, 1.0, steps=5)
+    assert share == 1.0 and np.abs(np.array(matrix)[:3, 3] - shift).max() < 0.02
