@@ -168,6 +168,9 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     rows = bpe.tokenize(docs_of(spark, texts).withColumn("decoded", F.lit(3)), path, pattern).orderBy("doc_id").collect()
     assert [bytes(r["decoded"]).decode() for r in rows] == [x or "" for x in texts]
     assert [r["token_ids"] for r in rows] == [other.encode_ordinary(x or "") for x in texts]
+    assert bpe.tokenize(docs_of(spark, texts).limit(0), path, pattern).count() == 0
+    twice = bpe.tokenize(docs_of(spark, ["Hello there."]).union(docs_of(spark, ["Hello there."])), path, pattern).collect()
+    assert len(twice) == 2 and twice[0]["token_ids"] == twice[1]["token_ids"]
 
 
 def test_prefix_tables_take_appends_and_edits():
