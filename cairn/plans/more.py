@@ -265,7 +265,7 @@ def mesh_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {B.CLOUD}, w AS (SELECT cloud_id, -y + 1 AS x, x + 2 AS y, z - 3 AS z FROM cloud WHERE cloud_id <> 'error')
-SELECT floor(x / 2)::BIGINT AS vx, floor(y / 2)::BIGINT AS vy, floor(z / 2)::BIGINT AS vz, count(*) AS n, round(avg(x), 5) AS x, round(avg(y), 5) AS y, round(avg(z), 5) AS z FROM w GROUP BY 1, 2, 3"""
+SELECT floor(x / 2)::BIGINT AS vx, floor(y / 2)::BIGINT AS vy, floor(z / 2)::BIGINT AS vz, count(*) AS n, round(avg(x) + 1e-9, 5) AS x, round(avg(y) + 1e-9, 5) AS y, round(avg(z) + 1e-9, 5) AS z FROM w GROUP BY 1, 2, 3"""
 )
 def map_from_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan for each event type, all at one pose, a quarter turn about z; one scan has no pose."""
@@ -273,7 +273,8 @@ def map_from_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = 0.5**0.5
     poses = scans.select("scan_id").distinct().filter("scan_id <> 'error'").select("scan_id", *[F.lit(v).alias(k) for k, v in {"tx": 1.0, "ty": 2.0, "tz": -3.0, "qx": 0.0, "qy": 0.0, "qz": half, "qw": half}.items()])
     world = points.placed_scans(scans, poses).select("scan_id", *[F.round(c, 9).alias(c) for c in "xyz"])
-    return rounded(points.voxel_downsample(world, 2.0), 5)
+    thin = points.voxel_downsample(world, 2.0)
+    return rounded(thin.withColumns({c: F.col(c) + 1e-9 for c in "xyz"}), 5)  # means end in halves of the last digit
 
 
 @query(
@@ -293,11 +294,11 @@ def _sphere_sql(n: int) -> str:
 @query(
     f"""WITH {B.CLOUD}, q AS (SELECT *, sqrt(x * x + (x + 1) ** 2 + (x + 2) ** 2 + (x + 3) ** 2) AS l FROM cloud), u AS (SELECT pid, x AS px, y AS py, z AS pz, x / l AS w, (x + 1) / l AS i, (x + 2) / l AS j, (x + 3) / l AS k FROM q),
 s AS (SELECT * FROM u, (VALUES {_sphere_sql(8)}) t(ta, tb, tc)), e AS (SELECT *, ta * 0.1 AS a, tb * 0.2 AS b, tc * 0.3 AS c FROM s)
-SELECT pid, round(px + (1 - 2 * (j * j + k * k)) * a + 2 * (i * j - w * k) * b + 2 * (i * k + w * j) * c, 4) AS x, round(py + 2 * (i * j + w * k) * a + (1 - 2 * (i * i + k * k)) * b + 2 * (j * k - w * i) * c, 4) AS y, round(pz + 2 * (i * k - w * j) * a + 2 * (j * k + w * i) * b + (1 - 2 * (i * i + j * j)) * c, 4) AS z FROM e"""
+SELECT pid, round(1e-9 + px + (1 - 2 * (j * j + k * k)) * a + 2 * (i * j - w * k) * b + 2 * (i * k + w * j) * c, 4) + 0.0 AS x, round(1e-9 + py + 2 * (i * j + w * k) * a + (1 - 2 * (i * i + k * k)) * b + 2 * (j * k - w * i) * c, 4) + 0.0 AS y, round(1e-9 + pz + 2 * (i * k - w * j) * a + 2 * (j * k + w * i) * b + (1 - 2 * (i * i + j * j)) * c, 4) + 0.0 AS z FROM e"""
 )
 def ellipsoid_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     splats = B.events_cloud(spark, sf_dir).withColumns({f"scale_{k}": F.log(F.lit(0.1) * (k + 1)) for k in range(3)} | {f"rot_{k}": F.col("x") + k for k in range(4)})
-    return rounded(points.ellipsoid_samples(splats, 8).select("pid", "x", "y", "z"), 4)
+    return rounded(points.ellipsoid_samples(splats, 8).select("pid", *[(F.col(c) + 1e-9).alias(c) for c in "xyz"]), 4)  # zeros of either sign
 
 
 # order of display
