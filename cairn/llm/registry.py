@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-#: The modules of the ten operators, each with QUERIES and ORACLES.
-MODULES = ("jaccard", "bpe", "language", "private", "fingerprint", "toxicity", "mixing", "license", "quality", "embeddings")
+#: The modules of the operators, each with QUERIES and ORACLES.
+MODULES = ("jaccard", "bpe", "language", "private", "fingerprint", "toxicity", "mixing", "license", "quality", "embeddings", "infill", "codes", "search")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
