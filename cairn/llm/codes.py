@@ -54,7 +54,7 @@ class Tree:
     """A kd-tree of a codebook's entries."""
 
     def __init__(self, entries: list[list[int]]):
-        self.entries = np.array(entries, np.int64).reshape(len(entries), -1)
+        self.entries = np.array(entries, np.int64).reshape(len(entries), len(entries[0]) if entries else 0)
         self.root = self._node(np.arange(len(entries)))
 
     def _node(self, ids: np.ndarray):
