@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -374,47 +375,65 @@ def test_quality_of_held_out_labels(spark):
     assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) > 0.95
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}])
+def within_a_block(mixed, weights, source="source"):
+    """While all sources last, after every slot each source is less than one block from its share by its stated weight."""
+    first = mixed.drop_duplicates([source, "mix_block"])
+    assert first["mix_slot"].is_unique and ((mixed["mix_release"] <= mixed["mix_slot"]) & (mixed["mix_slot"] < mixed["mix_deadline"])).all()
+    total = sum(Fraction(w) for w in weights.values())
+    for name, own in first.groupby(source, dropna=False):
+        share = Fraction(weights[name if isinstance(name, str) else None]) / total
+        for block, slot in zip(own["mix_block"].tolist(), own["mix_slot"].tolist(), strict=True):  # just before and just after it goes out
+            assert -1 < block - slot * share < 1 and -1 < block + 1 - (slot + 1) * share < 1
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 3.0, "c": 1.0, None: 1.0}, {"a": 0.5, "b": 0.25, "c": 0.125, None: 0.125, "none": 0.0625}])
 def test_mixing_keeps_every_source_within_a_block(spark, weights):
     rng = random.Random(9)
     rows = [(i, rng.choice("ab" "c") if i % 11 else None, "x" * rng.randint(0, 90), "clash") for i in range(900)] + [(5, "a", "x" * 10, "clash")] * 2
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot string").withColumns({c: F.lit(c) for c in ("slot", "k", "release", "part", "source.name", "__source", "__of", "__bucket")})
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot string").withColumns({c: F.lit(c) for c in ("slot", "k", "release", "part", "source.name", "__source", "__of", "__bucket", "__i", "__first")})
     out = mixing.mix(docs, weights, block_chars=100)
     assert sorted(out.columns) == sorted({*docs.columns, *mixing.ADDED}) and out.filter("slot = 'slot' AND k = 'k' AND __of = '__of'").count() == len(rows)
     out = out.toPandas()
     assert len(out) == len(rows) and sorted(out["doc_id"]) == sorted(r[0] for r in rows)
-    given = weights or {"a": 1, "b": 1, "c": 1, None: 1}
-    parts = mixing.whole_parts(given, mixing.PERIOD if weights else 4)
-    slots = mixing.schedule(spark, parts).toPandas().sort_values("slot")
-    assert slots["slot"].tolist() == list(range(sum(parts.values())))
-    done = {s: 0 for s in parts}
-    for t, s in enumerate(slots["source"].where(slots["source"].notna(), None), 1):
-        done[s] += 1
-        assert all(abs(done[x] - t * parts[x] / sum(parts.values())) < 1 for x in parts)
-    assert ((slots["release"] <= slots["slot"]) & (slots["slot"] < slots["deadline"])).all()
-    assert ((out["mix_release"] <= out["mix_slot"]) & (out["mix_slot"] < out["mix_deadline"])).all()
+    within_a_block(out, weights or {"a": 1, "b": 1, "c": 1, None: 1})
     # a slot holds one block of one source
     assert (out.fillna("-").groupby("mix_slot")[["source", "mix_block"]].nunique() == 1).all().all()
     assert mixing.mix(docs.limit(0)).count() == 0
+    for bad in ({"a": 1.0}, {"a": 0.0, "b": 1.0, "c": 1.0, None: 1.0}, {"a": 1e-9, "b": 0.1234567891, "c": 3.0, None: 1.0}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, bad)
+    twice = spark.createDataFrame([(s, w) for s in ("a", "b", "c", None) for w in (1.0, 2.0)], "source string, weight double")
     with pytest.raises(ValueError):
-        mixing.mix(docs, {"a": 1.0})
+        mixing.mix(docs, twice)
+
+
+@pytest.mark.parametrize("members", [{1: 4}, {1: 1, 3: 1, 5: 1}, {1: 5, 2: 5, 3: 5, 4: 5}, {7: 3, 2: 1, 11: 2}, {1: 30, 29: 1}])
+def test_schedule_is_earliest_deadline_first(members):
+    """Every slot of a period against a slot by slot search among all released blocks, and every window kept."""
+    period = sum(p * n for p, n in members.items())
+    got = {}
+    for r in mixing.schedule(members):
+        for j in range(r.n):
+            got[r.slot + j] = (r.part, r.first + j, r.k, r.release, r.deadline)
+    assert sorted(got) == list(range(period))
+    sent = {(p, i): 0 for p, n in members.items() for i in range(n)}
+    for slot in range(period):
+        ready = [(-(-(k + 1) * period // p), p, k, i) for (p, i), k in sent.items() if k < p and k * period // p <= slot]
+        deadline, p, k, i = min(ready)
+        assert got[slot] == (p, i, k, k * period // p, deadline) and slot < deadline
+        sent[p, i] += 1
+    assert len(mixing.schedule({p: n * 1_000 for p, n in members.items()})) <= 3 * sum(members)
 
 
 def test_mixing_query_keeps_the_stated_weights(spark, small):
-    """While all sources last, each has had its share of the slots but for less than one block."""
+    """Over many periods, with short blocks."""
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "text")
-    weights = mixing.stated_weights(docs)
-    assert len(set(weights.values())) == 4
-    parts = mixing.whole_parts(weights, max(mixing.PERIOD, mixing.SLOTS * len(weights)))
-    out = mixing.mix(docs, weights, block_chars=400).toPandas()
-    first = out.drop_duplicates(["source", "mix_block"])
-    assert (first["mix_slot"].is_unique) and ((out["mix_release"] <= out["mix_slot"]) & (out["mix_slot"] < out["mix_deadline"])).all()
-    period = sum(parts.values())
-    for source, own in first.groupby("source"):
-        blocks = own.sort_values("mix_block")
-        for block, slot in zip(blocks["mix_block"], blocks["mix_slot"], strict=True):
-            before, after = block - slot * parts[source] / period, block + 1 - (slot + 1) * parts[source] / period
-            assert -1 < before < 1 and -1 < after < 1
+    names = sorted((r[0] for r in docs.select("source").distinct().collect()), key=lambda s: (s is None, s or ""))
+    weights = {s: 1.0 + i % 4 for i, s in enumerate(names)}
+    assert {r["source"]: r["weight"] for r in mixing.stated_weights(docs).collect()} == weights and len(set(weights.values())) == 4
+    out = mixing.mix(docs, mixing.stated_weights(docs), block_chars=40).toPandas()
+    assert out["mix_slot"].max() > 20 * sum(weights.values())
+    within_a_block(out, weights)
     assert mixing.op6_mixing(spark, small).select("slot").distinct().count() > 1
 
 
@@ -426,16 +445,12 @@ def test_mixing_takes_any_number_of_sources(spark):
     assert sorted(r["mix_slot"] for r in even) == list(range(2 * len(names)))
     assert all(r["mix_slot"] % len(names) == names.index(r["source"]) for r in even)
     weights = {s: 1.0 + i % 4 for i, s in enumerate(names)}
-    parts = mixing.whole_parts(weights, mixing.SLOTS * len(names))
-    assert len(set(parts.values())) >= 4
-    slots = {(r["source"], r["k"]): r for r in mixing.schedule(spark, parts).collect()}
-    assert len(slots) == sum(parts.values())
-    mixed = mixing.mix(docs, weights, block_chars=50).collect()
+    mixed = mixing.mix(docs, weights, block_chars=50).toPandas()
     assert len(mixed) == 2 * len(names)
-    for r in mixed:
-        want = slots[r["source"], r["mix_block"]]
-        assert (r["mix_release"], r["mix_deadline"], r["mix_slot"]) == (want["release"], want["deadline"], want["slot"])
-        assert r["mix_release"] <= r["mix_slot"] < r["mix_deadline"]
+    within_a_block(mixed, weights)
+    table = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    again = mixing.mix(docs, table, block_chars=50).toPandas()
+    assert sorted(zip(again["doc_id"], again["mix_slot"], strict=True)) == sorted(zip(mixed["doc_id"], mixed["mix_slot"], strict=True))
 
 
 def test_fingerprints_are_steady_and_near_the_truth(spark):
