@@ -41,7 +41,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.6, False, ("phone", "call", "tel", "mobile")),
     Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", 0.3, True, ("iban", "bank", "account"), ("serial", "tracking")),
     Kind("ssn", r"\b(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\b", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, False, ("ssn", "social", "security")),
-    Kind("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,127}[0-9])(?=[0-9_/+-]{0,127}[A-Za-z])[A-Za-z0-9_/+-]{20,128}+(?![A-Za-z0-9_/+-])", r"[A-Za-z0-9_/+-]{20}", 0.3, False, ("token", "secret", "api", "key", "password", "bearer", "credential")),
+    Kind("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{20,}+", r"[A-Za-z0-9_/+-]{20}", 0.3, False, ("token", "secret", "api", "key", "password", "bearer", "credential")),
 )
 BASE = ("email", "ip", "card", "phone")
 #: What a checksum that holds adds, what words nearby add or take, how many characters on either side count as nearby, the
