@@ -185,14 +185,16 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     """Each row's kept columns with token_ids (array of int) and decoded (binary, made from those ids).
 
     A null text counts as empty: no ids, no bytes. Repeated rows give repeated rows. Input columns named token_ids or
-    decoded are replaced. The rank file is read on the driver and broadcast; a vocabulary bounds its size. remember trades a
+    decoded are replaced, all others come back whatever their names. The rank file is read on the driver and broadcast; a vocabulary bounds its size. remember trades a
     worker's memory for time.
     """
     spark, kept = docs.sparkSession, [c for c in (keep or docs.columns) if c not in ("token_ids", "decoded")]
     with open(ranks_path, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = source.select(*kept, F.lit(None).cast("array<int>").alias("token_ids"), F.lit(None).cast("binary").alias("decoded")).schema
+    plain = [f"c{k}" for k in range(len(kept))]  # so that no input column's name is one of those below
+    back = [F.col(p).alias(c) for p, c in zip(plain, kept, strict=True)]
+    source = docs.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, kept, strict=True)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    schema = source.select(*plain, F.lit(None).cast("array<int>").alias("token_ids"), F.lit(None).cast("binary").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern, remember)
@@ -204,13 +206,13 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 packed = pa.py_buffer(b"".join(ids))
                 listed = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), len(packed) // 4, [None, packed]))
                 decoded = pa.array(map(encoder.decode, ids), pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], listed, decoded], [*kept, "token_ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], listed, decoded], [*plain, "token_ids", "decoded"])
         if remember < REMEMBER:  # memory is short: nothing stays for the worker's next task
             del encoder
             _encoder.cache_clear()
             release()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*back, "token_ids", "decoded")
 
 
 def _running(lengths) -> Iterator[int]:

@@ -155,20 +155,22 @@ def score(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Each row's kept columns with lang_pred and score. A text that is null or has no letter is `und` with score 0.
 
-    Repeated rows give repeated rows; input columns named lang_pred or score are replaced.
+    Repeated rows give repeated rows; input columns named lang_pred or score are replaced, all others come back whatever their names.
     """
     kept = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = source.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    plain = [f"c{k}" for k in range(len(kept))]  # so that no input column's name is one of those below
+    back = [F.col(p).alias(c) for p, c in zip(plain, kept, strict=True)]
+    source = docs.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, kept, strict=True)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    schema = source.select(*plain, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = score(shared.value, batch.column(len(kept)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*plain, "lang_pred", "score"])
         release()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*back, "lang_pred", "score")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from cairn.llm.common import release, remainder, table, written
 
 #: Texts of either label that a model is trained on at most; the part of them that thresholds are calibrated on.
 TRAIN_TOXIC, TRAIN_CLEAN, CALIBRATE = 4_000, 8_000, 0.2
+#: Characters of the sample about, at most: rows are drawn thinner where texts are long; longer texts than TRAIN_LONGEST are not learned from.
+TRAIN_CHARS, TRAIN_LONGEST = 100_000_000, 1_000_000
 #: Hash buckets; texts that a word must occur in to be embedded; embedding size; filters of each width.
 BUCKETS, LEAST_TEXTS, DIMS, FILTERS, WIDTHS = 1 << 20, 3, 12, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, SEED = 10, 64, 0.01, 5
@@ -180,7 +182,8 @@ def calibrated(model: ToxicityModel, texts: list[np.ndarray], toxic: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", lang: str = "lang", key: str = "doc_id") -> ToxicityModel:
     """A model from a bounded sample of the labels (key and 0 or 1) and their texts in docs; null texts count as empty.
 
-    The sample is drawn from the labels, so that only its rows, few enough to broadcast, are sought among the texts. With
+    The sample is drawn from the labels, so that only its rows, few enough to broadcast, are sought among the texts. It is
+    bounded in rows (TRAIN_TOXIC, TRAIN_CLEAN) and in characters (TRAIN_CHARS, TRAIN_LONGEST), as its words go to the driver. With
     no row, or rows of one label only, the model knows no word and the threshold decides alone.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).filter("toxic IN (0, 1) AND key IS NOT NULL").dropDuplicates(["key"])
@@ -190,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     most = {k: int(1_000_000 * min(1, bound[k] / max(1, totals.get(k, 0)))) for k in bound}
     drawn = known.filter(F.when(F.col("toxic") == 1, per < most[1]).otherwise(per < most[0]))
     texts_of = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
-    sample = written(texts_of.join(F.broadcast(drawn), "key").select("key", "text", "toxic", "lang"), "toxic")
+    sample = written(texts_of.filter(F.length("text") <= TRAIN_LONGEST).join(F.broadcast(drawn), "key").select("key", "text", "toxic", "lang"), "toxic")
+    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > TRAIN_CHARS:
+        sample = sample.filter(F.pmod(F.xxhash64("key", F.lit(SEED + 1)), F.lit(1_000_000)) < int(1_000_000 * TRAIN_CHARS / chars))
     languages = language.fit(sample.filter("lang <> ''"), key="key")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +236,14 @@ def predict(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: lis
     """Each row's kept columns with score (0 to 1, from the text alone) and predicted (1 from a score of 0.5 on).
 
     A null text counts as empty; it gets the score of a text without known words. Repeated rows give repeated rows; input
-    columns named score or predicted are replaced.
+    columns named score or predicted are replaced, all others come back whatever their names.
     """
     kept = [c for c in (keep or docs.columns) if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = source.select(*kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    plain = [f"c{k}" for k in range(len(kept))]  # so that no input column's name is one of those below
+    back = [F.col(p).alias(c) for p, c in zip(plain, kept, strict=True)]
+    source = docs.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, kept, strict=True)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    schema = source.select(*plain, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def scores(texts: list[str], rows: _Rows) -> np.ndarray:
         own = shared.value
@@ -251,11 +259,11 @@ def predict(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: lis
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
                 score = scores(batch.column(len(kept)).to_pylist(), rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*plain, "score", "predicted"])
         rows.clear()
         release()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*back, "score", "predicted")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
