@@ -133,8 +133,9 @@ def decide(stats: DataFrame, series: str, at: str, strategy: str = "window") ->
 
 def composite_rank(rows: DataFrame, name: str, weights: dict[str, float], falling: tuple[str, ...] = ()) -> DataFrame:
     """Strategies (name) by the weighted sum of their places by the mean of each metric: place 1 is the smallest mean, of those
-    in `falling` the largest. Equal means take places by name; no place is shared."""
-    out = rows.groupBy(name).agg(*[F.avg(m).alias(m) for m in weights])
+    in `falling` the largest. Means count to nine digits, as sums come in any order; equal ones take places by name and no
+    place is shared."""
+    out = rows.groupBy(name).agg(*[F.round(F.avg(m), 9).alias(m) for m in weights])
     total = F.lit(0.0)
     for m, w in weights.items():
         # as many rows as strategies

@@ -131,7 +131,7 @@ def baseline_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {B.METRICS}, a AS (SELECT series, avg(auc) AS auc, avg(chamfer) AS chamfer, avg(coverage) AS coverage FROM wide GROUP BY 1),
+    f"""WITH {B.METRICS}, a AS (SELECT series, round(avg(auc), 9) AS auc, round(avg(chamfer), 9) AS chamfer, round(avg(coverage), 9) AS coverage FROM wide GROUP BY 1),
 r AS (SELECT series, row_number() OVER (ORDER BY auc DESC, series)::INT AS auc_rank, row_number() OVER (ORDER BY chamfer, series)::INT AS chamfer_rank, row_number() OVER (ORDER BY coverage DESC, series)::INT AS coverage_rank FROM a)
 SELECT *, round(auc_rank * 0.5 + chamfer_rank * 0.3 + coverage_rank * 0.2, 3)::DOUBLE AS composite FROM r"""
 )

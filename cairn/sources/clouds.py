@@ -1,8 +1,8 @@
 """Files of points, boxes, poses and graphs as data frames, and back.
 
-Text formats go through Spark's own readers. PLY, PCD and BIN files, which Spark has no reader for, come from its binary file
-source, so that any store that Spark reaches will do; each is parsed whole in one task and may have 2 GB at most (the
-source's own limit). Larger clouds are kept as tables or as CSV, which Spark splits.
+Text formats go through Spark's own readers; PLY, PCD, BIN and LAS files through the data source of cairn.sources.records, by
+byte ranges. Where pyarrow has no file system for a path, such files come from Spark's binary file source instead: one task a
+file, of 2 GB at most.
 """
 
 from __future__ import annotations
@@ -15,106 +15,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: PLY property types and their sizes and kinds.
-PLY_TYPES = {
-    "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
-    "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8",
-}
+from cairn.sources import records
+
 XYZ = ("x", "y", "z")
+#: Fixed value: the factor of a splat's first colour coefficients.
+DC = 0.28209479177387814
 
 
 def parse_ply(data: bytes, wanted: tuple[str, ...] = XYZ) -> dict[str, np.ndarray]:
     """The wanted vertex properties that a PLY file has; ascii and binary_little_endian. Truncated files raise ValueError."""
-    head, _, body = data.partition(b"end_header")
-    body = body.split(b"\n", 1)[1] if b"\n" in body else b""
-    lines = [x.split() for x in head.decode("ascii", "replace").splitlines()]
-    if not lines or lines[0] != ["ply"]:
-        raise ValueError("not a PLY file")
-    kind, count, fields, current = "", 0, [], ""
-    for x in lines[1:]:
-        if x[:1] == ["format"]:
-            kind = x[1]
-        elif x[:1] == ["element"]:
-            current = x[1]
-            count = int(x[2]) if current == "vertex" else count
-        elif x[:1] == ["property"] and current == "vertex" and x[1] != "list":
-            fields.append((x[2], "<" + PLY_TYPES[x[1]]))
-    if kind == "ascii":
-        rows = body.decode("ascii").split("\n")[:count]
-        table = np.array([r.split()[: len(fields)] for r in rows if r.strip()], float).reshape(-1, len(fields))
-        found = {name: table[:, k] for k, (name, _) in enumerate(fields) if name in wanted}
-        size = len(table)
-    elif kind == "binary_little_endian":
-        shape = np.dtype(fields)
-        size = len(body) // shape.itemsize if shape.itemsize else 0
-        table = np.frombuffer(body, shape, min(count, size))
-        found, size = {name: table[name].astype(float) for name, _ in fields if name in wanted}, min(count, size)
-    else:
-        raise ValueError(f"PLY format {kind!r} is not read")
-    if size < count:
-        raise ValueError(f"{count} vertices announced, {size} found")
-    return found
+    return records.parsed(data, "ply", wanted)
 
 
 def parse_pcd(data: bytes, wanted: tuple[str, ...] = XYZ) -> dict[str, np.ndarray]:
     """The wanted fields of a PCD file with ascii or binary data."""
-    fields, sizes, kinds, counts, n, at = [], [], [], [], 0, 0
-    while True:
-        end = data.find(b"\n", at)
-        if end < 0:
-            raise ValueError("PCD header without DATA")
-        words, at = data[at:end].decode("ascii", "replace").split(), end + 1
-        match words[:1]:
-            case ["FIELDS"]:
-                fields = words[1:]
-            case ["SIZE"]:
-                sizes = list(map(int, words[1:]))
-            case ["TYPE"]:
-                kinds = words[1:]
-            case ["COUNT"]:
-                counts = list(map(int, words[1:]))
-            case ["POINTS"]:
-                n = int(words[1])
-            case ["DATA"]:
-                break
-    shape = np.dtype([(f, f"<{k.lower()}{s}", (c,)) for f, s, k, c in zip(fields, sizes, kinds, counts or [1] * len(fields), strict=True)])
-    if words[1] == "ascii":
-        table = np.array([r.split() for r in data[at:].decode("ascii").splitlines()[:n]], float)
-        return {f: table[:, k] for k, f in enumerate(fields) if f in wanted}
-    if words[1] != "binary" or len(data) - at < n * shape.itemsize:
-        raise ValueError(f"PCD data {words[1]!r} is not read, or cut short")
-    table = np.frombuffer(data, shape, n, at)
-    return {f: table[f][:, 0].astype(float) for f in fields if f in wanted}
+    return records.parsed(data, "pcd", wanted)
 
 
 def parse_bin(data: bytes, wanted: tuple[str, ...] = XYZ) -> dict[str, np.ndarray]:
     """Scans of four little-endian floats a point."""
-    table = np.frombuffer(data, "<f4", len(data) // 16 * 4).reshape(-1, 4).astype(float)
-    return {c: table[:, k] for k, c in enumerate(("x", "y", "z", "intensity")) if c in wanted}
+    return records.parsed(data, "bin", wanted)
 
 
-PARSERS = {"ply": parse_ply, "pcd": parse_pcd, "bin": parse_bin}
+def read_points(spark: SparkSession, path: str, columns: tuple[str, ...] = XYZ, split: int = records.SPLIT, strict: bool = False, required: tuple[str, ...] = ()) -> DataFrame:
+    """(path, pid, columns...) of all PLY, PCD, BIN and LAS files under path; missing columns are null, points that are not finite
+    are dropped, pid is a point's place in its file. A single file of another kind raises an error, as with `strict` any such
+    file under a folder does, and as does a file without one of the `required` columns."""
+    schema = "path string, pid long, " + ", ".join(f"{c} double" for c in columns)
+    if records.reachable(path):
+        records.register(spark)
+        return spark.read.format("points").schema(schema).option("split", split).option("strict", str(strict).lower()).option("required", ",".join(required)).load(path)
+    return _whole_files(spark, path, columns, schema)
 
 
-def read_points(spark: SparkSession, path: str, columns: tuple[str, ...] = XYZ) -> DataFrame:
-    """(path, pid, columns...) of all PLY, PCD and BIN files under path; missing columns are null, points that are not finite
-    are dropped, pid counts a file's points."""
+def _whole_files(spark: SparkSession, path: str, columns: tuple[str, ...], schema: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    files = files.withColumn("kind", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).filter(F.col("kind").isin(*PARSERS))
+    files = files.withColumn("kind", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))).filter(F.col("kind").isin(*records.KINDS))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content, kind in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = PARSERS[kind](content, columns)
-                n = len(next(iter(found.values()))) if found else 0
+                found = records.parsed(content, kind, tuple(dict.fromkeys([*columns, *XYZ])))
                 ok = np.flatnonzero(np.all([np.isfinite(v) for v in found.values()], axis=0)) if found else np.zeros(0, int)
-                for at in range(0, len(ok), 100_000):
-                    own = ok[at : at + 100_000]
+                for at in range(0, len(ok), records.ROWS):
+                    own = ok[at : at + records.ROWS]
                     values = [pa.array(found[c][own]) if c in found else pa.nulls(len(own), pa.float64()) for c in columns]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(own.astype(np.int64)), *values], ["path", "pid", *columns])
-                del found, n
 
-    return files.mapInArrow(parse, "path string, pid long, " + ", ".join(f"{c} double" for c in columns))
+    return files.mapInArrow(parse, schema)
+
+
+def read_splats(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pid, x, y, z, opacity, scale_0 .. 2, rot_0 .. 3, r, g, b) of splats. A file without one of the first ten columns
+    raises an error; colours are those of the first coefficients, held between 0 and 1, or grey (0.75) without them."""
+    shape = (*XYZ, "opacity", *[f"scale_{k}" for k in range(3)], *[f"rot_{k}" for k in range(4)])
+    colours = [f"f_dc_{k}" for k in range(3)]
+    rows = read_points(spark, path, (*shape, *colours), required=shape)
+    known = F.lit(True)
+    for c in colours:
+        known = known & F.col(c).isNotNull()
+    return rows.select("path", "pid", *shape, *[F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + DC * F.col(c)))).otherwise(0.75).alias(n) for c, n in zip(colours, "rgb", strict=True)])
+
+
+def write_points(cloud: DataFrame, path: str, kind: str = "ply", rows: int = records.FILE_ROWS, overwrite: bool = True) -> None:
+    """The points (x, y, z) as binary PLY or PCD or as LAS 1.4, each task its own files of `rows` points at most; those that are
+    not finite are left out. LAS keeps steps of 1e-6, larger ones where a file's extent needs them."""
+    records.register(cloud.sparkSession)
+    cloud.select(*XYZ).write.format("points").mode("overwrite" if overwrite else "append").option("kind", kind).option("rows", rows).save(path)
 
 
 def read_csv_points(spark: SparkSession, path: str) -> DataFrame:

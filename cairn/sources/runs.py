@@ -90,7 +90,8 @@ def frames_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sound_poses(poses: DataFrame, by: list[str], least: int = 2) -> DataFrame:
-    """(by, problem) of trajectories that are no good: fewer than `least` poses, times that repeat, values that are not finite."""
+    """(by, problem) of trajectories that are no good: fewer than `least` poses, times that repeat, values that are not finite;
+    with a column `idx` (a pose's place in its file) also times that go back."""
     bad = F.lit(False)
     for c in ("t", "x", "y", "z"):
         bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
@@ -114,19 +115,25 @@ def write_csv(cloud: DataFrame, path: str) -> None:
 
 
 def convert(spark: SparkSession, source: str, path: str, kind: str) -> int:
-    """Writes the points of all PLY, PCD and BIN files under source as `kind` (ply or csv) and returns how many there are."""
-    from cairn.sources.clouds import read_points
+    """Writes the points of all PLY, PCD, BIN and LAS files under source as `kind` and returns how many there are: ply, pcd and las
+    are binary, text-ply and csv are text."""
+    from cairn.sources.clouds import read_points, write_points
 
     cloud = read_points(spark, source).withColumn("pid", F.xxhash64("path", "pid"))
-    if kind not in ("ply", "csv"):
-        raise ValueError(f"points are written as ply or csv, not as {kind!r}")
-    write_ply(cloud, path) if kind == "ply" else write_csv(cloud, path)
+    if kind in ("ply", "pcd", "las"):
+        write_points(cloud, path, kind)
+    elif kind == "text-ply":
+        write_ply(cloud, path)
+    elif kind == "csv":
+        write_csv(cloud, path)
+    else:
+        raise ValueError(f"points are written as ply, pcd, las, text-ply or csv, not as {kind!r}")
     return cloud.count()
 
 
 def known_files(spark: SparkSession, path: str) -> DataFrame:
     """The point files under path; an error where there are none of a known kind (empty files are none: Spark leaves them out)."""
-    files = files_of(spark, path, ("ply", "pcd", "bin", "csv"), recursive=True)
+    files = files_of(spark, path, ("ply", "pcd", "bin", "las", "csv"), recursive=True)
     if files.first() is None:
         raise ValueError(f"no point files under {path}")
     return files

@@ -114,6 +114,6 @@ def test_points_round_trip_through_text(spark, tmp_path):
     (tmp_path / "none").mkdir()
     (tmp_path / "none" / "b.ply").write_bytes(b"")
     (tmp_path / "none" / "c.txt").write_text("1 2 3")
-    for bad in (lambda: runs.known_files(spark, str(tmp_path / "none")), lambda: runs.convert(spark, str(tmp_path / "in"), str(tmp_path / "o"), "las")):
+    for bad in (lambda: runs.known_files(spark, str(tmp_path / "none")), lambda: runs.convert(spark, str(tmp_path / "in"), str(tmp_path / "o"), "laz")):
         with pytest.raises(ValueError):
             bad()
