@@ -12,6 +12,8 @@ from cairn.plans.ranking import quantiles
 from cairn.plans.storage import written
 
 THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 1.0)
+#: Names of files that are broadcast at most.
+BROADCAST_FILES = 100_000
 
 
 def summary(distances: DataFrame, d: str = "d", by: list[str] | None = None) -> DataFrame:
@@ -31,22 +33,24 @@ def exceedance(distances: DataFrame, threshold: float, d: str = "d") -> DataFram
     return distances.agg(F.count(d).alias("n"), F.count_if(F.col(d) > threshold).alias("n_beyond"), F.avg((F.col(d) > threshold).cast("double")).alias("beyond_ratio"))
 
 
-def fscores(there: DataFrame, back: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+def fscores(there: DataFrame, back: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, by: list[str] | None = None) -> DataFrame:
     """Precision, recall and F1 at each threshold, from distances of source to target and back."""
-    both = there.select("d", F.lit(True).alias("there")).union(back.select("d", F.lit(False).alias("there")))
+    by = by or []
+    both = there.select(*by, "d", F.lit(True).alias("there")).union(back.select(*by, "d", F.lit(False).alias("there")))
     limits = F.explode(F.array(*[F.lit(float(t)) for t in sorted(thresholds)])).alias("threshold")
     hit = (F.col("d") <= F.col("threshold")).cast("double")
     # one pass with a row for each distance and threshold, summed where it is read
-    out = both.select("d", "there", limits).groupBy("threshold").agg(F.avg(F.when(F.col("there"), hit)).alias("precision"), F.avg(F.when(~F.col("there"), hit)).alias("recall"))
+    out = both.select(*by, "d", "there", limits).groupBy(*by, "threshold").agg(F.avg(F.when(F.col("there"), hit)).alias("precision"), F.avg(F.when(~F.col("there"), hit)).alias("recall"))
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def area_under(scores: DataFrame, value: str = "f1") -> DataFrame:
+def area_under(scores: DataFrame, value: str = "f1", by: list[str] | None = None) -> DataFrame:
     """Trapezoid area under value by threshold over the thresholds' range; the value itself for one threshold."""
-    order = Window.orderBy("threshold")  # as many rows as thresholds
+    by = by or []
+    order = Window.partitionBy(*by).orderBy("threshold")  # as many rows as thresholds
     step = scores.withColumns({"__t": F.lead("threshold").over(order), "__v": F.lead(value).over(order)})
     area, width = F.sum((F.col("__t") - F.col("threshold")) * (F.col("__v") + F.col(value)) / 2), F.max("threshold") - F.min("threshold")
-    return step.agg(F.when(width > 0, area / width).otherwise(F.max(value)).alias("auc"))
+    return step.groupBy(*by).agg(F.when(width > 0, area / width).otherwise(F.max(value)).alias("auc"))
 
 
 def evaluate(source: DataFrame, target: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
@@ -59,19 +63,37 @@ def evaluate(source: DataFrame, target: DataFrame, thresholds: tuple[float, ...]
     return one.crossJoin(area_under(scores)).crossJoin(best)
 
 
-def batch(clouds: dict[str, DataFrame], reference: DataFrame, gate: dict[str, float] | None = None) -> DataFrame:
-    """A row for each named cloud with its scores against the one reference, its number of points, whether it passes the gate
-    and whether none of the others has both fewer points and a larger area (one of them strictly). Each cloud is a job of its
-    own; the names are the caller's list of files."""
+def batch(files: DataFrame, reference: DataFrame, gate: dict[str, float] | None = None, thresholds: tuple[float, ...] = THRESHOLDS, sizes: DataFrame | None = None) -> DataFrame:
+    """A row for each file (name, pid, x, y, z) with its scores against the one reference: chamfer, hausdorff, auc, best_f1 with
+    its threshold (the first of equal ones), points, passed and reasons of the gate.
+
+    sizes (name, baseline_bytes, compressed_bytes) adds size_ratio and saving. best: none of the others has both a smaller
+    size_ratio (without sizes: fewer points) and a larger area, one of them strictly; recommended: of the best ones that pass, the
+    one with the smallest. All files go through the same jobs, however many there are; in one direction each reference point
+    seeks its neighbour in every file, which is the work asked for. Files without a sound point have no row.
+    """
     from cairn.operators.gates import pareto, wide_gate
 
-    rows = None
-    for name, cloud in clouds.items():
-        row = evaluate(cloud, reference).crossJoin(cloud.agg(F.count("*").alias("points"))).withColumn("name", F.lit(name))  # one row each
-        rows = row if rows is None else rows.union(row)
-    gated = wide_gate(written(rows, "batch"), gate or {})
-    best = pareto(gated, "points", "auc").select("name", F.lit(True).alias("best"))
-    return gated.join(best, "name", "left").na.fill(False, ["best"])
+    rows = written(files.select("name", *AXES).withColumn("pid", F.monotonically_increasing_id()), "files")
+    points = written(rows.groupBy("name").agg(F.count("*").alias("points")), "names")
+    there = nearest(rows, reference).join(rows.select("pid", "name"), "pid").select("name", "d")
+    each = reference.select("pid", *AXES).crossJoin(F.broadcast(points.select("name")) if points.count() <= BROADCAST_FILES else points.select("name"))
+    back = nearest(each, rows, by="name").select("name", "d")
+    scores = written(fscores(there, back, thresholds, ["name"]), "scores")
+    a = there.groupBy("name").agg(F.avg("d").alias("mean_there"), F.max("d").alias("most_there"))
+    b = back.groupBy("name").agg(F.avg("d").alias("mean_back"), F.max("d").alias("most_back"))
+    best = scores.groupBy("name").agg(F.max(F.struct("f1", (-F.col("threshold")).alias("t"))).alias("b")).select("name", F.col("b.f1").alias("best_f1"), (-F.col("b.t")).alias("best_threshold"))
+    out = a.join(b, "name").join(area_under(scores, by=["name"]), "name").join(best, "name").join(points, "name")
+    out = out.select("name", ((F.col("mean_there") + F.col("mean_back")) / 2).alias("chamfer"), F.greatest("most_there", "most_back").alias("hausdorff"), "auc", "best_f1", "best_threshold", "points")
+    less = "points"
+    if sizes is not None:
+        ratio_ = F.when(F.col("baseline_bytes") > 0, F.col("compressed_bytes") / F.col("baseline_bytes")).otherwise(F.when(F.col("compressed_bytes").isNotNull(), 0.0))
+        out = out.join(sizes.select("name", ratio_.alias("size_ratio"), (1 - ratio_).alias("saving")), "name", "left")
+        less = "size_ratio"
+    gated = written(wide_gate(out, gate or {}), "batch")
+    front = written(pareto(gated, less, "auc").select("name", less, "auc", "passed"), "front")
+    chosen = front.filter(F.coalesce("passed", F.lit(True))).orderBy(less, F.desc("auc"), "name").limit(1).select("name", F.lit(True).alias("recommended"))
+    return gated.join(front.select("name", F.lit(True).alias("best")), "name", "left").join(chosen, "name", "left").na.fill(False, ["best", "recommended"])
 
 
 def compared(source: DataFrame, target: DataFrame, threshold: float, most: float | None = None) -> DataFrame:

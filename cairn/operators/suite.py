@@ -71,11 +71,11 @@ def incomparable(runs: DataFrame, by: list[str], signature: list[str], name: str
     return runs.groupBy(*by).agg(F.countDistinct(told).alias("versions"), F.countDistinct(name).alias("runs")).filter("versions > 1")
 
 
-def history_series(bundles: DataFrame, kind: str, at: str, values: list[str]) -> DataFrame:
-    """bundles from old to new with the change of each value since the one before; kinds must be one."""
+def history_series(bundles: DataFrame, kind: str, at: str, values: list[str], by: list[str] | None = None) -> DataFrame:
+    """bundles from old to new (of each `by`) with the change of each value since the one before; kinds must be one."""
     if len(kinds := [r[0] for r in bundles.select(kind).distinct().limit(2).collect()]) > 1:
         raise ValueError(f"a history of one kind, not of {sorted(map(str, kinds))}")
-    order = Window.partitionBy(kind).orderBy(at)
+    order = Window.partitionBy(*(by or [kind])).orderBy(at)
     return bundles.withColumns({"step": F.row_number().over(order)} | {f"d_{v}": F.col(v) - F.lag(v).over(order) for v in values})
 
 

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.geometry import AXES, norm
+from cairn.plans.ranking import beside, brackets, ranked
 
 EXACT = 1e-9
 
 
 def _brackets(reference: DataFrame, estimated: DataFrame, by: list[str]) -> DataFrame:
-    """Each reference pose with the estimated poses before (p) and at or after it (q), by one sort of both sides."""
-    pose = lambda: F.struct("t", *AXES)
-    both = reference.select(*by, "t", pose().alias("ref"), F.lit(None).cast(estimated.select(pose().alias("e")).schema[0].dataType).alias("est"), F.lit(0).alias("side"))
-    both = both.union(estimated.select(*by, "t", F.lit(None).cast(both.schema["ref"].dataType).alias("ref"), pose().alias("est"), F.lit(1).alias("side")))
-    # at equal times the reference comes first, so that an estimate of that time is on its right
-    order = Window.partitionBy(*by).orderBy("t", "side")
-    left = F.last("est", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    back = Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("side"))  # a frame that only grows, on this side too
-    right = F.last("est", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    return both.select(*by, "ref", left.alias("p"), right.alias("q")).filter(F.col("ref").isNotNull())
+    """Each reference pose with the estimated poses before (p) and at or after it (q), by ranges of time."""
+    return brackets(reference.select(*by, "t", *AXES), estimated, by, "t", ["t", *AXES])
 
 
 def interpolated_join(reference: DataFrame, estimated: DataFrame, most: float, by: list[str]) -> DataFrame:
@@ -53,6 +47,17 @@ def nearest_time_join(estimated: DataFrame, reference: DataFrame, most: float, b
     return out.select(*by, "t", *[f"e{c}" for c in AXES], F.col("n.t").alias("rt"), *[F.col(f"n.{c}").alias(f"r{c}") for c in AXES], "dt")
 
 
+def nearest_pose(frames: DataFrame, poses: DataFrame, by: list[str]) -> DataFrame:
+    """frames (by, frame, t) with the place (from 0, in time) of the pose nearest in time, the earlier one on a tie, and how far it
+    is; at any distance. Frames without a time, and those of a trajectory without poses, are left out."""
+    placed = ranked(poses.filter("t IS NOT NULL").select(*by, "t"), "t", [], by, "pose").groupBy(*by, "t").agg(F.min("pose").alias("pose"))
+    b = brackets(frames.filter("t IS NOT NULL").select(*by, "frame", "t"), placed, by, "t", ["t", "pose"])
+    left, right = F.col("ref.t") - F.col("p.t"), F.col("q.t") - F.col("ref.t")
+    take = F.when(F.col("q").isNull() | (left <= right), F.col("p")).otherwise(F.col("q"))
+    out = b.select(*by, F.col("ref.frame").alias("frame"), F.col("ref.t").alias("t"), take.alias("n")).filter("n IS NOT NULL")
+    return out.select(*by, "frame", "t", F.col("n.pose").alias("pose"), F.abs(F.col("t") - F.col("n.t")).alias("dt"))
+
+
 def align_origin(matched: DataFrame, by: list[str]) -> DataFrame:
     """Estimates shifted so that the first matched pose of each trajectory agrees with its reference."""
     first = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -61,9 +66,8 @@ def align_origin(matched: DataFrame, by: list[str]) -> DataFrame:
 
 def errors(matched: DataFrame, by: list[str]) -> DataFrame:
     """Of each matched pose: error, lateral and longitudinal part, step error to the next matched pose, step length."""
-    order = Window.partitionBy(*by).orderBy("t")
-    lead, lag = (lambda c: F.lead(c).over(order)), (lambda c: F.lag(c).over(order))
-    out = matched.withColumns({f"n{c}": lead(f"r{c}") for c in AXES} | {f"l{c}": lag(f"r{c}") for c in AXES} | {f"ne{c}": lead(f"e{c}") for c in AXES} | {"nt": lead("t")})
+    out = beside(matched, by, ["t"], ["t", *[f"{s}{c}" for s in "re" for c in AXES]])
+    out = out.withColumns({f"n{c}": F.col(f"after.r{c}") for c in AXES} | {f"l{c}": F.col(f"before.r{c}") for c in AXES} | {f"ne{c}": F.col(f"after.e{c}") for c in AXES} | {"nt": F.col("after.t")})
     out = out.withColumns({f"d{c}": F.col(f"e{c}") - F.col(f"r{c}") for c in AXES} | {f"g{c}": F.coalesce(f"n{c}", f"r{c}") - F.coalesce(f"l{c}", f"r{c}") for c in AXES})
     tangent = norm(*[F.col(f"g{c}") for c in AXES])
     unit = F.when(tangent < 1e-12, 1.0).otherwise(tangent)
@@ -103,15 +107,14 @@ def worst(e: DataFrame, by: list[str], value: str = "error", n: int = 5) -> Data
 
 
 def path_length(poses: DataFrame, by: list[str]) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("t")
-    step = norm(*[F.col(c) - F.lag(c).over(order) for c in AXES])
-    return poses.select(*by, "t", step.alias("step")).groupBy(*by).agg(F.count("*").alias("poses"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"))
+    step = norm(*[F.col(c) - F.col(f"before.{c}") for c in AXES])
+    return beside(poses.select(*by, "t", *AXES), by, ["t"], list(AXES)).select(*by, "t", step.alias("step")).groupBy(*by).agg(F.count("*").alias("poses"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"))
 
 
 def turn_scores(poses: DataFrame, by: list[str]) -> DataFrame:
     """Of each pose the angle between its steps times the shorter one; 0 at the ends and where a step is 0."""
-    order = Window.partitionBy(*by).orderBy("t")
-    out = poses.withColumns({f"p{c}": F.col(c) - F.lag(c).over(order) for c in AXES} | {f"n{c}": F.lead(c).over(order) - F.col(c) for c in AXES})
+    out = beside(poses, by, ["t"], list(AXES))
+    out = out.withColumns({f"p{c}": F.col(c) - F.col(f"before.{c}") for c in AXES} | {f"n{c}": F.col(f"after.{c}") - F.col(c) for c in AXES})
     a, b = (norm(*[F.col(f"{s}{c}") for c in AXES]) for s in "pn")
     dot = sum((F.col(f"p{c}") * F.col(f"n{c}") for c in AXES[1:]), F.col("px") * F.col("nx"))
     out = out.withColumns({"a": a, "b": b, "dot": dot})
@@ -189,19 +192,28 @@ def turn_aware(poses: DataFrame, budget: int, by: list[str], share: float = 0.45
 
 def by_distance(poses: DataFrame, budget: int, by: list[str]) -> DataFrame:
     """At most `budget` poses of each trajectory, one after each `budget`-th part of its length, counted anew from each pose
-    that is kept; the ends stay. The one pass that carries the distance runs over a trajectory's step lengths alone."""
-    order = Window.partitionBy(*by).orderBy("t")
-    steps = _placed(poses, by).withColumn("__step", F.coalesce(norm(*[F.col(c) - F.lag(c).over(order) for c in AXES]), F.lit(0.0)))
-    steps = steps.withColumn("__part", F.sum("__step").over(Window.partitionBy(*by)) / max(budget - 1, 1))
+    that is kept; the ends stay. What carries the distance on is a search in the running lengths for each pose that is kept, of a
+    trajectory's step lengths alone."""
+    steps = beside(_placed(poses, by), by, ["t"], list(AXES))
+    steps = steps.withColumn("__step", F.coalesce(norm(*[F.col(c) - F.col(f"before.{c}") for c in AXES]), F.lit(0.0))).drop("before", "after")
+    lengths = steps.groupBy(*by).agg((F.sum("__step") / max(budget - 1, 1)).alias("__part"))
+    same = F.lit(True)
+    for c in by:
+        same = same & steps[c].eqNullSafe(lengths[c])
+    steps = steps.join(lengths, same).select(steps["*"], "__part")
 
     def pass_(rows):
         rows = rows.sort_values("__i")
-        n, part, far, keep = len(rows), rows["__part"].iloc[0], 0.0, []
-        for i, step in zip(rows["__i"], rows["__step"], strict=True):
-            far += step
-            hit = i in (0, n - 1) or n <= budget or far >= part
-            keep.append(bool(hit))
-            far = 0.0 if hit else far
+        step, part, n = rows["__step"].to_numpy(), rows["__part"].iloc[0], len(rows)
+        keep = np.zeros(n, bool)
+        keep[[0, n - 1]] = True
+        if n <= budget or part <= 0:
+            keep[:] = True
+        along, i = np.cumsum(step), 0
+        while not keep.all() and i < n:
+            i = max(i + 1, int(np.searchsorted(along, along[i] + part * (1 - 1e-12))))  # sums of another order round otherwise
+            if i < n:
+                keep[i] = True
         return rows[[*by, "__i"]].assign(keep=keep)
 
     kept = steps.select(*by, "__i", "__step", "__part").groupBy(*by).applyInPandas(pass_, steps.select(*by, "__i", F.lit(True).alias("keep")).schema).filter("keep").select(*by, "__i")

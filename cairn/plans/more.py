@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import align, boxes, evaluate, gates, graph, ground, images, points, progressive, structure, suite, trajectory
+from cairn.operators import align, boxes, evaluate, gates, graph, ground, images, points, progressive, structure, suite, summaries, trajectory
 from cairn.plans import bindings as B
 from cairn.plans.registry import query, rounded
 
@@ -91,10 +91,10 @@ def incomparable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suite.incomparable(_runs(spark, sf_dir), ["dataset", "sequence"], ["version", "gate"], "run")
 
 
-@query(f"WITH {B.METRICS} SELECT run, row_number() OVER w::INT AS step, round(auc - lag(auc) OVER w, 6) AS d_auc, round(chamfer - lag(chamfer) OVER w, 6) AS d_chamfer FROM (SELECT * FROM wide WHERE series = 3) WINDOW w AS (ORDER BY run)")
+@query(f"WITH {B.METRICS} SELECT series, run, row_number() OVER w::INT AS step, round(auc - lag(auc) OVER w, 6) AS d_auc, round(chamfer - lag(chamfer) OVER w, 6) AS d_chamfer FROM wide WINDOW w AS (PARTITION BY series ORDER BY run)")
 def history_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles = B.order_metrics(spark, sf_dir).filter("series = 3")
-    return rounded(suite.history_series(bundles, "series", "run", ["auc", "chamfer"]).select("run", "step", "d_auc", "d_chamfer"))
+    bundles = B.order_metrics(spark, sf_dir).withColumn("kind", F.lit("single_run"))
+    return rounded(suite.history_series(bundles, "kind", "run", ["auc", "chamfer"], ["series"]).select("series", "run", "step", "d_auc", "d_chamfer"))
 
 
 @query(
@@ -529,11 +529,97 @@ def scan_match_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {B.CLOUD}, near AS (SELECT s.cloud_id, s.pid, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM cloud s, dst t WHERE s.cloud_id IN ('click', 'error') GROUP BY 1, 2), back AS (SELECT s.cloud_id, t.pid, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM cloud s, dst t WHERE s.cloud_id IN ('click', 'error') GROUP BY 1, 2),
-a AS (SELECT cloud_id, avg(d) AS m, max(d) AS x, count(*) AS n FROM near GROUP BY 1), b AS (SELECT cloud_id, avg(d) AS m, max(d) AS x FROM back GROUP BY 1)
-SELECT cloud_id AS name, round((a.m + b.m) / 2, 6) AS chamfer, round(greatest(a.x, b.x), 6) AS hausdorff, a.n AS points, (a.m + b.m) / 2 <= 0.5 AS passed FROM a JOIN b USING (cloud_id)"""
+    f"""WITH {B.CLOUD}, near AS (SELECT s.cloud_id, s.pid, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM cloud s, dst t GROUP BY 1, 2), back AS (SELECT s.cloud_id, t.pid, min(sqrt((s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2)) AS d FROM cloud s, dst t GROUP BY 1, 2),
+a AS (SELECT cloud_id, avg(d) AS m, max(d) AS x, count(*) AS n FROM near GROUP BY 1), b AS (SELECT cloud_id, avg(d) AS m, max(d) AS x FROM back GROUP BY 1),
+l AS (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.5, 1.0])::DOUBLE AS threshold), pr AS (SELECT cloud_id, threshold, avg((d <= threshold)::INT) AS p FROM near, l GROUP BY 1, 2), re AS (SELECT cloud_id, threshold, avg((d <= threshold)::INT) AS r FROM back, l GROUP BY 1, 2),
+f AS (SELECT cloud_id, threshold, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM pr JOIN re USING (cloud_id, threshold)),
+g AS (SELECT *, lead(threshold) OVER w AS nt, lead(f1) OVER w AS nf FROM f WINDOW w AS (PARTITION BY cloud_id ORDER BY threshold)),
+u AS (SELECT cloud_id, sum((nt - threshold) * (nf + f1) / 2) / (max(threshold) - min(threshold)) AS auc, max(f1) AS best_f1, arg_min(threshold, (-f1, threshold)) AS best_threshold FROM g GROUP BY 1),
+z AS (SELECT cloud_id, sum(event_id % 7 + 1) / (count(*) * 12.0) AS size_ratio FROM events JOIN cloud ON event_id = pid GROUP BY 1),
+e AS (SELECT cloud_id AS name, (a.m + b.m) / 2 AS chamfer, greatest(a.x, b.x) AS hausdorff, auc, best_f1, best_threshold, a.n AS points, size_ratio, (a.m + b.m) / 2 <= 0.5 AND auc >= 0.5 AS passed FROM a JOIN b USING (cloud_id) JOIN u USING (cloud_id) JOIN z USING (cloud_id)),
+t AS (SELECT *, NOT EXISTS (SELECT 1 FROM e o WHERE o.size_ratio <= e.size_ratio AND o.auc >= e.auc AND (o.size_ratio < e.size_ratio OR o.auc > e.auc)) AS best FROM e)
+SELECT name, round(chamfer, 6) AS chamfer, round(hausdorff, 6) AS hausdorff, round(auc, 6) AS auc, round(best_f1, 6) AS best_f1, best_threshold::DOUBLE AS best_threshold, points, round(size_ratio, 6) AS size_ratio, round(1 - size_ratio, 6) AS saving, passed, best,
+  best AND passed AND row_number() OVER (PARTITION BY best AND passed ORDER BY size_ratio, auc DESC, name) = 1 AS recommended FROM t"""
 )
 def batch_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cloud = B.events_cloud(spark, sf_dir)
-    clouds = {name: cloud.filter(F.col("cloud_id") == name) for name in ("click", "error")}
-    return rounded(evaluate.batch(clouds, B.cloud_pair(spark, sf_dir)[1], {"max_chamfer": 0.5}).select("name", "chamfer", "hausdorff", "points", "passed"))
+    """Every cloud against the views, in the same jobs."""
+    cloud = B.events_cloud(spark, sf_dir).withColumnRenamed("cloud_id", "name")
+    sizes = cloud.groupBy("name").agg((F.count("*") * 12).alias("baseline_bytes"), F.sum(F.col("pid") % 7 + 1).alias("compressed_bytes"))
+    out = evaluate.batch(cloud, B.cloud_pair(spark, sf_dir)[1], {"max_chamfer": 0.5, "min_auc": 0.5}, sizes=sizes)
+    return rounded(out.select("name", "chamfer", "hausdorff", "auc", "best_f1", "best_threshold", "points", "size_ratio", "saving", "passed", "best", "recommended"))
+
+
+@query(
+    f"""WITH {B.TRACKS}, f AS (SELECT user_id, event_id AS frame, epoch_us(ts) / 1e6 + event_id % 13 AS t FROM events WHERE event_type IN ('error', 'signup', 'purchase')), i AS (SELECT user_id, t, min(i) AS pose FROM (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM ref) GROUP BY 1, 2),
+j AS (SELECT f.user_id, frame, f.t, p.t AS pt, p.pose AS pp, q.t AS qt, q.pose AS qp FROM f ASOF LEFT JOIN i p ON f.user_id = p.user_id AND f.t > p.t ASOF LEFT JOIN i q ON f.user_id = q.user_id AND f.t <= q.t)
+SELECT user_id, frame, CASE WHEN qt IS NULL OR t - pt <= qt - t THEN pp ELSE qp END AS pose, round(CASE WHEN qt IS NULL OR t - pt <= qt - t THEN t - pt ELSE qt - t END, 6) AS dt FROM j WHERE pt IS NOT NULL OR qt IS NOT NULL"""
+)
+def nearest_time_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of all users with the place of the nearest pose in time."""
+    e = B.table(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "signup", "purchase"))
+    frames = e.select("user_id", F.col("event_id").alias("frame"), (F.expr(B._SECONDS) + F.col("event_id") % 13).alias("t"))
+    return rounded(trajectory.nearest_pose(frames, B.trajectories(spark, sf_dir)[0], ["user_id"]).select("user_id", "frame", "pose", "dt"))
+
+
+_DOC = """docs AS (SELECT run, CASE run % 4 WHEN 0 THEN 'artifact' WHEN 1 THEN 'trajectory' WHEN 2 THEN 'artifact_batch' ELSE 'run' END AS kind, auc, chamfer, coverage FROM wide)"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suite's summary for each customer, as JSON text, with one check of one of four kinds; the trajectory's coverage is text in
+    one of seven, which is no number."""
+    w = B.order_metrics(spark, sf_dir)
+    kind = F.expr("CASE run % 4 WHEN 0 THEN 'artifact' WHEN 1 THEN 'trajectory' WHEN 2 THEN 'artifact_batch' ELSE 'run' END")
+    number = lambda c: F.col(c).cast("string")
+    text = F.when(F.col("run") % 7 == 0, F.concat(F.lit('"'), number("coverage"), F.lit('"'))).otherwise(number("coverage"))
+    summary = F.expr("CASE run % 4 WHEN 0 THEN concat('{\"auc\":', auc, ',\"chamfer_distance\":', chamfer, '}') WHEN 2 THEN '{}' END")
+    summary = F.coalesce(summary, F.when(F.col("run") % 4 == 1, F.concat(F.lit('{"ate_rmse":'), number("chamfer"), F.lit(',"rpe_rmse":0.5,"drift_endpoint":1,"coverage_ratio":'), text, F.lit("}"))), F.concat(F.lit('{"map_auc":'), number("auc"), F.lit(',"map_chamfer_distance":'), number("chamfer"), F.lit(',"coverage_ratio":'), text, F.lit("}")))
+    item = lambda factor: F.concat(F.lit('{"auc":'), (F.col("auc") * factor).cast("string"), F.lit(',"chamfer_distance":'), (F.col("chamfer") * factor).cast("string"), F.lit("}"))
+    gate = F.concat(F.lit('{"min_auc":0.4,"passed":true,"max_chamfer":'), F.when(F.col("run") % 3 == 0, "null").otherwise("0.25"), F.lit("}"))
+    result = F.when(F.col("run") % 4 == 2, F.concat(F.lit("["), item(1.0), F.lit(","), item(0.5), F.lit("]"))).otherwise(F.concat(F.lit('{"quality_gate":'), gate, F.lit(',"overall_quality_gate":'), gate, F.lit("}")))
+    check = F.concat(F.lit('{"checks":[{"id":"c","kind":"'), kind, F.lit('","passed":true,"summary":'), summary, F.lit(',"result":'), result, F.lit("}]}"))
+    return w.select(F.col("run").alias("id"), check.alias("doc"))
+
+
+@query(
+    f"""WITH {B.METRICS}, {_DOC}, long AS (
+  SELECT run, kind, 'auc' AS metric, auc AS value FROM docs WHERE kind = 'artifact' UNION ALL SELECT run, kind, 'chamfer', chamfer FROM docs WHERE kind = 'artifact'
+  UNION ALL SELECT run, kind, 'ate', chamfer FROM docs WHERE kind = 'trajectory' UNION ALL SELECT run, kind, 'rpe', 0.5 FROM docs WHERE kind = 'trajectory' UNION ALL SELECT run, kind, 'drift', 1 FROM docs WHERE kind = 'trajectory'
+  UNION ALL SELECT run, kind, 'coverage', coverage FROM docs WHERE kind IN ('trajectory', 'run') AND run % 7 <> 0
+  UNION ALL SELECT run, kind, 'auc', auc * 0.75 FROM docs WHERE kind = 'artifact_batch' UNION ALL SELECT run, kind, 'chamfer', chamfer * 0.75 FROM docs WHERE kind = 'artifact_batch'
+  UNION ALL SELECT run, kind, 'map_auc', auc FROM docs WHERE kind = 'run' UNION ALL SELECT run, kind, 'map_chamfer', chamfer FROM docs WHERE kind = 'run')
+SELECT run AS id, kind, metric, round(value, 6)::DOUBLE AS value FROM long WHERE value IS NOT NULL"""
+)
+def check_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = summaries.checks_of(summaries.parsed(_documents(spark, sf_dir)))
+    return rounded(summaries.check_metrics(checks).select("id", "kind", "metric", "value"))
+
+
+@query(f"WITH {B.METRICS}, {_DOC} SELECT run AS id, kind, 'min_auc' AS key, 0.4::DOUBLE AS threshold FROM docs WHERE kind <> 'artifact_batch' AND auc IS NOT NULL UNION ALL SELECT run, kind, 'max_chamfer', 0.25 FROM docs WHERE kind <> 'artifact_batch' AND run % 3 <> 0")
+def check_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = summaries.checks_of(summaries.parsed(_documents(spark, sf_dir)))
+    return summaries.check_gates(checks).select("id", "kind", "key", "threshold")
+
+
+@query(
+    """WITH f AS (
+  SELECT event_id AS frame, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 1300 END AS raw, event_id % 211 AS filtered, event_type = 'error' AND value < 20 AS low, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 1009 END AS map_points,
+    value / 40 AS rmse, CASE WHEN event_id % 3 = 0 THEN value / 30 END AS weighted, (event_id % 31) / 20.0 AS improvement, (event_id % 7) / 4.0 AS after_mean, (event_id % 11) / 8.0 AS initial_delta, (event_id % 13) / 10.0 AS prediction_delta,
+    0.9 + (event_id % 19) / 190.0 AS fitness, (event_id % 23) / 30.0 AS inlier, event_id % 2 AS debug, event_id % 29 = 0 AS debug_error FROM events
+), s AS (SELECT *, coalesce(weighted, rmse) AS cost FROM f), h AS (
+  SELECT frame, list_filter([
+    CASE WHEN raw < 50 THEN 'sparse_raw_scan' END, CASE WHEN raw >= 1000 AND filtered < 50 AND filtered / raw < 0.02 THEN 'filtering_too_aggressive' END, CASE WHEN low OR filtered < 50 THEN 'scan_quality_issue' END, CASE WHEN map_points < 100 THEN 'map_too_sparse' END,
+    CASE WHEN improvement >= 0.5 AND after_mean <= 0.75 AND initial_delta >= 0.5 THEN 'bad_initial_guess' END, CASE WHEN debug = 1 AND cost >= 1.5 AND fitness >= 0.95 AND inlier <= 0.25 THEN 'scan_match_cost_hotspot' END,
+    CASE WHEN debug = 1 AND cost >= 2.0 AND improvement < 0.1 AND inlier >= 0.5 THEN 'weak_geometry' END, CASE WHEN debug = 1 AND rmse >= 2.0 AND improvement >= 0.25 AND (prediction_delta >= 0.75 OR initial_delta >= 0.75) THEN 'registration_local_minimum' END,
+    CASE WHEN debug_error THEN 'scan_match_debug_error' END], lambda x: x IS NOT NULL) AS hits FROM s)
+SELECT frame, coalesce(hits[1], 'needs_review') AS label, CASE WHEN hits[1] IS NULL THEN 'low' WHEN hits[1] IN ('sparse_raw_scan', 'filtering_too_aggressive', 'scan_quality_issue', 'map_too_sparse', 'bad_initial_guess') THEN 'high' ELSE 'medium' END AS confidence, array_to_string(hits[2:], ',') AS secondary FROM h"""
+)
+def frame_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine rules over every event as a frame."""
+    i = F.col("event_id")
+    e = B.table(spark, sf_dir, "events")
+    frames = e.select(
+        i.alias("frame"), F.when(i % 17 != 0, i % 1300).alias("raw_points"), (i % 211).alias("filtered_points"), ((F.col("event_type") == "error") & (F.col("value") < 20)).cast("int").alias("low_quality"), F.when(i % 5 != 0, i % 1009).alias("map_points"),
+        (F.col("value") / 40).alias("rmse"), F.when(i % 3 == 0, F.col("value") / 30).alias("weighted_rmse"), ((i % 31) / 20.0).alias("improvement"), ((i % 7) / 4.0).alias("after_mean"), ((i % 11) / 8.0).alias("initial_delta"), ((i % 13) / 10.0).alias("prediction_delta"),
+        (0.9 + (i % 19) / 190.0).alias("fitness"), ((i % 23) / 30.0).alias("inlier_rmse"), (i % 2).alias("has_debug"), (i % 29 == 0).cast("int").alias("has_debug_error"),
+    )
+    return summaries.diagnosed(frames).select("frame", "label", "confidence", F.array_join("secondary", ",").alias("secondary"))
