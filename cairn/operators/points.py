@@ -86,11 +86,11 @@ def voxel_downsample(cloud: DataFrame, size: float, origin: tuple[float, float,
     return cloud.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in (*AXES, *(extra or []))])
 
 
-def voxel_gaussians(cloud: DataFrame, size: float) -> DataFrame:
-    """Of each voxel: points, mean, and sample covariance (a tiny sphere for one point)."""
+def voxel_gaussians(cloud: DataFrame, size: float, by: list[str] | None = None) -> DataFrame:
+    """Of each voxel (of each group): points, mean, and sample covariance (a tiny sphere for one point)."""
     keys = [cell(F.col(c), size).alias(f"v{c}") for c in AXES]
     spread = [F.coalesce(F.covar_samp(a, b), F.lit(1e-6 if a == b else 0.0)).alias(f"c{a}{b}") for a, b in PAIRS]
-    return cloud.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in AXES], *spread)
+    return cloud.groupBy(*(by or []), *keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in AXES], *spread)
 
 
 def density_map(cloud: DataFrame, resolution: float, axes: tuple[str, str] = ("x", "y"), most_cells: int = 20_000_000) -> DataFrame:

@@ -164,7 +164,12 @@ def reasons(frames: DataFrame) -> DataFrame:
     """frames with reasons: why each is worth a look, in a fixed order, with its figures."""
     has = lambda c: F.col(c) if c in frames.columns else F.lit(None)
     said = lambda c, what: F.concat(F.lit(what), F.coalesce(F.nullif(has(c).cast("string"), F.lit("")), F.lit("unknown")))
-    figure = lambda c, what, digits, unit="": F.when(has(c).isNotNull(), F.concat(F.lit(what), F.format_string(f"%.{digits}g", has(c).cast("double")), F.lit(unit)))
+
+    def figure(c: str, what: str, digits: int, unit: str = "") -> Column:
+        number = F.format_string(f"%.{digits}g", has(c).cast("double"))
+        short = F.regexp_replace(F.regexp_replace(number, r"(\.[0-9]*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")  # no zeros at the end
+        return F.when(has(c).isNotNull(), F.concat(F.lit(what), short, F.lit(unit)))
+
     listed = [F.when(has("failed").cast("boolean"), said("error", "scan_match_failed:")), F.when(has("low_quality").cast("boolean"), said("quality_reason", "low_quality:"))]
     listed += [figure("rmse", "rmse=", 4), figure("weighted_rmse", "weighted_rmse=", 4), figure("rejection", "rejection=", 3), figure("prediction_delta", "prediction_delta=", 4, "m"), figure("initial_delta", "initial_delta=", 4, "m")]
     return frames.withColumn("reasons", F.filter(F.array(*listed), lambda r: r.isNotNull()))

@@ -600,6 +600,6 @@ def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean"))
 
 
-from cairn.plans import more  # noqa: E402, F401  registers its queries too
+from cairn.plans import more, checks  # noqa: E402, F401  register their queries too
 
 __all__ = ["ORACLES", "QUERIES"]
