@@ -79,3 +79,36 @@ def compared(pairs: DataFrame, key: str, height: int, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(s) for s in scores]], [key, "ssim", "fcm"])
 
     return sound.mapInArrow(run, sound.select(key, F.lit(0.0).alias("ssim"), F.lit(0.0).alias("fcm")).schema)
+
+
+def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """(height, width, 3) red, green and blue from 0 to 1 of an image's bytes (blue, green, red, alpha, or grey)."""
+    x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    x = np.repeat(x, 3, axis=2) if channels == 1 else x[:, :, 2::-1]
+    return x / 255.0
+
+
+def files_compared(rendered: DataFrame, reference: DataFrame) -> DataFrame:
+    """(name, problem, psnr, ssim, fcm) of each rendered image (name, width, height, channels, data) against the reference image of
+    its name. problem: missing (no such reference), mismatched (another size), else null with scores; alpha counts for nothing,
+    structural similarity is the mean of the colours', consistency is that of grey values. Images may differ in size from pair to pair."""
+    other = reference.select("name", *[F.col(c).alias(f"r_{c}") for c in ("width", "height", "channels", "data")])
+    told = rendered.join(other, "name", "left")
+    problem = F.when(F.col("r_width").isNull(), "missing").when((F.col("width") != F.col("r_width")) | (F.col("height") != F.col("r_height")), "mismatched")
+    told = told.withColumn("problem", problem)
+    grey = np.array([0.299, 0.587, 0.114])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                a, b = pixels(r["data"], r["height"], r["width"], r["channels"]), pixels(r["r_data"], r["height"], r["width"], r["r_channels"])
+                mse = float(((a - b) ** 2).mean())
+                planes = np.moveaxis(a, 2, 0), np.moveaxis(b, 2, 0)
+                out.append((10 * np.log10(1 / mse) if mse > 0 else np.inf, structural_similarity(*planes).mean(), frequency_consistency((a @ grey)[None], (b @ grey)[None])[0]))
+            columns = np.array(out).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[:, k]) for k in range(3)]], ["name", "psnr", "ssim", "fcm"])
+
+    scores = told.filter("problem IS NULL").select("name", "width", "height", "channels", "data", "r_channels", "r_data").mapInArrow(run, "name string, psnr double, ssim double, fcm double")
+    none = [F.lit(None).cast("double").alias(c) for c in ("psnr", "ssim", "fcm")]
+    return scores.select("name", F.lit(None).cast("string").alias("problem"), "psnr", "ssim", "fcm").union(told.filter("problem IS NOT NULL").select("name", "problem", *none))
