@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.geometry import AXES, ratio
-from cairn.operators.points import crop_around, error_color, nearest, transform, voxel_downsample
+from cairn.operators.points import adapted, crop_around, detected, error_color, nearest, transform, voxel_downsample
 from cairn.plans.ranking import quantiles
 from cairn.plans.storage import written
 
@@ -63,6 +63,20 @@ def evaluate(source: DataFrame, target: DataFrame, thresholds: tuple[float, ...]
     return one.crossJoin(area_under(scores)).crossJoin(best)
 
 
+def cross(source: DataFrame, reference: DataFrame, kind: str = "auto", reference_kind: str = "auto", size: float = 0.0, samples: int = 8, least: float = 0.0, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """Scores of one artifact against another of any representation (rows of points, splats or triangles), with where they come
+    from: what was asked for and found on either side, rows before, points after, and the filters applied."""
+    one, sides = None, {}
+    for side, rows, asked in (("source", source, kind), ("reference", reference, reference_kind)):
+        found = detected(rows)
+        points = written(adapted(rows, found if asked == "auto" else asked, size, samples, least), side)
+        said = points.agg(F.count("*").alias(f"{side}_points"), F.max("filters").alias(f"{side}_filters")).crossJoin(rows.agg(F.count("*").alias(f"{side}_rows")))  # one row each
+        said = said.withColumns({f"{side}_asked": F.lit(asked), f"{side}_kind": F.lit(found)})
+        sides[side] = points
+        one = said if one is None else one.crossJoin(said)
+    return evaluate(sides["source"], sides["reference"], thresholds).crossJoin(one)
+
+
 def batch(files: DataFrame, reference: DataFrame, gate: dict[str, float] | None = None, thresholds: tuple[float, ...] = THRESHOLDS, sizes: DataFrame | None = None) -> DataFrame:
     """A row for each file (name, pid, x, y, z) with its scores against the one reference: chamfer, hausdorff, auc, best_f1 with
     its threshold (the first of equal ones), points, passed and reasons of the gate.

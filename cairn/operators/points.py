@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from cairn.functions.geometry import AXES, affine, cell, determinant, distance, norm, sigmoid
 from cairn.operators.neighbours import finite, nearest
 from cairn.plans.ranking import quantiles, ranked
+from cairn.plans.storage import written
 
 #: Cells of a coordinate around a point that hold its nearest neighbour if it is no farther than one cell.
 NEAR = (-1, 0, 1)
@@ -167,9 +168,16 @@ def representation(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", kind)
 
 
+def detected(table: DataFrame) -> str:
+    """What rows stand for, by their columns: triangles (ax ...) are a mesh, points with opacity and scales are splats."""
+    names = set(table.columns)
+    return "mesh" if {"ax", "by", "cz"} <= names else "gaussian-points" if {"opacity", "scale_0", "rot_0"} <= names else "point-cloud"
+
+
 def adapted(cloud: DataFrame, kind: str, size: float = 0.0, samples: int = 8, least: float = 0.0) -> DataFrame:
     """Points (pid, x, y, z) of any representation: splats give surface points of those opaque enough, meshes samples of
-    their triangles; with a positive size, voxel centroids of these. A column `filters` names what was applied."""
+    their triangles; with a positive size, voxel centroids of these. pid names a point of the result: a sample's is its own. A column
+    `filters` names what was applied, and what was asked for and does not apply."""
     done = []
     if kind == "gaussian-points":
         if least > 0:
@@ -180,9 +188,15 @@ def adapted(cloud: DataFrame, kind: str, size: float = 0.0, samples: int = 8, le
     elif kind == "mesh":
         cloud = mesh_samples(cloud, samples)
         done.append(f"triangles:{samples}")
+    elif kind != "point-cloud":
+        raise ValueError(f"no representation {kind!r}")
+    if least > 0 and kind != "gaussian-points":
+        done.append(f"opacity ignored ({kind})")
     if size > 0:
         cloud = voxel_downsample(cloud, size).withColumn("pid", F.xxhash64("vx", "vy", "vz"))
         done.append(f"voxels:{size}")
+    elif kind != "point-cloud":
+        cloud = written(cloud.select(*AXES), "samples").withColumn("pid", F.monotonically_increasing_id())
     return cloud.select("pid", *AXES, F.lit(",".join(done)).alias("filters"))
 
 
