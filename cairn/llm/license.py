@@ -1,15 +1,20 @@
 """License scans: a trained paragraph classifier names license families, template comparison confirms them.
 
-A paragraph is a line, or two lines of which neither is recognised alone (wrapped text; a blank line ends a paragraph). The
-classifier is a multinomial logistic regression over which word 1-grams and 2-grams a paragraph holds. It is trained on
-names of licenses in phrases by which licenses are granted, on sentences of their texts, and on sentences near the subject
-that grant nothing (the class `unknown`). Its probabilities are tempered so that held-out rows are neither over- nor
-underconfident (see calibration()), and a family under the acceptance level counts as unknown. An accepted paragraph is
-confirmed when it holds all words of one of the family's names or enough of one of its sentences.
+A paragraph is what blank lines enclose, of any number of lines. In it lines, or two lines of which neither is recognised alone
+(wrapped text), go through the classifier: a multinomial logistic regression over which word 1-grams and 2-grams they hold. It
+is trained on names of licenses in phrases by which licenses are granted, on sentences of their texts, and as `unknown` on
+sentences near the subject that grant nothing and on the same names in phrases that tell of a license or deny it. Its
+probabilities are tempered so that held-out rows are neither over- nor underconfident (see calibration()), and a family
+under the acceptance level counts as unknown.
+
+The whole paragraph is compared with templates, the sentences of license texts: by the share of a template's word 3-grams that
+it holds, wherever its lines break. A family so found is confirmed, as is a line that holds all words of one of the family's
+names or enough of one of its sentences. A paragraph names each family once.
 
 The model is small (its features come from the training sentences) and reaches the texts as a literal; scanning uses built-in
-functions only. Only paragraphs with one of the anchor words are scored: all other features together cannot lift a family to the
-acceptance level, so nothing is lost (see Model.anchors).
+functions only. Only lines with one of the anchor words are scored: all other features together cannot lift a family to the
+acceptance level, so nothing is lost (see Model.anchors). Paragraphs are compared with templates where they hold one of the
+templates' own words.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import let, table
+from cairn.llm.private import running
 
 #: Names of licenses, by family.
 NAMES: dict[str, tuple[str, ...]] = {
@@ -44,9 +50,12 @@ NAMES: dict[str, tuple[str, ...]] = {
     "lgpl": ("gnu lesser general public license", "gnu lesser general public license version 2.1", "gnu library general public license", "lgpl 2.1", "lgpl v3", "lgpl 3.0 or later"),
     "mit": ("mit license", "mit", "expat license", "mit expat license"),
     "mpl": ("mozilla public license", "mozilla public license version 2.0", "mpl 2.0", "mpl 1.1"),
+    "mspl": ("microsoft public license", "ms pl", "microsoft public license ms pl"),
     "odbl": ("open database license", "odbl 1.0", "open data commons open database license"),
     "ofl": ("sil open font license", "sil open font license version 1.1", "ofl 1.1"),
+    "postgresql": ("postgresql license", "the postgresql licence"),
     "unlicense": ("unlicense", "the unlicense"),
+    "wtfpl": ("wtfpl", "do what the fuck you want to public license"),
     "zlib": ("zlib license", "zlib libpng license", "zlib"),
 }
 #: Sentences of license texts and notices, by family.
@@ -66,7 +75,9 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "lgpl": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",),
     "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     "mpl": ("this source code form is subject to the terms of the mozilla public license version 2.0",),
+    "mspl": ("each contributor grants you a non exclusive worldwide royalty free copyright license to reproduce its contribution prepare derivative works of its contribution",),
     "ofl": ("this font software is licensed under the sil open font license",),
+    "postgresql": ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",),
     "proprietary": (
         "all rights reserved",
         "copyright all rights reserved no part may be reproduced without written permission",
@@ -81,6 +92,14 @@ PHRASES = (
     "this project uses the {}", "code is under {}", "license {}", "published under {}", "{}", "licensed under {}",
 )
 HELD_OUT_PHRASES = ("subject to the {} see the file", "you may use it under the conditions of the {}", "our sources are {} licensed", "made public under the {}")
+#: Phrases that tell of a license, or deny it, and grant nothing. The last are held out.
+NARRATIVE = (
+    "this article is about the history of the {}", "the {} is not used here", "this code is not licensed under the {}", "the {} was written by a foundation", "an article about the {} and its authors", "we do not use the {} for this project",
+    "no part of it is under the {}", "the {} does not apply to this work", "the history of the {} began in the year", "critics of the {} said that it was long", "he wrote a book about the {}", "she compared the {} with others in a talk",
+    "unlike the {} our terms are not free", "the {} was first published by a university", "what is the {} and why was it made", "it was never released under the {}", "this is no longer licensed under the {}", "a court ruled on the {} last year",
+    "our work is not licensed under the {}", "it is not released under the {}", "they are not distributed under the {}", "nothing here is licensed under the {}", "not available under the {}", "does not use the {}", "the article tells of the {}", "a talk about the {} was given", "discussed by lawyers", "the debate about the {} went on", "lawyers discussed the {} at length", "an essay on how the {} was written", "the {} is one of many licenses", "the {} is compared with other licenses below", "all code is proprietary and not under the {}",
+)
+HELD_OUT_NARRATIVE = ("the article tells the history of the {} by its authors", "this project is not under the {}", "a book on the {} was written last year", "the {} was discussed by lawyers and critics", "it does not use the {}")
 #: Sentences near the subject that grant nothing; the last are held out.
 UNKNOWN = (
     "he lost his driving license in the city", "the license number is on the back of the card", "a public version of the work is free to use in the forms",
@@ -93,15 +112,17 @@ UNKNOWN = (
     "no damages were claimed", "zlib is a library by two authors", "gnu is an animal", "the perl of the sea", "the international fair of attribution",
 )
 HELD_OUT_UNKNOWN = ("the mit press released the book", "the license to sell was reserved", "a general public holiday", "the apache tribe was under attack", "all copies of the book are sold", "the software library of the university", "creative people of the commons", "his rights under the contract")
-#: Variations of each sentence, training steps and rate, weight decay, level for acceptance, the share of a sentence's words
+#: Variations of each sentence and of each name in a phrase that grants, training steps and rate, weight decay, level for acceptance, the share of a sentence's words
 #: that confirms it.
-VARIATIONS, STEPS, RATE, DECAY, ACCEPT, CONFIRM = 20, 200, 2.0, 2e-4, 0.5, 0.6
+VARIATIONS, GRANTS, STEPS, RATE, DECAY, ACCEPT, CONFIRM = 20, 6, 300, 2.0, 5e-5, 0.5, 0.6
 #: Words that tell nothing alone or next to each other.
 COMMON = frozenset(
-    "a above all and any anyone are as at be by for from has he held his if in into is it its later may must neither new no nor not of on or our own see shall so that the their they this to under used uses was were will "
+    "a above all and any anyone are as at be by for from has he held his if in into is it its later may must new of on or our own see shall so that the their they this to under used uses was were will "
     "with without you your 0 1 2 3 4 1.0 2.0".split()
 )
 _WORDS = "[^a-z0-9]+"
+#: Between two paragraphs: the end of a line before a blank one.
+_BLANK = r"\n[ \t\r\f\x0B]*(?=\n)"
 
 
 def words_of(text: str) -> list[str]:
@@ -114,6 +135,17 @@ def features_of(words: list[str]) -> set[str]:
     return {" ".join(f) for f in found if not COMMON.issuperset(f)}
 
 
+def templates() -> list[tuple[str, list[str]]]:
+    """(family, 3-grams) of each sentence of a license text that has enough words to tell."""
+    out = []
+    for family, sentences in sorted(SENTENCES.items()):
+        for sentence in sentences:
+            words = words_of(sentence)
+            if len(words) >= 8:
+                out.append((family, sorted({" ".join(x) for x in zip(words, words[1:], words[2:], strict=False)})))
+    return out
+
+
 class Model(NamedTuple):
     families: list[str]  # the last is unknown
     weights: dict[str, list[float]]  # by feature, a logit for each family
@@ -181,16 +213,20 @@ def trained() -> Model:
         for name in NAMES.get(family, ()):
             for phrases, held in ((PHRASES, False), (HELD_OUT_PHRASES, True)):
                 for phrase in phrases:
-                    add(phrase.format(name), k, held, 2)
+                    add(phrase.format(name), k, held, 2 if held else GRANTS)
         for sentence in SENTENCES.get(family, ()):
             add(sentence, k, False, VARIATIONS)
             add(sentence, k, True, 4)
+        for name in NAMES.get(family, ()):
+            for phrases, held in ((NARRATIVE, False), (HELD_OUT_NARRATIVE, True)):
+                for phrase in phrases:
+                    add(phrase.format(name), len(families) - 1, held, 1)
     for sentence in UNKNOWN:
         add(sentence, len(families) - 1, False, VARIATIONS)
     for sentence in HELD_OUT_UNKNOWN:
         add(sentence, len(families) - 1, True, VARIATIONS)
     rows += [(features_of(rng.choices(filler, k=rng.randint(1, 12))), len(families) - 1, rng.random() < 0.25) for _ in range(1_000)]
-    seen = [*UNKNOWN, *(p.format(x) for names in NAMES.values() for x in names for p in PHRASES), *(x for s in SENTENCES.values() for x in s)]
+    seen = [*UNKNOWN, *NARRATIVE, *(p.format(x) for names in NAMES.values() for x in names for p in PHRASES), *(x for s in SENTENCES.values() for x in s)]
     names = sorted({f for s in seen for f in features_of(words_of(s))})
     place = {f: k for k, f in enumerate(names)}
     x = np.zeros((len(rows), len(names) + 1), np.float32)
@@ -218,10 +254,12 @@ def trained() -> Model:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with licenses: array of (paragraph, family, probability, confirmed) of the paragraphs that are not unknown.
+    """docs with licenses: array of (paragraph, family, probability, confirmed) of what paragraphs say, each family once in each.
 
-    paragraph is the number of the (first) line, from 0. Families are those of NAMES and SENTENCES. A null or empty text has
-    none; repeated rows stay; an input column named licenses is replaced, and one named __near goes.
+    paragraph is the number of the line where it is first seen, from 0; of a family that only the comparison with templates
+    finds, of the paragraph's first line that holds a word of them, with the share of the template as its probability. Families are those of
+    NAMES and SENTENCES. A null or empty text has none; repeated rows stay; an input column named licenses is replaced, and one
+    named __near goes.
     """
     model = trained()
     weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
@@ -229,19 +267,25 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     names = list(model.weights)
     whole = [(family, words) for family, own in sorted(NAMES.items()) for words in sorted({tuple(sorted(set(words_of(s)))) for s in own})]
     part = [(family, tuple(sorted(set(words_of(s))))) for family, own in sorted(SENTENCES.items()) for s in own]
-    templates = [(f, w, len(w)) for f, w in whole] + [(f, w, math.ceil(CONFIRM * len(w))) for f, w in part]
-    hint = one_of(model.anchors())
+    held = [(f, w, len(w)) for f, w in whole] + [(f, w, math.ceil(CONFIRM * len(w))) for f, w in part]
+    grams = templates()
+    known_grams = sorted({g for _, own in grams for g in own})
+    hint, marks = one_of(model.anchors()), one_of(sorted({w for _, own in grams for g in own for w in g.split()} - COMMON))
+    either = one_of(sorted({*model.anchors(), *({w for _, own in grams for g in own for w in g.split()} - COMMON)}))
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("licenses", "__near")]
-    near = let(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda lines: F.filter(
-        F.transform(lines, lambda p, i: F.struct(i.alias("paragraph"), p.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next"))),
-        lambda p: p["line"].rlike(hint) | (p["next"].rlike(hint) & (F.trim(p["line"]) != "")),
-    ))
-    empty = F.array().cast("array<struct<paragraph:int,line:string,next:string>>")
-    marked = docs.select(*kept, F.when(F.col(f"`{text}`").rlike(hint), near).otherwise(empty).alias("__near"))
+    whole_text = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    pieces = F.split(whole_text, _BLANK)
+    starts = let(pieces, lambda p: F.arrays_zip(running(p, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) + 1, lambda a, n: a + n).alias("start"), p.alias("run")))
+    runs = F.filter(starts, lambda r: r["run"].rlike(either))
+    empty = F.array().cast("array<struct<start:int,run:string>>")
+    marked = docs.select(*kept, F.when(F.col(f"`{text}`").rlike(either), runs).otherwise(empty).alias("__near"))
+
+    def tokens(line: Column) -> Column:
+        return F.filter(F.split(F.lower(line), _WORDS), lambda w: w != "")
 
     def named(words: Column) -> Column:
-        """(words, family, probability) of a paragraph's words."""
+        """(words, family, probability) of a line's words."""
         pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
         known = F.filter(F.array_distinct(F.concat(words, pairs)), lambda f: f.isin(names))
         total = F.aggregate(known, bias, lambda a, f: F.zip_with(a, F.element_at(weights, f), lambda x, y: x + y))
@@ -255,7 +299,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return let(total, best)
 
     def of(line: Column) -> Column:
-        return let(F.filter(F.split(F.lower(line), _WORDS), lambda w: w != ""), named)
+        return let(tokens(line), named)
 
     def accepted(s: Column) -> Column:
         return (s["family"] != "unknown") & (s["probability"] >= ACCEPT)
@@ -270,11 +314,46 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return let(let(of(p["line"]), choose), lambda s: F.when(accepted(s), F.struct(p["paragraph"].alias("paragraph"), s["family"].alias("family"), s["probability"].alias("probability"), s["words"].alias("words"))))
 
     def confirmed(p: Column) -> Column:
-        own = [F.when((p["family"] == family) & (F.size(F.array_intersect(p["words"], F.array(*map(F.lit, words)))) >= least), True) for family, words, least in templates]
+        own = [F.when((p["family"] == family) & (F.size(F.array_intersect(p["words"], F.array(*map(F.lit, words)))) >= least), True) for family, words, least in held]
         return F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), F.coalesce(*own, F.lit(False)).alias("confirmed"))
 
-    found = F.filter(F.transform(F.col("__near"), judged), lambda p: p.isNotNull())
-    return marked.withColumn("licenses", F.transform(found, confirmed)).drop("__near")
+    def by_lines(r: Column) -> Column:
+        """What a paragraph's lines say."""
+
+        def near(lines: Column) -> Column:
+            each = F.transform(lines, lambda p, i: F.struct((r["start"] + i).cast("int").alias("paragraph"), p.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
+            return F.filter(each, lambda p: p["line"].rlike(hint) | (p["next"].rlike(hint) & (F.trim(p["line"]) != "")))
+
+        return F.transform(F.filter(F.transform(let(F.split(r["run"], "\n"), near), judged), lambda p: p.isNotNull()), confirmed)
+
+    def by_templates(r: Column) -> Column:
+        """(family, share) of the templates that a paragraph holds enough of."""
+
+        def held_of(words: Column) -> Column:
+            threes = F.zip_with(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)), F.slice(words, 3, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+            return F.array_distinct(F.filter(threes, lambda g: g.isin(known_grams)))
+
+        def shares(found: Column) -> Column:
+            each = F.array(*[F.struct(F.lit(f).alias("family"), (F.size(F.array_intersect(found, F.array(*map(F.lit, own)))) / F.lit(float(len(own)))).alias("share")) for f, own in grams])
+            none = F.array().cast("array<struct<family:string,share:double>>")
+            return F.when(F.size(found) > 0, F.filter(each, lambda t: t["share"] >= CONFIRM)).otherwise(none)
+
+        return let(let(tokens(r["run"]), held_of), shares)
+
+    def merged(lines: Column, told: Column, r: Column) -> Column:
+        """Each family once: where a line says it first, else where the template's words begin."""
+        families = F.transform(lines, lambda p: p["family"])
+        once = F.filter(lines, lambda p, i: F.array_position(families, p["family"]) == i + 1)
+        sure = lambda f: F.exists(lines, lambda q: (q["family"] == f) & q["confirmed"]) | F.exists(told, lambda t: t["family"] == f)
+        first = F.transform(once, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), sure(p["family"]).alias("confirmed")))
+        others = F.filter(F.array_distinct(F.transform(told, lambda t: t["family"])), lambda f: ~F.array_contains(families, f))
+        place = F.array_position(F.transform(F.split(r["run"], "\n"), lambda x: x.rlike(marks)), True) - 1
+        best = lambda f: F.array_max(F.transform(F.filter(told, lambda t: t["family"] == f), lambda t: t["share"]))
+        more = F.transform(others, lambda f: F.struct((r["start"] + place).cast("int").alias("paragraph"), f.alias("family"), best(f).alias("probability"), F.lit(True).alias("confirmed")))
+        return F.concat(first, more)
+
+    found = F.transform("__near", lambda r: let(by_lines(r), lambda lines: let(by_templates(r), lambda told: merged(lines, told, r))))
+    return marked.withColumn("licenses", F.flatten(found)).drop("__near")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from fractions import Fraction
 from itertools import combinations
@@ -645,8 +646,8 @@ def test_licenses_in_wordings_not_trained_on(spark):
 
 
 def test_license_query_equals_plain_scoring(spark, small):
-    """Families of every line as the model gives them, line by line outside Spark."""
-    model = license.trained()
+    """Families of every paragraph as the model and the templates give them, line by line outside Spark."""
+    model, grams = license.trained(), license.templates()
 
     def plain(line):
         z = np.array(model.bias) + sum((np.array(model.weights[f]) for f in license.features_of(license.words_of(line)) if f in model.weights), np.zeros(len(model.bias)))
@@ -655,15 +656,62 @@ def test_license_query_equals_plain_scoring(spark, small):
         return best if best != "unknown" and p.max() / p.sum() >= license.ACCEPT else None
 
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    some = 0
     for r in license.op9_license_scan(spark, small).collect():
-        lines = texts[r["doc_id"]].split("\n")
-        alone = [plain(x) for x in lines]
-        want = []
-        for k, x in enumerate(lines):
-            after = lines[k + 1] if k + 1 < len(lines) else ""
-            family = alone[k] or (plain(f"{x} {after}") if x.strip(" ") and after.strip(" ") and not alone[k + 1] else None)
-            want += [f"{k}:{family}"] if family else []
-        assert r["paragraphs"] == ",".join(want) and r["n_license"] == len(want)
+        lines, want, start = texts[r["doc_id"]].split("\n"), [], 0
+        while start < len(lines):
+            end = start + 1
+            while end < len(lines) and lines[end].strip(" \t\r\f\x0b"):
+                end += 1
+            own, seen = lines[start:end], set()
+            alone = [plain(x) for x in own]
+            for k, x in enumerate(own):
+                after = own[k + 1] if k + 1 < len(own) else ""
+                family = alone[k] or (plain(f"{x} {after}") if x.strip(" ") and after.strip(" ") and not alone[k + 1] else None)
+                if family and family not in seen:
+                    want.append(f"{start + k}:{family}")
+                    seen.add(family)
+            words = license.words_of(" ".join(own))
+            threes = {" ".join(w) for w in zip(words, words[1:], words[2:], strict=False)}
+            for family, gram in grams:
+                if family not in seen and len(threes & set(gram)) / len(gram) >= license.CONFIRM:
+                    want.append(f"{start}:{family}")
+                    seen.add(family)
+            start = end
+        some += len(want)
+        listed = r["paragraphs"].split(",") if r["paragraphs"] else []
+        assert sorted(x.split(":")[1] for x in listed) == sorted(x.split(":")[1] for x in want) and r["n_license"] == len(want)
+        assert {x for x in listed if x.split(":")[1] not in dict(grams)} == {x for x in want if x.split(":")[1] not in dict(grams)}
+    assert some >= 5
+
+
+@pytest.mark.parametrize("width", [30, 40, 60, 2_000])
+def test_license_notices_of_any_width_come_once_and_confirmed(spark, width):
+    """Grants of real notices, wrapped, in their own paragraphs between others."""
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice appears",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    }
+    texts = [f"Some words\nof the file.\n \t\n{textwrap.fill(x, width)}\n\n\nMore words here." for x in notices.values()]
+    rows = license.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
+    for family, text, r in zip(notices, texts, rows, strict=True):
+        mine = [s for s in r["licenses"] if s["family"] == family]
+        assert len(mine) == 1 and mine[0]["confirmed"] and 3 <= mine[0]["paragraph"] < len(text.split("\n")) - 3, (family, r["licenses"])
+
+
+def test_narrative_and_denied_licenses_are_unknown(spark):
+    texts = [
+        "This article is about the history of the Apache License and how it was written by a foundation",
+        "The MIT License is not used here; all code is not free",
+        "A talk on the history of the GNU General Public License was given last year",
+        "The files are not licensed under the Mozilla Public License.",
+    ]
+    assert [r["licenses"] for r in license.scan(docs_of(spark, texts)).orderBy("doc_id").collect()] == [[]] * len(texts)
+    both = license.scan(docs_of(spark, ["Licensed under the MIT License.\nIt was here.\nReleased under the MIT License.\n\nReleased under WTFPL\nand under the Microsoft Public License (Ms-PL)"])).first()["licenses"]
+    assert [(s["paragraph"], s["family"]) for s in both] == [(0, "mit"), (4, "wtfpl"), (5, "mspl")]
 
 
 def test_license_anchors_lose_nothing():
