@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.plans.ranking import ranked
+from cairn.plans.ranking import beside, ranked
 
 #: Texts that count as true.
 TRUE = ("1", "true", "yes", "y")
@@ -46,6 +46,23 @@ def read_image_poses(spark: SparkSession, path: str) -> DataFrame:
     return values.select("file", "camera", *[v.alias(f"m{i}{j}") for i in range(3) for j, v in enumerate([*r[i], shift[i]])])
 
 
+#: Where focal lengths and centre are among the parameters of a camera model.
+CAMERA_MODELS = {"SIMPLE_PINHOLE": (0, 0, 1, 2), "SIMPLE_RADIAL": (0, 0, 1, 2), "PINHOLE": (0, 1, 2, 3), "OPENCV": (0, 1, 2, 3), "FULL_OPENCV": (0, 1, 2, 3), "RADIAL": (0, 1, 2, 3)}
+
+
+def read_intrinsics(spark: SparkSession, path: str) -> DataFrame:
+    """(camera, model, w, h, fl_x, fl_y, cx, cy) of camera lists in text (id model width height parameters). A model that is not known
+    raises an error; comments and lines without numbers are left out."""
+    f = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).filter((F.size("f") >= 7) & ~F.col("f")[0].startswith("#"))
+    table = spark.createDataFrame([(m, *[4 + k for k in at]) for m, at in CAMERA_MODELS.items()], "model string, i0 int, i1 int, i2 int, i3 int")
+    rows = f.select(F.col("f")[0].try_cast("long").alias("camera"), F.upper(F.col("f")[1]).alias("model"), F.col("f")[2].try_cast("double").alias("w"), F.col("f")[3].try_cast("double").alias("h"), "f").dropna(subset=["camera", "w", "h"])
+    joined = rows.join(F.broadcast(table), "model", "left")
+    if bad := joined.filter("i0 IS NULL").select("model").first():
+        raise ValueError(f"camera model {bad['model']!r} is not known")
+    values = [F.get("f", F.col(f"i{k}")).try_cast("double").alias(n) for k, n in enumerate(("fl_x", "fl_y", "cx", "cy"))]
+    return joined.select("camera", "model", "w", "h", *values).dropna()
+
+
 def read_states(spark: SparkSession, path: str) -> DataFrame:
     """(path, frame, convention, t, x, y, z, xx, xy, xz, yy, yz, zz) of JSON files of states with covariances.
 
@@ -95,8 +112,11 @@ def sound_poses(poses: DataFrame, by: list[str], least: int = 2) -> DataFrame:
     bad = F.lit(False)
     for c in ("t", "x", "y", "z"):
         bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    told = poses.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("t").alias("times"), F.count_if(bad).alias("bad"))
-    problem = F.when(F.col("bad") > 0, "values that are not finite").when(F.col("n") < least, f"fewer than {least} poses").when(F.col("times") < F.col("n"), "times that repeat")
+    placed = "idx" in poses.columns
+    rows = beside(poses, by, ["idx"], ["t"]) if placed else poses
+    back = F.count_if(F.col("before.t") > F.col("t")) if placed else F.lit(0)
+    told = rows.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("t").alias("times"), F.count_if(bad).alias("bad"), back.alias("back"))
+    problem = F.when(F.col("bad") > 0, "values that are not finite").when(F.col("n") < least, f"fewer than {least} poses").when(F.col("back") > 0, "times that go back").when(F.col("times") < F.col("n"), "times that repeat")
     return told.select(*by, problem.alias("problem")).filter("problem IS NOT NULL")
 
 

@@ -95,6 +95,13 @@ def test_scan_tables_frames_and_poses(spark, tmp_path):
     assert [r["name"] for r in runs.files_of(spark, str(scans), ("txt",)).collect()] == ["note.txt"]
     poses = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.0, 1.0), ("b", 0.0, 1.0), ("c", 0.0, 1.0), ("c", 0.0, 2.0), ("d", 0.0, float("nan")), ("d", 1.0, 1.0)], "run string, t double, x double").selectExpr("*", "x AS y", "x AS z")
     assert {r["run"]: r["problem"] for r in runs.sound_poses(poses, ["run"]).collect()} == {"b": "fewer than 2 poses", "c": "times that repeat", "d": "values that are not finite"}
+    placed = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 3.0), ("a", 2, 2.0), ("b", 0, 1.0), ("b", 1, 2.0)], "run string, idx int, t double").selectExpr("*", "1.0 AS x", "1.0 AS y", "1.0 AS z")
+    assert [tuple(r) for r in runs.sound_poses(placed, ["run"]).collect()] == [("a", "times that go back")]
+    (tmp_path / "cameras.txt").write_text("# list\n1 PINHOLE 640 480 500 510 320 240\n2 SIMPLE_RADIAL 800 600 700 400 300 0.1\n")
+    assert sorted(tuple(r) for r in runs.read_intrinsics(spark, str(tmp_path / "cameras.txt")).collect()) == [(1, "PINHOLE", 640.0, 480.0, 500.0, 510.0, 320.0, 240.0), (2, "SIMPLE_RADIAL", 800.0, 600.0, 700.0, 700.0, 400.0, 300.0)]
+    (tmp_path / "odd.txt").write_text("1 OTHER 640 480 500 510 320\n")
+    with pytest.raises(ValueError, match="OTHER"):
+        runs.read_intrinsics(spark, str(tmp_path / "odd.txt"))
 
 
 def test_points_round_trip_through_text(spark, tmp_path):
