@@ -21,11 +21,12 @@ def first_of_equal(points: np.ndarray, ids: np.ndarray, need: int) -> np.ndarray
 
 
 class KdTree:
-    """Points and their ids; of equal points only those that can be among `need` nearest ones are kept."""
+    """Points and their ids; of equal points only those that can be among `need` nearest ones are kept. Boxes no wider than
+    `least` are not split."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, need: int):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, need: int, least: float = 0.0):
         kept = first_of_equal(points, ids, need)
-        self.points, self.ids, self.need = points[kept], ids[kept], need
+        self.points, self.ids, self.need, self.least = points[kept], ids[kept], need, least
         #: low, high, first, end (of a leaf), left, right (-1: a leaf)
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
@@ -41,7 +42,7 @@ class KdTree:
         self.low.append(low)
         self.high.append(high)
         self.ends.append((first, end, -1, -1))
-        if end - first <= max(LEAF, 2 * self.need):
+        if end - first <= max(LEAF, 2 * self.need) or (high - low).max() <= self.least:
             self.order[first:end] = self.order[first:end][self.ids[self.order[first:end]].argsort(kind="stable")]
             return at
         axis, half = int((high - low).argmax()), (end - first) // 2

@@ -125,7 +125,7 @@ def _found(groups, pid: np.ndarray, d2: np.ndarray, ids: np.ndarray, more: dict[
     return pa.table(columns)
 
 
-def _broadcast(source: DataFrame, target: DataFrame, need: int) -> DataFrame:
+def _broadcast(source: DataFrame, target: DataFrame, need: int, size: float) -> DataFrame:
     """(g, pid, other, d) with the whole target, checked to be small, in every task."""
     spark, table = source.sparkSession, target.select("g", "pid", *AXES).toArrow()
     trees, names = {}, table.column("g").to_pylist()
@@ -134,7 +134,7 @@ def _broadcast(source: DataFrame, target: DataFrame, need: int) -> DataFrame:
     for k, name in enumerate(names):
         rows.setdefault(name, []).append(k)
     for name, own in rows.items():
-        trees[name] = KdTree(points[own], ids[own], need)
+        trees[name] = KdTree(points[own], ids[own], need, size)
     shared = spark.sparkContext.broadcast(trees)
 
     def run(batches):
@@ -152,13 +152,13 @@ def _broadcast(source: DataFrame, target: DataFrame, need: int) -> DataFrame:
     return source.select("pid", *AXES, "g").mapInArrow(run, f"g {kind}, pid long, other long, d double")
 
 
-def _meet(need: int, home: bool, kind: pa.DataType):
+def _meet(need: int, size: float, home: bool, kind: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["g", "pid", "other", "d", *(["bucket", "x", "y", "z"] if home else [])]
         if not len(left) or not len(right):
             empty = {"g": pa.array([], kind), **{c: pa.array([], pa.int64() if c in ("pid", "other", "bucket") else pa.float64()) for c in names[1:]}}
             return pa.table(empty)
-        tree = KdTree(_points(right), right.column("pid").to_numpy(), need)
+        tree = KdTree(_points(right), right.column("pid").to_numpy(), need, size)
         q, pid = _points(left), left.column("pid").to_numpy()
         order = np.lexsort(np.floor(q / (np.ptp(q, axis=0) + 1e-300) * 16).T)  # neighbours in space one after another
         bound = None if home else left.column("bound").to_numpy()[order]
@@ -170,7 +170,7 @@ def _meet(need: int, home: bool, kind: pa.DataType):
     return run
 
 
-def _met(source: DataFrame, target: DataFrame, need: int, home: bool) -> DataFrame:
+def _met(source: DataFrame, target: DataFrame, need: int, size: float, home: bool) -> DataFrame:
     """What source and target points of the same group and bucket give, either side in parts where it is large."""
     key = ["g", "bucket"]
     parts = source.groupBy(*key).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("of_source"))
@@ -186,7 +186,7 @@ def _met(source: DataFrame, target: DataFrame, need: int, home: bool) -> DataFra
     kind = source.schema["g"].dataType.simpleString()
     arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
     schema = f"g {kind}, pid long, other long, d double" + (", bucket long, x double, y double, z double" if home else "")
-    return source.groupBy(*key, "s", "t").cogroup(target.groupBy(*key, "s", "t")).applyInArrow(_meet(need, home, arrow), schema)
+    return source.groupBy(*key, "s", "t").cogroup(target.groupBy(*key, "s", "t")).applyInArrow(_meet(need, size, home, arrow), schema)
 
 
 def _dealt(points: DataFrame, shared) -> DataFrame:
@@ -205,7 +205,7 @@ def _dealt(points: DataFrame, shared) -> DataFrame:
     return points.mapInArrow(run, points.withColumn("bucket", F.lit(0).cast("long")).schema)
 
 
-def _by_buckets(source: DataFrame, target: DataFrame, n: int, need: int) -> DataFrame:
+def _by_buckets(source: DataFrame, target: DataFrame, n: int, need: int, size: float) -> DataFrame:
     spark = source.sparkSession
     large = {r["g"]: r["n"] for r in target.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET).collect()}  # no more than points / BUCKET
     share = min(1.0, SAMPLE / n)
@@ -221,7 +221,7 @@ def _by_buckets(source: DataFrame, target: DataFrame, n: int, need: int) -> Data
                 trees[name] = planes(own, depth)
     shared = spark.sparkContext.broadcast(trees)
     there = written(_dealt(target.select("pid", *AXES, "g"), shared), "buckets")
-    found = written(_met(_dealt(source.select("pid", *AXES, "g"), shared), there, need, True), "home")
+    found = written(_met(_dealt(source.select("pid", *AXES, "g"), shared), there, need, size, True), "home")
     every = found.select("g", "pid", "other", "d")
     if not trees:
         return every
@@ -252,14 +252,14 @@ def _by_buckets(source: DataFrame, target: DataFrame, n: int, need: int) -> Data
     dealt = _dealt(source.select("pid", *AXES, "g").filter(F.col("g").isin(*trees)), shared)
     open_points = dealt.join(homes.select("g", "pid", "m", "far"), ["g", "pid"], "left").select("pid", *AXES, "g", "bucket", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("far", F.lit(0.0)).alias("far"))
     visits = written(open_points.mapInArrow(walk, f"pid long, x double, y double, z double, g {kind}, bucket long, bound double"), "visits")
-    return every.union(_met(visits, there, need, False).select("g", "pid", "other", "d"))
+    return every.union(_met(visits, there, need, size, False).select("g", "pid", "other", "d"))
 
 
-def nearest(source: DataFrame, target: DataFrame, k: int = 1, apart: bool = False, by: str | None = None) -> DataFrame:
+def nearest(source: DataFrame, target: DataFrame, k: int = 1, size: float | None = None, apart: bool = False, by: str | None = None) -> DataFrame:
     """(by, pid, other, rank, d): each source point's k nearest target points, exact; ties by the smaller id.
 
     apart: a point is not its own neighbour (ids equal). by: a column of both sides (int, long or string) within whose values
-    points meet; a null one meets nothing. Fewer than k targets give fewer rows. Points with a coordinate that is null, NaN or
+    points meet; a null one meets nothing. size: boxes of the trees no wider than this are not split. Fewer than k targets give fewer rows. Points with a coordinate that is null, NaN or
     infinite are nobody's neighbour and have none. pid must be a long and name one source point (of its group).
     """
     source, target = finite(source, by), finite(target, by)
@@ -274,7 +274,7 @@ def nearest(source: DataFrame, target: DataFrame, k: int = 1, apart: bool = Fals
         target = target.groupBy("g", *AXES).agg(F.min("pid").alias("pid")) if need == 1 else target.withColumn("__r", F.row_number().over(same)).filter(F.col("__r") <= need).drop("__r")
         target = written(target.select("pid", *AXES, "g"), "target")
         n = target.count()
-    found = _broadcast(source, target, need) if n <= SMALL else _by_buckets(source, target, n, need)
+    found = _broadcast(source, target, need, size or 0.0) if n <= SMALL else _by_buckets(source, target, n, need, size or 0.0)
     if apart:
         found = found.filter("pid <> other")
     if k == 1:
