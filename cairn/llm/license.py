@@ -14,7 +14,7 @@ names or enough of one of its sentences. A paragraph names each family once.
 The model is small (its features come from the training sentences) and reaches the texts as a literal; scanning uses built-in
 functions only. Only lines with one of the anchor words are scored: all other features together cannot lift a family to the
 acceptance level, so nothing is lost (see Model.anchors). Paragraphs are compared with templates where they hold one of the
-templates' own words.
+templates' marks, without which none holds enough of one (see template_marks()).
 """
 
 from __future__ import annotations
@@ -146,6 +146,20 @@ def templates() -> list[tuple[str, list[str]]]:
     return out
 
 
+def template_marks() -> list[str]:
+    """Words one of which every paragraph holds that holds enough of a template.
+
+    Of each template the longest words, until fewer 3-grams are free of them than a paragraph must hold.
+    """
+    taken: set[str] = set()
+    for _, grams in templates():
+        free, least = [g for g in grams if taken.isdisjoint(g.split())], math.ceil(CONFIRM * len(grams))
+        while len(free) >= least:
+            taken.add(min({w for g in free for w in g.split()}, key=lambda w: (-len(w), w)))
+            free = [g for g in free if taken.isdisjoint(g.split())]
+    return sorted(taken)
+
+
 class Model(NamedTuple):
     families: list[str]  # the last is unknown
     weights: dict[str, list[float]]  # by feature, a logit for each family
@@ -257,7 +271,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with licenses: array of (paragraph, family, probability, confirmed) of what paragraphs say, each family once in each.
 
     paragraph is the number of the line where it is first seen, from 0; of a family that only the comparison with templates
-    finds, of the paragraph's first line that holds a word of them, with the share of the template as its probability. Families are those of
+    finds, of the paragraph's first line that holds a mark of one, with the share of the template as its probability. Families are those of
     NAMES and SENTENCES. A null or empty text has none; repeated rows stay; an input column named licenses is replaced, and one
     named __near goes.
     """
@@ -270,8 +284,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     held = [(f, w, len(w)) for f, w in whole] + [(f, w, math.ceil(CONFIRM * len(w))) for f, w in part]
     grams = templates()
     known_grams = sorted({g for _, own in grams for g in own})
-    hint, marks = one_of(model.anchors()), one_of(sorted({w for _, own in grams for g in own for w in g.split()} - COMMON))
-    either = one_of(sorted({*model.anchors(), *({w for _, own in grams for g in own for w in g.split()} - COMMON)}))
+    hint, marks = one_of(model.anchors()), one_of(template_marks())
+    either = one_of(sorted({*model.anchors(), *template_marks()}))
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("licenses", "__near")]
     whole_text = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -338,7 +352,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             none = F.array().cast("array<struct<family:string,share:double>>")
             return F.when(F.size(found) > 0, F.filter(each, lambda t: t["share"] >= CONFIRM)).otherwise(none)
 
-        return let(let(tokens(r["run"]), held_of), shares)
+        none = F.array().cast("array<struct<family:string,share:double>>")
+        return F.when(r["run"].rlike(marks), let(let(tokens(r["run"]), held_of), shares)).otherwise(none)
 
     def merged(lines: Column, told: Column, r: Column) -> Column:
         """Each family once: where a line says it first, else where the template's words begin."""

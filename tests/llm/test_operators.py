@@ -714,6 +714,12 @@ def test_narrative_and_denied_licenses_are_unknown(spark):
     assert [(s["paragraph"], s["family"]) for s in both] == [(0, "mit"), (4, "wtfpl"), (5, "mspl")]
 
 
+def test_template_marks_lose_nothing():
+    marks = set(license.template_marks())
+    for _, grams in license.templates():
+        assert sum(marks.isdisjoint(g.split()) for g in grams) < license.CONFIRM * len(grams)
+
+
 def test_license_anchors_lose_nothing():
     model, rng = license.trained(), random.Random(1)
     hint = re.compile(r"(?<![a-z0-9])(?:" + "|".join(model.anchors()) + r")(?![a-z0-9])")
