@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import gates
-from cairn.plans import ranking
+from cairn.plans import bindings, ranking
 from cairn.plans.queries import QUERIES
 
 
@@ -111,3 +112,72 @@ def test_quantiles_equal_percentile(spark):
         want = {tuple(r)[:-1]: r["p"] for r in df.groupBy(*by).agg(F.percentile("v", at).alias("p")).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
     assert ranking.quantiles(df.limit(0), "v", at).first()["p"] == [None] * len(at)
+
+
+def _cloud(frame):
+    df = frame.toPandas()
+    return df, df[["x", "y", "z"]].to_numpy(float)
+
+
+def _voxels(x, size):
+    out: dict = {}
+    for k, key in enumerate(map(tuple, np.floor(x / size).astype(int).tolist())):
+        out.setdefault(key, []).append(k)
+    return out
+
+
+def test_plane_patches_of_the_whole_table(spark, small):
+    _, x = _cloud(bindings.dense_cloud(spark, small))
+    want = {}
+    for key, own in _voxels(x, 4.0).items():
+        if len(own) >= 12:
+            w = np.linalg.eigvalsh(np.cov(x[own].T))
+            flat = (w[1] - w[0]) / w[2] if w[2] > 0 else 0.0
+            if flat >= 0.1:
+                want[key] = (len(own), flat)
+    got = {(r["vx"], r["vy"], r["vz"]): (r["n"], r["planarity"]) for r in QUERIES["plane_patches"](spark, small).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == n and got[k][1] == pytest.approx(f, abs=1e-4) for k, (n, f) in want.items())
+
+
+def test_normals_of_the_whole_table(spark, small):
+    """Each normal is a direction in which its point's ten neighbours vary least."""
+    df, x = _cloud(bindings.events_cloud(spark, small))
+    ids = df["pid"].to_numpy()
+    place = {i: k for k, i in enumerate(ids.tolist())}
+    rows = QUERIES["surface_normals"](spark, small).collect()
+    assert len(rows) == len(x)
+    for r in rows[::7]:
+        d2 = ((x - x[place[r["pid"]]]) ** 2).sum(axis=1)
+        near = np.lexsort((ids, np.sqrt(d2)))[:10]
+        cov, n = np.cov(x[near].T, ddof=0), np.array([r["nx"], r["ny"], r["nz"]])
+        w = np.linalg.eigvalsh(cov)
+        assert np.linalg.norm(n) == pytest.approx(1, abs=2e-3) and n @ cov @ n <= w[0] + 4e-3 * w[2] + 1e-9
+        assert r["nz"] >= 0
+
+
+def test_voxel_distances_of_the_whole_table(spark, small):
+    df, x = _cloud(bindings.dense_cloud(spark, small))
+    ref = df["ref_ground"].to_numpy(bool)
+
+    def root(m):
+        w, q = np.linalg.eigh(m)
+        return (q * np.sqrt(np.maximum(w, 1e-6))) @ q.T
+
+    def stats(side):
+        own = x[side]
+        return {k: (own[v].mean(axis=0), np.cov(own[v].T)) for k, v in _voxels(own, 10.0).items() if len(v) >= 20}
+
+    a, b, distances = stats(ref), stats(~ref), {}
+    for key in a.keys() & b.keys():
+        (ma, ca), (mb, cb) = a[key], b[key]
+        full = lambda m: root(m) @ root(m)
+        square = ((ma - mb) ** 2).sum() + np.trace(full(ca) + full(cb) - 2 * root(root(ca) @ full(cb) @ root(ca)))
+        distances[key] = np.sqrt(max(square, 0.0))
+    scores = []
+    for key in distances:
+        near = [w for k, w in distances.items() if k != key and max(abs(i - j) for i, j in zip(k, key, strict=True)) <= 5]
+        if near:
+            scores.append(np.std(near) / np.mean(near) if np.mean(near) > 0 else 0.0)
+    r = QUERIES["voxel_wasserstein"](spark, small).first()
+    assert r["n_awd"] == len(distances) > 0 and r["awd"] == pytest.approx(np.mean(list(distances.values())), abs=2e-4)
+    assert r["n_scs"] == len(scores) and r["scs"] == pytest.approx(np.mean(scores), abs=2e-4)
