@@ -17,7 +17,9 @@ symmetric difference is (a + b) / 9 at most.
 3. The rest. Keys that still hold sets of several components go to a packed R-tree over the group counts (large keys
    in pairs of tiles): nodes bound the overlap by summed minima with their largest counts and are skipped where all of
    theirs are connected already. What survives, sets of up to FINE shingles, is bounded once more by counts of FINE_GROUPS
-   groups, of which a set lists those it fills. Surviving pairs are verified, and components formed again.
+   groups, of which a set lists those it fills. A set comes to its tiles once for all of their keys. Of tiles, the sets that
+   are left in pairs come out, not the pairs; then these alone come as whole sets, pairs are verified where they meet, and a
+   link joins its components there at once. So neither step gives more rows than it reads. Components are formed again.
 
 Every pair that can link is compared or already connected, so the components are exact.
 """
@@ -45,11 +47,11 @@ FINE_GROUPS, FINE = 1 << 16, 2_048
 LARGE = 60_000
 #: Words that a worker remembers, keys that a task packs at once, sets of a key in one pack from which it is settled there,
 #: sets of one key that are compared in one tile, sets that are verified against one, keys of the same sets that are worked
-#: at once (keys of the same sets find the same pairs, which come out once then; ALIKE_ROWS bounds their rows), the most rows of a table of ids that is broadcast, and rows of a batch of texts.
-MEMO_WORDS, PACK_KEYS, STAR, TILE, FAN, ALIKE, ALIKE_ROWS, BROADCAST_ROWS, BATCH_ROWS = 200_000, 500_000, 8, 2_000, 64, 16, 12_000, 500_000, 500
-#: Characters whose keys and documents meet in one part, and rows of tiles that meet in one slot: the numbers of parts and
-#: slots follow from the input.
-PART_CHARS, SLOT_ROWS = 32_000_000, 20_000
+#: at once (keys of the same sets find the same pairs, which are verified once then; ALIKE_ROWS bounds their rows), the most rows of a table of ids that is broadcast, and rows of a batch of texts.
+MEMO_WORDS, PACK_KEYS, STAR, TILE, FAN, ALIKE, ALIKE_ROWS, BROADCAST_ROWS, BATCH_ROWS = 50_000, 500_000, 8, 2_000, 64, 16, 12_000, 500_000, 500
+#: Characters whose keys and documents meet in one part, and rows of tiles and shingles of their sets that meet in one slot
+#: about: the numbers of parts and slots follow from the input. Shingles of a tile's sets, bytes of sets in a batch.
+PART_CHARS, SLOT_ROWS, SLOT_SHINGLES, TILE_SHINGLES, BATCH_BYTES = 32_000_000, 20_000, 6_000_000, 2_000_000, 4_000_000
 _U = np.uint64
 _STEP, _MIX_A, _MIX_B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -321,24 +323,30 @@ def sharper(fine: list[np.ndarray], sizes: np.ndarray, a: np.ndarray, b: np.ndar
     return ok
 
 
-def _with_fine(held: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """labels of the sets in held, with their fine groups; the sets come from the texts again."""
-    needs = written(held.select("doc").distinct().join(classes.select(F.col("sig").alias("doc"), "rep"), "doc"), "held")
-    small = needs.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(needs) if small else needs, docs["doc_id"] == needs["rep"]).select("doc", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [shingles(x) for x in batch.column(1).to_pylist()]
-            own = np.array([signature(x) if len(x) else 0 for x in hashes], np.uint64).view(np.int64)
-            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array([fine_groups(x).tobytes() for x in hashes], pa.binary())], ["doc", "fine"])
-            yield rows.filter(pa.array(own == batch.column(0).to_numpy()))
-        _words.clear()
-        release()
-
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        fine = written(texts.mapInArrow(run, "doc long, fine binary").groupBy("doc").agg(F.first("fine").alias("fine")), "fine")
-    return labels.join(fine, "doc")
+def joining(hashes: list[np.ndarray], fine: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of pairs of positions, those whose whole sets link and whose labels differ by then: label changes as links join them, so
+    there are fewer of these than labels."""
+    left, right = [], []
+    if not len(a):
+        return left, right
+    a, b = np.divmod(np.unique(np.minimum(a, b) * len(sizes) + np.maximum(a, b)), len(sizes))
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    for s, e in zip(starts.tolist(), np.append(starts[1:], len(a)).tolist(), strict=True):
+        x = int(a[s])
+        for k in range(s, e, FAN):
+            y = b[k : min(k + FAN, e)]
+            y = y[label[y] != label[x]]
+            y = y[sharper(fine, sizes, np.full(len(y), x), y)]
+            if not len(y):
+                continue
+            own, other = hashes[x], np.concatenate([hashes[v] for v in y.tolist()])
+            same = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+            both = np.add.reduceat(same, np.cumsum([0, *sizes[y]])[:-1], dtype=np.int64)
+            for v in y[100 * both >= 80 * (sizes[x] + sizes[y] - both)].tolist():
+                if label[v] != label[x]:
+                    left.append(x), right.append(v)
+                    label[label == label[v]] = label[x]
+    return left, right
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -394,39 +402,115 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(bound, "a long, b long")
 
 
-def _tiled_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of keys' sets (key, doc; labels has a doc's label, n, point and fine), the pairs of different labels that the bounds let through."""
-    sizes = written(held.groupBy("key").agg(F.count("*").alias("sets"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("doc").alias("low")), "sets")
-    # keys of the same documents are worked together, a few at a time, so that a pair comes out few times
-    alike = sizes.groupBy("low", "tiles").agg(F.greatest(F.ceil(F.count("*") / ALIKE), F.ceil(F.sum(F.col("sets") / F.col("tiles")) / ALIKE_ROWS)).cast("int").alias("parts"))
-    sizes = written(sizes.join(alike, ["low", "tiles"]).select("key", "sets", "tiles", F.xxhash64("low", "tiles", F.pmod("key", "parts")).alias("near")), "sizes")
-    rows = sizes.agg(F.coalesce(F.sum(F.col("sets") * F.col("tiles")), F.lit(0))).first()[0]
-    dealt = held.join(sizes, "key").join(labels, "doc").withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
-    tiled = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("key", "near", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "doc", "label", "n", "point", "fine")
-    slots = max(8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLOT_ROWS))
-    tiled = tiled.withColumn("slot", F.pmod(F.xxhash64("near", "i", "j"), F.lit(slots)))
-
-    def join(group: pa.Table) -> pa.Table:
-        key, i, j, t, doc, label, n = (group.column(c).to_numpy() for c in ("key", "i", "j", "t", "doc", "label", "n"))
+def _sets_by_slot(tiled: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, whole: bool) -> DataFrame:
+    """(slot, doc, label, n, point, own) of each slot of a doc in tiled; own: its hashes if whole, else its fine groups. Sets
+    come from the texts again, made once for all slots."""
+    uses = tiled.groupBy("doc").agg(F.collect_set("slot").alias("slots")).join(labels.select("doc", "label"), "doc")
+    uses = written(uses.join(classes.select(F.col("sig").alias("doc"), "rep"), "doc"), "uses")
+    small = uses.agg(F.coalesce(F.sum(F.size("slots")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(uses) if small else uses, docs["doc_id"] == uses["rep"]).select("doc", "label", "slots", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a row may be repeated
+        rows: list[tuple] = []
+        size = 0
+
+        def cut() -> pa.RecordBatch:
+            nonlocal size
+            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["slot", "doc", "label", "n", "point", "own"])
+            rows.clear()
+            size = 0
+            return out
+
+        for batch in batches:
+            for doc, label, slots, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = shingles(text)
+                if doc in seen or not len(hashes) or np.uint64(signature(hashes)).view(np.int64) != doc:
+                    continue
+                seen.add(doc)
+                counts, own = point(hashes).tobytes(), (hashes if whole else fine_groups(hashes)).tobytes()
+                for slot in slots:
+                    rows.append((slot, doc, label, len(hashes), counts, own))
+                    size += GROUPS + len(own)
+                    if size >= BATCH_BYTES:
+                        yield cut()
+        if rows:
+            yield cut()
+        _words.clear()
+        release()
+
+    return texts.mapInArrow(run, "slot int, doc long, label long, n long, point binary, own binary")
+
+
+def _tiled_links(held: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of keys' sets (key, doc; labels has a doc's label and n), links between sets of different labels: of each slot of tiles
+    as many as join the labels that links there can join. So a slot gives fewer rows than it reads."""
+    weighed = held.join(labels.select("doc", "n"), "doc").groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("doc").alias("low"))
+    tiles = F.least("sets", F.greatest(F.ceil(F.col("sets") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES))).cast("int")
+    sizes = written(weighed.withColumn("tiles", tiles), "sets")
+    # keys of the same documents are worked together, a few at a time, so that a pair is compared few times
+    share = [F.ceil(F.sum(F.col(c) / F.col("tiles")) / most) for c, most in (("sets", ALIKE_ROWS), ("shingles", SLOT_SHINGLES))]
+    alike = sizes.groupBy("low", "tiles").agg(F.greatest(F.ceil(F.count("*") / ALIKE), *share).cast("int").alias("parts"))
+    sizes = written(sizes.join(alike, ["low", "tiles"]).select("key", "sets", "shingles", "tiles", F.xxhash64("low", "tiles", F.pmod("key", "parts")).alias("near")), "sizes")
+    rows, weight = sizes.agg(*[F.coalesce(F.sum(F.col(c) * F.col("tiles")), F.lit(0)) for c in ("sets", "shingles")]).first()
+    slots = max(8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLOT_ROWS), -(-weight // SLOT_SHINGLES))
+    dealt = held.join(sizes, "key").groupBy("near", "tiles", "doc").agg(F.collect_list("key").alias("keys"))
+    dealt = dealt.withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = dealt.select("near", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "doc", "keys")
+    tiled = written(tiled.withColumn("slot", F.pmod(F.xxhash64("near", "i", "j"), F.lit(slots)).cast("int")), "tiled")
+
+    def compare(group: pa.Table, sets: pa.Table, whole: bool) -> pa.Table:
+        """Of a slot, the sets that the bounds leave in pairs or, where whole sets are there, links between them."""
+        doc, first = np.unique(sets.column("doc").to_numpy(), return_index=True)
+        sets = sets.take(pa.array(first))
+        own = [np.frombuffer(x, np.uint64 if whole else np.uint16) for x in sets.column("own").to_pylist()]
+        fine = [fine_groups(x) for x in own] if whole else own
+        size, points = sets.column("n").to_numpy(), _points(sets.column("point").to_pylist())
+        label = np.unique(sets.column("label").to_numpy(), return_inverse=True)[1]
+        listed = group.column("keys").combine_chunks()
+        at = np.repeat(np.arange(len(group)), listed.value_lengths().to_numpy())  # a row for each key
+        key = listed.flatten().to_numpy()
+        i, j, t = (group.column(c).to_numpy()[at] for c in ("i", "j", "t"))
+        place = np.searchsorted(doc, group.column("doc").to_numpy())[at]
         order = np.lexsort((j, i, key))
-        key, i, j, t, doc, label, n = (x[order] for x in (key, i, j, t, doc, label, n))
-        points = _points(group.column("point").to_pylist())[order]
-        fine = [np.frombuffer(x, np.uint16) for x in group.column("fine").take(pa.array(order)).to_pylist()]
-        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        key, i, j, t, place = (x[order] for x in (key, i, j, t, place))
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))[: len(key)])
         lengths = np.diff(np.append(starts, len(key)))
         few = (lengths <= 32) & (i[starts] == j[starts])
-        found = [few_pairs(points, n, label, starts[few], lengths[few])]
+        near, left, right = np.zeros(len(doc), bool), [], []
+
+        def take(a: np.ndarray, b: np.ndarray) -> None:
+            if whole:
+                for found, more in zip((left, right), joining(own, fine, size, label, a, b), strict=True):
+                    found.extend(more)
+            else:
+                ok = sharper(fine, size, a, b)
+                near[a[ok]] = near[b[ok]] = True
+
+        a, b = few_pairs(points[place], size[place], label[place], starts[few], lengths[few])
+        take(place[a], place[b])
         for s, e in zip(starts[~few].tolist(), (starts + lengths)[~few].tolist(), strict=True):
-            a, b = tree_pairs(points[s:e], n[s:e], label[s:e], t[s:e] == i[s] if i[s] != j[s] else np.ones(e - s, bool))
-            found.append((a + s, b + s))
-        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-        near = sharper(fine, n, a, b)
-        a, b = a[near], b[near]
-        pairs = np.unique(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+            here = place[s:e]
+            a, b = tree_pairs(points[here], size[here], label[here], t[s:e] == i[s] if i[s] != j[s] else np.ones(e - s, bool))
+            take(here[a], here[b])
+        if whole:
+            return pa.table({"a": doc[np.array(left, np.int64)], "b": doc[np.array(right, np.int64)]})
+        return pa.table({"slot": pa.array(np.full(near.sum(), group.column("slot")[0].as_py()), pa.int32()), "doc": doc[near]})
+
+    def bounded(group: pa.Table, sets: pa.Table) -> pa.Table:
+        return compare(group, sets, False)
+
+    def linked(group: pa.Table, sets: pa.Table) -> pa.Table:
+        return compare(group, sets, True)
+
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        near = written(tiled.groupBy("slot").cogroup(_sets_by_slot(tiled, labels, classes, docs, False).groupBy("slot")).applyInArrow(bounded, "slot int, doc long"), "near")
+        left = written(tiled.join(near, ["slot", "doc"], "left_semi"), "left")
+        return written(left.groupBy("slot").cogroup(_sets_by_slot(left, labels, classes, docs, True).groupBy("slot")).applyInArrow(linked, "a long, b long"), "joined")
+
 
-    return tiled.groupBy("slot").applyInArrow(join, "a long, b long").distinct()
+def _labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
+    return classes.join(found, classes["sig"] == found["node"], "left").select("sig", "n", F.coalesce("component", "sig").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -454,7 +538,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = written(connected_components(links), "components")
 
     # keys that hold several components
-    labels = classes.join(found, classes["sig"] == found["node"], "left").select("sig", "n", F.coalesce("component", "sig").alias("label"), "point")
+    labels = _labelled(classes, found)
     short = labels.select("sig", "label")
     apart = members.join(short.select(F.col("sig").alias("pivot"), F.col("label").alias("of")), "pivot").join(short, "sig").filter("label <> of")
     apart = written(apart.select("key").distinct(), "apart")
@@ -464,11 +548,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         # of keys with the same sets one is enough
         lists = held.groupBy("key").agg(F.sum(F.shiftright(F.xxhash64("sig"), 12)).alias("h"), F.sum(F.shiftright(F.xxhash64("sig", F.lit(1)), 12)).alias("g"))
         held = written(held.join(lists.groupBy("h", "g").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").withColumnRenamed("sig", "doc"), "held")
-        known = first.select("a", "b").union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = _tiled_pairs(held, _with_fine(held, labels.withColumnRenamed("sig", "doc"), classes, source))
-        again = _checked(more.join(known, ["a", "b"], "left_anti"), classes, source)
-        if again.filter("linked").limit(1).count():
-            found = connected_components(links.union(again.filter("linked").select("a", "b")))
+        again = _tiled_links(held, labels.withColumnRenamed("sig", "doc"), classes, source)
+        if again.limit(1).count():
+            found = connected_components(links.union(again))
     named = written(classes.join(found, classes["sig"] == found["node"], "left").select("sig", "n", "rep", F.coalesce("component", "sig").alias("label")), "named")
     first_of = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(first_of, "label").select("sig", "n", "component_id")

@@ -792,3 +792,45 @@ def test_bpe_query_digests(spark, small):
         ids = other.encode_ordinary(texts[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_tiles_give_fewer_rows_than_they_read(spark, monkeypatch):
+    """Without first links, every link comes from the tiles: those that join components, not all pairs."""
+    monkeypatch.setattr(jaccard, "STAR", 2)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(jaccard, "TILE_SHINGLES", 2_000)
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(150)]
+    texts = [" ".join([*passage[: k % 15 + 120], *(f"a{rng.randrange(10**6)}" for _ in range(6 + k % 13))]) for k in range(60)]
+    texts += texts[:5]
+    docs = docs_of(spark, texts).union(docs_of(spark, texts[:3]))
+    made, written, checked = [], jaccard.written, jaccard._checked
+    monkeypatch.setattr(jaccard, "written", lambda df, name: made.append((name, written(df, name))) or made[-1][1])
+    monkeypatch.setattr(jaccard, "_checked", lambda *x: checked(*x) if any(name == "held" for name, _ in made) else checked(*x).withColumn("linked", F.lit(False)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    sets = [shingle_set(x) for x in texts]
+    links = [(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) > 8 * len(texts)
+    assert [got[i] for i in range(len(texts))] == components_of(len(texts), links)
+    counts = {name: df.count() for name, df in made if name in ("tiled", "near", "joined")}
+    assert 0 < counts["joined"] < counts["near"] <= counts["tiled"]
+
+
+def test_joining_gives_a_forest_of_the_linked_pairs():
+    rng = np.random.default_rng(21)
+    base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < share], rng.integers(0, 2**63, 25).astype(np.uint64)])) for share in np.linspace(0.6, 1, 70)]
+    sets.append(np.unique(np.concatenate([base, rng.integers(0, 2**63, jaccard.FINE).astype(np.uint64)])))
+    sizes, labels = np.array([len(x) for x in sets]), np.arange(len(sets)) // 2
+    a, b = (np.array(x) for x in zip(*combinations(range(len(sets)), 2), strict=True))
+    linked = [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if 100 * (both := len(np.intersect1d(sets[x], sets[y]))) >= 80 * (sizes[x] + sizes[y] - both)]
+    same = [(x, x + 1) for x in range(0, len(sets) - 1, 2)]
+    label = labels.copy()
+    left, right = jaccard.joining(sets, [jaccard.fine_groups(x) for x in sets], sizes, label, np.append(a, b), np.append(b, a))
+    found = list(zip(left, right, strict=True))
+    expected = components_of(len(sets), linked + same)
+    assert set(found) <= set(linked) and len(found) == len(set(labels.tolist())) - len(set(expected))
+    assert len(found) < len(linked) / 4 and components_of(len(sets), found + same) == expected
+    assert [[x == y for y in label] for x in label] == [[x == y for y in expected] for x in expected]
+    none = np.empty(0, np.int64)
+    assert jaccard.joining([], [], none, none, none, none) == ([], [])
