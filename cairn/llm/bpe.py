@@ -181,8 +181,8 @@ def _encoder(packed: bytes, pattern: str, remember: int) -> TextEncoder:
     return TextEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, packed.splitlines())}, pattern, remember)
 
 
-def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, remember: int = REMEMBER) -> DataFrame:
-    """Each row's kept columns with token_ids (array of int) and decoded (binary, made from those ids).
+def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, remember: int = REMEMBER, decode: bool = True) -> DataFrame:
+    """Each row's kept columns with token_ids (array of int) and, with decode, decoded (binary, made from those ids).
 
     A null text counts as empty: no ids, no bytes. Repeated rows give repeated rows. Input columns named token_ids or
     decoded are replaced, all others come back whatever their names. The rank file is read on the driver and broadcast; a vocabulary bounds its size. remember trades a
@@ -194,7 +194,8 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     plain = [f"c{k}" for k in range(len(kept))]  # so that no input column's name is one of those below
     back = [F.col(p).alias(c) for p, c in zip(plain, kept, strict=True)]
     source = docs.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, kept, strict=True)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = source.select(*plain, F.lit(None).cast("array<int>").alias("token_ids"), F.lit(None).cast("binary").alias("decoded")).schema
+    made = ["token_ids", "decoded"] if decode else ["token_ids"]
+    schema = source.select(*plain, *[F.lit(None).cast(t).alias(c) for c, t in zip(made, ("array<int>", "binary"), strict=False)]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern, remember)
@@ -205,14 +206,14 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 offsets = pa.array([0, *_running(map(len, ids))], pa.int32())
                 packed = pa.py_buffer(b"".join(ids))
                 listed = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), len(packed) // 4, [None, packed]))
-                decoded = pa.array(map(encoder.decode, ids), pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], listed, decoded], [*plain, "token_ids", "decoded"])
+                decoded = [pa.array(map(encoder.decode, ids), pa.binary())] if decode else []
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], listed, *decoded], [*plain, *made])
         if remember < REMEMBER:  # memory is short: nothing stays for the worker's next task
             del encoder
             _encoder.cache_clear()
             release()
 
-    return source.mapInArrow(run, schema).select(*back, "token_ids", "decoded")
+    return source.mapInArrow(run, schema).select(*back, *made)
 
 
 def _running(lengths) -> Iterator[int]:

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable
 from fractions import Fraction
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,6 +82,12 @@ def schedule(members: dict[int, int]) -> list[Run]:
     return out
 
 
+def _small(spark: SparkSession, columns: Iterable, types: dict[str, pa.DataType]) -> DataFrame:
+    """A table of the driver's columns, from Arrow: a list of rows would start Python workers of its own on the executors, which
+    stay beside the others."""
+    return spark.createDataFrame(pa.table({c: pa.array(x, t) for x, (c, t) in zip(columns, types.items(), strict=True)}))
+
+
 def _turns(spark: SparkSession, sources: DataFrame, weights: DataFrame | dict[str | None, float] | None) -> tuple[DataFrame, list[Run], int, int]:
     """(__of, __part, __i) of each source with a weight: its whole part and its place by name among those of that part, null
     last; then a period's runs, its length and how many sources there are. sources: distinct ones (__source)."""
@@ -98,7 +106,7 @@ def _turns(spark: SparkSession, sources: DataFrame, weights: DataFrame | dict[st
     members: dict[int, int] = {}
     for r in classes:
         members[parts[r["__weight"]]] = members.get(parts[r["__weight"]], 0) + r["n"]
-    of = spark.createDataFrame(list(parts.items()), "__weight double, __part long")
+    of = _small(spark, zip(*parts.items(), strict=True), {"__weight": pa.float64(), "__part": pa.int64()})
     named = stated.join(F.broadcast(of) if len(parts) <= BROADCAST_ROWS else of, "__weight").select("__of", "__part", F.col("__of").isNull().cast("int").alias("__last"))
     turns = ranked(named, "__last", ["__of"], ["__part"], "__i").select("__of", "__part", "__i")
     return turns, schedule(members), sum(part * n for part, n in members.items()), sum(members.values())
@@ -138,7 +146,7 @@ def mix(docs: DataFrame, weights: DataFrame | dict[str | None, float] | None = N
     placed = rows.withColumn("__within", F.coalesce(F.sum("__chars").over(within), F.lit(0)))
     placed = placed.join(starts.withColumnsRenamed({"__source": "__s", "__bucket": "__b"}), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     placed = placed.withColumn("mix_block", F.floor((F.col("__before") + F.col("__within")) / block_chars).cast("long"))
-    one = spark.createDataFrame(runs, "__of long, __k long, __release long, __deadline long, __first long, __n long, __slot long")
+    one = _small(spark, zip(*runs, strict=True), dict.fromkeys(("__of", "__k", "__release", "__deadline", "__first", "__n", "__slot"), pa.int64()))
     own = (F.col("__part") == F.col("__of")) & (F.col("__k") == F.pmod("mix_block", "__part")) & (F.col("__i") >= F.col("__first")) & (F.col("__i") < F.col("__first") + F.col("__n"))
     timed = placed.join(F.broadcast(one) if len(runs) <= BROADCAST_ROWS else one, own)
     rounds = F.floor(F.col("mix_block") / F.col("__part")) * period

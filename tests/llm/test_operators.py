@@ -834,3 +834,18 @@ def test_joining_gives_a_forest_of_the_linked_pairs():
     assert [[x == y for y in label] for x in label] == [[x == y for y in expected] for x in expected]
     none = np.empty(0, np.int64)
     assert jaccard.joining([], [], none, none, none, none) == ([], [])
+
+
+def test_small_tables_of_mixing_start_no_python_workers(spark):
+    """Rows of the driver go to the executors without a Python job of their own."""
+    got = mixing._small(spark, [(1.0, 0.5), (2, 1)], {"w": mixing.pa.float64(), "part": mixing.pa.int64()})
+    assert got.dtypes == [("w", "double"), ("part", "bigint")] and sorted(map(tuple, got.collect())) == [(0.5, 1), (1.0, 2)]
+    assert "PythonRDD" not in got._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_bpe_without_decoding(spark):
+    path, pattern = bpe.multi_language_vocabulary()
+    docs = docs_of(spark, [None, "Hello there.", "one two"])
+    whole, ids = (bpe.tokenize(docs, path, pattern, decode=x) for x in (True, False))
+    assert ids.columns == [c for c in whole.columns if c != "decoded"]
+    assert sorted(map(str, ids.collect())) == sorted(map(str, whole.drop("decoded").collect()))
