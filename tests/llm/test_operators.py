@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -843,6 +844,36 @@ def test_small_tables_of_mixing_start_no_python_workers(spark):
     assert "PythonRDD" not in got._jdf.queryExecution().toRdd().toDebugString()
 
 
+def test_bpe_chunks_by_bytes_are_those_of_the_pattern():
+    rng = random.Random(5)
+    parts = [*"\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000\u200b\u3001\x1c\x00\t\n€éÂ😀", "th", "'s", "!", "\r\n", *[" ", "a"] * 12]
+    for _ in range(800):
+        texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 2, 3, 5, 30]))) for _ in range(rng.randint(0, 6))]
+        bounds, chunks = bpe.chunks_of(bpe.pa.array(["before", *texts]).slice(1))
+        assert [chunks.to_pylist()[a:b] for a, b in itertools.pairwise(bounds)] == [bpe._CHUNK.findall(x) for x in texts]
+
+
+def test_bpe_new_pieces_fill_their_tables_together(monkeypatch):
+    """Short pieces that are new cost no table each; ids are those of a table each, with few places for pairs too."""
+    path, pattern = bpe.multi_language_vocabulary()
+    ranks, rng = bpe.load_ranks(path), random.Random(12)
+    parts = ["a", "th", "ing", "tion", "é", "ß", "文", "😀", "9", "_", "qu", "\x00", "\u0301", "λ"]
+    words = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)]
+    texts = [*(" ".join(words[k : k + 50]) + rng.choice([",", "'s!", "\u2003", "aaab" * 40]) for k in range(0, 3000, 50)), "", "don't  ", " "]
+    plain = bpe.TextEncoder(ranks, pattern)
+    expected = [plain.encode(x).tolist() for x in texts]
+    for remember in (bpe.REMEMBER, 300):
+        encoder, alone = bpe.TextEncoder(ranks, pattern, remember), []
+        monkeypatch.setattr(encoder.pieces_encoder, "encode", lambda x, old=encoder.pieces_encoder.encode, alone=alone: alone.append(x) or old(x))
+        for group in (texts, texts[::-1], texts[:1], []):
+            ids, offsets = encoder.encode_all(bpe.pa.array(group, bpe.pa.string()))
+            got = bpe.pa.ListArray.from_arrays(offsets, ids).to_pylist()
+            assert got == (expected if group is texts else expected[::-1] if len(group) > 1 else expected[: len(group)])
+            assert [x.decode() for x in encoder.decode_all(ids, offsets).to_pylist()] == group
+            if group is texts:
+                assert all(len(x) > bpe.SHORT_BYTES for x in alone)
+
+
 def test_bpe_without_decoding(spark):
     path, pattern = bpe.multi_language_vocabulary()
     docs = docs_of(spark, [None, "Hello there.", "one two"])
