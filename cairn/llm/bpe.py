@@ -38,8 +38,8 @@ _WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)").fullmatch
 _WIDE_SPACE = {x[0]: [y for y in map(str.encode, _SPACED) if y[0] == x[0]] for x in map(str.encode, _SPACED)}
 #: Half the chunks and pieces that a task remembers at most (and 3/4 of its pairs of neighbours), and the longest.
 REMEMBER, MEMO_CHARS = 350_000, 64
-#: Texts are encoded together up to so many bytes; pieces so long at most and at least so many fill tables together.
-GROUP_BYTES, SHORT_BYTES, FEW = 4_000_000, 64, 64
+#: Texts are encoded together up to so many bytes (16 for each string remembered, if less); pieces so long at most and at least so many fill tables together.
+GROUP_BYTES, SHORT_BYTES, FEW = 1_000_000, 64, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,14 +61,18 @@ class PrefixEncoder:
                 self.halves[token] = (parts[0], parts[-1])
                 if len(parts) == 2:
                     self.merges[parts[0], parts[1]] = token
-        #: Finds the tokens that merges make by their bytes; others occur as whole pieces only.
-        self.made = ahocorasick.Automaton()
-        for token in self.halves:
-            self.made.add_word(self.bytes_of[token].decode("latin-1"), token)
-        self.made.make_automaton()
         self.lengths = {x: len(self.bytes_of[x]) for x in self.halves}
         self._fits: dict[int, bool] = {}
 
+    @cached_property
+    def made(self) -> ahocorasick.Automaton:
+        """Finds the tokens that merges make by their bytes; others occur as whole pieces only."""
+        made = ahocorasick.Automaton()
+        for token in self.halves:
+            made.add_word(self.bytes_of[token].decode("latin-1"), token)
+        made.make_automaton()
+        return made
+
     def _halves(self, token: int) -> list[int]:
         """The two tokens whose merge makes this one, itself for a byte, more if merges never make it."""
         parts = [self.ranks[bytes([b])] for b in self.bytes_of[token]]
@@ -168,44 +172,49 @@ class SideBySide:
     def __init__(self, encoder: PrefixEncoder):
         self.holds = encoder.border_holds
         # a trie of the tokens that merges make; node 0 is the root
-        child, depth, token = [{}], [0], [-1]
+        child, token = {}, [-1]
         for made in encoder.halves:
             node = 0
             for byte in encoder.bytes_of[made]:
-                below = child[node].get(byte)
-                if below is None:
-                    below = child[node][byte] = len(child)
-                    child.append({})
-                    depth.append(depth[node] + 1)
+                node = child.setdefault(node << 8 | byte, len(token))
+                if node == len(token):
                     token.append(-1)
-                node = below
             token[node] = made
-        # each node's longest proper suffix in the trie; moves have a row for each node with children, others use a suffix's
-        suffix, row, ends, shorter = ([0] * len(child) for _ in range(4))
-        self.moves = np.zeros((sum(map(bool, child)) or 1, 256), np.int32)
-        rows, level = 0, [0]
-        while level:
-            for node in level:
-                up = suffix[node]
-                ends[node] = node if token[node] >= 0 else ends[up]
-                shorter[node] = ends[up]
-                row[node] = rows if child[node] else row[up]
-                if child[node]:
-                    move = self.moves[rows]
-                    if node:
-                        move[:] = self.moves[row[up]]
-                    for byte, below in child[node].items():
-                        suffix[below] = int(move[byte])
-                        move[byte] = below
-                    rows += 1
-            level = [below for node in level for below in child[node].values()]
-        self.row, self.ends, self.shorter, self.token, self.depth = (np.array(x, np.int32) for x in (row, ends, shorter, token, depth))
+        edges = np.fromiter(child, np.int64, len(child))  # by child: a node's number is larger than its parent's
+        parent, byte = np.append(0, edges >> 8), np.append(0, edges & 255)
+        self.token = np.array(token, np.int32)
+        order = np.argsort(edges)
+        self.edges, self.below = edges[order], (order + 1).astype(np.int32)
+        # each node's longest proper suffix in the trie, level by level
+        self.suffix, self.ends, self.shorter, self.depth = (np.zeros(len(token), np.int32) for _ in range(4))
+        level, depth = np.zeros(1, np.int64), 0
+        while len(level):
+            up = self.suffix[level]
+            self.depth[level] = depth
+            self.shorter[level] = self.ends[up]
+            self.ends[level] = np.where(self.token[level] >= 0, level, self.ends[up])
+            below = np.flatnonzero(np.isin(parent, level))
+            below = below[below > 0]
+            self.suffix[below] = self.move(self.suffix[parent[below]], byte[below]) if depth else 0
+            level, depth = below, depth + 1
         self.lengths = np.zeros(max(encoder.bytes_of) + 1, np.int32)
         self.lengths[list(encoder.lengths)] = list(encoder.lengths.values())
         #: Pairs whose border has been looked at; a later pair takes an earlier one's place.
         self.bits = max(10, encoder.pairs.bit_length())
         self.pairs, self.fit = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, bool)
 
+    def move(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node of the longest suffix of each node's string and the byte."""
+        to, open_ = np.zeros(len(node), np.int32), np.arange(len(node))
+        while len(open_):
+            edge = node.astype(np.int64) << 8 | byte
+            at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            there = self.edges[at] == edge
+            to[open_[there]] = self.below[at[there]]
+            on = ~there & (node > 0)
+            open_, node, byte = open_[on], self.suffix[node[on]], byte[on]
+        return to
+
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether BPE keeps the border of each pair; left is -1 at a piece's start."""
         pair = left.astype(np.int64) << 32 | right
@@ -232,7 +241,7 @@ class SideBySide:
         node = np.zeros(len(pieces), np.int32)
         for end in range(1, widest + 1):
             going = int(np.searchsorted(-sizes, -end, side="right"))
-            node = self.moves[self.row[node[:going]], columns[end - 1, :going]]
+            node = self.move(node[:going], columns[end - 1, :going])
             open_, tried = np.arange(going), self.ends[node]
             while len(open_):
                 token = self.token[tried]
@@ -400,13 +409,15 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     made = ["token_ids", "decoded"] if decode else ["token_ids"]
     schema = source.select(*plain, *[F.lit(None).cast(t).alias(c) for c, t in zip(made, ("array<int>", "binary"), strict=False)]).schema
 
+    together = min(GROUP_BYTES, 16 * remember)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern, remember)
         for whole in batches:
             texts, at = whole.column(len(kept)).cast(pa.string()), 0
             ends = pc.binary_length(texts).to_numpy().cumsum(dtype=np.int64)
             while at < len(whole):
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, side="right")))
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + together, side="right")))
                 ids, offsets = encoder.encode_all(texts.slice(at, stop - at))
                 decoded = [encoder.decode_all(ids, offsets)] if decode else []
                 columns = [x.slice(at, stop - at) for x in whole.columns[: len(kept)]]
