@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.plans.registry import mean, rounded_binary
+
 _SECONDS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1e6D"
 
 
@@ -91,8 +93,8 @@ BOXES = """base AS (
 
 def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run for each customer with its scores: long rows (run, series, at, metric, value)."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("a"), F.stddev_pop("o_totalprice").alias("s"), F.count("*").alias("n"))
-    wide = o.select(F.col("o_custkey").alias("run"), (F.col("o_custkey") % 20).alias("series"), F.round(F.col("a") / 300000, 4).alias("auc"), F.round(F.col("s") / 300000, 4).alias("chamfer"), F.round(F.col("n") / 20, 4).alias("coverage"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(mean("o_totalprice").alias("a"), F.stddev_pop("o_totalprice").alias("s"), F.count("*").alias("n"))
+    wide = o.select(F.col("o_custkey").alias("run"), (F.col("o_custkey") % 20).alias("series"), *[rounded_binary(v, 4).alias(k) for k, v in {"auc": F.col("a") / 300000, "chamfer": F.col("s") / 300000, "coverage": F.col("n") / 20}.items()])
     return wide
 
 
