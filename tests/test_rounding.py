@@ -32,6 +32,10 @@ def test_baseline_deltas_of_ties(spark, tied):
     agreed(spark, tied, "baseline_deltas")
 
 
+def test_leaderboard_of_ties(spark, tied):
+    agreed(spark, tied, "leaderboard")
+
+
 def test_means_do_not_hang_on_the_order_of_rows(spark, tmp_path):
     cents = [26_737_191, 8_129_939, 19_981_007, 31_400_013, 12_345_671, 45_101_203, 9_876_549]
     cents.append(8 * 30 * (7711 * 100 + 50) - sum(cents))  # the mean is 300,000 x 0.77115
