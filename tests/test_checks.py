@@ -209,3 +209,20 @@ def test_benchmarks_resolve_sequences_and_gates(spark):
         dispatch.benchmark_checks(runs.withColumn("sequence", F.lit("none")), sequences, gate, own)
 
 
+
+
+def test_boxes_of_two_kinds_are_matched_once(spark, monkeypatch):
+    seen, plain = [], boxes.candidates
+    monkeypatch.setattr(boxes, "candidates", lambda *a: (seen.append(1), plain(*a))[1])
+    rng = random.Random(8)
+    rows = {n: [box(f, i, 3 * i + shift * rng.random(), rng.choice("ab"), rng.random()) for f in range(5) for i in range(3)] for n, shift in (("r", 0), ("e", 1.5), ("g", 0.5))}
+    frames = {n: spark.createDataFrame(r, BOX) for n, r in rows.items()}
+    tables = frames["r"].withColumn("name", F.lit("r")).unionByName(frames["e"].withColumn("name", F.lit("e"))).unionByName(frames["g"].withColumn("name", F.lit("g")))
+    checks = spark.createDataFrame([("d1", "detection", "e", "r"), ("d2", "detection", "g", "r"), ("t1", "tracking", "e", "r"), ("t2", "tracking", "g", "r"), ("t3", "tracking", "g", "r")], "check_id string, kind string, source string, reference string")
+    got = {(r["check_id"], r["metric"]): r["value"] for r in dispatch.metrics(checks, boxes_=tables, threshold=0.25).collect()}
+    assert len(seen) == 1
+    apart = dispatch.detection_metrics(checks.filter("kind = 'detection'"), tables, 0.25).union(dispatch.tracking_metrics(checks.filter("kind = 'tracking'"), tables, 0.25))
+    assert got == {(r["check_id"], r["metric"]): r["value"] for r in apart.collect()} and len(got) == 17
+    seen.clear()
+    boxes.detection_sweep(frames["r"], frames["e"], (0.25, 0.5, 0.75)).collect()
+    assert len(seen) == 1
