@@ -82,3 +82,15 @@ def test_run_gives_what_its_stages_give(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"], r["n_tokens"], r["text"]) for r in out.collect()) == sorted((r["doc_id"], r["n_tokens"], r["text"]) for r in docs.collect())
+
+
+def test_the_mixed_order_reaches_the_end(spark, small):
+    """Files of unlike sizes, as Spark reads large ones first: places are those that mixing gave."""
+    rows = common.table(spark, small, "documents").select(*corpus_pipeline.COLUMNS).filter("text IS NOT NULL").limit(150)
+    before = common.written(rows.unionByName(rows.withColumns({"doc_id": F.col("doc_id") + 500_000, "text": F.repeat("text", 3)})), "texts")
+    slots = {r["doc_id"]: (r["mix_slot"], r["mix_order"], r["doc_id"]) for r in mixing.mix(before, mixing.stated_weights(before)).collect()}
+    out = corpus_pipeline.encode(spark, common.written(corpus_pipeline.mix_sources(spark, before, small), "mixing"), small).select("doc_id", "mix_place").collect()
+    assert sorted(r["mix_place"] for r in out) == list(range(300))
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["mix_place"])] == sorted(slots, key=slots.get)
+    loose = corpus_pipeline.placed(spark.createDataFrame([(1,), (2,)], "doc_id long")).collect()
+    assert [r["doc_id"] for r in sorted(loose, key=lambda r: r["mix_place"])] == [1, 2]
