@@ -10,6 +10,10 @@ No pair leaves a cell. A linked pair counts in the first block whose budget it m
 counts are sums; what a cell returns is, for each of its vectors, a number of links and one link that keeps its component
 together. Large cells are worked as pairs of tiles. Equal vectors are one weighted vector all along. Vectors of each length are
 joined among themselves, all in the same jobs.
+
+Where the cells of a length hold more pairs than all its vectors do (vectors that fill their dimensions), its vectors meet as
+they are: tiles of them are rows of a table, and a product of that table with itself streams each pair of tiles to a task, so
+that no vector is written more than once or twice, however many tiles there are. Time then grows with the square of the vectors.
 """
 
 from __future__ import annotations
@@ -21,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table, written
+from cairn.llm.common import arrow_rows, table, written
 from cairn.llm.components import connected_components
 
 #: Blocks that a vector is split into, coordinates of a block that its grid uses, vectors of a tile, the rounding error
 #: that a budget allows for, and the one of the first, coarse distances.
 BLOCKS, GRID, TILE, SLACK, COARSE = 4, 3, 8_000, 1e-9, 1e-5
+#: In place of a block: whole vectors.
+ALL = -1
 #: Pairs whose distances are computed at once.
 PAIRS = 1_000_000
 #: Cells are joined with their sizes by broadcast up to so many of them.
 BROADCAST_CELLS = 200_000
+#: Vectors of a length at least for plain pairs; tiles that they are cut into at least; partitions of tiles at least, and tiles of
+#: one at most.
+WHOLE, TILES, DEAL, HELD = 2_000, 24, 12, 8
 THRESHOLD = 0.95
 
 
@@ -102,15 +111,18 @@ def _cell_links(threshold: float, kind: str):
     def links(group: pa.Table) -> pa.Table:
         """Links of a tile: for each vector its weight of links, and one link to its component's smallest id."""
         dims, block, i, j = (group.column(c)[0].as_py() for c in ("dims", "block", "i", "j"))
-        bounds, turn = _bounds(dims), rotation(dims)
+        bounds = _bounds(dims)
         budgets = [(2 - 2 * threshold) * (b - a) / dims + SLACK for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         ids, weight, home, tile = (group.column(c).to_numpy() for c in ("id", "weight", "home", "t"))
         unit = _units(b"".join(group.column("packed").to_pylist()), kind, dims)
-        turned = unit @ turn
-        parts = [turned[:, a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        norms = [(x**2).sum(axis=1) for x in parts]
         n, counts, root = len(ids), np.zeros(len(ids)), np.arange(len(ids))
-        flat = parts[block].astype(np.float32)
+        if block == ALL:
+            flat, most = unit.astype(np.float32), 2 - 2 * threshold + 10 * COARSE
+        else:
+            turned = unit @ rotation(dims)
+            parts = [turned[:, a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            norms = [(x**2).sum(axis=1) for x in parts]
+            flat, most = parts[block].astype(np.float32), budgets[block] + COARSE
         square = (flat**2).sum(axis=1)[:, None]
         one, two = np.hstack([-2 * flat, square, np.ones_like(square)]), np.hstack([flat, np.ones_like(square), square])
 
@@ -123,7 +135,7 @@ def _cell_links(threshold: float, kind: str):
         def join(rows: np.ndarray, others: np.ndarray, ordered: bool) -> None:
             """Links between rows and others; ordered: of two vectors that are in both, the earlier must be the row."""
             nonlocal counts, root
-            r, c = np.nonzero(one[rows] @ two[others].T <= budgets[block] + COARSE)
+            r, c = np.nonzero(one[rows] @ two[others].T <= most)
             x, y = rows[r], others[c]
             if ordered:
                 earlier = (x < y) | ~home[y]
@@ -135,7 +147,7 @@ def _cell_links(threshold: float, kind: str):
             if not len(x):
                 return
             new = np.ones(len(x), bool)
-            for k in range(block, -1, -1):
+            for k in range(block, ALL, -1):
                 if dense:
                     near = (norms[k][rows][:, None] + norms[k][others] - 2 * (parts[k][rows] @ parts[k][others].T))[r, c]
                 else:
@@ -164,6 +176,33 @@ def _cell_links(threshold: float, kind: str):
     return links
 
 
+def _plain_links(classes: DataFrame, lengths: dict[int, int], threshold: float, kind: str) -> DataFrame:
+    """(id, links, least) of the pairs of tiles of the vectors of these lengths (with how many vectors there are)."""
+    spark = classes.sparkSession
+    tiles = {dims: -(-n // max(1, min(TILE, n // TILES))) for dims, n in lengths.items()}
+    of = F.create_map(*[F.lit(x) for pair in tiles.items() for x in pair])[F.col("dims")]
+    own = classes.filter(F.col("dims").isin(*tiles)).withColumn("t", F.pmod(F.xxhash64("id"), of).cast("int"))
+    rows = F.collect_list(F.struct("id", "weight", "packed"))
+    packs = written(own.groupBy("dims", "t").agg(rows.alias("rows")), "tiles")
+    n = max(min(DEAL, sum(tiles.values())), -(-sum(tiles.values()) // HELD))
+    a, b = (packs.select(F.col("dims").alias(f"dims_{k}"), F.col("t").alias(k), F.col("rows").alias(f"rows_{k}")).repartition(n) for k in "ij")
+    pairs = a.hint("shuffle_replicate_nl").join(b, (F.col("dims_i") == F.col("dims_j")) & (F.col("i") <= F.col("j"))).select(F.col("dims_i").alias("dims"), "i", "j", "rows_i", "rows_j")
+    links = _cell_links(threshold, kind)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                dims, i, j = (batch.column(c)[k].as_py() for c in ("dims", "i", "j"))
+                sides = [batch.column(f"rows_{s}")[k].values for s in ("i", "j")[: 1 if i == j else 2]]
+                tile = np.repeat([i, j][: len(sides)], [len(x) for x in sides]).astype(np.int32)
+                columns = {c: pa.chunked_array([x.field(c) for x in sides]).combine_chunks() for c in ("id", "weight", "packed")}
+                one = {c: pa.array(np.full(len(tile), v, np.int32)) for c, v in (("dims", dims), ("block", ALL), ("i", i), ("j", j), ("t", tile))}
+                yield from links(pa.table(one | columns | {"home": pa.array(np.ones(len(tile), bool))})).to_batches()
+
+    with arrow_rows(spark, 1):  # a row is two tiles
+        return written(pairs.mapInArrow(run, "id long, links long, least long"), "links")
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row: links are pairs of rows with cosine >= threshold.
 
@@ -191,12 +230,19 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     classes = written(groups.mapInArrow(packed, "h long, g long, id long, weight long, dims int, packed binary"), "vectors")
     visits = _visits(classes.select("dims", "id", "weight", "packed"), threshold, kind)
     cell = ["dims", "block", "cell"]
-    sizes = visits.groupBy(*cell).agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 AND any")
-    sizes = written(sizes.select(*cell, F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "cells")
+    sizes = written(visits.groupBy(*cell).agg(F.count("*").alias("n"), F.count_if("home").alias("own")).filter("n > 1 AND own > 0"), "cells")
+    pairs = sizes.groupBy("dims").agg(F.sum(F.col("own") * (F.col("n") - (F.col("own") + 1) / 2)).alias("pairs"))
+    many = classes.groupBy("dims").agg(F.count("*").alias("n")).filter(F.col("n") >= WHOLE).join(pairs, "dims").filter(F.col("pairs") > F.col("n") * (F.col("n") - 1) / 2)
+    plain = {r["dims"]: r["n"] for r in many.collect()}  # no more than vectors / WHOLE
+    if plain:
+        visits, sizes = (df.filter(~F.col("dims").isin(*plain)) for df in (_visits(classes.filter(~F.col("dims").isin(*plain)).select("dims", "id", "weight", "packed"), threshold, kind), sizes))
+    sizes = sizes.select(*cell, F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     dealt = visits.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes, cell)
     dealt = dealt.withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = dealt.select(*cell, F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "weight", "home", "packed")
     found = written(tiled.groupBy(*cell, "i", "j").applyInArrow(_cell_links(threshold, kind), "id long, links long, least long"), "links")
+    if plain:
+        found = found.union(_plain_links(classes, plain, threshold, kind))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
     named = classes.select("h", "g", "id", "weight").join(counts, "id", "left").join(components, F.col("id") == F.col("node"), "left")

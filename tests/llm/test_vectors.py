@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import codes, infill, search
+from cairn.llm import codes, embeddings, infill, search
 
 VECTORS = "vec_id long, embedding array<double>, label int"
 
@@ -235,3 +235,31 @@ def test_queries_equal_their_sql(spark, small, module):
         assert columns == sorted(want.columns) and len(got)
         plain = lambda df: sorted(tuple("" if x is None or x != x else str(int(x)) if isinstance(x, float) else str(x) for x in r) for r in df[columns].itertuples(index=False))
         assert plain(got) == plain(want)
+
+
+def test_vectors_that_fill_their_dimensions_meet_in_tiles_once(spark, monkeypatch):
+    """Where cells hold more pairs than all vectors do, tiles are not copied for each pair of them, and links are the same."""
+    used, plain = [], embeddings._plain_links
+    monkeypatch.setattr(embeddings, "WHOLE", 100)
+    monkeypatch.setattr(embeddings, "_plain_links", lambda classes, lengths, *a: (used.append(lengths), plain(classes, lengths, *a))[1])
+    rng = np.random.default_rng(9)
+    rows = []
+    for dims, n in ((32, 400), (24, 250), (3, 150)):
+        v = rng.normal(size=(n, dims))
+        near = v[: n // 3] + rng.normal(scale=0.22, size=(n // 3, dims))
+        rows += [*v, *near, *(2 * v[:5]), *v[:7]]
+    order = rng.permutation(len(rows)).tolist()
+    df = spark.createDataFrame([(i, [float(x) for x in rows[k]]) for i, k in enumerate(order)] + [(9_000, None), (9_001, [0.0] * 32)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df.repartition(5)).collect()}
+    assert len(used) == 1 and 32 in used[0] and 3 not in used[0]
+    unit = [rows[k] / np.linalg.norm(rows[k]) for k in order]
+    links = [[j for j in range(len(order)) if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95] for i in range(len(order))]
+    root: dict = {}
+    for i in range(len(order)):
+        todo = [] if i in root else [i]
+        while todo:
+            k = todo.pop()
+            if k not in root:
+                root[k] = i
+                todo += links[k]
+    assert got == {i: (len(links[i]), root[i], root[i] == i) for i in range(len(order))} | {i: (0, i, True) for i in (9_000, 9_001)}
